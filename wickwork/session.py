@@ -16,3 +16,15 @@ SETTINGS = {
 def session(name: str = "wickwork", **more: str) -> SparkSession:
     """A session with SETTINGS and whatever else is given."""
     return SparkSession.builder.appName(name).config(map={**SETTINGS, **more}).getOrCreate()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where that is unset)."""
+    import tempfile
+    import uuid
+
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-"))
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return f"{known.get()}/{label}-{uuid.uuid4().hex}"
