@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wickwork.llm.common import drop_stored, stored
+
 #: Words, symbols and windows of the base measures.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -119,7 +121,7 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, by: str = "lang", alpha:
     for (name, rule), c in sorted(table.items()):
         grid, n, best = rules[rule][1], sum(c.values()), None
         for i, cut in enumerate(grid):
-            rejected = sum(v for step, v in c.items() if step > i)
+            rejected = sum(v for step, v in c.items() if step >= len(grid) - i)  # step: how many cutoffs the measure is above
             if binomial_tail(rejected, n, alpha / len(rules)) > delta / len(table):
                 break
             best = cut
@@ -137,13 +139,18 @@ def apply_rules(measured: DataFrame, kept: list[str], cutoffs: list[tuple[str, s
     return measured.withColumn("kept", ~fails)
 
 
-def judge(docs: DataFrame, labels: DataFrame, by: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, by: str = "lang", keep_text: bool = True) -> DataFrame:
     """Measures, cutoffs fitted on the labelled documents, and the verdict `kept` for every row.
 
-    Without labels only the base rules decide. Repeated rows are judged alike; an empty table gives an empty result.
-    Input columns with the added names are replaced, others carried.
+    The measures are stored without the texts, and only they are joined with the labels, so no text is shuffled. Without keep_text the result is made from
+    the stored measures, else the texts are measured once more as they pass. Without labels only the base rules decide. Repeated rows are judged alike; an
+    empty table gives an empty result. Input columns with the added names are replaced, others carried.
     """
+    measures = [x.split()[0] for x in MEASURES.split(", ")]
     measured = with_measures(docs)
-    given = docs.select("doc_id", by, "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    kept, cutoffs = fit_cutoffs(with_measures(given), labels, by)
-    return apply_rules(measured, kept, cutoffs, by)
+    light = stored(measured.drop("text") if not keep_text else measured.select("doc_id", by, *measures, "base_failed"), "measures")
+    kept, cutoffs = fit_cutoffs(light, labels, by)
+    if keep_text:
+        drop_stored(light)
+        return apply_rules(measured, kept, cutoffs, by)
+    return apply_rules(light, kept, cutoffs, by)

@@ -54,7 +54,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    judged = quality.judge(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    judged = quality.judge(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
