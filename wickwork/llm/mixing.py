@@ -97,7 +97,12 @@ def _served(at: int, last, repeats: int, per_unit: int):
 
 
 def mixed_documents(docs: DataFrame, size: str = "size", seed: str = "mix") -> DataFrame:
-    """The mix itself: each document as often as it is taken, range-sorted by virtual finish time."""
-    queued = fair_queue(docs, size, seed)
-    out = queued.where("copies > 0").withColumn("_round", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return out.orderBy(F.col("_round") * F.col("source_size") / F.col("target") + F.col("first_finish")).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, range-sorted by virtual finish time.
+
+    The queue works on sizes alone; texts are joined by row number, so docs must come from storage, where the order of rows is fixed.
+    """
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+    queued = fair_queue(rows.select("_rid", "doc_id", "source", size), size, seed).where("copies > 0")
+    rounds = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: k * F.col("source_size") / F.col("target") + F.col("first_finish"))
+    served = queued.select("_rid", rounds.alias("_served"))
+    return rows.join(served, "_rid").withColumn("_finish", F.explode("_served")).orderBy("_finish").select(*docs.columns)
