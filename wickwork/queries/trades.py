@@ -13,6 +13,7 @@ from wickwork.operators.joins import maintenance_tier
 from wickwork.sources import tables as src
 
 START = 1e9
+hundreds = lambda df, *cs: df.withColumns({c: steady(F.col(c) / 100) for c in cs})  # noqa: E731  sums of a billion keep ten places
 st = lambda df, *cs: df.withColumns({c: steady(F.col(c)) for c in cs})
 r6 = lambda df, *cs: df.withColumns({c: F.round(c, 6) + 0.0 for c in cs})
 
@@ -65,9 +66,9 @@ query("closure_sequence", "SELECT trade_id, close_ts, row_number() OVER (ORDER B
 )
 _EV = "SELECT trade_id, open_ts AS ts, 1::INT AS kind, round(stake_amount, 8)::DECIMAL(28,8) AS tied, 0::DECIMAL(28,8) AS profit, 1 AS op, 0 AS cl FROM closed UNION ALL SELECT trade_id, close_ts, 0, -round(stake_amount, 8)::DECIMAL(28,8), round(profit_abs, 8)::DECIMAL(28,8), -1, 1 FROM closed"
 _RUN = "SELECT ts, kind, trade_id, sum(tied) OVER w AS tied, sum(profit) OVER w AS profit, sum(op) OVER w AS op, sum(cl) OVER w AS cl FROM ev WINDOW w AS (ORDER BY ts, kind, trade_id ROWS UNBOUNDED PRECEDING)"
-_STATE = "steady((1000000000::DECIMAL(28,8) + profit - tied)::DOUBLE) AS free, steady(tied::DOUBLE) AS tied, op::BIGINT AS open_trades, steady(profit::DOUBLE) AS realized, cl::BIGINT AS closed_trades FROM run"
-query("equity_curve", f"SELECT ts, kind, trade_id, {_STATE}", ev=_EV, run=_RUN)(lambda s, d: st(op.equity_curve(src.closed_trades(s, d), START), "free", "tied", "realized"))
-query("wallet_state", f"SELECT ts, trade_id, {_STATE} WHERE kind = 0", ev=_EV, run=_RUN)(lambda s, d: st(op.wallet_state(src.closed_trades(s, d), START), "free", "tied", "realized"))
+_STATE = "steady((1000000000::DECIMAL(28,8) + profit - tied)::DOUBLE / 100) AS free, steady(tied::DOUBLE / 100) AS tied, op::BIGINT AS open_trades, steady(profit::DOUBLE / 100) AS realized, cl::BIGINT AS closed_trades FROM run"
+query("equity_curve", f"SELECT ts, kind, trade_id, {_STATE}", ev=_EV, run=_RUN)(lambda s, d: hundreds(op.equity_curve(src.closed_trades(s, d), START), "free", "tied", "realized"))
+query("wallet_state", f"SELECT ts, trade_id, {_STATE} WHERE kind = 0", ev=_EV, run=_RUN)(lambda s, d: hundreds(op.wallet_state(src.closed_trades(s, d), START), "free", "tied", "realized"))
 query("max_concurrency", "SELECT max(op)::BIGINT AS max_open_trades FROM run", ev=_EV, run=_RUN)(lambda s, d: op.max_concurrency(src.closed_trades(s, d)))
 _DD = "SELECT cum, greatest({s}, max(cum) OVER (ORDER BY close_ts, trade_id ROWS UNBOUNDED PRECEDING)) AS high FROM (SELECT close_ts, trade_id, {s} + (sum(round({v}, 8)::DECIMAL(28,8)) OVER (ORDER BY close_ts, trade_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS cum FROM closed)"
 query("max_drawdown_ratios", "SELECT round(max(high - cum), 6) AS max_drawdown FROM dd", dd=_DD.format(s="0.0::DOUBLE", v="profit_ratio"))(lambda s, d: op.max_drawdown(src.closed_trades(s, d), "profit_ratio", 0.0, False))
@@ -97,8 +98,8 @@ _c = F.col
 query("quantize_step", "SELECT v, u / 10000 AS st, (k // u) * u / 10000 AS low, ((k + u - 1) // u) * u / 10000 AS high, ((2 * k + u) // (2 * u)) * u / 10000 AS near FROM (SELECT *, round(v * 10000)::BIGINT AS k FROM (SELECT DISTINCT round(l_extendedprice / 7, 4) AS v, unnest([100, 2500, 5000]) AS u FROM lineitem))")(
     lambda s, d: src.table(s, d, "lineitem").select(F.round(_c("l_extendedprice") / 7, 4).alias("v")).distinct().withColumn("st", F.explode(F.array(F.lit(0.01), F.lit(0.25), F.lit(0.5)))).select("v", "st", *[eco.quantize_step(_c("v"), _c("st"), how).alias(n) for how, n in (("floor", "low"), ("ceil", "high"), ("round", "near"))])
 )
-query("entry_sizing", "SELECT pair, ts, amount, round(amount * open / 2, 6) AS stake, round(amount * open * 1.001, 6) AS cost FROM (SELECT *, round(floor(round(100.0 * 2 / open / 0.001, 9)) * 0.001, 12) AS amount FROM cf)")(
-    lambda s, d: src.full_candles(s, d).withColumn("amount", eco.entry_amount(F.lit(100.0), F.lit(2.0), _c("open"), F.lit(0.001))).select("pair", "ts", "amount", F.round(eco.entry_stake(_c("amount"), _c("open"), F.lit(2.0)), 6).alias("stake"), F.round(eco.entry_cost(_c("amount"), _c("open"), F.lit(0.001)), 6).alias("cost"))
+query("entry_sizing", "SELECT pair, ts, amount, steady(amount * open / 2) AS stake, steady(amount * open * 1.001) AS cost FROM (SELECT *, round(floor(round(100.0 * 2 / open / 0.001, 9)) * 0.001, 12) AS amount FROM cf)")(
+    lambda s, d: src.full_candles(s, d).withColumn("amount", eco.entry_amount(F.lit(100.0), F.lit(2.0), _c("open"), F.lit(0.001))).select("pair", "ts", "amount", steady(eco.entry_stake(_c("amount"), _c("open"), F.lit(2.0))).alias("stake"), steady(eco.entry_cost(_c("amount"), _c("open"), F.lit(0.001))).alias("cost"))
 )
 query("min_stake", "SELECT pair, ts, round(greatest(5.0 * 1.05 / 0.9, 0.1 * open * 1.05) / 2, 6) AS least FROM cf")(lambda s, d: src.full_candles(s, d).select("pair", "ts", F.round(eco.min_stake(F.lit(5.0), F.lit(0.1), _c("open"), -0.1, 0.05, F.lit(2.0)), 6).alias("least")))
 query("available_and_proposed_stake", "SELECT trade_id, round(a, 6) AS available, round(least((a + stake_amount) / 5, a), 6) AS unlimited, round(least(1e5, a), 6) AS fixed FROM (SELECT trade_id, stake_amount, greatest(least((stake_amount + 2e5) * 0.9 - stake_amount, 2e5), 0) AS a FROM closed)")(
