@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows that one sorted chunk of a numbered group should hold.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 5_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -105,13 +105,15 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, by: str = "lang", alpha:
 
     All labelled documents take part: labels has doc_id and quality (1: good); a doc_id is good if its largest
     quality is 1, null labels are ignored. Good documents that fail the base rules or lack a measure do not count, as no cutoff decides
-    on them. The `strata` most frequent values of `by` have cutoffs of their own, the others share `*`.
+    on them. Values of `by` with enough of them for a test to succeed have cutoffs of their own, the `strata` most frequent at most; the others share `*`.
     What reaches the driver is one count for each stratum, rule and grid step.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     seen = measured.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    kept = [r[0] for r in seen.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(strata).collect()]
     rules = _rules()
+    least = math.log(delta / (len(rules) * (strata + 1))) / math.log1p(-alpha / len(rules))
+    sizes = seen.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), by).limit(strata)
+    kept = [r[0] for r in sizes.collect()]
     steps = [F.struct(F.lit(name).alias("rule"), sum([(m > g).cast("int") for g in grid], F.lit(0)).alias("step")) for name, (m, grid) in rules.items()]
     counts = seen.select(stratum(by, kept).alias("stratum"), F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.count("*").alias("n")).collect()
     table: dict[tuple[str, str], Counter] = {}
