@@ -189,6 +189,16 @@ def test_a_chain_and_a_shared_passage(spark, tmp_path):
     assert sorted(got[1]) == [1, 2, 3] and all(got[10 + k] == [10 + k] for k in range(60))
 
 
+def test_large_ids_beside_nulls_stay_exact(spark, tmp_path):
+    big, path = 2**62 + 1, str(tmp_path / "t")
+    spark.createDataFrame([(big, BASE), (big + 1, BASE), (None, BASE)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    rows = near_dedup.near_duplicates(spark.read.parquet(path))[0].collect()
+    assert {(r["doc_id"], r["class_id"]) for r in rows} == {(big, big), (big + 1, big), (None, big)}
+    html = "x" * 2000
+    out = warc.archive_round_trip(spark.createDataFrame([(big, "u", html), (big + 1, "u", html), (None, "u", html)], "page_id long, url string, html string")).collect()
+    assert {(r["page_id"], r["refers_to"]) for r in out} == {(big, big + 1), (big + 1, None), (None, big + 1)}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 200), (200, 300), (7, 7)]
     found = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -131,14 +131,13 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, made, written, count = None, [], 0, 0
         for pdf in batches:
-            ids, refs = pdf["page_id"].astype(object).where(pdf["page_id"].notna(), None), pdf["refers_to"].astype(object).where(pdf["refers_to"].notna(), None)
-            for page_id, url, html, size, digest, ref in zip(ids, pdf["url"], pdf["html"], pdf["_size"], pdf["_digest"], refs):
+            for page_id, url, html, size, digest, ref in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["_size"], pdf["_digest"], pdf["refers_to"]):
                 if out is None:
                     fs, name = _open(f"{folder}/{uuid.uuid4().hex}.warc.gz")
                     out, engine, written, count = fs.open_output_stream(name, compression=None), zlib.compressobj(LEVEL, wbits=31), 0, 0
                     made.append(name)
                 block = b"" if ref is not None else (html or "").encode("utf-8")
-                data = record(page_fields(None if page_id is None else int(page_id), url, bytes.fromhex(digest), size, None if ref is None else int(ref)), block)
+                data = record(page_fields(page_id, url, bytes.fromhex(digest), size, ref), block)
                 out.write(engine.compress(data))
                 written, count = written + len(data), count + 1
                 if written >= ARCHIVE_BYTES:
@@ -152,7 +151,8 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame({"path": [made[-1]], "records": [count]})
 
     _open(folder)[0].create_dir(_open(folder)[1])
-    needed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "_size", "_digest", F.col("refers_to").cast("long").alias("refers_to"))
+    number = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  pandas would turn integers beside nulls into floats
+    needed = pages.select(number("page_id"), "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "_size", "_digest", number("refers_to"))
     return needed.mapInPandas(run, MANIFEST).checkpoint()
 
 
