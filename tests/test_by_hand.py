@@ -168,7 +168,7 @@ def test_economics(spark):
     assert v(eco.proposed_stake(lit(80.0), lit(20.0), lit(5), lit(None).cast("double"))) == 20.0
     assert v(eco.profit_bucket(lit(0.0005))) is None and v(eco.profit_bucket(lit(0.005))) == 0 and v(eco.profit_bucket(lit(0.07))) == 7 and v(eco.profit_bucket(lit(0.5))) == 12
     assert v(eco.order_side(lit(True), lit(True))) == "sell" and v(eco.order_side(lit(False), lit(True))) == "buy"
-    assert v(eco.partial_exit_request(lit(90.0), lit(100.0), lit(20.0))) == 69.0
+    assert v(eco.partial_exit_request(lit(90.0), lit(100.0), lit(20.0), lit(1.0), lit(100.0), lit(1.0), lit(100.0))) == 69.0
     assert v(eco.partial_exit_amount(lit(200.0), lit(1.0), lit(100.0), lit(0.1))) is None
     assert v(eco.tag_with_ids("gd1", F.array(lit(1), lit(3), lit(2)))) == "gd1 3 2 1"
 
@@ -205,7 +205,7 @@ def test_events(spark):
 
 
 def test_profile_and_names(spark):
-    p = spark.createDataFrame([("load", 1, 2.0, 1.0), ("x", 1, 1.0, 1.0), ("load", 1, 1.0, 2.0), ("load", 0, 1.0, 0.0), ("load", -1, 1.0, 0.0)], "phase string, calls long, total double, longest double")
+    p = spark.createDataFrame([("indicators", 1, 2.0, 1.0), ("x", 1, 1.0, 1.0), ("callbacks", 1, 1.0, 2.0), ("callbacks", 0, 1.0, 0.0), ("callbacks", -1, 1.0, 0.0)], "phase string, calls long, total double, longest double")
     assert [r["error"] for r in runs.profile_errors(p).collect()] == [None, "phase", "longest_above_total", "time_without_calls", "negative"]
     with pytest.raises(ValueError):
         runs.list_runs(p, 0)

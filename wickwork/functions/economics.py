@@ -43,7 +43,7 @@ def entry_cost(amount: Column, rate: Column, fee: Column) -> Column:
 def min_stake(cost_min: Column, amount_min: Column, rate: Column, stop: float, reserve: float, leverage: Column, explicit: Column | None = None) -> Column:
     """Smallest stake of an entry: the larger of the cost and amount limits with their reserves, by leverage. An explicit minimum wins."""
     keep = 1.0 + reserve
-    factor = min(max(keep / (1 - abs(stop)) if abs(stop) != 1 else 1.5, 1.0), 1.5)
+    factor = min(max(keep / (1 - abs(stop)), 1.0), 1.5) if abs(stop) < 1 else 1.5
     found = F.greatest(cost_min * factor, amount_min * rate * keep) / leverage
     return found if explicit is None else F.coalesce(explicit, found)
 
@@ -91,9 +91,10 @@ def threshold_stop(profit: Column, cost: Column, threshold: float, leverage: Col
     return profit < -(cost * threshold / leverage)
 
 
-def indicator_stop(profit: Column, floor: float, close: Column, ema: Column, rsi: Column, before: Column, cmf: Column) -> Column:
-    """Loss beyond floor while the close is below its average, RSI above 24 and up on the row before, and money flow negative."""
-    return (profit < floor) & (close < ema) & (rsi > 24.0) & (rsi > before) & (cmf < 0.0)
+def indicator_stop(profit: Column, cost: Column, threshold: float, close: Column, ema: Column, rsi: Column, before: Column, hourly: Column, cmf: Column) -> Column:
+    """Loss beyond the threshold's share of the entry cost, the close less than 1 % under its average, RSI rising and 24 above the hourly one, money flow negative."""
+    near = (close < ema) & ((ema - close) / close < 0.010)
+    return (profit < -(cost * threshold)) & near & (cmf < 0.0) & (rsi > before) & (rsi > hourly + 24.0)
 
 
 def profit_bucket(ratio: Column) -> Column:
@@ -110,9 +111,10 @@ def exit_reason(mode: Column, name: Column, bucket: Column, tag: Column) -> Colu
     return F.concat(head, F.lit(" ( "), F.coalesce(tag, F.lit("")), F.lit(")"))
 
 
-def rebuy_allowed(is_short: Column, rsi: Column, ema_ratio: Column, low: float = 30.0, high: float = 70.0) -> Column:
-    """Longs need a low RSI under the average, shorts a high one above it."""
-    return F.when(is_short, (rsi > high) & (ema_ratio > 1)).otherwise((rsi < low) & (ema_ratio < 1))
+def rebuy_allowed(is_short: Column, protections: Column, rsi: Column, rsi_15m: Column, aroon: Column, aroon_15m: Column, close: Column, ema: Column) -> Column:
+    """Side-dependent entry thresholds: RSI not at its extreme, a weak Aroon of the side, and the close beyond 1.2 % of its average."""
+    weak = protections & (aroon < 30.0) & (aroon_15m < 30.0)
+    return F.when(is_short, weak & (rsi < 90.0) & (rsi_15m < 90.0) & (close < ema * 1.012)).otherwise(weak & (rsi > 10.0) & (rsi_15m > 10.0) & (close < ema * 0.988))
 
 
 def base_currency(pair: Column) -> Column:
@@ -129,10 +131,12 @@ def partial_exit_amount(requested: Column, amount: Column, stake: Column, step:
     return F.when((requested < stake) & (out > 0) & (out < amount), out)
 
 
-def partial_exit_request(wanted: Column, stake: Column, least: Column) -> Column:
-    """Stake to take out so that 1.55 times the minimum stays; NULL if it or the rest would be at most the minimum."""
-    out = F.least(wanted, stake - least * 1.55)
-    return F.when((out > least) & (stake - out > least), out)
+def partial_exit_request(requested: Column, current: Column, least: Column, amount: Column, stake: Column, leverage: Column, rate: Column) -> Column:
+    """Stake of a partial exit that keeps 1.55 times the minimum: less is taken out if the rest would fall below. NULL if the exit or its stake is at most the minimum."""
+    rest = current / leverage - requested
+    out = F.when(rest < least * 1.55, amount * rate / leverage - least * 1.55).otherwise(requested)
+    value = out * leverage * (stake / amount) / rate
+    return F.when((out > least) & (value > least), value)
 
 
 def scale_stakes(ladder: Column, least: Column) -> Column:
@@ -141,16 +145,20 @@ def scale_stakes(ladder: Column, least: Column) -> Column:
     return F.transform(ladder, lambda x: x * k)
 
 
-def ladder_entry(level: Column, distance: Column, rsi: Column, steps: list[float]) -> Column:
-    """Whether the ladder's rung may be bought: price far enough below the last entry, deeper for later rungs, and RSI below 50."""
-    limit = F.lit(None).cast("double")
-    for k, s in enumerate(steps, 1):
-        limit = F.when(level == k, s).otherwise(limit)
-    return (distance < limit) & (rsi < 50.0)
+def ladder_entry(level: Column, signal: Column, distance: Column, derisked: Column, empty: Column, x: dict[str, Column]) -> Column:
+    """Whether a rung may be bought. Rungs 1 to 3 need the signal; rung 4 also takes a fall of 4 % with weak momentum, or of 6 % when no rung is held
+    (empty); rung 5 also takes a fall of 6 % of a derisked trade. x: rsi_3, rsi_3_15m, rsi_14, aroon_up, close, ema_20."""
+    fourth = (distance < -0.04) & (x["rsi_3"] > 5.0) & (x["rsi_3_15m"] > 10.0) & (x["rsi_14"] < 35.0) & (x["close"] < x["ema_20"] * 0.985)
+    fourth = fourth | (distance < -0.06) & empty & (x["rsi_14"] < 30.0) & (x["close"] < x["ema_20"] * 0.980)
+    fifth = derisked & (distance < -0.06) & (x["rsi_3"] > 10.0) & (x["rsi_3_15m"] > 20.0) & (x["aroon_up"] < 50.0)
+    return F.when(level <= 3, signal).when(level == 4, signal | fourth).otherwise(signal | fifth)
 
 
-def ladder_exit(profit: Column, target: float, rsi: Column) -> Column:
-    return (profit > target) & (rsi > 50.0)
+def ladder_exit(profit_rate: Column, threshold: float, fees: float, x: dict[str, Column]) -> Column:
+    """Whether a rung may be sold: profit past the threshold and fees, and momentum at its height. x: rsi_3, rsi_14, willr, stoch, close, band, rsi_3_1h, rsi_3_4h, roc_1d, btc_rsi_4h."""
+    high = (x["rsi_3"] > 99.0) | (x["rsi_14"] > 70.0) | (x["willr"] > -0.1) | (x["stoch"] > 95.0) | (x["close"] > x["band"] * 1.01) | (x["rsi_3"] > 90.0) & (x["rsi_14"] < 50.0)
+    fading = (x["rsi_3"] > 80.0) & (x["rsi_3_1h"] < 20.0) & (x["rsi_3_4h"] < 20.0) & (x["roc_1d"] > -10.0) & (x["btc_rsi_4h"] < 35.0)
+    return (profit_rate >= threshold + fees) & (high | fading)
 
 
 def tag_with_ids(prefix: str, ids: Column) -> Column:

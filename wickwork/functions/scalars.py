@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names whose values a configuration row hides.
-SECRET_KEY = r"(?i)(key|secret|password|token|passphrase|jwt)"
+#: Fixed value: last parts of the names whose values a configuration row hides.
+SECRET_KEY = r"(?i)(^|[._-])(api[_-]key|apikey|key|password|secret|token)$"
 REDACTED = "<redacted>"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 #: The release policy, and the phases of a profile.
 MIN_PAIRS, MIN_DAYS, MIN_SPEEDUP, MAX_SPREAD = 80, 1825, 10.0, 0.05
-PHASES = ("load", "vectorize", "simulate", "export")
+PHASES = ("indicators", "callbacks", "trade_scans", "event_simulation")
 #: Columns of a run that keep their first value on an upsert.
 IMMUTABLE = ("lane", "result_sha256")
 

@@ -13,6 +13,15 @@ MONEY = "decimal(38,18)"
 LEVELS = 5
 
 
+# Words of the order tags. An entry belongs to a level by its whole tag, an exit by its first word.
+_GRINDS = [f"g{k}" for k in range(1, 7)]
+_STOPPED = [f"sg{k}" for k in range(1, 7)]
+_DEEP = [f"gd{k}" for k in range(2, 7)]
+_DEEP_EXITS = [f"dd{k}" for k in range(2, 7)]
+_MANUAL = ["gm0", "gmd0"]
+DERISK_TAGS = ("d", "d1", "derisk_level_1", "derisk_level_2", "derisk_level_3")
+
+
 def order_arrays(orders: DataFrame, *columns: str) -> DataFrame:
     """One row a trade with its orders as a sorted array of structs."""
     row = F.struct("sequence", *[c for c in columns if c != "sequence"])
@@ -141,37 +150,60 @@ def entries_since_exit(orders: DataFrame) -> DataFrame:
     return marked.groupBy("trade_id").agg(F.count_if(since).alias("entries_since_exit"))
 
 
-def is_derisked(orders: DataFrame, tags: list[str]) -> DataFrame:
+def is_derisked(orders: DataFrame, tags: tuple[str, ...] = DERISK_TAGS) -> DataFrame:
     """Whether an exit's first tag word is a derisk tag, or less than 95 % of the first entry is left."""
     word = F.split_part("tag", F.lit(" "), F.lit(1))
     signed = F.when(F.col("is_entry"), F.col("amount")).otherwise(-F.col("amount"))
-    out = orders.groupBy("trade_id").agg(F.bool_or(~F.col("is_entry") & word.isin(tags)).alias("_tag"), F.sum(signed).alias("_held"), F.min_by("amount", F.when(F.col("is_entry"), F.col("sequence"))).alias("_first"))
+    out = orders.groupBy("trade_id").agg(F.bool_or(~F.col("is_entry") & word.isin(list(tags))).alias("_tag"), F.sum(signed).alias("_held"), F.min_by("amount", F.when(F.col("is_entry"), F.col("sequence"))).alias("_first"))
     return out.select("trade_id", (F.coalesce("_tag", F.lit(False)) | (F.col("_held") < 0.95 * F.col("_first"))).alias("is_derisked"))
 
 
-#: Levels and closing words of the tag schemes: level -> (entry word, closing words). Fixed values.
+#: entries, exits: level by word; closing: exit words that close every level; other: the level of entries and exits whose words are in none
+#: of these lists nor in entry_out or exit_out (None: such orders have no level); derisk: exit words of a derisked trade.
 SCHEMES = {
-    "grind": {k: (f"grind_{k}_entry", (f"grind_{k}_exit", f"grind_{k}_derisk", "derisk_global")) for k in range(1, LEVELS + 1)},
-    "legacy": {k: (f"gd{k}", (f"gd{k}", f"dd{k}", "d", "d1", "m", "p")) for k in range(1, 7)},
-    "regular": {0: ("r", ("r", "d", "d1", "p"))} | {k: (f"g{k}", (f"g{k}", f"sg{k}", "d", "d1", "p")) for k in range(1, 7)},
-}
+    "grind": {
+        "levels": range(1, LEVELS + 1), "entries": {f"grind_{k}_entry": k for k in range(1, LEVELS + 1)}, "exits": {f"grind_{k}_{x}": k for k in range(1, LEVELS + 1) for x in ("exit", "derisk")},
+        "closing": ["derisk_global"], "other": None, "entry_out": [], "exit_out": [], "derisk": ["derisk_level_1", "derisk_level_2", "derisk_level_3"],
+    },
+    "legacy": {
+        "levels": range(1, 9), "entries": {f"gd{k}": k for k in range(2, 7)} | {"dl1": 7, "dl2": 8}, "exits": {f"{x}{k}": k for k in range(2, 7) for x in ("gd", "dd")} | {"dl1": 7, "ddl1": 7, "dl2": 8, "ddl2": 8},
+        "closing": ["p", "r", "d", "dd0", "partial_exit", "force_exit", ""], "other": 1, "entry_out": ["r", "d1", "gdr", *_GRINDS, *_STOPPED, *_MANUAL], "exit_out": ["d1", "gdr", *_GRINDS, *_STOPPED, *_MANUAL], "derisk": ["d1"],
+    },
+    "regular": {
+        "levels": range(0, 7), "entries": {f"g{k}": k for k in range(1, 7)}, "exits": {f"{x}{k}": k for k in range(1, 7) for x in ("g", "sg")},
+        "closing": ["d", "d1", "dd0", "dd1", "ddl1", "ddl2", *_DEEP_EXITS], "other": 0, "entry_out": [*_STOPPED, "dl1", "dl2", "gd1", *_DEEP, *_MANUAL], "exit_out": ["p", "dl1", "dl2", "gd1", *_DEEP, *_MANUAL], "derisk": ["d", "d1", "dd0", "dd1", "ddl1", "ddl2", *_DEEP_EXITS],
+    },
+}
+
+
+def _levels(scheme: str, is_entry: Column, tag: Column, head: Column) -> Column:
+    """Levels that an order adds to (entry) or closes (exit)."""
+    s = SCHEMES[scheme]
+    one = lambda k: F.array(F.lit(k))
+    none = F.array().cast("array<int>")
+    rest = none if s["other"] is None else one(s["other"])
+
+    def by_word(word: Column, table: dict[str, int], out: list[str]) -> Column:
+        found = F.when(word.isin(out), none).otherwise(rest) if out else rest
+        for w, k in table.items():
+            found = F.when(word == w, one(k)).otherwise(found)
+        return found
+
+    closing = F.when(head.isin(s["closing"]), F.array(*map(F.lit, s["levels"]))).otherwise(by_word(head, s["exits"], s["exit_out"]))
+    return F.when(is_entry, by_word(tag, s["entries"], s["entry_out"])).otherwise(closing)
 
 
 def open_clusters(orders: DataFrame, scheme: str = "grind") -> DataFrame:
     """Per trade and level: entries still open after the newest exit that closes the level. The first order of a trade never counts.
 
-    Columns: trade_id, level, entries, amount, cost, ids (sequence, newest first), latest_price, exit_price, and derisked (whether some exit carries a derisk word).
-    Only an order's first tag word decides, besides derisk words anywhere in the tag.
+    Columns: trade_id, level, entries, amount, cost, ids (sequence, newest first), latest_price, exit_price, and derisked: whether an exit's first word says so or, in the
+    regular scheme, less than 95 % of the first entry was left after some exit.
     """
-    text = lambda words: F.array(*map(F.lit, words))
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(e).alias("entry_word"), text(x).alias("exit_words")) for k, (e, x) in SCHEMES[scheme].items()])
-    own = orders.withColumn("_word", F.split_part("tag", F.lit(" "), F.lit(1))).withColumn("_first", F.min("sequence").over(Window.partitionBy("trade_id")))
-
-    def belongs(x: Column) -> Column:
-        entry = F.col("is_entry") & (F.col("_word") == x["entry_word"]) & (F.col("sequence") > F.col("_first"))
-        return entry | (~F.col("is_entry") & F.array_contains(x["exit_words"], F.col("_word")))
-
-    hit = own.withColumn("_level", F.explode(F.filter(levels, belongs))).withColumn("level", F.col("_level.level"))
+    of = Window.partitionBy("trade_id")
+    tag = F.coalesce("tag", F.lit(""))
+    own = orders.withColumn("_head", F.split_part(tag, F.lit(" "), F.lit(1))).withColumn("_first", F.min("sequence").over(of))
+    levels = F.when(F.col("is_entry") & (F.col("sequence") == F.col("_first")), F.array().cast("array<int>")).otherwise(_levels(scheme, F.col("is_entry"), tag, F.col("_head")))
+    hit = own.withColumn("level", F.explode(levels))
     last = F.max(F.when(~F.col("is_entry"), F.col("sequence"))).over(Window.partitionBy("trade_id", "level"))
     marked = hit.withColumn("_last", last).withColumn("_open", F.col("is_entry") & (F.col("sequence") > F.coalesce("_last", F.lit(-1))))
     value = F.col("amount") * F.col("price")
@@ -180,7 +212,13 @@ def open_clusters(orders: DataFrame, scheme: str = "grind") -> DataFrame:
         F.count_if("_open").alias("entries"), F.coalesce(F.sum(keep(F.col("amount"))), F.lit(0.0)).alias("amount"), F.coalesce(F.sum(keep(value)), F.lit(0.0)).alias("cost"),
         F.sort_array(F.collect_list(keep(F.col("sequence"))), asc=False).alias("ids"), F.max_by("price", keep(F.col("sequence"))).alias("latest_price"), F.max_by("price", F.when(~F.col("is_entry"), F.col("sequence"))).alias("exit_price"),
     )
-    derisk = orders.where(~F.col("is_entry")).groupBy("trade_id").agg(F.bool_or(F.exists(F.split("tag", " "), lambda w: w.contains("derisk") | w.isin("d", "d1"))).alias("derisked"))
+    said = ~F.col("is_entry") & F.col("_head").isin(SCHEMES[scheme]["derisk"])
+    if scheme == "regular":
+        held = F.sum(F.when(F.col("is_entry"), F.col("amount")).otherwise(-F.col("amount"))).over(of.orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0))
+        first = F.min_by("amount", F.when(F.col("is_entry"), F.col("sequence"))).over(of)
+        own = own.withColumn("_held", held).withColumn("_amount", first)
+        said = said | (~F.col("is_entry") & (F.col("_held") < 0.95 * F.col("_amount")))
+    derisk = own.groupBy("trade_id").agg(F.bool_or(said).alias("derisked"))
     return out.where("entries > 0 or exit_price is not null").join(derisk, "trade_id", "left").withColumn("derisked", F.coalesce("derisked", F.lit(False)))
 
 

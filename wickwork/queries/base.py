@@ -27,7 +27,7 @@ CTES = {
     "sigs": "SELECT *, coalesce(lag(enter_long) OVER (PARTITION BY pair ORDER BY ts), 0) AS go FROM sig",
     "ctr": "SELECT pair || '@' || ts AS trade_id, pair, ts AS open_ts, open AS open_rate, ts + (6 + (ts // 3600000) % 24 % 5) * 3600000 AS close_ts, 10.0::DOUBLE AS amount, (ts // 3600000) % 24 % 3 = 0 AS is_short FROM sigs WHERE go = 1",
     "lines": "SELECT *, epoch_us(l_shipdate) // 1000 AS ship, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS sequence FROM lineitem",
-    "ords": "SELECT l_orderkey AS trade_id, sequence::INT AS sequence, (sequence = 0 OR l_returnflag <> 'R') AS is_entry, l_quantity AS amount, l_extendedprice / l_quantity AS price, l_extendedprice AS cost, ship AS ts, CASE WHEN sequence = 0 OR l_returnflag <> 'R' THEN 'grind_' || (l_linenumber % 5 + 1) || '_entry' ELSE 'grind_' || (l_linenumber % 5 + 1) || CASE WHEN l_linestatus = 'F' THEN '_exit' ELSE '_derisk' END || CASE WHEN l_linenumber % 5 = 4 THEN ' derisk_level_1' ELSE '' END END AS tag FROM lines",
+    "ords": "SELECT l_orderkey AS trade_id, sequence::INT AS sequence, (sequence = 0 OR l_returnflag <> 'R') AS is_entry, l_quantity AS amount, l_extendedprice / l_quantity AS price, l_extendedprice AS cost, ship AS ts, CASE WHEN sequence = 0 OR l_returnflag <> 'R' THEN 'grind_' || (l_linenumber % 5 + 1) || '_entry' ELSE CASE WHEN l_linenumber % 5 = 4 THEN 'derisk_level_1' ELSE 'grind_' || (l_linenumber % 5 + 1) || CASE WHEN l_linestatus = 'F' THEN '_exit' ELSE '_derisk' END END END AS tag FROM lines",
     "toe": "SELECT l_orderkey AS trade_id, sequence::INT AS sequence, true AS is_entry, l_quantity AS amount, l_extendedprice / l_quantity AS price, ship AS ts FROM lines",
     "tox": "SELECT trade_id, count(*)::INT AS sequence, false AS is_entry, sum(amount) AS amount, max_by(price, sequence) * 1.01::DOUBLE AS price, max(ts) + 86400000 AS ts FROM toe GROUP BY trade_id",
     "tord": "SELECT * FROM toe UNION ALL SELECT * FROM tox",
@@ -37,7 +37,7 @@ CTES = {
     "closed": "SELECT *, entry_value / leverage AS stake_amount, round(profit, 8) AS profit_abs, round(profit / paid * leverage, 8) AS profit_ratio FROM tval",
     "fund": "SELECT pair, ts, (close - open) / 1e4::DOUBLE AS rate, close AS mark FROM cf WHERE (ts // 3600000) % 24 % 8 = 0",
     "lck": "SELECT CASE WHEN pair = 'error' THEN '*' ELSE pair END AS pair, '*' AS side, ts AS lock_ts, ts + 43200000 AS lock_end, 'drop' AS reason FROM cf WHERE close < 0.2::DOUBLE * open",
-    "runs": "SELECT event_id AS arrival, event_type AS lane, user_id AS run_id, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS status, value AS wall_time_seconds, value * 1e6::DOUBLE AS peak_rss_bytes, event_type AS result_sha256, epoch_us(ts) // 1000 AS updated_at, list_value('load', 'vectorize', 'simulate', 'export', 'unknown')[event_id % 5 + 1] AS phase, (20 + event_id % 100)::INT AS pair_count, (1000 + event_id % 2000)::INT AS days FROM events",
+    "runs": "SELECT event_id AS arrival, event_type AS lane, user_id AS run_id, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS status, value AS wall_time_seconds, value * 1e6::DOUBLE AS peak_rss_bytes, event_type AS result_sha256, epoch_us(ts) // 1000 AS updated_at, list_value('indicators', 'callbacks', 'trade_scans', 'event_simulation', 'unknown')[event_id % 5 + 1] AS phase, (20 + event_id % 100)::INT AS pair_count, (1000 + event_id % 2000)::INT AS days FROM events",
 }
 
 

@@ -22,7 +22,7 @@ query("determinism_check", "SELECT lane, count(DISTINCT h) AS hashes, count(DIST
 query("scope_gate", "SELECT arrival, pair_count >= 80 AND days >= 1825 AS representative FROM runs")(lambda s, d: op.scope_gate(src.run_records(s, d)).select("arrival", "representative"))
 _GATE = "SELECT round(max(median_wall) FILTER (lane = 'click') / max(median_wall) FILTER (lane = 'view'), 6) AS speedup, max(max_peak) FILTER (lane = 'view') <= 1e9 AS memory_ok, true AS deterministic FROM stats"
 query("speedup_gate", "SELECT *, coalesce(speedup >= 10, false) AS fast_enough, coalesce(speedup >= 10, false) AND coalesce(memory_ok, false) AS passed FROM gate", stats=_STATS, gate=_GATE)(lambda s, d: op.speedup_gate(src.run_records(s, d), "click", "view", 1e9).withColumn("speedup", F.round("speedup", 6)))
-query("phase_profile", "SELECT v.phase, coalesce(n, 0) AS calls, coalesce(t, 0) AS total, coalesce(x, 0) AS longest, n IS NULL AS missing FROM (VALUES ('load'), ('vectorize'), ('simulate'), ('export')) v(phase) LEFT JOIN (SELECT phase, count(*) AS n, round(sum(round(wall_time_seconds, 6)::DECIMAL(20,6))::DOUBLE, 4) AS t, max(wall_time_seconds) AS x FROM runs WHERE phase <> 'export' GROUP BY phase) s ON v.phase = s.phase")(lambda s, d: op.phase_profile(src.run_records(s, d).where("phase <> 'export'")).withColumn("total", F.round("total", 4)))
+query("phase_profile", "SELECT v.phase, coalesce(n, 0) AS calls, coalesce(t, 0) AS total, coalesce(x, 0) AS longest, n IS NULL AS missing FROM (VALUES ('indicators'), ('callbacks'), ('trade_scans'), ('event_simulation')) v(phase) LEFT JOIN (SELECT phase, count(*) AS n, round(sum(round(wall_time_seconds, 6)::DECIMAL(20,6))::DOUBLE, 4) AS t, max(wall_time_seconds) AS x FROM runs WHERE phase <> 'event_simulation' GROUP BY phase) s ON v.phase = s.phase")(lambda s, d: op.phase_profile(src.run_records(s, d).where("phase <> 'event_simulation'")).withColumn("total", F.round("total", 4)))
 query("batch_efficiency", "SELECT round(j, 4) AS job_seconds, c AS all_complete, round(j / 1000, 6) AS parallelism, round(j / 1000 / 64, 6) AS efficiency FROM (SELECT sum(round(wall_time_seconds, 6)::DECIMAL(20,6))::DOUBLE AS j, bool_and(status = 'completed') AS c FROM runs)")(
     lambda s, d: op.batch_efficiency(src.run_records(s, d), 1000.0, 64).select(F.round("job_seconds", 4).alias("job_seconds"), "all_complete", F.round("parallelism", 6).alias("parallelism"), F.round("efficiency", 6).alias("efficiency"))
 )

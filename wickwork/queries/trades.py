@@ -34,30 +34,32 @@ query("order_reference_points", "SELECT trade_id, min_by(amount, sequence) FILTE
 query("fill_counts", "SELECT trade_id, count(*) FILTER (is_entry) AS entries, count(*) FILTER (NOT is_entry) AS exits FROM ords GROUP BY trade_id")(lambda s, d: op.fill_counts(src.tagged_orders(s, d)))
 query("cumulative_position", "SELECT trade_id, sequence, sum(CASE WHEN is_entry THEN amount ELSE -amount END) OVER (PARTITION BY trade_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS position FROM ords")(lambda s, d: op.cumulative_position(src.tagged_orders(s, d)).select("trade_id", "sequence", "position"))
 query("entries_since_exit", "SELECT trade_id, count(*) FILTER (is_entry AND sequence > coalesce(x, -1) AND sequence > f) AS entries_since_exit FROM (SELECT *, max(CASE WHEN NOT is_entry THEN sequence END) OVER (PARTITION BY trade_id) AS x, min(CASE WHEN is_entry THEN sequence END) OVER (PARTITION BY trade_id) AS f FROM ords) GROUP BY trade_id")(lambda s, d: op.entries_since_exit(src.tagged_orders(s, d)))
-query("is_derisked", "SELECT trade_id, coalesce(bool_or(NOT is_entry AND split_part(tag, ' ', 1) IN ('grind_2_derisk', 'grind_3_derisk')), false) OR sum(CASE WHEN is_entry THEN amount ELSE -amount END) < 0.95 * min_by(amount, sequence) FILTER (is_entry) AS is_derisked FROM ords GROUP BY trade_id")(lambda s, d: op.is_derisked(src.tagged_orders(s, d), ["grind_2_derisk", "grind_3_derisk"]))
-_CL = "SELECT ords.*, substr(tag, 7, 1)::INT AS level, max(CASE WHEN NOT is_entry THEN sequence END) OVER (PARTITION BY trade_id, substr(tag, 7, 1)) AS x FROM ords"
-_CLUSTERS = "SELECT trade_id, level, count(*) FILTER (k) AS entries, coalesce(sum(amount) FILTER (k), 0)::DOUBLE AS amount, round(coalesce(sum(amount * price) FILTER (k), 0)::DOUBLE, 6) AS cost, coalesce(string_agg(sequence, ' ' ORDER BY sequence DESC) FILTER (k), '') AS ids, max_by(price, sequence) FILTER (k) AS latest_price, max_by(price, sequence) FILTER (NOT is_entry) AS exit_price FROM (SELECT *, is_entry AND sequence > coalesce(x, -1) AND sequence > 0 AS k FROM cl) GROUP BY trade_id, level HAVING entries > 0 OR exit_price IS NOT NULL"
-query("open_cluster_state", "SELECT c.*, coalesce(x.derisked, false) AS derisked FROM clusters c LEFT JOIN (SELECT trade_id, bool_or(tag LIKE '%derisk%') AS derisked FROM ords WHERE NOT is_entry GROUP BY trade_id) x USING (trade_id)", cl=_CL, clusters=_CLUSTERS)(
-    lambda s, d: r6(op.open_clusters(src.tagged_orders(s, d)), "cost").withColumn("ids", F.concat_ws(" ", F.transform("ids", lambda x: x.cast("string"))))
+query("is_derisked", "SELECT trade_id, coalesce(bool_or(NOT is_entry AND tag = 'derisk_level_1'), false) OR sum(CASE WHEN is_entry THEN amount ELSE -amount END) < 0.95 * min_by(amount, sequence) FILTER (is_entry) AS is_derisked FROM ords GROUP BY trade_id")(lambda s, d: op.is_derisked(src.tagged_orders(s, d)))
+_CL = "SELECT tg.*, max(CASE WHEN NOT is_entry THEN sequence END) OVER (PARTITION BY trade_id, level) AS x FROM (SELECT *, substr(tag, 7, 1)::INT AS level FROM ords WHERE tag LIKE 'grind%' AND (sequence > 0 OR NOT is_entry)) tg"
+_CLUSTERS = "SELECT trade_id, level, count(*) FILTER (k) AS entries, coalesce(sum(amount) FILTER (k), 0)::DOUBLE AS amount, round(coalesce(sum(amount * price) FILTER (k), 0)::DOUBLE, 6) AS cost, coalesce(string_agg(sequence, ' ' ORDER BY sequence DESC) FILTER (k), '') AS ids, max_by(price, sequence) FILTER (k) AS latest_price, max_by(price, sequence) FILTER (NOT is_entry) AS exit_price FROM (SELECT *, is_entry AND sequence > coalesce(x, -1) AS k FROM cl) GROUP BY trade_id, level HAVING entries > 0 OR exit_price IS NOT NULL"
+_texts = lambda c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string"))).alias(c)
+query("open_cluster_state", "SELECT c.*, coalesce(d.derisked, false) AS derisked FROM clusters c LEFT JOIN (SELECT trade_id, bool_or(tag = 'derisk_level_1') AS derisked FROM ords WHERE NOT is_entry GROUP BY trade_id) d USING (trade_id)", cl=_CL, clusters=_CLUSTERS)(
+    lambda s, d: r6(op.open_clusters(src.tagged_orders(s, d)), "cost").withColumn("ids", _texts("ids"))
 )
 _RENAME = {"legacy": ("gd", "dd"), "regular": ("g", "sg")}
 
 
 def _renamed(s, d, scheme):
-    """The tagged orders with the words of another tag scheme."""
+    """The tagged orders with the words of another tag scheme: derisk orders carry d1, and some entries a word outside the scheme."""
     entry, out = _RENAME[scheme]
     level = F.substring("tag", 7, 1)
-    return src.tagged_orders(s, d).withColumn("tag", F.when(F.col("is_entry"), F.concat(F.lit(entry), level)).when(F.col("tag").contains("derisk_level"), "d1").otherwise(F.concat(F.lit(out), level)))
+    return src.tagged_orders(s, d).withColumn("tag", F.when(F.col("is_entry") & (F.col("sequence") % 5 == 3), "free").when(F.col("is_entry"), F.concat(F.lit(entry), level)).when(F.col("tag") == "derisk_level_1", "d1 7").otherwise(F.concat(F.lit(out), level)))
 
 
-def _scheme_sql(entry, out, levels):
-    cl = f"SELECT *, max(CASE WHEN NOT is_entry THEN sequence END) OVER (PARTITION BY trade_id, level) AS x FROM (SELECT tg.*, v.level FROM tg JOIN (SELECT unnest(range(1, {levels}))::INT AS level) v ON (is_entry AND sequence > 0 AND word = '{entry}' || v.level) OR (NOT is_entry AND word IN ('{entry}' || v.level, '{out}' || v.level, 'd1')))"
-    tg = f"SELECT *, CASE WHEN is_entry THEN '{entry}' || substr(tag, 7, 1) WHEN tag LIKE '%derisk_level%' THEN 'd1' ELSE '{out}' || substr(tag, 7, 1) END AS word FROM ords"
-    return {"tg": tg, "cl": cl, "clusters": _CLUSTERS}
-
-
-query("open_cluster_state_legacy", "SELECT trade_id, level, entries, amount, cost, ids FROM clusters", **_scheme_sql("gd", "dd", 7))(lambda s, d: r6(op.open_clusters(_renamed(s, d, "legacy"), "legacy"), "cost").select("trade_id", "level", "entries", "amount", "cost", F.concat_ws(" ", F.transform("ids", lambda x: x.cast("string"))).alias("ids")))
-query("open_cluster_state_regular", "SELECT trade_id, level, entries, amount, cost, ids FROM clusters UNION ALL SELECT trade_id, 0, 0, 0.0, 0.0, '' FROM tg WHERE word = 'd1' GROUP BY trade_id", **_scheme_sql("g", "sg", 7))(lambda s, d: r6(op.open_clusters(_renamed(s, d, "regular"), "regular"), "cost").select("trade_id", "level", "entries", "amount", "cost", F.concat_ws(" ", F.transform("ids", lambda x: x.cast("string"))).alias("ids")))
+_WORDS = "SELECT *, CASE WHEN is_entry AND sequence % 5 = 3 THEN 'free' WHEN is_entry THEN '{entry}' || substr(tag, 7, 1) WHEN tag = 'derisk_level_1' THEN 'd1' ELSE '{out}' || substr(tag, 7, 1) END AS word FROM ords"
+_LEVELLED = "SELECT *, max(CASE WHEN NOT is_entry THEN sequence END) OVER (PARTITION BY trade_id, level) AS x FROM (SELECT tg.*, unnest({levels})::INT AS level FROM tg WHERE sequence > 0 OR NOT is_entry)"
+_LEGACY = {"tg": _WORDS.format(entry="gd", out="dd"), "cl": _LEVELLED.format(levels="CASE WHEN word = 'free' THEN [1] WHEN word = 'd1' THEN [] ELSE [substr(word, 3, 1)::INT] END"), "clusters": _CLUSTERS}
+_REGULAR = {"tg": _WORDS.format(entry="g", out="sg"), "cl": _LEVELLED.format(levels="CASE WHEN word = 'free' THEN [0] WHEN word = 'd1' THEN [0, 1, 2, 3, 4, 5, 6] ELSE [right(word, 1)::INT] END"), "clusters": _CLUSTERS}
+_PICK = ("trade_id", "level", "entries", "amount", "cost")
+query("open_cluster_state_legacy", "SELECT trade_id, level, entries, amount, cost, ids, derisked FROM clusters JOIN (SELECT trade_id, bool_or(word = 'd1') AS derisked FROM tg GROUP BY trade_id) USING (trade_id)", **_LEGACY)(lambda s, d: r6(op.open_clusters(_renamed(s, d, "legacy"), "legacy"), "cost").select(*_PICK, _texts("ids"), "derisked"))
+query("open_cluster_state_regular", "SELECT trade_id, level, entries, amount, cost, ids, derisked FROM clusters JOIN (SELECT trade_id, bool_or(NOT is_entry AND (word = 'd1' OR held < 0.95 * first)) AS derisked FROM (SELECT *, sum(CASE WHEN is_entry THEN amount ELSE -amount END) OVER (PARTITION BY trade_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS held, first_value(amount) OVER (PARTITION BY trade_id ORDER BY sequence) AS first FROM tg) GROUP BY trade_id) USING (trade_id)", **_REGULAR)(
+    lambda s, d: r6(op.open_clusters(_renamed(s, d, "regular"), "regular"), "cost").select(*_PICK, _texts("ids"), "derisked")
+)
 query("cluster_profit", "SELECT trade_id, level, round(amount * 1500.0 * 0.999 - cost * 1.001, 6) AS profit_stake, round((1500.0 - cost / amount) / (cost / amount), 6) AS profit_rate, round((1500.0 - latest_price) / latest_price, 6) AS distance FROM clusters WHERE entries > 0", cl=_CL, clusters=_CLUSTERS)(
     lambda s, d: op.cluster_profit(op.open_clusters(src.tagged_orders(s, d)), F.lit(1500.0), 0.001).select("trade_id", "level", F.round("profit_stake", 6).alias("profit_stake"), F.round("profit_rate", 6).alias("profit_rate"), F.round("distance", 6).alias("distance"))
 )
@@ -113,20 +115,29 @@ query("liquidation_price", "SELECT trade_id, steady(greatest(raw + 0.05 * (open_
 query("rule_adjustment", "SELECT trade_id, CASE WHEN entries < 4 AND profit_ratio < 0 THEN round(first_cost * 0.5, 6) END AS added FROM closed")(lambda s, d: src.closed_trades(s, d).select("trade_id", F.round(eco.rule_adjustment(_c("entries"), 4, _c("profit_ratio"), 0.0, _c("first_cost"), 0.5), 6).alias("added")))
 query("derisk_ladder", "SELECT trade_id, CASE WHEN leverage <> 1 AND profit_ratio < 0 THEN 1 WHEN leverage <> 2 AND profit_ratio < -0.1 THEN 2 WHEN profit_ratio < -0.3 THEN 3 END AS level FROM closed")(lambda s, d: src.closed_trades(s, d).select("trade_id", eco.derisk_level(_c("profit_ratio"), F.array("leverage"), [0.0, -0.1, -0.3]).alias("level")))
 query("threshold_stop", "SELECT trade_id, profit_abs < -(first_cost * 0.3 / leverage) AS stopped FROM closed")(lambda s, d: src.closed_trades(s, d).select("trade_id", eco.threshold_stop(_c("profit_abs"), _c("first_cost"), 0.3, _c("leverage")).alias("stopped")))
-query("indicator_stop", "SELECT pair, ts, coalesce(close / open - 1 < -0.1 AND close < (open + high) / 2 AND high > 24 AND high > lag(high) OVER (PARTITION BY pair ORDER BY ts) AND low - close < 0, false) AS stopped FROM cf")(
-    lambda s, d: src.full_candles(s, d).select("pair", "ts", F.coalesce(eco.indicator_stop(_c("close") / _c("open") - 1, -0.1, _c("close"), (_c("open") + _c("high")) / 2, _c("high"), F.lag("high").over(op.Window.partitionBy("pair").orderBy("ts")), _c("low") - _c("close")), F.lit(False)).alias("stopped"))
+query("indicator_stop", "SELECT pair, ts, coalesce(close / open - 1 < -0.1 AND close < high AND (high - close) / close < 0.010 AND low - close < 0 AND high > lag(high) OVER (PARTITION BY pair ORDER BY ts) AND high > low + 24, false) AS stopped FROM cf")(
+    lambda s, d: src.full_candles(s, d).select("pair", "ts", F.coalesce(eco.indicator_stop(_c("close") / _c("open") - 1, F.lit(1.0), 0.1, _c("close"), _c("high"), _c("high"), F.lag("high").over(op.Window.partitionBy("pair").orderBy("ts")), _c("low"), _c("low") - _c("close")), F.lit(False)).alias("stopped"))
 )
 query("profit_bucket", "SELECT trade_id, CASE WHEN profit_ratio < 0.001 THEN NULL WHEN profit_ratio >= 0.12 THEN 12 ELSE (SELECT max(x)::INT FROM range(12) r(x) WHERE profit_ratio >= x / 100::DOUBLE) END AS bucket FROM closed")(lambda s, d: src.closed_trades(s, d).select("trade_id", eco.profit_bucket(_c("profit_ratio")).alias("bucket")))
 query("exit_reason", "SELECT trade_id, 'exit_' || CASE WHEN is_short THEN 'short' ELSE 'long' END || '_' || exit_reason || '_' || leverage || ' ( ' || entry_tag || ')' AS reason FROM closed")(lambda s, d: src.closed_trades(s, d).select("trade_id", eco.exit_reason(F.when(_c("is_short"), "short").otherwise("long"), _c("exit_reason"), _c("leverage"), _c("entry_tag")).alias("reason")))
-query("rebuy_filter", "SELECT pair, ts, low < 30 AND close < open AS long_ok, low > 70 AND close > open AS short_ok FROM cf")(lambda s, d: src.full_candles(s, d).select("pair", "ts", *[eco.rebuy_allowed(F.lit(short), _c("low"), _c("close") / _c("open")).alias(n) for short, n in ((False, "long_ok"), (True, "short_ok"))]))
+query("rebuy_filter", "SELECT pair, ts, volume > 0 AND low < 30 AND open < 30 AND high > 10 AND close > 10 AND close < high * 0.988 AS long_ok, volume > 0 AND low < 30 AND open < 30 AND high < 90 AND close < 90 AND close < high * 1.012 AS short_ok FROM cf")(
+    lambda s, d: src.full_candles(s, d).select("pair", "ts", *[eco.rebuy_allowed(F.lit(short), _c("volume") > 0, _c("high"), _c("close"), _c("low"), _c("open"), _c("close"), _c("high")).alias(n) for short, n in ((False, "long_ok"), (True, "short_ok"))])
+)
 query("duration_and_weekday", "SELECT trade_id, (close_ts - open_ts) // 60000 AS minutes, (isodow(make_timestamp(open_ts * 1000)) - 1)::INT AS weekday FROM closed")(lambda s, d: src.closed_trades(s, d).select("trade_id", duration_minutes(_c("open_ts"), _c("close_ts")).alias("minutes"), weekday(_c("open_ts")).alias("weekday")))
 query("base_currency", "SELECT trade_id, split_part(pair || '/USDT', '/', 1) AS base, CASE WHEN is_short THEN -amount ELSE amount END AS balance FROM closed")(lambda s, d: src.closed_trades(s, d).select("trade_id", eco.base_currency(F.concat("pair", F.lit("/USDT"))).alias("base"), F.when(_c("is_short"), -_c("amount")).otherwise(_c("amount")).alias("balance")))
 query("price_distance", "SELECT trade_id, sequence, CASE WHEN lag(price) OVER w > 0 THEN round((price - lag(price) OVER w) / lag(price) OVER w, 6) END AS distance FROM ords WINDOW w AS (PARTITION BY trade_id ORDER BY sequence)")(lambda s, d: src.tagged_orders(s, d).withColumn("p", F.lag("price").over(op.Window.partitionBy("trade_id").orderBy("sequence"))).select("trade_id", "sequence", F.round(eco.price_distance(_c("price"), _c("p")), 6).alias("distance")))
 query("partial_exit_amount", "SELECT trade_id, CASE WHEN q < stake_amount AND x > 0 AND x < amount THEN x END AS amount FROM (SELECT *, 30000.0 AS q, round(floor(round(30000.0 * amount / stake_amount / 0.1, 9)) * 0.1, 12) AS x FROM closed)")(lambda s, d: src.closed_trades(s, d).select("trade_id", eco.partial_exit_amount(F.lit(30000.0), _c("amount"), _c("stake_amount"), F.lit(0.1)).alias("amount")))
-query("partial_exit_request", "SELECT trade_id, CASE WHEN x > 20000 AND stake_amount - x > 20000 THEN round(x, 6) END AS request FROM (SELECT *, least(50000.0, stake_amount - 20000 * 1.55) AS x FROM closed)")(lambda s, d: src.closed_trades(s, d).select("trade_id", F.round(eco.partial_exit_request(F.lit(50000.0), _c("stake_amount"), F.lit(20000.0)), 6).alias("request")))
+query("partial_exit_request", "SELECT trade_id, CASE WHEN x > 20000 AND v > 20000 THEN steady(v / 100) END AS request FROM (SELECT *, x * leverage * (stake_amount / amount) / open_rate AS v FROM (SELECT *, CASE WHEN entry_value / leverage - 50000.0 < 20000.0 * 1.55 THEN amount * open_rate / leverage - 20000.0 * 1.55 ELSE 50000.0 END AS x FROM closed))")(
+    lambda s, d: src.closed_trades(s, d).select("trade_id", steady(eco.partial_exit_request(F.lit(50000.0), _c("entry_value"), F.lit(20000.0), _c("amount"), _c("stake_amount"), _c("leverage"), _c("open_rate")) / 100).alias("request"))
+)
 query("scale_stakes", "SELECT trade_id, round(first_cost * 0.2 * kk, 6) AS first, round(first_cost * 0.4 * kk, 6) AS second FROM (SELECT *, greatest(1.0, 10000.0 / (first_cost * 0.2)) AS kk FROM closed)")(lambda s, d: src.closed_trades(s, d).withColumn("l", eco.scale_stakes(F.array(_c("first_cost") * 0.2, _c("first_cost") * 0.4), F.lit(10000.0))).select("trade_id", F.round(_c("l")[0], 6).alias("first"), F.round(_c("l")[1], 6).alias("second")))
-query("ladder_rules", "SELECT pair, ts, close / open - 1 < CASE WHEN volume > 1 THEN -0.1 ELSE -0.02 END AND low < 50 AS enter, close / open - 1 > 0.05 AND low > 50 AS leave FROM cf WHERE volume > 0")(
-    lambda s, d: src.full_candles(s, d).where("volume > 0").withColumn("p", _c("close") / _c("open") - 1).select("pair", "ts", eco.ladder_entry(F.when(_c("volume") > 1, 2).otherwise(1), _c("p"), _c("low"), [-0.02, -0.1]).alias("enter"), eco.ladder_exit(_c("p"), 0.05, _c("low")).alias("leave"))
+_LADDER = {"rsi_3": "high", "rsi_3_15m": "high", "rsi_14": "low", "aroon_up": "low", "close": "close", "ema_20": "open", "willr": "low", "stoch": "high", "band": "open", "rsi_3_1h": "low", "rsi_3_4h": "low", "roc_1d": "volume", "btc_rsi_4h": "low"}
+_FOUR = "p < -0.04 AND high > 5 AND high > 10 AND low < 35 AND close < open * 0.985 OR p < -0.06 AND volume = 1 AND low < 30 AND close < open * 0.980"
+_HIGH = "high > 99 OR low > 70 OR low > -0.1 OR high > 95 OR close > open * 1.01 OR high > 90 AND low < 50 OR high > 80 AND low < 20 AND low < 20 AND volume > -10 AND low < 35"
+query("ladder_rules", f"SELECT pair, ts, CASE WHEN lv <= 3 THEN sg WHEN lv = 4 THEN sg OR {_FOUR} ELSE sg OR volume > 1 AND p < -0.06 AND high > 20 AND low < 50 END AS enter, p >= 0.02 + 0.002 AND ({_HIGH}) AS leave FROM (SELECT *, close / open - 1 AS p, (ts // 3600000) % 5 + 1 AS lv, high > 2 * low AND close > open AS sg FROM cf WHERE volume > 0)")(
+    lambda s, d: (lambda c, x: c.select("pair", "ts", eco.ladder_entry(_c("lv"), (_c("high") > 2 * _c("low")) & (_c("close") > _c("open")), _c("p"), _c("volume") > 1, _c("volume") == 1, x).alias("enter"), eco.ladder_exit(_c("p"), 0.02, 0.002, x).alias("leave")))(
+        src.full_candles(s, d).where("volume > 0").withColumn("p", _c("close") / _c("open") - 1).withColumn("lv", F.floor(_c("ts") / 3_600_000) % 5 + 1), {k: _c(v) for k, v in _LADDER.items()}
+    )
 )
 query("tag_with_ids", "SELECT trade_id, 'g ' || string_agg(sequence, ' ' ORDER BY sequence DESC) AS tag FROM ords GROUP BY trade_id")(lambda s, d: src.tagged_orders(s, d).groupBy("trade_id").agg(F.collect_list("sequence").alias("i")).select("trade_id", eco.tag_with_ids("g", _c("i")).alias("tag")))
 query("order_side", "SELECT trade_id, sequence, CASE WHEN (trade_id % 4 = 0) <> is_entry THEN 'buy' ELSE 'sell' END AS side FROM ords")(lambda s, d: src.tagged_orders(s, d).select("trade_id", "sequence", eco.order_side(_c("trade_id") % 4 == 0, _c("is_entry")).alias("side")))

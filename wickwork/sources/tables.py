@@ -71,7 +71,7 @@ def tagged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = (F.col("sequence") == 0) | (F.col("l_returnflag") != "R")
     level = F.col("l_linenumber") % 5 + 1
     leave = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("grind_"), level, F.lit("_exit"))).otherwise(F.concat(F.lit("grind_"), level, F.lit("_derisk")))
-    leave = F.when(level == 5, F.concat(leave, F.lit(" derisk_level_1"))).otherwise(leave)
+    leave = F.when(level == 5, "derisk_level_1").otherwise(leave)
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return li.select(F.col("l_orderkey").alias("trade_id"), "sequence", entry.alias("is_entry"), F.col("l_quantity").alias("amount"), price.alias("price"), F.col("l_extendedprice").alias("cost"), F.col("ship").alias("ts"), F.when(entry, F.concat(F.lit("grind_"), level, F.lit("_entry"))).otherwise(leave).alias("tag"))
 
@@ -125,7 +125,7 @@ def candle_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as run records."""
     ev = table(spark, sf_dir, "events")
-    phases = ["load", "vectorize", "simulate", "export", "unknown"]
+    phases = ["indicators", "callbacks", "trade_scans", "event_simulation", "unknown"]
     phase = F.element_at(F.array(*map(F.lit, phases)), (F.col("event_id") % 5 + 1).cast("int"))
     return ev.select(
         F.col("event_id").alias("arrival"), F.col("event_type").alias("lane"), F.col("user_id").alias("run_id"), F.when(F.col("event_id") % 11 == 0, "failed").otherwise("completed").alias("status"), F.col("value").alias("wall_time_seconds"), (F.col("value") * 1e6).alias("peak_rss_bytes"),
