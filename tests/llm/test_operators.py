@@ -189,6 +189,22 @@ def test_a_chain_and_a_shared_passage(spark, tmp_path):
     assert sorted(got[1]) == [1, 2, 3] and all(got[10 + k] == [10 + k] for k in range(60))
 
 
+def test_a_star_whose_hub_comes_last_is_one_class(spark, tmp_path):
+    """Variants are similar to the hub alone, and the hub has the largest id and row, so it heads no bucket."""
+    rng = random.Random(5)
+    hub = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(300):
+        at = set(rng.sample(range(4), 2)) | {4 + x for x in rng.sample(range(96), 12)}
+        rows.append((k, " ".join(f"v{k}x{i}" if i in at else w for i, w in enumerate(hub))))
+    rows.append((1000, " ".join(hub)))
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got, words = near_dedup.near_duplicates(spark.read.parquet(path))[0].collect(), {i: near_dedup.word_hashes(x) for i, x in rows}
+    meets = {i for i, w in words.items() if (near_dedup.sketch(w) == near_dedup.sketch(words[1000])).any()}
+    assert len(meets) > 50 and {r["class_id"] for r in got if r["doc_id"] in meets} == {min(meets)}
+
+
 def test_large_ids_beside_nulls_stay_exact(spark, tmp_path):
     big, path = 2**62 + 1, str(tmp_path / "t")
     spark.createDataFrame([(big, BASE), (big + 1, BASE), (None, BASE)], "doc_id long, text string").coalesce(1).write.parquet(path)
