@@ -608,6 +608,18 @@ def test_cutoffs_hold_the_risk(spark):
     assert all(r["kept"] == (not r["base_failed"]) for r in quality.judge(table.drop("quality").limit(50), none).collect())
 
 
+def test_strata_without_a_test_of_their_own_have_no_cutoff(spark):
+    """A small language and an unlabelled one, whose words are long, beside many labels of short words."""
+    words = lambda k, n: " ".join(f"{'x' * n}{k}y{i}" for i in range(12))
+    rows = [(k, words(k, 2), "en") for k in range(9000)] + [(10_000 + k, words(k, 70), "zh" if k < 1 else "th") for k in range(40)] + [(20_000, words(0, 70), None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = table.where("lang <> 'th'").select("doc_id", F.lit(1).alias("quality"))
+    # labels of many other languages, each too few for a test, share one pool in no case
+    more = spark.createDataFrame([(30_000 + k, words(k, 2), f"l{k % 40}") for k in range(4000)], "doc_id long, text string, lang string")
+    judged = quality.judge(table.union(more), labels.union(more.select("doc_id", F.lit(1)))).where("doc_id >= 10000").collect()
+    assert len(judged) == 4041 and all(r["kept"] for r in judged)
+
+
 # 9 packing
 
 

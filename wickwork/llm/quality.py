@@ -25,8 +25,8 @@ from wickwork.llm.common import drop_stored, stored
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Permitted rate of false rejections, error probability, strata with cutoffs of their own.
-ALPHA, DELTA, STRATA = 0.01, 0.05, 32
+#: Permitted rate of false rejections, error probability.
+ALPHA, DELTA = 0.01, 0.05
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
 
 
@@ -95,49 +95,55 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
-def stratum(column: str, kept: list[str]) -> Column:
-    """A stratum's name: the value if it has cutoffs of its own, else `*`."""
-    return F.when(F.col(column).isin(kept), F.col(column)).otherwise(F.lit("*")) if kept else F.lit("*")
+def stratum(column: str) -> Column:
+    """A stratum's name, never null: `=` and the value, or `null`."""
+    return F.when(F.col(column).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, by: str = "lang", alpha: float = ALPHA, delta: float = DELTA, strata: int = STRATA) -> tuple[list[str], list[tuple[str, str, float]]]:
-    """Strata with cutoffs of their own, and (stratum, rule, cutoff) for each rule that may be used there.
+def testable(sizes: dict[str, int], rules: int, alpha: float, delta: float) -> list[str]:
+    """The largest strata, as many as leave each large enough for a test to succeed when the error probability is shared by all of them."""
+    ranked = sorted(sizes, key=lambda name: (-sizes[name], name))
+    enough = [m for m, name in enumerate(ranked, 1) if sizes[name] >= math.log(delta / (rules * m)) / math.log1p(-alpha / rules)]
+    return ranked[: max(enough, default=0)]
+
+
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, by: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[str, str, float]]:
+    """(stratum, rule, cutoff) for each rule that may be used there.
 
     All labelled documents take part: labels has doc_id and quality (1: good); a doc_id is good if its largest
     quality is 1, null labels are ignored. Good documents that fail the base rules or lack a measure do not count, as no cutoff decides
-    on them. Values of `by` with enough of them for a test to succeed have cutoffs of their own, the `strata` most frequent at most; the others share `*`.
+    on them. Each value of `by`, null included, is a stratum tested on its own labels; one with too few of them for a test to succeed gets no cutoff.
     What reaches the driver is one count for each stratum, rule and grid step.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     seen = measured.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
     rules = _rules()
-    least = math.log(delta / (len(rules) * (strata + 1))) / math.log1p(-alpha / len(rules))
-    sizes = seen.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), by).limit(strata)
-    kept = [r[0] for r in sizes.collect()]
     steps = [F.struct(F.lit(name).alias("rule"), sum([(m > g).cast("int") for g in grid], F.lit(0)).alias("step")) for name, (m, grid) in rules.items()]
-    counts = seen.select(stratum(by, kept).alias("stratum"), F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.count("*").alias("n")).collect()
+    counts = seen.select(stratum(by).alias("stratum"), F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.count("*").alias("n")).collect()
     table: dict[tuple[str, str], Counter] = {}
     for r in counts:
         table.setdefault((r["stratum"], r["rule"]), Counter())[r["step"]] += r["n"]
+    tested = testable({name: sum(c.values()) for (name, _), c in table.items()}, len(rules), alpha, delta)
     cutoffs = []
-    for (name, rule), c in sorted(table.items()):
-        grid, n, best = rules[rule][1], sum(c.values()), None
+    for name, rule in [(t, r) for t in sorted(tested) for r in sorted(rules)]:
+        c, grid, best = table[name, rule], rules[rule][1], None
         for i, cut in enumerate(grid):
             rejected = sum(v for step, v in c.items() if step >= len(grid) - i)  # step: how many cutoffs the measure is above
-            if binomial_tail(rejected, n, alpha / len(rules)) > delta / len(table):
+            if binomial_tail(rejected, sum(c.values()), alpha / len(rules)) > delta / (len(rules) * len(tested)):
                 break
             best = cut
         if best is not None:
             cutoffs.append((name, rule, best))
-    return kept, cutoffs
+    return cutoffs
 
 
-def apply_rules(measured: DataFrame, kept: list[str], cutoffs: list[tuple[str, str, float]], by: str = "lang") -> DataFrame:
+def apply_rules(measured: DataFrame, cutoffs: list[tuple[str, str, float]], by: str = "lang") -> DataFrame:
     """Adds kept (boolean). A stratum without a tested cutoff is judged by the base rules alone."""
-    rules, name = _rules(), stratum(by, kept)
     fails = F.col("base_failed")
-    for value, rule, cut in cutoffs:
-        fails = fails | ((name == value) & (rules[rule][0] > cut))
+    for rule, (measure_of, _) in _rules().items():
+        found = [F.lit(x) for name, r, cut in cutoffs if r == rule for x in (name, cut)]
+        if found:
+            fails = fails | F.coalesce(measure_of > F.element_at(F.create_map(*found), stratum(by)), F.lit(False))
     return measured.withColumn("kept", ~fails)
 
 
@@ -151,8 +157,8 @@ def judge(docs: DataFrame, labels: DataFrame, by: str = "lang", keep_text: bool
     measures = [x.split()[0] for x in MEASURES.split(", ")]
     measured = with_measures(docs)
     light = stored(measured.drop("text") if not keep_text else measured.select("doc_id", by, *measures, "base_failed"), "measures")
-    kept, cutoffs = fit_cutoffs(light, labels, by)
+    cutoffs = fit_cutoffs(light, labels, by)
     if keep_text:
         drop_stored(light)
-        return apply_rules(measured, kept, cutoffs, by)
-    return apply_rules(light, kept, cutoffs, by)
+        return apply_rules(measured, cutoffs, by)
+    return apply_rules(light, cutoffs, by)
