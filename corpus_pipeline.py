@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickwork.llm import langid, mixing, near_dedup, packing, quality
 from wickwork.llm.common import scratch_path
+from wickwork.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,7 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length bucket, batch and place of each document of the mix."""
-    return packing.pack(docs.select("doc_id", mixing.word_count("text").alias("n_words")), "n_words")
+    return packing.pack_tokens(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [("language", language_stage), ("quality", quality_stage), ("near_dedup", dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

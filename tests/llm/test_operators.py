@@ -653,6 +653,18 @@ def test_packing(spark, docs, none, real):
     assert packing.pack(none.withColumn("n", F.lit(1)), "n").count() == 0
 
 
+def test_batches_keep_their_budget_in_tokens(spark, tmp_path):
+    from wickwork.llm import queries
+
+    texts = {k: "".join(chr(0x4E00 + (k * 37 + i * 11) % 5000) for i in range(300)) for k in range(120)}
+    spark.createDataFrame([*texts.items(), (500, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens, batches = tokenizer(), {}
+    for r in queries.op9_packing(spark, str(tmp_path)).collect():
+        batches.setdefault((r["bucket"], r["batch"]), []).append(tokens(texts.get(r["doc_id"], "")))
+    assert sum(map(len, batches.values())) == 121
+    assert all(len(b) == 1 or sum(b) <= packing.BATCH_TOKENS for b in batches.values())
+
+
 def test_bins_are_tops(spark):
     lengths = [0, 1, 5, 1024, 1025, 1026, 5000, 123457, 10**9 + 7]
     got = spark.createDataFrame([(x,) for x in lengths], "n long").select("n", packing.bin_top(F.col("n")).alias("top")).collect()

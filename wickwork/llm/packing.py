@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.common import chunk_bits, running, stored, with_chunk
+from wickwork.llm.token_counts import prefix_tokens
 
 BUCKETS, BATCH_TOKENS = 16, 16_384
 #: Lengths up to this are histogram bins of their own; longer ones share bins of 1/256 of their power of two.
@@ -71,3 +72,9 @@ def pack(docs: DataFrame, length: str, buckets: int = BUCKETS, batch_tokens: int
     per = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.greatest(F.col("bucket"), F.lit(1)))).cast("long")
     placed = numbered.withColumn("batch", F.floor((F.col("_k") - 1) / per).cast("long")).withColumn("place", ((F.col("_k") - 1) % per).cast("int"))
     return placed.withColumn("padding", F.col("bucket") - F.col("_n")).select(*[c for c in base.columns if c not in ("_n", "_mix")], "bucket", "batch", "place", "padding")
+
+
+def pack_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """pack() by the tokens of each whole text: doc_id, n_tokens and the columns that pack() adds. A null text has no tokens."""
+    counted = prefix_tokens(docs.select("doc_id", "text"), tokenizer, keep_table=False)
+    return pack(counted.select("doc_id", "n_tokens"), "n_tokens")

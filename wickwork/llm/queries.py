@@ -59,8 +59,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", mixing.word_count("text").alias("n_words"))
-    return packing.pack(docs, "n_words")
+    return packing.pack_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
