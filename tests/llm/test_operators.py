@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wickwork.llm import components, langid, licenses, media, mixing, near_dedup, packing, quality, sharding, token_counts, warc, webp
+from wickwork.llm import common, components, langid, licenses, media, mixing, near_dedup, packing, quality, sharding, token_counts, warc, webp
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BASE = "The quick brown fox jumps over the lazy dog and then runs far away from the noisy town into the dark green forest where nobody ever finds it again today"
@@ -201,10 +201,76 @@ def test_a_star_whose_hub_comes_last_is_one_class(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
     got, words = near_dedup.near_duplicates(spark.read.parquet(path))[0].collect(), {i: near_dedup.word_hashes(x) for i, x in rows}
-    meets = {i for i, w in words.items() if (near_dedup.sketch(w) == near_dedup.sketch(words[1000])).any()}
+    meets = {i for i, w in words.items() if (near_dedup.sketch(near_dedup.kmers(w)) == near_dedup.sketch(near_dedup.kmers(words[1000]))).any()}
     assert len(meets) > 50 and {r["class_id"] for r in got if r["doc_id"] in meets} == {min(meets)}
 
 
+def test_near_copies_among_texts_that_share_a_passage(spark, tmp_path):
+    """Half of every text is one passage, so its k-mers fill crowded groups; 60 of 300 texts have a near copy beside it."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    passage = rng.choices(vocabulary, k=100)
+    rows = []
+    for k in range(300):
+        own = rng.choices(vocabulary, k=100)
+        rows.append((k, own[:50] + passage + own[50:]))
+        if k < 60:
+            copy = list(rows[-1][1])
+            for at in rng.sample([*range(50), *range(150, 200)], 12):
+                copy[at] = rng.choice(vocabulary)
+            rows.append((1000 + k, copy))
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string").write.parquet(path)
+    found = classes(near_dedup.near_duplicates(spark.read.parquet(path))[0].collect())
+    caught = sum(sorted(found[k]) == [k, 1000 + k] for k in range(60))
+    assert caught >= 57 and all(len(found[k]) == 1 for k in range(60, 300))
+
+
+def test_similar_short_texts_always_have_a_value_in_common():
+    """Every two short texts that are similar meet, whatever was edited."""
+    rng = random.Random(9)
+    met = 0
+    for _ in range(3000):
+        a = [rng.randrange(1 << 60) for _ in range(rng.randint(4, 30))]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 5))):
+            kind, at = rng.randrange(3), rng.randrange(len(b))
+            b[at : at + (kind < 2)] = [rng.randrange(1 << 60)] * (kind > 0)
+        longest = max(len(a), len(b))
+        if a != b and len(b) <= 30 and edit_distance(a, b) <= int(0.2 * longest + 1e-9):
+            met += 1
+            assert set(near_dedup.short_values(a)) & set(near_dedup.short_values(b))
+    assert met > 1000
+
+
+def test_rows_keep_their_numbers_when_the_cluster_changes(spark, tmp_path):
+    """Scans with different splits, as after a lost executor, give the same row numbers and the same classes and mix."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(k, f"text number {k % 40} " * 30, "s") for k in range(400)], "doc_id long, text string, source string").repartition(3).write.parquet(path)
+    seen = []
+    for cores in ("2", "16"):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        docs = spark.read.parquet(path)
+        seen.append((sorted(map(tuple, common.with_row_id(docs.select("doc_id")).collect())), sorted(r[0] for r in near_dedup.one_of_each(docs).select("doc_id").collect())))
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert seen[0] == seen[1] and len(seen[0][1]) == 40
+    rows = docs.withColumn("size", F.lit(90).cast("long"))
+    numbered = common.with_row_id(rows)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+    first = {r[0] for r in numbered.select("_rid").collect()}
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+    assert first == {r[0] for r in numbered.select("_rid").collect()}
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, BASE, "mine", 5, "n"), (2, BASE, "yours", 6, "w")], "doc_id long, text string, rid string, n_words long, words string").coalesce(1).write.parquet(path)
+    assert [tuple(r) for r in near_dedup.one_of_each(spark.read.parquet(path)).collect()] == [(1, BASE, "mine", 5, "n")]
+    ids = spark.createDataFrame([("b", BASE), ("a", BASE + " now")], "doc_id string, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(ids)[0].collect()} == {("a", "a"), ("b", "a")}
+
+
 def test_large_ids_beside_nulls_stay_exact(spark, tmp_path):
     big, path = 2**62 + 1, str(tmp_path / "t")
     spark.createDataFrame([(big, BASE), (big + 1, BASE), (None, BASE)], "doc_id long, text string").coalesce(1).write.parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", "")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    if not named:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
@@ -45,6 +46,30 @@ def drop_stored(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Plan nodes that hand on a stored row at most once.
+ROW_BY_ROW = ("Project", "Filter", "SubqueryAlias")
+#: File names that are broadcast at most to number rows.
+BROADCAST_FILES = 100_000
+
+
+def with_row_id(df: DataFrame, out: str = "_rid") -> DataFrame:
+    """Adds a long that numbers rows by file and place in the file: the same at every scan, however the files are split or the cluster changes.
+
+    A table that is not one scan of files, column selections and filters is stored first. out is replaced; other names that start with _ are reserved.
+    """
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ROW_BY_ROW:
+        node = node.children().head()
+    df = df.drop(out)
+    if not node.nodeName().startswith("LogicalRelation"):
+        return stored(df.withColumn(out, F.monotonically_increasing_id()), "numbered")
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    names = placed.select("_file").distinct()
+    files = names.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_no"))
+    small = F.broadcast(files) if names.count() <= BROADCAST_FILES else files
+    return placed.join(small, "_file").select(*df.columns, (F.shiftleft("_no", 40) + F.col("_row")).alias(out))
+
+
 def unit(*parts) -> Column:
     """A reproducible number in [0, 1) from the given columns."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
