@@ -29,10 +29,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is stored: texts and their words are long.
+BATCH_ROWS = 1_000
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again: later plans start from files that outlive executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    path, conf, name = scratch_path(df.sparkSession, label), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
