@@ -731,10 +731,19 @@ def test_batches_keep_their_budget_in_tokens(spark, tmp_path):
     assert all(len(b) == 1 or sum(b) <= packing.BATCH_TOKENS for b in batches.values())
 
 
-def test_bins_are_tops(spark):
-    lengths = [0, 1, 5, 1024, 1025, 1026, 5000, 123457, 10**9 + 7]
-    got = spark.createDataFrame([(x,) for x in lengths], "n long").select("n", packing.bin_top(F.col("n")).alias("top")).collect()
-    assert all(r["top"] >= r["n"] and r["top"] - r["n"] <= r["n"] / 128 for r in got) and all(r["top"] == r["n"] for r in got if r["n"] <= 1024)
+def test_boundaries_of_many_lengths_match_the_plain_recurrence():
+    """Lengths up to 20,000: the divided search gives the padding of the recurrence that tries every cut."""
+    rng = np.random.default_rng(3)
+    tops = np.sort(rng.choice(np.arange(1, 20_001), 1500, replace=False))
+    counts = rng.integers(1, 50, len(tops))
+    c, s = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * tops)])
+    best = np.full(len(tops) + 1, np.iinfo(np.int64).max // 4)
+    best[0] = 0
+    for _ in range(7):
+        best = np.array([best[0], *[min(best[j], (best[:j] + tops[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])).min()) for j in range(1, len(tops) + 1)]])
+    ends = packing.best_boundaries(tops.tolist(), counts.tolist(), (counts * tops).tolist(), 7)
+    padding = sum(int(n) * (min(e for e in ends if e >= t) - int(t)) for t, n in zip(tops, counts))
+    assert len(ends) <= 7 and ends[-1] == tops[-1] and padding == best[-1]
 
 
 # 10 language identification
@@ -793,3 +802,99 @@ def test_words_are_scored_alike_alone_and_together():
     alone = np.concatenate([model.word_bits([w]) for w in ("eins", "zwei", "xyz")])
     assert np.allclose(together, alone, atol=1e-4)
     assert isinstance(counts, pd.DataFrame)
+
+
+def test_numerals_are_no_letters(spark):
+    assert langid.words_of("½ ² Ⅷ") == [] and langid.words_of("Ab½c d2e Ⅷx") == ["ab", "c", "d", "e", "x"]
+    docs = spark.createDataFrame([(k, f"plain words of a text number {chr(97 + k % 20)}", "en") for k in range(40)], "doc_id long, text string, lang string")
+    found = langid.identify(spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "words of a text")], "doc_id long, text string"), langid.train(docs)).collect()
+    assert [(r["lang_pred"], r["score"] == 0) for r in sorted(found)] == [("und", True), ("en", False)]
+
+
+def test_probabilities_match_plain_kneser_ney():
+    """Word bits against a recursion over strings."""
+    from functools import cache
+
+    texts = {"a": "the cat sat on the mat and the rat ran at that", "b": "der hund und die katze sind im haus und der garten"}
+    counts = pd.concat([langid._ngrams(lang, Counter(langid.words_of(x))) for lang, x in texts.items()])
+    counts = counts.groupby(["lang", "n", "gram"], as_index=False).agg({"context": "first", "suffix": "first", "seen": "sum"})
+    for c in ("gram", "context", "suffix"):
+        counts[c] = counts[c].to_numpy().view(np.uint64)
+    model = langid.fit(counts)
+    for lang, text in texts.items():
+        grams = {n: Counter() for n in range(1, langid.ORDER + 1)}
+        for w in langid.words_of(text):
+            run = f" {w} "
+            for end in range(1, len(run)):
+                for n in range(1, min(langid.ORDER, end + 1) + 1):
+                    grams[n][run[end - n + 1 : end + 1]] += 1
+        weigh = {n: {g: (k if n == langid.ORDER else max(1, sum(x.endswith(g) for x in grams[n + 1]))) for g, k in bag.items()} for n, bag in grams.items()}
+
+        @cache
+        def chance(gram):
+            n = len(gram)
+            if n == 0:
+                return 1 / langid.UNSEEN_CHARS
+            beside = [k for g, k in weigh[n].items() if g[:-1] == gram[:-1]]
+            if not beside:
+                return chance(gram[1:])
+            total = sum(beside)
+            return max(weigh[n].get(gram, 0) - langid.DISCOUNT, 0) / total + langid.DISCOUNT * len(beside) / total * chance(gram[1:])
+
+        words = ["the", "rat", "hund", "zebra", "qqq", "sathaus", "é"]
+        bits = model.word_bits(words)[:, model.languages.index(lang)]
+        for w, got in zip(words, bits):
+            run = f" {w} "
+            want = -sum(math.log2(chance(run[max(0, end - langid.ORDER + 1) : end + 1])) for end in range(1, len(run)))
+            assert abs(got - want) < 1e-3, (lang, w)
+
+
+def test_many_languages(spark):
+    """Every label is learned, however many there are."""
+    rng = random.Random(2)
+    letters = [chr(0x4E00 + k) for k in range(4000)]
+    rows = []
+    for k in range(70):
+        own = ["".join(rng.choices(letters[50 * k : 50 * k + 50], k=4)) for _ in range(40)]
+        rows += [(100 * k + j, " ".join(rng.choices(own, k=30)), f"l{k}") for j in range(22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 70
+    assert langid.identify(docs, model).where("lang_pred <> lang or rejected").count() == 0
+
+
+def test_samples_for_fitting_and_calibration_share_no_text(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 300}", ["en", "de", None][k % 3]) for k in range(900)], "doc_id long, text string, lang string")
+    fit, rest = ({r["text"] for r in langid._sample(docs, "lang", c, 600).collect()} for c in (False, True))
+    assert fit and rest and not fit & rest
+    moved = docs.withColumn("doc_id", F.col("doc_id") * 7 + 1)
+    assert {r["text"] for r in langid._sample(moved, "lang", False, 600).collect()} == fit
+
+
+def test_encoder_uses_the_format():
+    """Round trips of images that call for each feature, all smaller than the pixels."""
+    rng = np.random.default_rng(5)
+    slope = np.cumsum(rng.integers(0, 3, (64 * 64, 4)), axis=0).astype(np.uint8)
+    few = noise(40, 2)[rng.integers(0, 40, 4096)]
+    two = noise(2, 3)[rng.integers(0, 2, 4096)]
+    words = [noise(9, k) for k in range(30)]
+    lines = np.concatenate([words[k] for k in rng.integers(0, 30, 500)])[:4096]
+    near = noise(700, 8)[np.minimum(rng.zipf(1.3, 4096), 700) - 1]
+    grey = np.repeat(rng.normal(120, 25, (4096, 1)).astype(np.uint8), 4, axis=1) + rng.integers(0, 2, (4096, 4)).astype(np.uint8)
+    for image in (slope, few, two, lines, near, grey):
+        data = webp.encode(np.ascontiguousarray(image), 64)
+        assert (webp.decode(data)[2] == image).all() and len(data) < image.size * 0.8
+    assert len(webp.encode(np.ascontiguousarray(two), 64)) < 1000 and len(webp.encode(np.ascontiguousarray(lines), 64)) < lines.size / 4
+    for n in (1, 2, 3, 5, 144, 288):
+        for values in (1, 2, 3, 256):
+            image = rng.integers(0, values, (n, 4)).astype(np.uint8)
+            assert (webp.decode(webp.encode(image, n))[2] == image).all()
+
+
+def test_queue_carries_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(k, "s", 10, "own", 7) for k in range(5)], "doc_id long, source string, size long, source_no string, weight int")
+    got = mixing.fair_queue(rows).collect()
+    assert {(r["source_no"], r["weight"], r["taken"]) for r in got} == {("own", 7, 10)}
+    mixed = mixing.mixed_documents(rows)
+    assert mixed.columns == rows.columns and mixed.count() == 5
+    assert mixing.mixed_documents(rows.limit(0)).count() == 0

@@ -3,7 +3,7 @@
 One model a language, all on character n-grams inside words (a word starts after a blank). Models
 are sorted arrays of n-gram hashes with log probabilities and back-off weights; a text goes to the
 language with the lowest cross-entropy a character. Texts that no model explains as well as it
-explains nearly all of its own calibration texts are rejected.
+explains nearly all of its own calibration texts, which are no part of the texts it was fitted on, are rejected.
 """
 
 from __future__ import annotations
@@ -16,22 +16,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 4
-#: Documents a language that models are fitted on (expected number; taken by hash), and the longest list of languages.
-SAMPLE_DOCS, LANGUAGES = 600, 64
+#: Documents of a language that its model is fitted on, and as many again for calibration (expected numbers; taken by a hash of the text).
+SAMPLE_DOCS = 600
+#: Share of the hash's range that is for fitting, the rest is for calibration; languages with fewer labelled documents than this are all for fitting.
+FIT_RANGE, LEAST_SPLIT = 0.75, 20
 #: Discount of the Kneser-Ney estimates; probability mass of characters never seen is spread over this many.
 DISCOUNT, UNSEEN_CHARS = 0.75, 4096
 #: Share of a language's own calibration texts that may be rejected, and the room added to the threshold.
 REJECTED_SHARE, ROOM_BITS = 0.001, 0.5
 MEMO_WORDS = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters in lower case."""
+    words = _WORD.findall(text.lower())
+    return words if all(map(str.isalpha, words)) else _LETTERS.findall(text.lower())  # numerals such as one half are no letters
 
 
 def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -62,6 +67,7 @@ class Model:
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     backoff: list[np.ndarray]
+    unseen: np.ndarray
     limits: np.ndarray | None = None
 
     def word_bits(self, words: list[str]) -> np.ndarray:
@@ -85,7 +91,7 @@ class Model:
                 k = np.minimum(np.searchsorted(self.keys[n - 2], context), len(self.keys[n - 2]) - 1)
                 seen = (self.keys[n - 2][k] == context) & (context != 0)
                 total[lower[seen]] += self.backoff[n - 2][k[seen]]
-        total[open_] -= math.log2(UNSEEN_CHARS)
+        total[open_] += self.unseen
         bits = np.zeros((len(words), len(self.languages)))
         np.add.at(bits, word[1:], -total[1:])
         return bits
@@ -128,6 +134,7 @@ def fit(counts: pd.DataFrame) -> Model:
             weight[:, j] = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
             if n == 1:
                 rest = np.full(len(names), 1 / UNSEEN_CHARS)
+                unseen = np.log2(weight[0] / UNSEEN_CHARS).astype(np.float32)
             else:
                 low_keys, low_p = lower[n - 1]
                 rest = low_p[np.searchsorted(low_keys, suffix), j]
@@ -142,7 +149,7 @@ def fit(counts: pd.DataFrame) -> Model:
             w[at[same]] = np.log2(weight[same])
             backoff.append(w)
     backoff.append(np.zeros((len(keys[-1]), len(languages)), np.float32))
-    return Model(languages, keys, logp, backoff)
+    return Model(languages, keys, logp, backoff, unseen)
 
 
 class Scorer:
@@ -182,22 +189,27 @@ def length_class(chars: np.ndarray) -> np.ndarray:
     return np.clip(np.log2(np.maximum(chars, 1)).astype(int), 3, 12) - 3
 
 
-def _sample(docs: DataFrame, label: str, salt: str, docs_per_language: int, languages: int) -> DataFrame:
-    """About docs_per_language labelled rows of each of the most frequent languages, by a hash of doc_id."""
+def _sample(docs: DataFrame, label: str, calibrate: bool, docs_per_language: int) -> DataFrame:
+    """About docs_per_language labelled rows of every language, by a hash of the text alone. Rows for fitting and for calibration never share a text."""
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(languages).collect()
-    at = F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col("doc_id"), F.xxhash64("text")), 11) / float(1 << 53)
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col(label) == r[0], F.lit(min(1.0, docs_per_language / r["n"]))).otherwise(share)
-    return known.where(at < share).select(F.col(label).alias("lang"), "text")
-
-
-def train(docs: DataFrame, label: str = "lang", docs_per_language: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> Model | None:
-    """Fit and calibrate on a bounded sample of labelled rows; None if there are none.
-
-    n-grams are counted on the executors and summed by Spark. The table that reaches the driver is bounded
-    by docs_per_language whole texts of each of `languages` languages.
+    bounds = []
+    for lang, n in known.groupBy(label).count().collect():  # one row a language
+        split = FIT_RANGE if n >= LEAST_SPLIT else 1.0
+        width = min(1 - split if calibrate else split, docs_per_language / n)
+        bounds += [F.lit(lang), F.array(F.lit(split * calibrate), F.lit(split * calibrate + width))]
+    if not bounds:
+        return known.select(F.col(label).alias("lang"), "text")
+    at = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "text"), 11) / float(1 << 53)
+    bound = F.element_at(F.create_map(*bounds), F.col(label))
+    return known.where((at >= bound[0]) & (at < bound[1])).select(F.col(label).alias("lang"), "text")
+
+
+def train(docs: DataFrame, label: str = "lang", docs_per_language: int = SAMPLE_DOCS) -> Model | None:
+    """Fit on a bounded sample of labelled rows and calibrate on another; None if there are none.
+
+    Every label value is a language. n-grams are counted on the executors and summed by Spark. The table that reaches the driver is bounded
+    by docs_per_language whole texts of each language. doc_id and other columns are not used. The limit of a language and length class is the larger of
+    that of all calibration texts of the class and that of the language's own; without calibration texts nothing but texts without a letter is rejected.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +221,7 @@ def train(docs: DataFrame, label: str = "lang", docs_per_language: int = SAMPLE_
                 if bag:
                     yield _ngrams(lang, bag)
 
-    counted = _sample(docs, label, "fit", docs_per_language, languages).mapInPandas(count, "lang string, n int, gram long, context long, suffix long, seen long")
+    counted = _sample(docs, label, False, docs_per_language).mapInPandas(count, "lang string, n int, gram long, context long, suffix long, seen long")
     counts = counted.groupBy("lang", "n", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("seen").alias("seen")).toPandas()
     if counts.empty:
         return None
@@ -222,17 +234,28 @@ def train(docs: DataFrame, label: str = "lang", docs_per_language: int = SAMPLE_
         for pdf in batches:
             bits, chars = scorer.texts(pdf["text"])
             keep = chars > 0
-            yield pd.DataFrame({"c": length_class(chars)[keep], "bits": bits.min(axis=1)[keep]})
-
-    found = _sample(docs, label, "calibrate", docs_per_language, languages).mapInPandas(entropies, "c int, bits double").toPandas()
-    overall = float(found["bits"].quantile(1 - REJECTED_SHARE)) if len(found) else math.inf
-    limits = np.full(10, overall + 2 * ROOM_BITS)
-    for c, g in found.groupby("c"):
-        limits[int(c)] = max(overall, float(g["bits"].quantile(1 - REJECTED_SHARE))) + ROOM_BITS + (1.0 if c < 3 else 0.0)
-    model.limits = limits
+            yield pd.DataFrame({"lang": pdf["lang"][keep], "c": length_class(chars)[keep], "bits": bits.min(axis=1)[keep]})
+
+    model.limits = limits_of(_sample(docs, label, True, docs_per_language).mapInPandas(entropies, "lang string, c int, bits double").toPandas(), model.languages)
     return model
 
 
+def limits_of(found: pd.DataFrame, languages: list[str]) -> np.ndarray:
+    """Largest cross-entropy that is kept, by language and length class, from calibration texts (lang, c, bits)."""
+    high = lambda rows: float(rows["bits"].quantile(1 - REJECTED_SHARE))
+    if not len(found):
+        return np.full((len(languages), 10), math.inf)
+    limits = np.full((len(languages), 10), high(found) + 2 * ROOM_BITS)
+    for c, rows in found.groupby("c"):
+        more = ROOM_BITS + (1.0 if c < 3 else 0.0)
+        limits[:, int(c)] = max(high(found), high(rows)) + more
+        for lang, own in rows.groupby("lang"):
+            if lang in languages:
+                j = languages.index(lang)
+                limits[j, int(c)] = max(limits[j, int(c)], high(own) + more)
+    return limits
+
+
 def _ngrams(lang: str, bag: Counter) -> pd.DataFrame:
     words = list(bag)
     times = np.fromiter(bag.values(), np.int64, len(bag))
@@ -259,7 +282,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     A null text or one without a letter gets `und`, score 0 and is rejected; so does every text when there is no model.
     Else lang_pred is the language of the lowest cross-entropy (the first in order on a tie), score its share against
     the others at that cross-entropy difference over at most 64 characters, and rejected whether the
-    cross-entropy passes the calibrated limit of its length class. Other columns are carried; columns with the added names are replaced.
+    cross-entropy passes the calibrated limit of its language and length class. Other columns are carried; columns with the added names are replaced.
     """
     base = docs.drop("lang_pred", "score", "rejected")
 
@@ -278,7 +301,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 odds = np.exp2(-(bits - low[:, None]) * np.minimum(chars, 64)[:, None]).sum(axis=1)
                 none = chars == 0
                 names = np.array([*model.languages, "und"], dtype=object)[np.where(none, len(model.languages), best)]
-                parts.append(pd.DataFrame({"lang_pred": names, "score": np.where(none, 0.0, 1 / odds), "rejected": none | (low > model.limits[length_class(chars)])}))
+                parts.append(pd.DataFrame({"lang_pred": names, "score": np.where(none, 0.0, 1 / odds), "rejected": none | (low > model.limits[best, length_class(chars)])}))
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series(dtype=str), "score": pd.Series(dtype=float), "rejected": pd.Series(dtype=bool)})
 
     solved = base.withColumn("_s", solve(F.col(text)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wickwork.llm.common import chunk_bits, running, stored
+from wickwork.llm.common import chunk_bits, running, stored, with_row_id
 
 #: A document is taken this often at most; a source's target stops at so many times its size.
 MOST_REPEATS = 3
@@ -52,21 +52,25 @@ def fair_queue(docs: DataFrame, size: str = "size", seed: str = "mix", repeats:
 
     Nulls: a null doc_id is an id like any other, a null source is the last source, a null size
     counts 0. Documents of size 0 are never taken. Equal rows are interchangeable. No sources or sizes of 0 only: nothing
-    is taken. Input columns with the added names are replaced.
+    is taken. Input columns with the added names are replaced; names that start with _ are reserved.
+
+    Totals by range of finish time go through one task, one row for about 20,000 documents.
     """
     given = [c for c in docs.columns if c not in ("source_size", "target", "copies", "taken", "first_finish")]
-    base = docs.select(*given).withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
-    base = base.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    targets = stored(source_targets(base.select("source", F.col("_size").alias("size")), repeats), "targets")
+    size_of = F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_key")
+    base = docs.select(F.struct(*given).alias("_row"), F.col("source").alias("_source"), F.col("doc_id").alias("_id"), size_of, key)
+    targets = source_targets(base.select(F.col("_source").alias("source"), F.col("_size").alias("size")), repeats)
+    targets = stored(targets.select(F.col("source_no").alias("_no"), F.col("source").alias("_name"), F.col("source_size").alias("_total"), F.col("target").alias("_target")), "targets")
     count = base.count()
     digits = -(-chunk_bits(count) // 4)
-    base = base.join(targets, base["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    base = base.join(targets, base["_source"].eqNullSafe(targets["_name"])).drop("_source", "_name")
     base = stored(base.withColumn("_chunk", F.substring("_key", 1, digits) if digits else F.lit("")), "queue")
-    order = ["_key", "doc_id", "_size"]
-    queued = running(base, ["source_no"], "_chunk", order, "_size", "_upto")
-    queued = stored(queued.withColumn("first_finish", F.when(F.col("target") > 0, F.col("_upto") / F.col("target"))), "queued")
-    finish = (F.col("_round") * F.col("source_size") + F.col("_upto")) / F.col("target")
-    copies = queued.where("_size > 0 and target > 0").withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_finish", finish)
+    order = ["_key", "_id", "_size"]
+    queued = running(base, ["_no"], "_chunk", order, "_size", "_upto")
+    queued = stored(queued.withColumn("_first", F.when(F.col("_target") > 0, F.col("_upto") / F.col("_target"))), "queued")
+    finish = (F.col("_round") * F.col("_total") + F.col("_upto")) / F.col("_target")
+    copies = queued.where("_size > 0 and _target > 0").drop("_row").withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_finish", finish)
     per_unit = max(2048, count // 20_000)
     copies = copies.withColumn("_range", F.floor(F.col("_finish") * per_unit).cast("long"))
     ranges = copies.groupBy("_range").agg(F.sum("_size").alias("s")).withColumn("upto", F.sum("s").over(Window.orderBy("_range")))
@@ -75,34 +79,34 @@ def fair_queue(docs: DataFrame, size: str = "size", seed: str = "mix", repeats:
     if full is None:
         served = F.lit(repeats)
     else:
-        edge = copies.where(F.col("_range") == full[0]).withColumn("_all", F.sum("_size").over(Window.orderBy("_finish", "source_no", *order, "_round").rowsBetween(Window.unboundedPreceding, 0)))
-        last = edge.where(F.col("_all") <= budget - full[1]).orderBy(F.desc("_all")).select("_finish", "source_no", "_key", "doc_id", "_size").first()
+        edge = copies.where(F.col("_range") == full[0]).withColumn("_all", F.sum("_size").over(Window.orderBy("_finish", "_no", *order, "_round").rowsBetween(Window.unboundedPreceding, 0)))
+        last = edge.where(F.col("_all") <= budget - full[1]).orderBy(F.desc("_all")).select("_finish", "_no", "_key", "_size").first()
         served = _served(full[0], last, repeats, per_unit)
-    taken = queued.withColumn("copies", F.when((F.col("_size") > 0) & (F.col("target") > 0), served).otherwise(0).cast("int"))
-    return taken.withColumn("taken", F.col("copies") * F.col("_size")).select(*given, "source_size", "target", "copies", "taken", "first_finish")
+    copies_of = F.when((F.col("_size") > 0) & (F.col("_target") > 0), served).otherwise(0).cast("int")
+    return queued.select(*[F.col("_row")[c].alias(c) for c in given], F.col("_total").alias("source_size"), F.col("_target").alias("target"), copies_of.alias("copies"), (copies_of * F.col("_size")).alias("taken"), F.col("_first").alias("first_finish"))
 
 
 def _served(at: int, last, repeats: int, per_unit: int):
     """Number of rounds of a row that end no later than the last copy served."""
     total = F.lit(0)
     for k in range(repeats):
-        finish = (F.lit(k) * F.col("source_size") + F.col("_upto")) / F.col("target")
+        finish = (F.lit(k) * F.col("_total") + F.col("_upto")) / F.col("_target")
         within = F.floor(finish * per_unit).cast("long") < at
         if last is not None:
-            tie = F.struct(finish.alias("a"), F.col("source_no").alias("b"), F.col("_key").alias("c"), F.col("_size").alias("d"))
-            end = F.struct(F.lit(last[0]).alias("a"), F.lit(last[1]).alias("b"), F.lit(last[2]).alias("c"), F.lit(last[4]).alias("d"))
+            tie = F.struct(finish.alias("a"), F.col("_no").alias("b"), F.col("_key").alias("c"), F.col("_size").alias("d"))
+            end = F.struct(*[F.lit(v).alias(n) for n, v in zip("abcd", last)])
             within = within | (tie <= end)
         total = total + F.coalesce(within, F.lit(False)).cast("int")
     return total
 
 
 def mixed_documents(docs: DataFrame, size: str = "size", seed: str = "mix") -> DataFrame:
-    """The mix itself: each document as often as it is taken, range-sorted by virtual finish time.
+    """The mix itself: each document as often as it is taken, range-sorted by virtual finish time. All columns are kept; names that start with _ are reserved.
 
-    The queue works on sizes alone; texts are joined by row number, so docs must come from storage, where the order of rows is fixed.
+    The queue works on sizes alone; texts are joined by the number of their stored row.
     """
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    queued = fair_queue(rows.select("_rid", "doc_id", "source", size), size, seed).where("copies > 0")
+    rows = with_row_id(docs)
+    queued = fair_queue(rows.select("_rid", "doc_id", "source", F.col(size).alias("_words")), "_words", seed).where("copies > 0")
     rounds = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: k * F.col("source_size") / F.col("target") + F.col("first_finish"))
     served = queued.select("_rid", rounds.alias("_served"))
     return rows.join(served, "_rid").withColumn("_finish", F.explode("_served")).orderBy("_finish").select(*docs.columns)

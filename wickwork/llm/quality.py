@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import drop_stored, stored
+from wickwork.llm.common import stored
 
 #: Words, symbols and windows of the base measures.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,15 +150,10 @@ def apply_rules(measured: DataFrame, cutoffs: list[tuple[str, str, float]], by:
 def judge(docs: DataFrame, labels: DataFrame, by: str = "lang", keep_text: bool = True) -> DataFrame:
     """Measures, cutoffs fitted on the labelled documents, and the verdict `kept` for every row.
 
-    The measures are stored without the texts, and only they are joined with the labels, so no text is shuffled. Without keep_text the result is made from
-    the stored measures, else the texts are measured once more as they pass. Without labels only the base rules decide. Repeated rows are judged alike; an
-    empty table gives an empty result. Input columns with the added names are replaced, others carried.
+    Every text is measured once and stored with its measures; labels are joined with the measures alone, so no text is shuffled. keep_text: whether the result has the
+    texts. Without labels only the base rules decide. Repeated rows are judged alike; an empty table gives an empty result. Input columns with the added
+    names are replaced, others carried.
     """
-    measures = [x.split()[0] for x in MEASURES.split(", ")]
     measured = with_measures(docs)
-    light = stored(measured.drop("text") if not keep_text else measured.select("doc_id", by, *measures, "base_failed"), "measures")
-    cutoffs = fit_cutoffs(light, labels, by)
-    if keep_text:
-        drop_stored(light)
-        return apply_rules(measured, cutoffs, by)
-    return apply_rules(light, cutoffs, by)
+    table = stored(measured if keep_text else measured.drop("text"), "measures")
+    return apply_rules(table, fit_cutoffs(table, labels, by), by)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wickwork.llm.common import chunk_bits, running, shared_dir, unit, with_chunk
+from wickwork.llm.common import chunk_bits, running, shared_dir, unit, with_chunk, with_row_id
 
 #: Rows of one source block at most; a block is permuted inside one task.
 BLOCK_ROWS = 65_536
@@ -93,16 +93,15 @@ def shard_uniform(df: DataFrame, shards: int, seed: int = 42, block_rows: int =
 
     Adds shard (int, from 0) and slot (long, gapless from 0 inside the shard); law is "rows". Every
     input row comes back once, nulls, repeated rows and empty texts included; an empty table gives an
-    empty result. Input columns named shard or slot are replaced; names starting with _ are reserved. The rows are
-    checkpointed first: that pins the row ids which blocks and permutations rest on, so a lost
-    executor cannot change the outcome. Another file layout or seed gives another shuffle.
+    empty result. Input columns named shard or slot are replaced; names starting with _ are reserved. Rows are
+    numbered by file and place, so neither a lost executor nor other cores change the outcome. Other files or another seed give another shuffle.
     """
     spark = df.sparkSession
     shared_dir(spark)
     df = df.drop("shard", "slot")
-    rows = df.withColumn("_rid", F.monotonically_increasing_id())
-    inside = F.col("_rid").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.withColumn("_key", F.shiftright("_rid", 33) * F.lit(1 << 20) + F.floor(inside / block_rows)).checkpoint()
+    rows = with_row_id(df)
+    inside = F.col("_rid").bitwiseAND(F.lit((1 << 40) - 1))
+    rows = rows.withColumn("_key", F.shiftright("_rid", 40) * F.lit(1 << 22) + F.floor(inside / block_rows)).checkpoint()
     blocks = rows.groupBy("_key").agg(F.count("*").alias("n")).withColumn("block", F.row_number().over(Window.orderBy("_key")) - 1).withColumn("block", F.col("block").cast("long")).checkpoint()
     count = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]
     sizes = [count // shards + (j < count % shards) for j in range(shards)]

@@ -119,8 +119,8 @@ def with_originals(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFr
     hot = large.where(F.col("_n") >= max(2, total * HOT_SHARE)).select("_digest", F.col("_first").alias("_hot"))
     rest = large.where(F.col("_n") < max(2, total * HOT_SHARE)).select("_digest", "_first")
     found = base.join(F.broadcast(hot), "_digest", "left")
-    key = F.when(F.col("_hot").isNull() & (F.col("_size") >= least_bytes), F.col("_digest")).otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string"), F.lit("-"), F.substring("_digest", 1, 8)))
-    found = found.withColumn("_key", F.coalesce(key, F.concat(F.lit("?"), "_digest"))).join(rest.withColumnRenamed("_digest", "_key"), "_key", "left")
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))  # a key that meets nothing, spread evenly
+    found = found.withColumn("_key", F.when(F.col("_hot").isNull() & (F.col("_size") >= least_bytes), F.col("_digest")).otherwise(alone)).join(rest.withColumnRenamed("_digest", "_key"), "_key", "left")
     first = F.coalesce("_hot", "_first")
     return found.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") < first, first.isNotNull()), first)).drop("_key", "_hot", "_first")
 
