@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, quality rules, near-duplicates, mixing to target weights, packing."""
+"""The corpus pipeline: language ID, quality rules, near-duplicates, mixing to target weights, packing.
+
+Nulls may stand in any column: a null text has no letter and goes in the first stage; a null lang is a stratum of its own, a null source a source of its own, and a null
+doc_id an id like any other, without a label. Repeated rows are duplicates. An empty table passes all stages and gives an empty result. Columns beyond those of documents
+go in the first stage, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickwork.llm import langid, mixing, near_dedup, packing, quality
-from wickwork.llm.common import scratch_path
+from wickwork.llm.common import delete, scratch_path
 from wickwork.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each reads what the one before has written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to documents; each reads what the one before has written, which is then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -108,7 +108,55 @@ def test_partial_exit_profit(spark):
     assert out["profit"] == pytest.approx(round(first, 8) + round(second, 8))
     assert out["entry_value"] == pytest.approx((200 + 130) * 1.001)
     state = one(trades.position_state(o.where("sequence < 3")))
-    assert (state["amount"], state["average"], state["stake"], state["max_stake"]) == (2.0, 115.0, 230.0, 230.0)
+    assert (state["amount"], state["average"], state["stake"], state["max_stake"], state["error"]) == (2.0, 115.0, 230.0, 330.0, None)  # entries add up, exits do not lower the top
+
+
+def test_orders_that_cannot_be_filled(spark):
+    heads = spark.createDataFrame([(1, False, 0.0, 0.0, 2.0)], "trade_id long, is_short boolean, fee_open double, fee_close double, leverage double")
+    for bad, code in (((True, 0, 100, ""), "amount"), ((True, 1, -5, ""), "price"), ((False, 3, 100, ""), "holding")):
+        o = orders(spark, [(True, 2, 100, ""), bad, (False, 1, 120, "")])
+        state, profit = one(trades.position_state(o, heads)), one(trades.realized_profit(o, heads))
+        assert (state["amount"], state["stake"], state["max_stake"], state["error"]) == (2.0, 100.0, 100.0, code)
+        assert (profit["profit"], profit["error"]) == (0.0, code)
+    stepped = one(trades.position_state(orders(spark, [(True, 1.27, 100.26, "")]), heads, 0.1, 0.5))
+    assert (stepped["amount"], stepped["average"]) == (1.2, 106.0)  # 1.27 * 100.26 over 1.2 held, in halves
+
+
+def test_timeout_after_a_hole(spark):
+    """The pair has no candle for three days after the timeout; the first one after the hole closes the trade."""
+    c = candle_rows(spark, [("a", 0, 100, 100, 100, 100, 1), ("a", 1, 100, 101, 99, 100, 1), ("a", 96, 97, 98, 96, 97, 1), ("a", 99, 50, 50, 50, 50, 1)]).withColumns({"exit_long": F.lit(0), "exit_short": F.lit(0)})
+    e = spark.createDataFrame([("t", "a", 0, 100.0, False)], "trade_id string, pair string, open_ts long, open_rate double, is_short boolean")
+    out = one(joins.first_barrier(e, c, 0.5, 10 * H))
+    assert (out["exit_ts"], out["exit_reason"], out["exit_rate"]) == (96 * H, "timeout", 97.0)
+
+
+def test_repeated_rows_keep_their_tiers(spark):
+    df = spark.createDataFrame([("a", 5.0), ("a", 5.0), ("b", None), ("c", 5.0)], "pair string, stake double")
+    tiers = spark.createDataFrame([("a", 0, 0.0, 100.0, 20.0, 0.01, 0.0), ("a", 1, 100.0, 900.0, 5.0, 0.05, 1.0), ("b", 0, 0.0, 100.0, 3.0, 0.02, 0.0)], "pair string, tier_no int, min_notional double, max_notional double, max_leverage double, maintenance_rate double, maintenance_amount double")
+    assert sorted((r["pair"], r["max_leverage"]) for r in joins.tier_cap(df, tiers).collect()) == [("a", 20.0), ("a", 20.0), ("b", None), ("c", None)]
+    assert sorted((r["pair"], r["maintenance_rate"]) for r in joins.maintenance_tier(df, tiers).collect()) == [("a", 0.01), ("a", 0.01), ("b", None), ("c", None)]
+
+
+def test_signal_digest_of_many_rows(spark):
+    df = spark.range(200_000).select(F.lit("a").alias("pair"), F.col("id").alias("ts"), F.lit(1).alias("enter_long"), *[F.lit(0).alias(c) for c in ("enter_short", "exit_long", "exit_short")], F.lit(None).cast("string").alias("enter_tag"), F.lit(None).cast("string").alias("exit_tag"))
+    out = one(signals.signal_rows(df))
+    assert out["signal_rows"] == 200_000 and 0 <= out["digest"] < 1 << 48
+
+
+def test_canonical_decimals_keep_every_digit(spark):
+    texts = {"0.1234567890123456781": "0.1234567890123456781", "123456789012345678901": "123456789012345678901", "1e30": "1" + "0" * 30, "-0.0": "0", "-12.50": "-12.5", "1.5e-3": "0.0015", ".5": "0.5", "007.": "7", "nan": None, "": None, "-1e2": "-100", "12345e-2": "123.45"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["c"] for r in df.withColumn("c", compare.canonical_decimal(F.col("t"))).collect()} == texts
+
+
+def test_a_present_null_tag_wins(spark, tmp_path):
+    import json
+
+    row = {"pair": "A/B", "is_short": False, "open_timestamp": 1, "close_timestamp": 2, "amount": 1, "orders": []}
+    made = [row | {"enter_tag": None, "buy_tag": "old"}, row | {"buy_tag": "old"}, row | {"enter_tag": "new", "buy_tag": "old"}]
+    (tmp_path / "x.json").write_text(json.dumps({"strategy": {"S": {"trades": made, "locks": []}}}))
+    t = files.normalize_trades(files.read_backtest_export(spark, str(tmp_path)))[0].orderBy("sequence").collect()
+    assert [r["entry_tag"] for r in t] == [None, "old", "new"]
 
 
 def test_leveraged_funding_goes_to_the_next_exit(spark):

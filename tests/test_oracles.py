@@ -46,5 +46,9 @@ def test_query(spark, duck, name):
     assert rows(names, found) == rows(names, [dict(zip(names, r)) for r in want.fetchall()])
 
 
+#: Queries that SQL cannot express; tests by hand hold them.
+WITHOUT_TWIN: set[str] = set()
+
+
 def test_no_query_is_without_twin():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - WITHOUT_TWIN == set(ORACLES)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Operands of exact arithmetic: products and quotients of these keep 15 and 18 places.
-EXACT = "decimal(20,9)"
+EXACT, MONEY = "decimal(20,9)", "decimal(29,15)"
 
 
 def quantize_step(value: Column, step: Column, how: str) -> Column:
@@ -21,15 +21,13 @@ def quantize_step(value: Column, step: Column, how: str) -> Column:
 
 
 def tick_round(value: Column, step: Column, how: str) -> Column:
-    """quantize_step in doubles, for prices whose step is a power of ten: fast and exact to 9 digits of a unit."""
-    units = F.round(value / step, 9)
-    whole = F.floor(units) if how == "floor" else F.ceil(units) if how == "ceil" else F.floor(units + 0.5)
-    return F.round(whole * step, 12)
+    """quantize_step of a value that was computed in decimals, so no rounding comes before the step."""
+    return quantize_step(value, step, how)
 
 
 def entry_amount(stake: Column, leverage: Column, rate: Column, step: Column) -> Column:
     """Amount that a stake buys, in whole steps."""
-    return tick_round(stake * leverage / rate, step, "floor")
+    return tick_round((stake.cast(EXACT) * leverage.cast(EXACT)).cast(MONEY) / rate.cast(EXACT), step, "floor")
 
 
 def entry_stake(amount: Column, rate: Column, leverage: Column) -> Column:
@@ -59,7 +57,9 @@ def proposed_stake(available: Column, tied: Column, slots: Column, fixed: Column
 
 def initial_stop(rate: Column, stop: Column, leverage: Column, is_short: Column, step: Column) -> Column:
     """Stop price: for a long rounded up, for a short rounded down. stop is negative for a loss."""
-    return F.when(is_short, tick_round(rate * (1 - stop / leverage), step, "floor")).otherwise(tick_round(rate * (1 + stop / leverage), step, "ceil"))
+    share = (stop.cast(EXACT) / leverage.cast(EXACT)).cast("decimal(20,15)")
+    at = lambda sign: rate.cast(EXACT) * (F.lit(1).cast("decimal(20,15)") + sign * share).cast("decimal(20,15)")
+    return F.when(is_short, tick_round(at(-1), step, "floor")).otherwise(tick_round(at(1), step, "ceil"))
 
 
 def adjusted_stop(current: Column, candidate: Column, is_short: Column) -> Column:
@@ -127,7 +127,7 @@ def price_distance(rate: Column, reference: Column) -> Column:
 
 def partial_exit_amount(requested: Column, amount: Column, stake: Column, step: Column) -> Column:
     """Amount of an exit worth `requested` stake in whole steps; NULL unless it leaves something and is something."""
-    out = tick_round(requested * amount / stake, step, "floor")
+    out = tick_round((requested.cast(EXACT) * amount.cast(EXACT)).cast(MONEY) / stake.cast("decimal(26,12)"), step, "floor")
     return F.when((requested < stake) & (out > 0) & (out < amount), out)
 
 

@@ -13,11 +13,20 @@ from pyspark.sql.window import Window
 
 
 def canonical_decimal(c: Column) -> Column:
-    """Decimal text without exponent, trailing zeros or a sign on zero; NULL for text that is not a finite number."""
-    exact = F.when(F.trim(c).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,2})?$"), F.trim(c))
-    value = exact.try_cast("decimal(38,18)")
-    plain = F.regexp_replace(F.regexp_replace(F.translate(F.format_number(value, 18), ",", ""), r"0+$", ""), r"\.$", "")
-    return F.when(value.isNotNull(), F.when(plain.isin("-0", "0"), "0").otherwise(plain))
+    """Decimal text without exponent, trailing zeros or a sign on zero; NULL for text that is not a finite number.
+
+    Works on the text, so any number of digits is kept exactly. Exponents have four digits at most.
+    """
+    parts = lambda k: F.regexp_extract(F.trim(c), r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?$", k)
+    sound = F.trim(c).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$")
+    digits = F.concat(parts(2), parts(3))
+    point = F.length(parts(2)) + F.coalesce(F.nullif(parts(4), F.lit("")).try_cast("int"), F.lit(0))  # digits before the point
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), 1 - point)), digits, F.repeat(F.lit("0"), F.greatest(F.lit(0), point - F.length(digits))))
+    at = F.greatest(point, F.lit(1))
+    whole = F.regexp_replace(F.substring(padded, F.lit(1), at), "^0+(?=.)", "")
+    rest = F.regexp_replace(F.substring(padded, at + 1, F.length(padded)), "0+$", "")
+    plain = F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+    return F.when(sound, F.concat(F.when((parts(1) == "-") & (plain != "0"), "-").otherwise(""), plain))
 
 
 def _text(name: str, kind: T.DataType) -> Column:

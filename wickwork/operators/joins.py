@@ -143,7 +143,8 @@ def first_barrier(entries: DataFrame, candles: DataFrame, stop: float, timeout_m
 
     entries: trade_id, pair, open_ts, open_rate, is_short; candles need exit_long and exit_short. Within one candle the order is signal, timeout,
     stop, liquidation. The first two fill at the open, the others at the barrier, rounded up (long) or down (short) to step. An entry that nothing hits is
-    closed at the open of the pair's last candle. Only candles up to the timeout can matter, so the range is bounded.
+    closed at the open of the pair's last candle. The timeout falls on the first candle at or after it, however long the pair has none; that candle is
+    found in one stream of candles and due times per pair, so the range that is searched for the other exits ends with the timeout.
     """
     side = lambda a, b: F.when(F.col("is_short"), b).otherwise(a)
     raw = lambda share: side(F.col("open_rate") * (1 - share), F.col("open_rate") * (1 + share))
@@ -153,18 +154,22 @@ def first_barrier(entries: DataFrame, candles: DataFrame, stop: float, timeout_m
 
     stop_rate = tick(raw(stop))
     liq_rate = tick(raw(liquidation)) if liquidation is not None else F.lit(None).cast("double")
-    line = Window.partitionBy("pair").orderBy("ts")
-    after = candles.select("pair", "ts", "open", "low", "high", "exit_long", "exit_short", F.lead("ts").over(line).alias("next_ts"))
-    # a timeout falls on the first candle at or after it
-    wanted = entries.withColumn("_stop", stop_rate).withColumn("_liq", liq_rate).withColumn("_due", F.col("open_ts") + timeout_ms)
-    span = _exploded(wanted.withColumn("_until", F.col("_due") + BUCKET_MS), "open_ts", "_until")
-    hit = span.join(_bucketed(after), ["pair", "_bucket"]).where("ts > open_ts")
+    after = candles.select("pair", "ts", "open", "low", "high", "exit_long", "exit_short")
+    wanted = entries.withColumn("_stop", stop_rate).withColumn("_liq", liq_rate).withColumn("_due", F.greatest(F.col("open_ts") + timeout_ms, F.col("open_ts") + 1))
+    bars = after.select("pair", F.col("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct("ts", "open", "exit_long", "exit_short").alias("_bar"))
+    asks = wanted.select("trade_id", "pair", "is_short", F.col("_due").alias("_at"), F.lit(0).alias("_kind"))
+    ahead = Window.partitionBy("pair").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    due = asks.unionByName(bars, allowMissingColumns=True).withColumn("_next", F.first("_bar", ignorenulls=True).over(ahead)).where("_kind = 0 and _next is not null")
+    late = F.when(side(F.col("_next.exit_long"), F.col("_next.exit_short")) == 1, 0).otherwise(1)
+    due = due.select("trade_id", F.struct(F.col("_next.ts").alias("ts"), late.alias("_code"), F.col("_next.open").alias("_rate")).alias("_x"))
+    hit = _exploded(wanted, "open_ts", "_due").join(_bucketed(after), ["pair", "_bucket"]).where("ts > open_ts and ts < _due")
     signal = side(F.col("exit_long"), F.col("exit_short")) == 1
     stopped = side(F.col("low") <= F.col("_stop"), F.col("high") >= F.col("_stop"))
     burnt = side(F.col("low") <= F.col("_liq"), F.col("high") >= F.col("_liq"))
-    code = F.when(signal, 0).when(F.col("ts") >= F.col("_due"), 1).when(stopped, 2).when(burnt, 3)
+    code = F.when(signal, 0).when(stopped, 2).when(burnt, 3)
     rate = F.when(code <= 1, F.col("open")).when(code == 2, F.col("_stop")).otherwise(F.col("_liq"))
-    found = hit.withColumn("_code", code).withColumn("_rate", rate).where("_code is not null").groupBy("trade_id").agg(F.min_by(F.struct("ts", "_code", "_rate"), F.struct("ts", "_code")).alias("_x"))
+    found = hit.withColumn("_code", code).withColumn("_rate", rate).where("_code is not null").select("trade_id", F.struct("ts", "_code", "_rate").alias("_x"))
+    found = found.unionByName(due).groupBy("trade_id").agg(F.min_by("_x", F.struct("_x.ts", "_x._code")).alias("_x"))
     last = candles.groupBy("pair").agg(F.max("ts").alias("_last_ts"), F.max_by("open", "ts").alias("_last_open"))
     code = F.col("_x._code")
     names = F.when(code == 0, "exit_signal").when(code == 1, "timeout").when(code == 2, "stop_loss").when(code == 3, "liquidation")
@@ -188,16 +193,20 @@ def with_reference_pair(df: DataFrame, reference: str, columns: list[str]) -> Da
     return df.join(ref, "ts", "left")
 
 
+def _with_tiers(df: DataFrame, tiers: DataFrame, order: str) -> DataFrame:
+    """The tiers of each row's pair as one array _tiers, by `order`: rows stay as they are, repeated ones too."""
+    row = F.struct(order, *[c for c in tiers.columns if c not in ("pair", order)])
+    return df.join(tiers.groupBy("pair").agg(F.array_sort(F.collect_list(row)).alias("_tiers")), "pair", "left")
+
+
 def tier_cap(df: DataFrame, tiers: DataFrame, stake: str = "stake") -> DataFrame:
     """max_leverage: that of the first tier with stake <= max_notional / max_leverage; NULL if none. tiers: pair, tier_no, min_notional, max_notional, max_leverage."""
-    ok = F.col(stake) <= F.col("max_notional") / F.col("max_leverage")
-    fits = df.join(tiers.select("pair", "tier_no", "max_notional", "max_leverage"), "pair", "left").groupBy(*df.columns).agg(F.min_by("max_leverage", F.when(ok, F.col("tier_no"))).alias("max_leverage"))
-    return fits
+    fits = F.filter("_tiers", lambda t: F.col(stake) <= t["max_notional"] / t["max_leverage"])
+    return _with_tiers(df, tiers, "tier_no").select(*df.columns, F.get(fits, 0)["max_leverage"].alias("max_leverage"))
 
 
 def maintenance_tier(df: DataFrame, tiers: DataFrame, stake: str = "stake") -> DataFrame:
     """maintenance_rate and maintenance_amount of the last tier with stake >= min_notional."""
-    ok = F.col(stake) >= F.col("min_notional")
-    row = F.struct("maintenance_rate", "maintenance_amount")
-    found = df.join(tiers, "pair", "left").groupBy(*df.columns).agg(F.max_by(row, F.when(ok, F.col("min_notional"))).alias("_t"))
-    return found.select(*df.columns, "_t.*")
+    fits = F.filter("_tiers", lambda t: F.col(stake) >= t["min_notional"])
+    found = _with_tiers(df, tiers, "min_notional").withColumn("_t", F.try_element_at(fits, F.lit(-1)))
+    return found.select(*df.columns, F.col("_t.maintenance_rate").alias("maintenance_rate"), F.col("_t.maintenance_amount").alias("maintenance_amount"))

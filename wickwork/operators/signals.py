@@ -48,12 +48,12 @@ def signal_counts(df: DataFrame) -> DataFrame:
 def signal_rows(df: DataFrame) -> DataFrame:
     """Rows, signal rows and a digest of them per pair.
 
-    The digest is the sum of 60-bit hashes of the rows' text, so it does not depend on order and needs no group in one place.
+    The digest is the sum of 48-bit hashes of the rows' text modulo 2^48, so it does not depend on order, needs no group in one place and never overflows.
     """
     text = F.concat_ws("|", "ts", *FLAGS, F.coalesce("enter_tag", F.lit("-")), F.coalesce("exit_tag", F.lit("-")))
     part = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
     on = any_signal()
-    return df.groupBy("pair").agg(F.count("*").alias("rows"), F.count_if(on).alias("signal_rows"), F.coalesce(F.sum(F.when(on, part)), F.lit(0)).cast("long").alias("digest"))
+    return df.groupBy("pair").agg(F.count("*").alias("rows"), F.count_if(on).alias("signal_rows"), F.coalesce(F.sum(F.when(on, part).cast("decimal(20,0)")) % F.lit(1 << 48).cast("decimal(20,0)"), F.lit(0)).cast("long").alias("digest"))
 
 
 def signal_feature_samples(df: DataFrame, times: list[int], features: list[str]) -> DataFrame:

@@ -71,20 +71,24 @@ def _surface_parts(s, d):
 query("write_trade_surface", "SELECT trade_id, '{\"trade_id\":' || trade_id || ',\"pair\":\"' || pair || '\",\"open_ts\":' || open_ts || ',\"close_ts\":' || close_ts || ',\"n\":' || entries || ',\"orders\":[' || l || ']}' AS surface FROM closed JOIN (SELECT trade_id, string_agg('{\"sequence\":' || sequence || ',\"is_entry\":' || is_entry || ',\"amount\":' || amount::BIGINT || '}', ',' ORDER BY sequence) AS l FROM tord GROUP BY trade_id) USING (trade_id)")(lambda s, d: op.write_trade_surface(*_surface_parts(s, d), scratch(s, "surface")))
 
 
+TRADES_A_FILE = 10_000
+
+
 def exports(s, d):
-    """Closed trades as exports, one file a leverage, with numbers as JSON numbers."""
+    """Closed trades as exports of one leverage and at most TRADES_A_FILE trades each, with numbers as JSON numbers."""
     t, o = src.closed_trades(s, d), src.trade_orders(s, d)
     orders = o.groupBy("trade_id").agg(F.array_sort(F.collect_list(F.struct("sequence", F.col("is_entry").alias("ft_is_entry"), F.col("amount"), F.col("price").alias("safe_price"), F.col("ts").alias("order_filled_timestamp"), F.lit("").alias("ft_order_tag")))).alias("orders"))
     row = F.struct("trade_id", "pair", "is_short", "leverage", F.col("open_ts").alias("open_timestamp"), F.col("close_ts").alias("close_timestamp"), "amount", F.col("entry_tag").alias("buy_tag"), "exit_reason", "orders")
     path = scratch(s, "export")
-    files = t.join(orders, "trade_id").groupBy("leverage").agg(F.array_sort(F.collect_list(row)).alias("trades"))
-    files.select(F.to_json(F.struct(F.struct(F.struct("trades").alias("S")).alias("strategy"))).alias("value")).repartition(3).write.text(path)
+    files = t.join(orders, "trade_id").groupBy("leverage", F.floor(F.col("trade_id") / TRADES_A_FILE).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("trades"))
+    # one export a file: files of a task are told apart by the folder of their part
+    files.select("leverage", "part", F.to_json(F.struct(F.struct(F.struct("trades").alias("S")).alias("strategy"))).alias("value")).repartition("leverage", "part").write.partitionBy("leverage", "part").text(path)
     return op.read_backtest_export(s, path, "S").where("trades is not null")
 
 
-_NORM = "SELECT row_number() OVER (PARTITION BY leverage ORDER BY trade_id) - 1 AS sequence, leverage::VARCHAR AS leverage, pair, is_short, open_ts, close_ts, amount::BIGINT::VARCHAR AS amount, entry_tag, exit_reason FROM closed"
+_NORM = "SELECT row_number() OVER (PARTITION BY leverage, trade_id // 10000 ORDER BY trade_id) - 1 AS sequence, leverage::VARCHAR AS leverage, pair, is_short, open_ts, close_ts, amount::BIGINT::VARCHAR AS amount, entry_tag, exit_reason FROM closed"
 query("normalize_trades", _NORM.replace(" - 1 AS sequence", "::INT - 1 AS sequence"))(lambda s, d: op.normalize_trades(exports(s, d))[0].where("error is null").select("sequence", "leverage", "pair", "is_short", "open_ts", "close_ts", "amount", "entry_tag", "exit_reason"))
-query("read_backtest_export", "SELECT 'S' AS strategy, count(*)::INT AS trades FROM closed GROUP BY leverage")(lambda s, d: exports(s, d).select("strategy", F.size("trades").alias("trades")))
+query("read_backtest_export", "SELECT 'S' AS strategy, count(*)::INT AS trades FROM closed GROUP BY leverage, trade_id // 10000")(lambda s, d: exports(s, d).select("strategy", F.size("trades").alias("trades")))
 
 
 def state_events(s, d):

@@ -78,7 +78,7 @@ _HITS = """
 SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts) AS n FROM (
   SELECT e.trade_id, e.stop, e.liq, s.ts, s.open, CASE WHEN (CASE WHEN is_short THEN exit_short ELSE exit_long END) = 1 THEN 0 WHEN s.ts >= open_ts + 86400000 THEN 1 WHEN CASE WHEN is_short THEN high >= stop ELSE low <= stop END THEN 2 WHEN CASE WHEN is_short THEN high >= liq ELSE low <= liq END THEN 3 END AS code
   FROM (SELECT *, CASE WHEN is_short THEN open_rate * (1 + 0.6::DOUBLE) ELSE open_rate * (1 - 0.6::DOUBLE) END AS stop, CASE WHEN is_short THEN open_rate * (1 + 0.9::DOUBLE) ELSE open_rate * (1 - 0.9::DOUBLE) END AS liq FROM ctr) e
-  JOIN sig s ON e.pair = s.pair AND s.ts > e.open_ts AND s.ts <= e.open_ts + 172800000) WHERE code IS NOT NULL
+  JOIN sig s ON e.pair = s.pair AND s.ts > e.open_ts) WHERE code IS NOT NULL
 """
 query("first_barrier", _BARRIER, hits=_HITS)(lambda s, d: op.first_barrier(src.candle_trades(s, d), src.signals(s, d), 0.6, DAY, 0.9))
 _LOCKED = "SELECT pair, ts FROM sig e WHERE enter_long = 1 AND EXISTS (SELECT 1 FROM lck l WHERE l.pair IN (e.pair, '*') AND l.lock_ts <= e.ts AND l.lock_end > e.ts)"

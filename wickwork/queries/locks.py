@@ -28,10 +28,10 @@ query("cooldown_locks_unlock_at", "SELECT pair, ts, CASE WHEN dd + 77400000 > ts
 query("stoploss_guard_locks", "SELECT * FROM stop", tsq=_TS, losses=_LOSS, stop=_STOP)(lambda s, d: op.stoploss_requests(sequenced(s, d), BACK, 3, HOLD, -0.2))
 query("low_profit_locks", "SELECT * FROM low_profit", tsq=_TS, low_profit=_LOW)(lambda s, d: op.low_profit_requests(sequenced(s, d), BACK, 3, HOLD, -0.5))
 _DDR = """SELECT sequence, close_ts, n, worst FROM (
-  SELECT a.sequence, a.close_ts, count(*) AS n, list(b.profit_ratio ORDER BY b.sequence) AS v FROM few a JOIN few b ON b.sequence <= a.sequence AND b.close_ts >= a.close_ts - 864000000 GROUP BY ALL),
+  SELECT a.sequence, a.close_ts, count(*) AS n, list(b.profit_ratio ORDER BY b.sequence) AS v FROM tsq a JOIN tsq b ON b.sequence <= a.sequence AND b.close_ts >= a.close_ts - 864000000 GROUP BY ALL),
   LATERAL (SELECT max(h - c) AS worst FROM (SELECT c, greatest(0, max(c) OVER (ORDER BY i)) AS h FROM (SELECT i, sum(x) OVER (ORDER BY i) AS c FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i))))"""
-query("max_drawdown_locks", f"SELECT '*' AS pair, '*' AS side, close_ts AS ts, close_ts + {HOLD} AS until, 'max_drawdown' AS reason, sequence, true AS is_global, 3 AS handler FROM dr WHERE n >= 3 AND worst > 0.7", tsq=_TS, few="SELECT * FROM tsq WHERE sequence % 20 = 0", dr=_DDR)(
-    lambda s, d: op.drawdown_requests(sequenced(s, d).where("sequence % 20 = 0"), 10 * DAY, 3, HOLD, 0.7)
+query("max_drawdown_locks", f"SELECT '*' AS pair, '*' AS side, close_ts AS ts, close_ts + {HOLD} AS until, 'max_drawdown' AS reason, sequence, true AS is_global, 3 AS handler FROM dr WHERE n >= 3 AND worst > 0.7", tsq=_TS, dr=_DDR)(
+    lambda s, d: op.drawdown_requests(sequenced(s, d), 10 * DAY, 3, HOLD, 0.7)
 )
 _EMIT = """SELECT pair, side, ts AS lock_ts, lock_end, reason, sequence FROM (
   SELECT r.*, max(r.lock_end) OVER (PARTITION BY pair ORDER BY sequence, handler ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM (SELECT *, (until // 86400000 + 1) * 86400000 AS lock_end FROM (SELECT * FROM cool UNION ALL SELECT * FROM stop UNION ALL SELECT * FROM low_profit)) r)

@@ -15,7 +15,7 @@ query("shift_signals", "SELECT pair, ts, coalesce(lag(enter_long) OVER w, 0) AS
 query("normalize_tag", "SELECT pair, ts, nullif(enter_tag, '') AS tag FROM sig")(lambda s, d: src.signals(s, d).select("pair", "ts", op.normalize_tag(F.col("enter_tag")).alias("tag")))
 query("is_enabled", "SELECT pair, ts, coalesce(CASE WHEN volume = 0 THEN NULL ELSE close > open END, false) AS is_on FROM cf")(lambda s, d: src.full_candles(s, d).select("pair", "ts", op.is_enabled(F.when(F.col("volume") == 0, float("nan")).otherwise((F.col("close") > F.col("open")).cast("double"))).alias("is_on")))
 query("signal_counts", "SELECT pair, count(*) AS rows, count(*) FILTER (enter_long <> 0) AS enter_long, count(*) FILTER (enter_short <> 0) AS enter_short, count(*) FILTER (exit_long <> 0) AS exit_long, count(*) FILTER (exit_short <> 0) AS exit_short FROM sig GROUP BY pair")(lambda s, d: op.signal_counts(src.signals(s, d)))
-query("signal_rows", "SELECT pair, count(*) AS rows, count(*) FILTER (x) AS signal_rows, coalesce(sum(('0x' || substr(md5(concat_ws('|', ts, enter_long, enter_short, exit_long, exit_short, coalesce(enter_tag, '-'), coalesce(exit_tag, '-'))), 1, 12))::BIGINT) FILTER (x), 0)::BIGINT AS digest FROM (SELECT *, enter_long + exit_long <> 0 AS x FROM sig) GROUP BY pair")(lambda s, d: op.signal_rows(src.signals(s, d)))
+query("signal_rows", "SELECT pair, count(*) AS rows, count(*) FILTER (x) AS signal_rows, (coalesce(sum(('0x' || substr(md5(concat_ws('|', ts, enter_long, enter_short, exit_long, exit_short, coalesce(enter_tag, '-'), coalesce(exit_tag, '-'))), 1, 12))::BIGINT) FILTER (x), 0)::HUGEINT % 281474976710656)::BIGINT AS digest FROM (SELECT *, enter_long + exit_long <> 0 AS x FROM sig) GROUP BY pair")(lambda s, d: op.signal_rows(src.signals(s, d)))
 query("signal_feature_samples", f"SELECT pair, ts, close, volume FROM sig WHERE ts IN ({TIMES[0]}, {TIMES[1]}) OR enter_long + exit_long <> 0")(lambda s, d: op.signal_feature_samples(src.signals(s, d), TIMES, ["close", "volume"]))
 query("tag_scope", "SELECT pair, ts, coalesce(enter_tag = '121', false) AS supported, CASE WHEN enter_tag = '141 142' THEN '142' ELSE '' END AS unknown_words FROM sig")(lambda s, d: op.tag_scope(src.signals(s, d), ["121", "141"]).select("pair", "ts", "supported", "unknown_words"))
 query("entry_eligible", "SELECT pair, ts, ts < max(ts) OVER (PARTITION BY pair) AS entry_eligible FROM sig")(lambda s, d: op.entry_eligible(src.signals(s, d)).select("pair", "ts", "entry_eligible"))

@@ -19,12 +19,18 @@ def session(name: str = "wickwork", **more: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where that is unset)."""
-    import tempfile
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
     import uuid
 
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not known.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and spark.sparkContext.master.startswith("local["):  # one machine: tests and trials
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="spark-")
+        if not named:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named)
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return f"{known.get()}/{label}-{uuid.uuid4().hex}"
