@@ -51,3 +51,19 @@ def test_twins(spark, name):
     got = queries.queries()[name](spark, SF).select(*want.columns)
     key = lambda r: tuple("~" if x is None else str(x) for x in r)
     assert sorted(key(tuple(r)) for r in got.collect()) == sorted(map(key, want.fetchall()))
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark, tmp_path):
+    """Awkward rows and an empty table pass every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _extra string, lang_pred string, bucket string"
+    text = " ".join(f"some plain words about item number {chr(97 + k)} and what was said of it" for k in range(12))
+    rows = [(k, text.replace("item", f"thing{k}"), "en", "a", 5, "x", "y", "z") for k in range(30)]
+    rows += [(30, None, None, None, None, None, None, None), (None, text, None, None, None, None, None, None), (None, text, None, None, None, None, None, None), (31, "", "en", "b", 0, "", "", ""), (32, text, None, "b", 1, "", "", "")]
+    spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, given in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(given, schema)
+        for stage, run in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{name}-{stage}")
+            run(spark, docs, str(tmp_path)).write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert (docs.count() > 0) == bool(given)

@@ -18,6 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and spark.sparkContext.master.startswith("local["):  # one machine: tests and trials
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="spark-")
     if not named:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(named)
