@@ -1,5 +1,7 @@
 """The pipeline on a small corpus: each stage's decisions, and the queries' columns."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -56,8 +58,10 @@ def test_twins(spark, name):
 def test_stages_take_nulls_repeats_and_empty_tables(spark, tmp_path):
     """Awkward rows and an empty table pass every stage."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, _extra string, lang_pred string, bucket string"
-    text = " ".join(f"some plain words about item number {chr(97 + k)} and what was said of it" for k in range(12))
-    rows = [(k, text.replace("item", f"thing{k}"), "en", "a", 5, "x", "y", "z") for k in range(30)]
+    rng = random.Random(1)
+    made = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(31)]
+    text = made[30]
+    rows = [(k, made[k], "en", "a", 5, "x", "y", "z") for k in range(30)]
     rows += [(30, None, None, None, None, None, None, None), (None, text, None, None, None, None, None, None), (None, text, None, None, None, None, None, None), (31, "", "en", "b", 0, "", "", ""), (32, text, None, "b", 1, "", "", "")]
     spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, given in (("some", rows), ("none", [])):
