@@ -18,19 +18,25 @@ st = lambda df, *cs: df.withColumns({c: steady(F.col(c)) for c in cs})  # noqa:
 r6 = lambda df, *cs: df.withColumns({c: F.round(c, 6) + 0.0 for c in cs})
 
 
+SCALE = 4096.0
+_scaled = lambda df, *cs: df.withColumns({c: F.col(c) / SCALE for c in cs})
+
 
 def _halved(s, d):
-    """The entries of closed trades at steady prices, each followed by an exit of half of what is held then."""
-    entries = src.trade_orders(s, d).where("is_entry").withColumn("price", steady(F.col("price")))
+    """The entries of closed trades, SCALE times as large and at steady prices, each followed by an exit of half of what is held then.
+
+    With that scale halves of up to twenty entries still have nine places.
+    """
+    entries = src.trade_orders(s, d).where("is_entry").withColumns({"price": steady(F.col("price")), "amount": F.col("amount") * SCALE})
     held = F.sum(F.col("amount") * F.pow(F.lit(2.0), F.col("sequence"))).over(op.Window.partitionBy("trade_id").orderBy("sequence")) / F.pow(F.lit(2.0), F.col("sequence") + 1)
     both = F.array(F.struct((F.col("sequence") * 2).alias("sequence"), F.lit(True).alias("is_entry"), F.col("amount").alias("amount")), F.struct((F.col("sequence") * 2 + 1).alias("sequence"), F.lit(False).alias("is_entry"), F.col("held").alias("amount")))
     return entries.withColumn("held", held).select("trade_id", "price", F.explode(both).alias("o")).select("trade_id", "price", "o.*")
 
 
 _HALVES = "SELECT trade_id, sum(amount * pow(2, sequence)) / pow(2, max(sequence) + 1) AS amount, sum(amount * p * pow(2, sequence)) / pow(2, max(sequence) + 1) AS stake, sum(amount * p) AS top FROM (SELECT *, steady(price) AS p FROM toe) GROUP BY trade_id"
-query("position_state", "SELECT trade_id, amount, steady(stake / leverage) AS stake, steady(top / leverage) AS max_stake, steady(stake / amount) AS average, NULL::VARCHAR AS error FROM halves JOIN theads USING (trade_id)", halves=_HALVES)(lambda s, d: st(op.position_state(_halved(s, d), src.trade_heads(s, d)), "stake", "max_stake", "average"))
+query("position_state", "SELECT trade_id, amount, steady(stake / leverage) AS stake, steady(top / leverage) AS max_stake, steady(stake / amount) AS average, NULL::VARCHAR AS error FROM halves JOIN theads USING (trade_id)", halves=_HALVES)(lambda s, d: st(_scaled(op.position_state(_halved(s, d), src.trade_heads(s, d)), "amount", "stake", "max_stake"), "stake", "max_stake", "average"))
 _GAIN = "SELECT trade_id, sequence, amount * pow(2, sequence) AS w, amount * p * pow(2, sequence) AS v, amount * p AS cost, p, sum(amount * pow(2, sequence)) OVER o / pow(2, sequence + 1) AS out, sum(amount * p * pow(2, sequence)) OVER o / pow(2, sequence + 1) AS worth FROM (SELECT *, steady(price) AS p FROM toe) WINDOW o AS (PARTITION BY trade_id ORDER BY sequence)"
-query("realized_profit_partial", "SELECT trade_id, steady(sum(CASE WHEN is_short THEN worth * (1 - fee_open) - out * p * (1 + fee_close) ELSE out * p * (1 - fee_close) - worth * (1 + fee_open) END)) AS profit, steady(sum(cost * CASE WHEN is_short THEN 1 - fee_open ELSE 1 + fee_open END)) AS entry_value FROM gain JOIN theads USING (trade_id) GROUP BY trade_id", gain=_GAIN)(lambda s, d: st(op.realized_profit(_halved(s, d), src.trade_heads(s, d)).drop("error"), "profit", "entry_value"))
+query("realized_profit_partial", "SELECT trade_id, steady(sum(CASE WHEN is_short THEN worth * (1 - fee_open) - out * p * (1 + fee_close) ELSE out * p * (1 - fee_close) - worth * (1 + fee_open) END)) AS profit, steady(sum(cost * CASE WHEN is_short THEN 1 - fee_open ELSE 1 + fee_open END)) AS entry_value FROM gain JOIN theads USING (trade_id) GROUP BY trade_id", gain=_GAIN)(lambda s, d: st(_scaled(op.realized_profit(_halved(s, d), src.trade_heads(s, d)).drop("error"), "profit", "entry_value"), "profit", "entry_value"))
 query("realized_profit_spot", "SELECT trade_id, steady(amount * close_rate * (1 - fee_close) - entry_value * (1 + fee_open)) AS profit, steady(entry_value * (1 + fee_open)) AS entry_value FROM closed")(lambda s, d: st(op.realized_profit(src.trade_orders(s, d), src.trade_heads(s, d).withColumn("is_short", F.lit(False))).drop("error"), "profit", "entry_value"))
 query("realized_profit_leveraged", "SELECT trade_id, steady(profit) AS profit, steady(paid) AS entry_value FROM closed")(lambda s, d: st(op.realized_profit(src.trade_orders(s, d), src.trade_heads(s, d)).drop("error"), "profit", "entry_value"))
 query("closed_trade_ratio", "SELECT trade_id, round(profit / paid * leverage, 6) AS ratio FROM closed")(lambda s, d: op.realized_profit(src.trade_orders(s, d), src.trade_heads(s, d)).join(src.trade_heads(s, d), "trade_id").select("trade_id", (F.round(op.closed_ratio(F.col("profit"), F.col("entry_value"), F.col("leverage")), 6) + 0.0).alias("ratio")))
