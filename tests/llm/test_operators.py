@@ -703,6 +703,16 @@ def test_boundaries_are_optimal():
         assert len(ends) <= buckets and cost(ends) == best
 
 
+def test_token_totals_are_those_of_the_library(spark):
+    count, counter = tokenizer(), token_counts.total_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = [" ", "  ", "\n", "\t", "\u3000", "'s", "'re", "don't", "<|endoftext|>", "\xe9", "\u65e5\u672c", "\xbd", "12", "a", "Word", "___", "#!", "\x85"]
+    draw = random.Random(3)
+    texts = ["".join(draw.choices(parts, k=draw.randint(1, 14))) for _ in range(3000)] + ["", "a" * 50_000, " " * 3000 + "x"]
+    assert [counter.total(x) for x in texts] == [count(x) for x in texts]
+    some = spark.createDataFrame([(1, None, 7), (2, "", 8), (3, "two words", 9)], "doc_id long, text string, n_tokens int")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_totals(some, public_tokenizers.path("byte_bpe_50k.json")).collect()} == {1: 0, 2: 0, 3: count("two words")}
+
+
 def test_packing(spark, docs, none, real):
     table = docs.union(real).withColumn("n", mixing.word_count("text")).withColumn("batch", F.lit("clash"))
     rows = packing.pack(table, "n", buckets=5, batch_tokens=3000).collect()

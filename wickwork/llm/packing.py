@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.common import chunk_bits, running, stored, with_chunk, with_row_id
-from wickwork.llm.token_counts import prefix_tokens
+from wickwork.llm.token_counts import token_totals
 
 BUCKETS, BATCH_TOKENS = 16, 16_384
 
@@ -88,5 +88,5 @@ def pack(docs: DataFrame, length: str, buckets: int = BUCKETS, batch_tokens: int
 
 def pack_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     """pack() by the tokens of each whole text: doc_id, n_tokens and the columns that pack() adds. A null text has no tokens."""
-    counted = prefix_tokens(docs.select("doc_id", "text"), tokenizer, keep_table=False)
+    counted = token_totals(docs.select("doc_id", "text"), tokenizer)
     return pack(counted.select("doc_id", "n_tokens"), "n_tokens")
