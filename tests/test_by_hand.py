@@ -189,9 +189,10 @@ def test_lock_emission(spark):
     assert [(r["pair"], r["until"], r["sequence"]) for r in guard.orderBy("sequence").collect()] == [("*", 120, 1), ("*", 120, 2)]
 
 
-def test_lock_emission_against_sequential_rule(spark):
+def test_lock_emission_against_sequential_rule(spark, monkeypatch):
     import random
 
+    monkeypatch.setattr(locks, "BLOCK", 16)  # many blocks, so that what earlier blocks hold is carried
     rng = random.Random(5)
     rows, active, want = [], [], []
     for k in range(300):
@@ -207,6 +208,23 @@ def test_lock_emission_against_sequential_rule(spark):
     assert sorted((r["sequence"], r["lock_end"]) for r in locks.emit_locks(df, 10).collect()) == want
 
 
+def test_guard_over_all_pairs_against_brute_force(spark):
+    import random
+
+    rng, day = random.Random(8), 86_400_000
+    times = sorted(rng.randrange(6 * day) for _ in range(150))
+    rows = [(k, k, rng.choice(["a", "b", None]), rng.random() < 0.5, t, -1.0, rng.choice([-0.5, 0.1]), rng.choice(["stop_loss", "roi"])) for k, t in enumerate(times)]
+    t = spark.createDataFrame(rows, "trade_id long, sequence long, pair string, is_short boolean, close_ts long, profit_abs double, profit_ratio double, exit_reason string")
+    for per_pair in (False, True):
+        want = []
+        for r in rows:
+            lost = [x[4] for x in rows if x[1] <= r[1] and x[4] >= r[4] - 2 * day and x[7] == "stop_loss" and x[6] < 0 and (x[2] == r[2] or not per_pair)]
+            if len(lost) >= 3:
+                want.append((r[1], max(lost) + 100))
+        got = locks.stoploss_requests(t, 2 * day, 3, 100, per_pair=per_pair)
+        assert sorted((r["sequence"], r["until"]) for r in got.collect()) == want and want
+
+
 def test_economics(spark):
     v = lambda c: value(spark, c)
     lit = F.lit
@@ -277,3 +295,14 @@ def test_export_in_a_zip(spark, tmp_path):
     row = one(t)
     assert (row["amount"], row["entry_tag"], row["is_short"], row["error"]) == ("1.5", "t", False, None)
     assert o.count() == 0 and k.count() == 0
+
+
+def test_dataset_digest_of_no_files_and_in_any_order(spark):
+    from wickwork.operators.universe import dataset_digest
+
+    kind = "path string, bytes long, sha256 string, rows long, first_ts long, last_ts long"
+    rows = [("b", 2, "y", None, None, None), ("a", 1, "x", 5, 1, 9), ("a", 1, "x", 5, 1, 9)]
+    first, second = (one(dataset_digest(spark.createDataFrame(x, kind))) for x in (rows, rows[::-1]))
+    assert first == second and (first["files"], first["bytes"]) == (3, 4)
+    assert one(dataset_digest(spark.createDataFrame([], kind)))["files"] == 0
+    assert one(dataset_digest(spark.createDataFrame(rows[:2], kind)))["digest"] != first["digest"]

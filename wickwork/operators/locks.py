@@ -47,20 +47,48 @@ def _lookback(trades: DataFrame, lookback_ms: int, same_pair: bool, keep: Column
     return joined.where((F.col("b_sequence") <= F.col("sequence")) & (F.col("b_close_ts") >= F.col("close_ts") - lookback_ms) & (F.col("b_close_ts") <= F.col("close_ts")))
 
 
+#: Closes a block of `emit_locks` holds.
+BLOCK = 10_000
+
+
+def _running(rows: DataFrame, keys: list[str], block: Column, order: list, sums: dict[str, Column], highs: dict[str, Column] | None = None) -> DataFrame:
+    """Adds running sums and maxima of each key: totals by block first, then inside each block. Blocks must rise with the order.
+
+    No window holds more than a block's rows, or one row a block, so neither a key with very many rows nor all rows as one key end up in one task. Sums of decimals keep eight places.
+    """
+    highs = highs or {}
+    made = [*[(k, F.sum, c) for k, c in sums.items()], *[(k, F.max, c) for k, c in highs.items()]]
+    kinds = dict(rows.select(*[c.alias(k) for k, c in sums.items()]).dtypes)
+    exact = lambda k: F.coalesce(k, F.lit(0)).cast("decimal(28,8)" if kinds[k.lstrip("_")].startswith("decimal") else kinds[k.lstrip("_")])
+    out = rows.withColumn("_block", block)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = out.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b")).agg(*[f(c).alias(f"_{k}") for k, f, c in made])
+    before = totals.select(*[f"_k_{k}" for k in keys], "_b", *[f(f"_{k}").over(earlier).alias(f"_{k}") for k, f, _ in made])
+    same = F.col("_block").eqNullSafe(F.col("_b"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    both = out.withColumns({k: f(c).over(inside) for k, f, c in made}).join(before, same, "left")
+    both = both.withColumns({k: exact(k) + exact(f"_{k}") for k in sums} | {k: F.greatest(k, f"_{k}") for k in highs})
+    return both.select(*rows.columns, *sums, *highs)
+
+
+def _day(c: str) -> Column:
+    return F.floor(F.col(c) / DAY_MS)
+
+
 def running_lookback(trades: DataFrame, lookback_ms: int, keys: list[str], measures: dict[str, Column]) -> DataFrame:
     """Sums, over each trade's look-back, of measures by key, as running totals up to its sequence less those before the look-back.
 
-    A running total is written to every close; the one before the look-back is the latest at an earlier time, carried forward in one stream
-    per key. So no pair of trades is formed and the cost does not grow with the length of the look-back.
+    A question stands in the stream of closes at the start of each look-back, before closes of the same time, and adds nothing to the totals.
+    So no pair of trades is formed and the cost does not grow with the length of the look-back.
     """
-    of = Window.partitionBy(*keys).orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0) if keys else Window.orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    run = trades.withColumns({f"_r_{k}": F.sum(v).over(of) for k, v in measures.items()})
-    marks = run.select(*keys, F.col("close_ts").alias("_at"), F.lit(0).alias("_kind"), F.col("sequence").alias("_seq"), *[F.col(f"_r_{k}") for k in measures])
-    asks = run.withColumn("_at", F.col("close_ts") - lookback_ms).withColumn("_kind", F.lit(-1)).withColumn("_seq", F.col("sequence"))
-    both = asks.unionByName(marks.withColumnsRenamed({f"_r_{k}": f"_m_{k}" for k in measures}), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_at", "_kind", "_seq") if keys else Window.orderBy("_at", "_kind", "_seq")
-    carried = both.withColumns({f"_b_{k}": F.last(f"_m_{k}", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for k in measures}).where("_kind = -1")
-    return carried.select(*trades.columns, *[(F.col(f"_r_{k}") - F.coalesce(f"_b_{k}", F.lit(0))).alias(k) for k in measures])
+    run = _running(trades.withColumns({f"_v_{k}": v for k, v in measures.items()}), keys, _day("close_ts"), ["sequence"], {f"r_{k}": F.col(f"_v_{k}") for k in measures})
+    closes = run.select(*keys, F.col("close_ts").alias("_at"), F.lit(0).alias("_kind"), F.col("sequence").alias("_seq"), *[f"_v_{k}" for k in measures])
+    asks = run.drop(*[f"_v_{k}" for k in measures]).withColumn("_at", F.col("close_ts") - lookback_ms).withColumn("_kind", F.lit(-1)).withColumn("_seq", F.col("sequence"))
+    both = asks.unionByName(closes, allowMissingColumns=True)
+    carried = _running(both, keys, _day("_at"), ["_at", "_kind", "_seq"], {f"b_{k}": F.col(f"_v_{k}") for k in measures}).where("_kind = -1")
+    return carried.select(*trades.columns, *[(F.col(f"r_{k}") - F.col(f"b_{k}")).alias(k) for k in measures])
 
 
 def stoploss_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_ms: int, required: float = 0.0, per_pair: bool = True, per_side: bool = False, handler: int = 1) -> DataFrame:
@@ -68,11 +96,9 @@ def stoploss_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_
     loss = F.col("exit_reason").isin("stop_loss", "trailing_stop_loss", "liquidation") & (F.col("profit_abs") != 0) & (F.col("profit_ratio") < required)
     keys = [*["pair"] * per_pair, *["is_short"] * per_side]
     counted = running_lookback(trades, lookback_ms, keys, {"losses": loss.cast("long")})
-    of = Window.partitionBy(*keys).orderBy("sequence") if keys else Window.orderBy("sequence")
-    latest = F.last(F.when(loss, F.col("close_ts")), ignorenulls=True).over(of.rowsBetween(Window.unboundedPreceding, 0))
-    hit = counted.withColumn("_latest", latest).where(F.col("losses") >= limit)
+    hit = _running(counted, keys, _day("close_ts"), ["sequence"], {}, {"latest": F.when(loss, F.col("close_ts"))}).where(F.col("losses") >= limit)
     side = F.when(F.col("is_short"), "short").otherwise("long") if per_side else F.lit("*")
-    return _request(hit, F.col("pair") if per_pair else F.lit("*"), side, F.col("_latest") + duration_ms, "stoploss_guard", not per_pair, handler)
+    return _request(hit, F.col("pair") if per_pair else F.lit("*"), side, F.col("latest") + duration_ms, "stoploss_guard", not per_pair, handler)
 
 
 def low_profit_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_ms: int, required: float = 0.0, per_side: bool = False, handler: int = 2) -> DataFrame:
@@ -95,8 +121,8 @@ def drawdown_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_
     base = trades
     if start is not None:
         run = running_lookback(trades, lookback_ms, [], {"inside": F.round("profit_abs", 8).cast("decimal(28,8)")})
-        total = F.sum(F.round("profit_abs", 8).cast("decimal(28,8)")).over(Window.orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0))
-        base = run.withColumn("_before", (total - F.col("inside")).cast("double")).drop("inside")
+        total = _running(run, [], _day("close_ts"), ["sequence"], {"total": F.round("profit_abs", 8).cast("decimal(28,8)")})
+        base = total.withColumn("_before", (F.col("total") - F.col("inside")).cast("double")).drop("inside", "total")
         before = F.lit(start) + F.col("_before")
     joined = _lookback(base, lookback_ms, False)
     rows = joined.groupBy("sequence").agg(F.array_sort(F.collect_list(F.struct("b_sequence", value.alias("v")))).alias("path"), F.any_value("close_ts").alias("close_ts"), F.any_value(before).alias("_from"))
@@ -125,9 +151,9 @@ def emit_locks(requests: DataFrame, size_ms: int) -> DataFrame:
     pairs = F.when(F.col("pair") == "*", F.array(F.lit("*"))).otherwise(F.array("pair", F.lit("*")))
     sides = F.when(F.col("side") == "*", F.array(F.lit("*"))).otherwise(F.array("side", F.lit("*")))
     asks = rows.withColumn("s_pair", F.explode(pairs)).withColumn("s_side", F.explode(sides)).select(*REQUEST, "lock_end", "s_pair", "s_side", F.lit(0).alias("is_mark"))
-    scope = Window.partitionBy("s_pair", "s_side").orderBy(*order, "is_mark").rowsBetween(Window.unboundedPreceding, -1)
-    seen = marks.unionByName(asks).withColumn("_end", F.max(F.when(F.col("is_mark") == 1, F.col("lock_end"))).over(scope)).where("is_mark = 0")
-    free = seen.groupBy(*REQUEST, "lock_end").agg(F.max("_end").alias("_end")).where(F.col("_end").isNull() | (F.col("_end") <= F.col("until")))
+    # an ask stands before its own mark and adds nothing, so the maximum up to it is that of earlier requests
+    seen = _running(marks.unionByName(asks), ["s_pair", "s_side"], F.floor(F.col("sequence") / BLOCK), [*order, "is_mark"], {}, {"seen": F.when(F.col("is_mark") == 1, F.col("lock_end"))}).where("is_mark = 0")
+    free = seen.groupBy(*REQUEST, "lock_end").agg(F.max("seen").alias("seen")).where(F.col("seen").isNull() | (F.col("seen") <= F.col("until")))
     return free.select("pair", "side", F.col("ts").alias("lock_ts"), "lock_end", "reason", "sequence")
 
 

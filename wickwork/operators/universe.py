@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Hexadecimal digits of a path's hash that name its part of a digest: 4,096 parts.
+PART_DIGITS = 3
+
 
 def validate_pairlist(df: DataFrame, spot: bool = True) -> DataFrame:
     """Error code of each pair (order, pair), NULL if it is sound: name, spot (a settle currency in a spot list), duplicate."""
@@ -63,6 +66,13 @@ def verify_inventory(sealed: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def dataset_digest(inventory: DataFrame) -> DataFrame:
-    """One row: files, bytes, and a digest over (path, bytes, hash, coverage) in path order."""
+    """One row: files, bytes, and a digest over (path, bytes, hash, coverage).
+
+    Lines are dealt into 16 ** PART_DIGITS parts by a hash of the path and sorted there; the digest is SHA-256 over the digests of the parts in order, so no task holds all lines.
+    """
     line = F.concat_ws("|", "path", F.col("bytes").cast("string"), "sha256", F.coalesce(F.col("rows").cast("string"), F.lit("-")), F.coalesce(F.col("first_ts").cast("string"), F.lit("-")), F.coalesce(F.col("last_ts").cast("string"), F.lit("-")))
-    return inventory.agg(F.count("*").alias("files"), F.sum("bytes").cast("long").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    part = F.substring(F.sha2(F.coalesce("path", F.lit("")), 256), 1, PART_DIGITS)
+    lines = inventory.select(part.alias("part"), "bytes", line.alias("line")).groupBy("part")
+    parts = lines.agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "d")))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.sum("b").cast("long").alias("bytes"), F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat(x["part"], F.lit(":"), x["d"])), "\n"), 256).alias("digest"))

@@ -70,12 +70,17 @@ query("feature_union", "SELECT DISTINCT unnest(string_split(o_orderpriority, '-'
 
 
 def _inventory(s, d, changed=False):
+    """Files of the run records: all (None), those sealed, or those found later with changes."""
     r = src.run_records(s, d)
-    h = F.when(F.lit(changed) & (F.col("arrival") % 97 == 5), "changed").otherwise(F.col("result_sha256"))
-    b = F.floor("peak_rss_bytes") + F.when(F.lit(changed) & (F.col("arrival") % 101 == 3), 1).otherwise(0)
+    h = F.when(F.lit(bool(changed)) & (F.col("arrival") % 97 == 5), "changed").otherwise(F.col("result_sha256"))
+    b = F.floor("peak_rss_bytes") + F.when(F.lit(bool(changed)) & (F.col("arrival") % 101 == 3), 1).otherwise(0)
     out = r.select(F.concat(F.lit("f"), F.col("arrival").cast("string")).alias("path"), b.alias("bytes"), h.alias("sha256"), F.col("pair_count").cast("long").alias("rows"), F.col("updated_at").alias("first_ts"), F.col("updated_at").alias("last_ts"), "arrival")
+    if changed is None:
+        return out
     return out.where("arrival % 89 <> 1") if changed else out.where("arrival % 83 <> 2")
 
 
 query("verify_inventory", "SELECT 'f' || arrival AS path, CASE WHEN arrival % 89 = 1 THEN 'missing' WHEN arrival % 83 = 2 THEN 'unsealed' WHEN arrival % 101 = 3 THEN 'size' ELSE 'hash' END AS reason FROM runs WHERE (arrival % 89 = 1 OR arrival % 83 = 2 OR arrival % 101 = 3 OR arrival % 97 = 5) AND NOT (arrival % 89 = 1 AND arrival % 83 = 2)")(lambda s, d: uni.verify_inventory(_inventory(s, d), _inventory(s, d, True)))
-query("dataset_digest", "SELECT count(*) AS files, sum(floor(peak_rss_bytes)::BIGINT)::BIGINT AS bytes, sha256(string_agg(l, chr(10) ORDER BY l)) AS digest FROM (SELECT peak_rss_bytes, concat_ws('|', 'f' || arrival, floor(peak_rss_bytes)::BIGINT, result_sha256, pair_count, updated_at, updated_at) AS l FROM runs WHERE arrival % 83 <> 2)")(lambda s, d: uni.dataset_digest(_inventory(s, d)))
+_LINES = "SELECT substr(sha256('f' || arrival), 1, 3) AS part, floor(peak_rss_bytes)::BIGINT AS b, concat_ws('|', 'f' || arrival, floor(peak_rss_bytes)::BIGINT, result_sha256, pair_count, updated_at, updated_at) AS l FROM runs"
+_PARTS = "SELECT part, count(*) AS n, sum(b) AS b, sha256(string_agg(l, chr(10) ORDER BY l)) AS d FROM file_lines GROUP BY part"
+query("dataset_digest", "SELECT sum(n)::BIGINT AS files, sum(b)::BIGINT AS bytes, sha256(string_agg(part || ':' || d, chr(10) ORDER BY part)) AS digest FROM file_parts", file_lines=_LINES, file_parts=_PARTS)(lambda s, d: uni.dataset_digest(_inventory(s, d, None)))
