@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wickwork.functions.timeframes import DAY_MS
+from wickwork.session import scratch
 
 REQUEST = ("pair", "side", "ts", "until", "reason", "sequence", "is_global", "handler")
 
@@ -51,15 +52,19 @@ def _lookback(trades: DataFrame, lookback_ms: int, same_pair: bool, keep: Column
 BLOCK = 10_000
 
 
-def _running(rows: DataFrame, keys: list[str], block: Column, order: list, sums: dict[str, Column], highs: dict[str, Column] | None = None) -> DataFrame:
+def _running(rows: DataFrame, keys: list[str], block: Column | None, order: list, sums: dict[str, Column], highs: dict[str, Column] | None = None) -> DataFrame:
     """Adds running sums and maxima of each key: totals by block first, then inside each block. Blocks must rise with the order.
 
-    No window holds more than a block's rows, or one row a block, so neither a key with very many rows nor all rows as one key end up in one task. Sums of decimals keep eight places.
+    No window holds more than a block's rows, or one row a block, so neither a key with very many rows nor all rows as one key end up in one task. The rows are evaluated
+    twice. Without a block there is one window a key, which suits keys by pair. Sums of decimals keep eight places.
     """
     highs = highs or {}
     made = [*[(k, F.sum, c) for k, c in sums.items()], *[(k, F.max, c) for k, c in highs.items()]]
     kinds = dict(rows.select(*[c.alias(k) for k, c in sums.items()]).dtypes)
     exact = lambda k: F.coalesce(k, F.lit(0)).cast("decimal(28,8)" if kinds[k.lstrip("_")].startswith("decimal") else kinds[k.lstrip("_")])
+    if block is None:
+        of = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({k: f(c).over(of) for k, f, c in made}).withColumns({k: exact(k) for k in sums})
     out = rows.withColumn("_block", block)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,8 +78,9 @@ def _running(rows: DataFrame, keys: list[str], block: Column, order: list, sums:
     return both.select(*rows.columns, *sums, *highs)
 
 
-def _day(c: str) -> Column:
-    return F.floor(F.col(c) / DAY_MS)
+def _day(c: str, keys: list[str]) -> Column | None:
+    """Days as blocks of what is not told apart by pair."""
+    return None if "pair" in keys else F.floor(F.col(c) / DAY_MS)
 
 
 def running_lookback(trades: DataFrame, lookback_ms: int, keys: list[str], measures: dict[str, Column]) -> DataFrame:
@@ -83,11 +89,11 @@ def running_lookback(trades: DataFrame, lookback_ms: int, keys: list[str], measu
     A question stands in the stream of closes at the start of each look-back, before closes of the same time, and adds nothing to the totals.
     So no pair of trades is formed and the cost does not grow with the length of the look-back.
     """
-    run = _running(trades.withColumns({f"_v_{k}": v for k, v in measures.items()}), keys, _day("close_ts"), ["sequence"], {f"r_{k}": F.col(f"_v_{k}") for k in measures})
+    run = _running(trades.withColumns({f"_v_{k}": v for k, v in measures.items()}), keys, _day("close_ts", keys), ["sequence"], {f"r_{k}": F.col(f"_v_{k}") for k in measures})
     closes = run.select(*keys, F.col("close_ts").alias("_at"), F.lit(0).alias("_kind"), F.col("sequence").alias("_seq"), *[f"_v_{k}" for k in measures])
     asks = run.drop(*[f"_v_{k}" for k in measures]).withColumn("_at", F.col("close_ts") - lookback_ms).withColumn("_kind", F.lit(-1)).withColumn("_seq", F.col("sequence"))
     both = asks.unionByName(closes, allowMissingColumns=True)
-    carried = _running(both, keys, _day("_at"), ["_at", "_kind", "_seq"], {f"b_{k}": F.col(f"_v_{k}") for k in measures}).where("_kind = -1")
+    carried = _running(both, keys, _day("_at", keys), ["_at", "_kind", "_seq"], {f"b_{k}": F.col(f"_v_{k}") for k in measures}).where("_kind = -1")
     return carried.select(*trades.columns, *[(F.col(f"r_{k}") - F.col(f"b_{k}")).alias(k) for k in measures])
 
 
@@ -96,7 +102,7 @@ def stoploss_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_
     loss = F.col("exit_reason").isin("stop_loss", "trailing_stop_loss", "liquidation") & (F.col("profit_abs") != 0) & (F.col("profit_ratio") < required)
     keys = [*["pair"] * per_pair, *["is_short"] * per_side]
     counted = running_lookback(trades, lookback_ms, keys, {"losses": loss.cast("long")})
-    hit = _running(counted, keys, _day("close_ts"), ["sequence"], {}, {"latest": F.when(loss, F.col("close_ts"))}).where(F.col("losses") >= limit)
+    hit = _running(counted, keys, _day("close_ts", keys), ["sequence"], {}, {"latest": F.when(loss, F.col("close_ts"))}).where(F.col("losses") >= limit)
     side = F.when(F.col("is_short"), "short").otherwise("long") if per_side else F.lit("*")
     return _request(hit, F.col("pair") if per_pair else F.lit("*"), side, F.col("latest") + duration_ms, "stoploss_guard", not per_pair, handler)
 
@@ -121,7 +127,7 @@ def drawdown_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_
     base = trades
     if start is not None:
         run = running_lookback(trades, lookback_ms, [], {"inside": F.round("profit_abs", 8).cast("decimal(28,8)")})
-        total = _running(run, [], _day("close_ts"), ["sequence"], {"total": F.round("profit_abs", 8).cast("decimal(28,8)")})
+        total = _running(run, [], _day("close_ts", []), ["sequence"], {"total": F.round("profit_abs", 8).cast("decimal(28,8)")})
         base = total.withColumn("_before", (F.col("total") - F.col("inside")).cast("double")).drop("inside", "total")
         before = F.lit(start) + F.col("_before")
     joined = _lookback(base, lookback_ms, False)
@@ -144,7 +150,9 @@ def emit_locks(requests: DataFrame, size_ms: int) -> DataFrame:
     The end is rounded up to the next candle, one more if it is on a boundary. A request is left out if a scope that covers it already ends later than its `until`. What
     ended later was emitted or was itself covered by something later still, so a running maximum over all earlier requests decides.
     """
-    rows = requests.withColumn("lock_end", (F.floor(F.col("until") / size_ms) + 1) * size_ms)
+    path = scratch(requests.sparkSession, "requests")  # asked four times below
+    requests.select(*REQUEST).write.parquet(path)
+    rows = requests.sparkSession.read.parquet(path).withColumn("lock_end", (F.floor(F.col("until") / size_ms) + 1) * size_ms)
     order = [F.col("sequence"), F.col("is_global"), F.col("handler"), F.col("pair"), F.col("side")]
     # every request asks the scopes that cover it; every request also marks its own scope
     marks = rows.select(*REQUEST, "lock_end", F.col("pair").alias("s_pair"), F.col("side").alias("s_side"), F.lit(1).alias("is_mark"))
