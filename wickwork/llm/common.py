@@ -46,11 +46,11 @@ def delete(spark: SparkSession, path: str) -> None:
 BATCH_ROWS = 1_000
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: later plans start from files that outlive executors."""
+def stored(df: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write a table to the shared folder and read it again: later plans start from files that outlive executors. batch_rows: rows of an Arrow batch meanwhile."""
     path, conf, name = scratch_path(df.sparkSession, label), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
-    conf.set(name, str(BATCH_ROWS))
+    conf.set(name, str(batch_rows))
     try:
         df.write.parquet(path)
     finally:

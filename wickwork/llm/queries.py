@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import langid, licenses, media, mixing, near_dedup, packing, quality, sharding, token_counts, warc
+from wickwork.llm import langid, licenses, media, mixing, near_dedup, packing, phrases, quality, sharding, token_counts, topk, warc, whitening
 
 TOKENIZER, TOKEN_LIMIT, SHARDS = "byte_bpe_50k.json", 1024, 40
 
@@ -69,6 +69,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents").select("text", "lang"), top=2000, least=30)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8)
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_token_counts, op2_sharding, op3_near_dedup, op4_warc, op5_webp, op6_licenses, op7_mixing, op8_quality, op9_packing, op10_language)
+    made = (op1_token_counts, op2_sharding, op3_near_dedup, op4_warc, op5_webp, op6_licenses, op7_mixing, op8_quality, op9_packing, op10_language, op11_phrases, op12_whitening, op13_topk)
     return {f.__name__: f for f in made}
