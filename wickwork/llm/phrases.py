@@ -26,7 +26,7 @@ LONGEST, SCALE = 4, 2_000_000
 #: Bits of a sieve (8 MB each); a task holds five at most.
 SIEVE_BITS = 26
 #: Words that a task counts at a time, and bytes of text that it cuts into words at a time.
-BUFFER_WORDS, SLICE_BYTES = 1_500_000, 1 << 20
+BUFFER_WORDS, SLICE_BYTES = 2_500_000, 1 << 20
 #: The first level is the score of the bigram at this multiple of the wanted number; every further round doubles it.
 FIRST_LEVEL = 1.5
 
@@ -35,8 +35,8 @@ _TO_SPACE = bytes.maketrans(_STOPS + b"\t", b"\n" * len(_STOPS) + b" ")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def _word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang))
+def _seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang)
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,14 +49,14 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Words(dict):
     """Numbers for the words of one language, given on first sight; all languages of a buffer share the lists."""
 
-    def __init__(self, lang: str, words: list, hashes: list, langs: list):
-        self.lang, self.words, self.hashes, self.langs = lang, words, hashes, langs
+    def __init__(self, code: int, words: list, codes: list):
+        self.code, self.words, self.codes = code, words, codes
+        self[b"."] = -1
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.words)
         self.words.append(word)
-        self.hashes.append(_word_hash(self.lang, word))
-        self.langs.append(self.lang)
+        self.codes.append(self.code)
         return n
 
 
@@ -80,16 +80,24 @@ class _Buffer:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.hashes, self.langs, self.by_lang, self.parts, self.size = [], [], [], {}, [], 0
+        self.words, self.codes, self.by_lang, self.parts, self.size = [], [], {}, [], 0
 
     def add(self, lang: str, tokens: list[bytes]) -> None:
         known = self.by_lang.get(lang)
         if known is None:
-            known = self.by_lang[lang] = _Words(lang, self.words, self.hashes, self.langs)
-            dict.__setitem__(known, b".", -1)
+            known = self.by_lang[lang] = _Words(len(self.by_lang), self.words, self.codes)
         self.parts.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
         self.size += len(tokens)
 
+    def hashes(self) -> np.ndarray:
+        """Hash of every word in its language, and a last one for what is no word."""
+        seeds, digest = [_seed(x) for x in self.by_lang], xxhash.xxh64_intdigest
+        return np.array([*(digest(w, seeds[c]) for w, c in zip(self.words, self.codes)), 0], np.uint64)
+
+    def langs(self, numbers: np.ndarray) -> pa.Array:
+        """Languages of the words with these numbers."""
+        return pa.array(list(self.by_lang), pa.string()).take(pa.array(np.array(self.codes, np.int64)[numbers]))
+
     def stop(self) -> None:
         self.parts.append(np.array([-1]))
 
@@ -136,13 +144,11 @@ def _word_rows(buffer: _Buffer, numbers: np.ndarray, already: int) -> Iterator[p
     """(lang, phrase, f) of single words; a null phrase counts all words of its language."""
     new = numbers[already:]
     counts = np.bincount(new[new >= 0], minlength=len(buffer.words))
-    totals = dict.fromkeys(buffer.by_lang, 0)
-    for lang, count in zip(buffer.langs, counts.tolist()):
-        totals[lang] += count
-    yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "phrase", "f"])
+    totals = np.bincount(np.array(buffer.codes, np.int64), counts, len(buffer.by_lang)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(buffer.by_lang), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(totals)], ["lang", "phrase", "f"])
     seen = np.flatnonzero(counts)
     words = pa.array([buffer.words[i] for i in seen], pa.binary()).cast(pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array([buffer.langs[i] for i in seen], pa.string()), words, pa.array(counts[seen])], ["lang", "phrase", "f"])
+    yield pa.RecordBatch.from_arrays([buffer.langs(seen), words, pa.array(counts[seen])], ["lang", "phrase", "f"])
 
 
 def _windows(numbers: np.ndarray, already: int, size: int) -> np.ndarray:
@@ -156,7 +162,7 @@ def _hash_rows(frequent):
     """(h, f): counts of hashes of pairs of two frequent words."""
 
     def rows(buffer: _Buffer, numbers: np.ndarray, already: int) -> Iterator[pa.RecordBatch]:
-        by_word = np.array([*buffer.hashes, 0], np.uint64)
+        by_word = buffer.hashes()
         often = np.append(_passes(frequent.value, by_word[:-1]), False)
         starts = _windows(numbers, already, 2)
         a, b = numbers[starts], numbers[starts + 1]
@@ -171,7 +177,7 @@ def _phrase_rows(size: int, wanted):
     """(lang, phrase, f): counts of the windows of this size that wanted(hashes) marks; hashes(i, j) gives the hash of words i to j of all windows that are left."""
 
     def rows(buffer: _Buffer, numbers: np.ndarray, already: int) -> Iterator[pa.RecordBatch]:
-        by_word = np.array([*buffer.hashes, 0], np.uint64)
+        by_word = buffer.hashes()
         starts = wanted(_Hashes(numbers, by_word, _windows(numbers, already, size)))
         # equal windows, exactly: pairs of numbers are renumbered, then joined with the next word
         code, width = numbers[starts], len(buffer.words)
@@ -181,8 +187,7 @@ def _phrase_rows(size: int, wanted):
         at = starts[first]
         words = [[buffer.words[x] for x in numbers[at + i]] for i in range(size)]
         phrases = pa.array([b" ".join(p) for p in zip(*words)], pa.binary()).cast(pa.string())
-        langs = pa.array([buffer.langs[x] for x in numbers[at]], pa.string())
-        yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts)], ["lang", "phrase", "f"])
+        yield pa.RecordBatch.from_arrays([buffer.langs(numbers[at]), phrases, pa.array(counts)], ["lang", "phrase", "f"])
 
     return rows
 
@@ -212,7 +217,7 @@ def _sieve(phrases: DataFrame):
                 continue
             made = np.zeros(b.num_rows, np.uint64)
             for i, (lang, phrase) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                h = [np.uint64(_word_hash(lang, w)) for w in phrase.encode("utf-8", "surrogatepass").split(b" ")]
+                h = [np.uint64(xxhash.xxh64_intdigest(w, _seed(lang))) for w in phrase.encode("utf-8", "surrogatepass").split(b" ")]
                 made[i] = h[0]
                 for w in h[1:]:
                     made[i : i + 1] = _joined(made[i : i + 1], np.array([w]))

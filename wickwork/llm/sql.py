@@ -41,25 +41,25 @@ FROM q LEFT JOIN n ON q.no = n.no AND q.k = n.k AND q.upto = n.upto AND q.size >
 
 _PHRASES = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS ws FROM p),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
 t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
 g AS (SELECT lang, len(g) AS size, array_to_string(g, ' ') AS phrase, any_value(g) AS ws, count(*) AS f
-      FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - s + 2), i -> ws[i : i + s - 1])) AS g FROM w, range(1, 5) AS x(s) WHERE len(ws) >= s) GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+      FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - s + 2), lambda i: ws[i : i + s - 1])) AS g FROM w, range(1, 5) AS x(s) WHERE len(ws) >= s) GROUP BY 1, 2, 3 HAVING count(*) >= 30),
 k AS (SELECT *, unnest(range(1, size)) AS k FROM g WHERE size > 1),
 c AS (SELECT k.lang, k.phrase, k.k, k.f AS a, l.f AS l, r.f AS r, (2000000::HUGEINT * k.f) // (l.f + r.f) AS score
       FROM k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[:k.k], ' ') JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1 :], ' ')),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 h AS (SELECT lang, inner_phrase, max(f) AS f FROM (
-        SELECT lang, f, unnest(list_transform(range(1, size - s + 2), i -> array_to_string(ws[i : i + s - 1], ' '))) AS inner_phrase FROM g, range(2, 4) AS x(s) WHERE size > s) GROUP BY 1, 2),
+        SELECT lang, f, unnest(list_transform(range(1, size - s + 2), lambda i: array_to_string(ws[i : i + s - 1], ' '))) AS inner_phrase FROM g, range(2, 4) AS x(s) WHERE size > s) GROUP BY 1, 2),
 o AS (SELECT b.* FROM b LEFT JOIN h ON h.lang = b.lang AND h.inner_phrase = b.phrase WHERE h.f IS NULL OR 100 * h.f < 80 * b.a)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN t USING (lang) WHERE rank <= 2000
 """
 
 _TOPK = """
-WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, c -> floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
-s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2]))::BIGINT AS score
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
       FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) <= 5
