@@ -119,7 +119,41 @@ def test_orders_that_cannot_be_filled(spark):
         assert (state["amount"], state["stake"], state["max_stake"], state["error"]) == (2.0, 100.0, 100.0, code)
         assert (profit["profit"], profit["error"]) == (0.0, code)
     stepped = one(trades.position_state(orders(spark, [(True, 1.27, 100.26, "")]), heads, 0.1, 0.5))
-    assert (stepped["amount"], stepped["average"]) == (1.2, 106.0)  # 1.27 * 100.26 over 1.2 held, in halves
+    assert (stepped["amount"], stepped["average"]) == (1.2, 100.5)  # steps come last: the average is that of the order
+    assert stepped["stake"] == pytest.approx(1.27 * 100.26 / 2, abs=1e-12)
+
+
+def test_steps_come_once_after_all_orders(spark):
+    two = one(trades.position_state(orders(spark, [(True, 0.6, 10, ""), (True, 0.6, 10, "")]), amount_step=1.0))
+    assert (two["amount"], two["average"], two["stake"]) == (1.0, 10.0, 12.0)
+    four = one(trades.position_state(orders(spark, [(True, 1, 100.1, ""), (True, 1, 100.2, ""), (True, 1, 100.62, ""), (True, 1, 100.8, "")]), price_step=0.5))
+    assert (four["average"], round(four["stake"], 9)) == (100.5, 401.72)
+
+
+def test_replay_of_any_size(spark):
+    """Amounts from 1e-18 to 1e15 and beyond, exact; what is closed has no state; what is not finite is an error."""
+    for size in (1e-18, 1e-10, 1e12, 1e15, 1e200):
+        s = one(trades.position_state(orders(spark, [(True, 3 * size, 2.5, ""), (False, size, 7.0, ""), (True, size, 2.5, "")])))
+        assert (s["error"], s["average"]) == (None, 2.5) and s["amount"] == pytest.approx(3 * size, rel=1e-15) and s["max_stake"] == pytest.approx(10 * size, rel=1e-15)
+    closed = one(trades.position_state(orders(spark, [(True, 1e-9, 3.0, ""), (False, 1e-9, 4.0, "")])))
+    assert (closed["amount"], closed["stake"], closed["average"], closed["error"]) == (None, None, None, "closed")
+    bad = one(trades.position_state(orders(spark, [(True, float("nan"), 3.0, "")])))
+    assert bad["error"] == "amount"
+    heads = spark.createDataFrame([(1, False, 0.001, 0.001)], "trade_id long, is_short boolean, fee_open double, fee_close double")
+    tiny = one(trades.realized_profit(orders(spark, [(True, 1e12, 1e-9, ""), (False, 1e12, 3e-9, "")]), heads))
+    assert tiny["profit"] == pytest.approx(3000 * 0.999 - 1000 * 1.001, abs=1e-8)
+
+
+def test_small_ticks(spark):
+    v = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    f = lambda x: F.lit(float(x))
+    assert v(eco.quantize_step(f(1.23e-7), f(1e-10), "floor")) == 1.23e-7
+    for x, step, how, want in ((8.45, 0.01, "floor", 8.45), (0.4599999999999991, 0.01, "floor", 0.45), (0.044361, 0.0001, "ceil", 0.0444), (20.56249, 0.0001, "round", 20.5625), (100.0000000003, 1, "ceil", 101.0), (5e15, 0.5, "ceil", 5e15), (-0.25, 0.1, "floor", -0.3), (3.3, 0, "floor", 3.3)):
+        assert v(eco.quantize_step(f(x), f(step), how)) == want
+    assert v(eco.entry_amount(f(100), f(1), f(1.23456789e-6), f(1))) == 81_000_000.0
+    assert v(eco.entry_amount(f(100), f(1), f(5e-10), f(1))) == 2e11
+    assert v(eco.partial_exit_amount(f(1e-7), f(5e-7), f(2e-7), f(1e-10))) == 2.5e-7
+    assert v(eco.entry_amount(f(100), f(1), f(0), f(1))) is None
 
 
 def test_timeout_after_a_hole(spark):
@@ -256,10 +290,93 @@ def test_scalars(spark):
 def test_first_difference(spark):
     a = spark.createDataFrame([(0, "x", 1.0), (1, "y", 2.0), (2, None, 3.0)], "sequence long, pair string, amount double")
     b = spark.createDataFrame([(0, "x", 1.0), (1, "y", 2.0), (2, "z", 4.0)], "sequence long, pair string, amount double")
-    assert one(compare.surface_diff(a, b)) == {"path": "$[2].pair", "expected": None, "actual": "z", "reason": "value"}
+    assert one(compare.surface_diff(a, b)) == {"path": "$.trades[2].pair", "expected": "null", "actual": "z", "expected_type": "NoneType", "actual_type": "str", "reason": "type"}
     assert compare.surface_diff(a, a).count() == 0
-    assert one(compare.surface_diff(a, a.where("sequence < 1")))["path"] == "$[1]"
+    short = one(compare.surface_diff(a, a.where("sequence < 1")))
+    assert (short["path"], short["expected"], short["actual"], short["reason"]) == ("$.trades.length", "3", "1", "length")
+    assert one(compare.surface_diff(a.where("sequence < 2"), b))["reason"] == "length"
+    assert one(compare.surface_diff(a, b.where("sequence < 2")))["path"] == "$.trades.length"
     assert one(compare.confirmation_report(a, a))["equal"] is True
+    # another type of an equal value, a column that one side lacks
+    assert one(compare.surface_diff(a, a.withColumn("amount", F.col("amount").cast("string"))))["reason"] == "type"
+    extra = one(compare.surface_diff(a, a.withColumn("more", F.lit(1))))
+    assert (extra["path"], extra["reason"]) == ("$.trades[0].more", "unexpected")
+    assert one(compare.surface_diff(a, a.drop("pair")))["reason"] == "missing"
+    assert one(compare.confirmation_report(a, a.withColumn("more", F.lit(1))))["equal"] is False
+
+
+def walked(a, b, path=""):
+    """All differences of two JSON values in the order of a reader."""
+    if type(a) is not type(b):
+        return [(path, "type")]
+    if isinstance(a, dict):
+        out = []
+        for k in a:
+            out += walked(a[k], b[k], f"{path}.{k}") if k in b else [(f"{path}.{k}", "missing")]
+        return out + [(f"{path}.{k}", "unexpected") for k in b if k not in a]
+    if isinstance(a, list):
+        out = [d for i, (x, y) in enumerate(zip(a, b)) for d in walked(x, y, f"{path}[{i}]")]
+        return out + [(f"{path}.length", "length")] * (len(a) != len(b))
+    return [(path, "value")] * (a != b)
+
+
+def test_differences_at_every_depth(spark):
+    import json
+    import random
+
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.choice("idlsfnb" if depth else "d")
+        if kind == "d" and depth < 4:
+            return {k: value(depth + 1) for k in rng.sample("zyxab", rng.randint(0, 4))}
+        if kind == "l" and depth < 4:
+            return [value(depth + 1) for _ in range(rng.randint(0, 3))]
+        return {"i": rng.randint(0, 2), "s": rng.choice("ab"), "f": rng.choice([1.0, 2.5]), "n": None, "b": True}.get(kind, 0)
+
+    def changed(x):
+        if rng.random() < 0.15:
+            return value(1)
+        if isinstance(x, dict):
+            items = [(k, changed(v)) for k, v in x.items() if rng.random() > 0.1]
+            rng.shuffle(items)
+            return dict(items) | ({"new": 1} if rng.random() < 0.1 else {})
+        return [changed(v) for v in x] if isinstance(x, list) else x
+
+    pairs = [(k, a, changed(a)) for k, a in enumerate(value(0) for _ in range(120))]
+    rows = spark.createDataFrame([(k, json.dumps(a), json.dumps(b)) for k, a, b in pairs], "key long, expected string, actual string")
+    found = compare.document_differences(rows).orderBy("key", "ord").collect()
+    for k, a, b in pairs:
+        assert [(r["path"], r["reason"]) for r in found if r["key"] == k] == walked(a, b)
+
+
+def test_event_streams(spark):
+    e = spark.createDataFrame([(k, k, "p", "a", "c", f'{{"wallet":{{"free":"{1000 - k}"}}}}') for k in range(4)], "sequence long, ts long, phase string, pair string, callback string, state string")
+    a = compare.hashed_events(e)
+    b = compare.hashed_events(e.withColumn("state", F.when(F.col("sequence") >= 2, F.lit('{"wallet":{"free":"9"}}')).otherwise(F.col("state"))))
+    assert compare.trace_diff(a, a).count() == 0
+    assert one(compare.trace_diff(a, b)) == {"sequence": 2, "path": "$.state.wallet.free", "expected": "998", "actual": "9", "reason": "value"}
+    assert one(compare.trace_diff(a.drop("state"), b.drop("state")))["path"] == "$.event_hash"
+    short = one(compare.trace_diff(a, a.where("sequence < 3")))
+    assert (short["sequence"], short["path"], short["expected"], short["actual"]) == (3, "$.events.length", "4", "3")
+    assert one(compare.trace_diff(a, a.withColumn("phase", F.lit("q"))))["path"] == "$.event_key.phase"
+    assert one(compare.trace_diff(a, b, {"mode": "spot"}, {"mode": "futures"}))["path"] == "$.header.mode"
+    assert compare.trace_diff(a, a, {"mode": "spot"}, {"mode": "spot"}).count() == 0
+
+
+def test_mismatch_report(spark):
+    a = spark.createDataFrame([(k, "x", 10 * k) for k in range(3)], "sequence long, pair string, close_ts long")
+    c = spark.createDataFrame([(p, t) for t in range(0, 60, 5) for p in ("x", "y")], "pair string, ts long")
+    b = a.withColumn("close_ts", F.when(F.col("sequence") == 1, F.lit(15)).otherwise(F.col("close_ts")))
+    r = one(compare.mismatch_report(a, b, c))
+    assert (r["cutoff"], r["replay_candles"], r["replay_pairs"]) == (15, 8, 2)
+    assert (r["expected_fragment"], r["actual_fragment"]) == ('{"pair":"x","close_ts":10}', '{"pair":"x","close_ts":15}')
+    gone = one(compare.mismatch_report(a, a.where("sequence < 2"), c))
+    assert (gone["cutoff"], gone["path"], gone["actual_fragment"]) == (20, "$.trades.length", '{"missing":true}')
+    same = one(compare.mismatch_report(a, a, c))
+    assert (same["cutoff"], same["expected_fragment"], same["equal"]) == (55, None, True)
+    event = spark.createDataFrame([(5,)], "ts long")
+    assert one(compare.mismatch_report(a, b, c, state_difference=event))["cutoff"] == 5
 
 
 def test_events(spark):

@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Context, Decimal, localcontext
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-#: Operands of exact arithmetic: products and quotients of these keep 15 and 18 places.
-EXACT, MONEY = "decimal(20,9)", "decimal(29,15)"
+#: Places of exact steps: doubles from LARGE on have no more than 18 in their shortest text, smaller ones no more than 29 down to 1e-12.
+LARGE, SMALL_KIND, LARGE_KIND = 1e6, "decimal(36,29)", "decimal(36,18)"
 
 
 def quantize_step(value: Column, step: Column, how: str) -> Column:
-    """Exact multiple of step below (floor), above (ceil) or nearest (round, half up) a value, from the shortest text of both."""
-    v, s = value.cast("string").cast("decimal(38,18)"), step.cast("string").cast("decimal(38,18)")
-    rest = v % s
-    units = ((v - rest) / s).cast("decimal(38,0)")
-    more = F.lit(False) if how == "floor" else rest > 0 if how == "ceil" else rest + rest >= s
-    whole = (units + F.when(more, 1).otherwise(0)).cast("decimal(20,0)")
-    out = (whole * s.cast(EXACT)).cast("double")
-    return F.when(step > 0, out).otherwise(value)
+    """Exact multiple of step below (floor), above (ceil) or nearest (round, half away from zero) a value, from the shortest text of both; the value itself unless the step is above 0.
+
+    Steps have 18 places beside values from a million on, else 29.
+    """
+
+    def within(kind: str) -> Column:
+        v, s = value.cast("string").try_cast(kind), step.cast("string").try_cast(kind)
+        rest = v % s
+        none, two = F.lit(0).cast(kind), rest + rest
+        up, down = {"floor": (F.lit(False), rest < 0), "ceil": (rest > 0, F.lit(False)), "round": (two >= s, two <= -s)}[how]
+        return (v - rest + F.when(up, s).when(down, -s).otherwise(none)).cast("double")
+
+    return F.when(step > 0, F.when((F.abs(value) < LARGE) & (step < LARGE), within(SMALL_KIND)).otherwise(within(LARGE_KIND))).otherwise(value)
+
+
+def exact_quotient(a: Column, b: Column, c: Column) -> Column:
+    """a * b / c of doubles, exact to 18 places and turned into a double once, at any size; NULL for a divisor of 0."""
+    return _quotient(a.cast("double"), b.cast("double"), c.cast("double"))
+
+
+@F.pandas_udf(DoubleType())
+def _quotient(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    """Products and quotients of doubles of any size are beyond Spark's decimals."""
+    exact = lambda x: Decimal(repr(x)) if math.isfinite(x) else None
 
+    def one(x: Decimal | None, y: Decimal | None, z: Decimal | None) -> float | None:
+        if x is None or y is None or not z:
+            return None
+        whole, rest = divmod(x * y, z)
+        return float(whole + (rest.scaleb(18) // z).scaleb(-18))
 
-def tick_round(value: Column, step: Column, how: str) -> Column:
-    """quantize_step of a value that was computed in decimals, so no rounding comes before the step."""
-    return quantize_step(value, step, how)
+    with localcontext(Context(prec=700)):
+        return pd.Series([one(exact(x), exact(y), exact(z)) for x, y, z in zip(a.tolist(), b.tolist(), c.tolist())], dtype="float64")
 
 
 def entry_amount(stake: Column, leverage: Column, rate: Column, step: Column) -> Column:
     """Amount that a stake buys, in whole steps."""
-    return tick_round((stake.cast(EXACT) * leverage.cast(EXACT)).cast(MONEY) / rate.cast(EXACT), step, "floor")
+    return quantize_step(exact_quotient(stake, leverage, rate), step, "floor")
 
 
 def entry_stake(amount: Column, rate: Column, leverage: Column) -> Column:
@@ -57,9 +82,8 @@ def proposed_stake(available: Column, tied: Column, slots: Column, fixed: Column
 
 def initial_stop(rate: Column, stop: Column, leverage: Column, is_short: Column, step: Column) -> Column:
     """Stop price: for a long rounded up, for a short rounded down. stop is negative for a loss."""
-    share = (stop.cast(EXACT) / leverage.cast(EXACT)).cast("decimal(20,15)")
-    at = lambda sign: rate.cast(EXACT) * (F.lit(1).cast("decimal(20,15)") + sign * share).cast("decimal(20,15)")
-    return F.when(is_short, tick_round(at(-1), step, "floor")).otherwise(tick_round(at(1), step, "ceil"))
+    share = stop.cast("double") / leverage.cast("double")
+    return F.when(is_short, quantize_step(rate * (1 - share), step, "floor")).otherwise(quantize_step(rate * (1 + share), step, "ceil"))
 
 
 def adjusted_stop(current: Column, candidate: Column, is_short: Column) -> Column:
@@ -127,7 +151,7 @@ def price_distance(rate: Column, reference: Column) -> Column:
 
 def partial_exit_amount(requested: Column, amount: Column, stake: Column, step: Column) -> Column:
     """Amount of an exit worth `requested` stake in whole steps; NULL unless it leaves something and is something."""
-    out = tick_round((requested.cast(EXACT) * amount.cast(EXACT)).cast(MONEY) / stake.cast("decimal(26,12)"), step, "floor")
+    out = quantize_step(exact_quotient(requested, amount, stake), step, "floor")
     return F.when((requested < stake) & (out > 0) & (out < amount), out)
 
 

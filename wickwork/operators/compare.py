@@ -1,7 +1,7 @@
 """Exact comparison of trade logs and state-event streams, down to the first differing field.
 
-Both sides are melted to one row a field and joined in full on their position; whole rows are compared by hash first, so
-only rows that differ are melted.
+Rows become JSON documents, nested fields included, and are compared by digest first. Only documents that differ are taken apart, into one row a node with its path and
+its place in document order, and joined in full by path; so a difference has an exact path at any depth, and the first one is a minimum.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from wickwork.session import stored
+
 
 def canonical_decimal(c: Column) -> Column:
     """Decimal text without exponent, trailing zeros or a sign on zero; NULL for text that is not a finite number.
@@ -29,54 +31,171 @@ def canonical_decimal(c: Column) -> Column:
     return F.when(sound, F.concat(F.when((parts(1) == "-") & (plain != "0"), "-").otherwise(""), plain))
 
 
-def _text(name: str, kind: T.DataType) -> Column:
-    """A field as text, exactly: doubles by their shortest form."""
-    return F.col(name).cast("string")
+#: Types of document nodes; objects and arrays hold others.
+OBJECT, ARRAY = "dict", "list"
+#: Order keys: what only the actual side has comes after all of the expected side's keys; a length comes after all elements.
+_EXTRA, _LENGTH = 1 << 30, (1 << 31) - 1
+_NODES = "ord array<int>, path string, parent string, parent_type string, type string, value string, size int"
+_DIFFS = ["key", "ord", "path", "expected", "actual", "expected_type", "actual_type", "reason"]
+
+
+def document(df: DataFrame, key: str, fields: list[str] | None = None) -> DataFrame:
+    """(key, doc): each row's fields, nested ones too, as one JSON document in the order of the columns. Nulls stay."""
+    fields = fields or [c for c in df.columns if c != key]
+    return df.select(F.col(key).alias("key"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("doc"))
+
+
+def _flatten(text: str):
+    """Nodes of one JSON document, each before its children: (ord, path, parent, parent's type, type, value, size). Keys keep the order of the text."""
+    import json
+
+    todo = [([], "", None, None, json.loads(text))]
+    while todo:
+        at, path, parent, parent_type, x = todo.pop()
+        kind = type(x).__name__
+        if isinstance(x, dict):
+            children, value = [([*at, i], f"{path}.{k}", path, kind, v) for i, (k, v) in enumerate(x.items())], None
+        elif isinstance(x, list):
+            children, value = [([*at, i], f"{path}[{i}]", path, kind, v) for i, v in enumerate(x)], None
+        else:
+            children, value = [], x if isinstance(x, str) else json.dumps(x)
+        yield at, path, parent, parent_type, kind, value, len(children)
+        todo.extend(reversed(children))
+
 
+def _nodes(docs: DataFrame) -> DataFrame:
+    """All nodes of the documents (key, doc), one row each."""
+    schema = T.StructType([docs.schema["key"], *T.StructType.fromDDL(_NODES).fields])
 
-def _melted(df: DataFrame, key: str, fields: list[str], side: str) -> DataFrame:
-    each = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(f).alias("field"), _text(f, df.schema[f].dataType).alias(side)) for k, f in enumerate(fields)])
-    return df.select(key, F.explode(each).alias("e")).select(key, "e.*")
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [(i, *n) for i, doc in enumerate(b.column(1).to_pylist()) for n in _flatten(doc)]
+            if rows:
+                at, *cells = zip(*rows)
+                kinds = [pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array(c, k) for c, k in zip(cells, kinds)]], schema.names)
+
+    return docs.select("key", "doc").mapInArrow(run, schema)
+
+
+def differing_rows(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(key, expected, actual): documents of the keys that differ, null where a side has none. Only digests of equal documents are shuffled with them."""
+    digest = lambda df, h: df.select("key", F.sha2("doc", 256).alias(h))
+    off = digest(expected, "ha").join(digest(actual, "hb"), "key", "full_outer").where("not (ha <=> hb)").select("key")
+    out = off.join(expected.withColumnRenamed("doc", "expected"), "key", "left").join(actual.withColumnRenamed("doc", "actual"), "key", "left")
+    return out.select("key", "expected", "actual")
+
+
+def document_differences(rows: DataFrame) -> DataFrame:
+    """Every structural difference of pairs of documents (key, expected, actual): key, ord, path below the document, both values and types, reason.
+
+    Reasons: type, missing (a key that only expected has), unexpected (one that only actual has), length (of arrays, after their common elements) and value. Nothing below
+    a difference is listed. ord sorts the differences of a document as a reader meets them who follows expected's keys and then actual's further ones.
+    """
+    both = rows.where("expected is not null and actual is not null")
+    a, b = _nodes(both.select("key", F.col("expected").alias("doc"))), _nodes(both.select("key", F.col("actual").alias("doc")))
+    x = a.select("key", "path", *[F.col(c).alias(f"a_{c}") for c in ("ord", "parent", "parent_type", "type", "value", "size")])
+    y = b.select("key", "path", *[F.col(c).alias(f"b_{c}") for c in ("ord", "parent", "parent_type", "type", "value", "size")])
+    nodes = x.join(y, ["key", "path"], "full_outer")
+    is_both, array = F.col("a_type").isNotNull() & F.col("b_type").isNotNull(), F.col("a_type") == ARRAY
+    reason = F.when(is_both & (F.col("a_type") != F.col("b_type")), "type").when(is_both & array & (F.col("a_size") != F.col("b_size")), "length")
+    reason = reason.when(is_both & ~F.col("a_type").isin(OBJECT, ARRAY) & (F.col("a_value") != F.col("b_value")), "value")
+    reason = reason.when(F.col("b_type").isNull() & (F.col("a_parent_type") == OBJECT), "missing").when(F.col("a_type").isNull() & (F.col("b_parent_type") == OBJECT), "unexpected")
+    found = nodes.withColumn("reason", reason).where("reason is not null").withColumn("_up", F.coalesce("a_parent", "b_parent"))
+    # a lone key counts only if both sides have its parent as an object; its place is below that of the parent on the expected side
+    parents = nodes.where(is_both & (F.col("a_type") == OBJECT) & (F.col("b_type") == OBJECT)).select("key", F.col("path").alias("_up"), F.col("a_ord").alias("_up_ord"))
+    alone = F.col("reason").isin("missing", "unexpected")
+    found = found.where(~alone).withColumn("_up_ord", F.col("a_ord")).unionByName(found.where(alone).join(parents, ["key", "_up"]))
+    last = lambda n: F.concat("_up_ord", F.array(n.cast("int")))
+    order = F.when(F.col("reason") == "unexpected", last(F.element_at("b_ord", -1) + _EXTRA)).when(F.col("reason") == "length", last(F.lit(_LENGTH))).otherwise(F.col("a_ord"))
+    length = F.col("reason") == "length"
+    value = lambda s: F.when(length, F.col(f"{s}_size").cast("string")).otherwise(F.col(f"{s}_value"))
+    path = F.concat("path", F.when(length, ".length").otherwise(""))
+    return found.select("key", order.alias("ord"), path.alias("path"), value("a").alias("expected"), value("b").alias("actual"), F.col("a_type").alias("expected_type"), F.col("b_type").alias("actual_type"), "reason")
 
 
 def differences(expected: DataFrame, actual: DataFrame, key: str = "sequence", fields: list[str] | None = None) -> DataFrame:
-    """All differing fields: key, ord, field, expected, actual, reason (missing, unexpected or value).
+    """All differing fields of two logs: key, ord, field (path below the row), expected, actual, both types, reason.
+
+    Columns may be nested; types and columns that only one side has differ like keys of documents. A row that only one side has is missing or unexpected.
+    """
+    rows = differing_rows(document(expected, key, fields), document(actual, key, fields and [c for c in fields if c in actual.columns]))
+    return _all_differences(rows).withColumnsRenamed({"key": key, "path": "field"}).withColumn("field", F.regexp_replace("field", r"^\.", ""))
+
+
+def _all_differences(rows: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    lonely = rows.where("expected is null or actual is null").select("key", F.array().cast("array<int>").alias("ord"), F.lit("").alias("path"), none.alias("expected"), none.alias("actual"), none.alias("expected_type"), none.alias("actual_type"), F.when(F.col("actual").isNull(), "missing").otherwise("unexpected").alias("reason"))
+    return lonely.unionByName(document_differences(rows)).select(*_DIFFS)
+
+
+def first_difference(rows: DataFrame, root: str = "$.trades") -> DataFrame:
+    """One row, or none if the logs are equal: path, expected, actual, both types, reason of the earliest difference between rows as differing_rows gives them.
 
-    A row that only one side has is one difference of its first field.
+    Only the documents of the first differing key are taken apart. Rows that one side alone has are a difference of length, which comes after all others.
     """
-    fields = fields or [c for c in expected.columns if c != key]
-    digest = lambda df: df.withColumn("_h", F.xxhash64(*[F.coalesce(_text(f, df.schema[f].dataType), F.lit("\0")) for f in fields]))
-    a, b = digest(expected.select(key, *fields)), digest(actual.select(key, *fields))
-    heads = a.select(key, F.col("_h").alias("ha")).join(b.select(key, F.col("_h").alias("hb")), key, "full_outer").where("not (ha <=> hb)")
-    lonely = heads.where("ha is null or hb is null").select(key, F.lit(0).alias("ord"), F.lit("").alias("field"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual"), F.when(F.col("hb").isNull(), "missing").otherwise("unexpected").alias("reason"))
-    both = heads.where("ha is not null and hb is not null").select(key)
-    x = _melted(a.join(both, key, "left_semi"), key, fields, "expected")
-    y = _melted(b.join(both, key, "left_semi"), key, fields, "actual")
-    off = x.join(y, [key, "ord", "field"]).where("not (expected <=> actual)").withColumn("reason", F.lit("value"))
-    return lonely.unionByName(off)
+    shared = rows.where("expected is not null and actual is not null")
+    head = shared.agg(F.min_by(F.struct("key", "expected", "actual"), "key").alias("x")).where("x is not null").select("x.*")
+    row = F.struct(*_DIFFS)
+    first = document_differences(head).agg(F.min_by(row, "ord").alias("x")).where("x is not null").select("x.*")
+    out = first.select(F.concat(F.lit(f"{root}["), F.col("key").cast("string"), F.lit("]"), "path").alias("path"), *_DIFFS[3:])
+    only = lambda c: F.count_if(F.col(c).isNotNull())
+    lonely = rows.where("expected is null or actual is null").agg(F.min("key").alias("key"), only("expected").alias("e"), only("actual").alias("a")).where("key is not null")
+    # where keys count up from 0, the shorter side ends at the first key that it lacks
+    short = F.col("key").cast("string")
+    length = lonely.select(F.lit(f"{root}.length").alias("path"), F.when(F.col("e") > 0, (F.col("key") + F.col("e")).cast("string")).otherwise(short).alias("expected"), F.when(F.col("e") > 0, short).otherwise((F.col("key") + F.col("a")).cast("string")).alias("actual"), F.lit("int").alias("expected_type"), F.lit("int").alias("actual_type"), F.lit("length").alias("reason"))
+    ranked = out.withColumn("_no", F.lit(0)).unionByName(length.withColumn("_no", F.lit(1)))
+    return ranked.agg(F.min_by(F.struct(*ranked.columns), "_no").alias("x")).where("x is not null").select("x.*").drop("_no")
 
 
-def first_difference(diffs: DataFrame, key: str = "sequence") -> DataFrame:
-    """One row, or none if there is no difference: path, expected, actual, reason of the earliest."""
-    row = F.struct(key, "ord", "field", "expected", "actual", "reason")
-    first = diffs.agg(F.min_by(row, F.struct(key, "ord")).alias("x")).where("x is not null").select("x.*")
-    path = F.concat(F.lit("$["), F.col(key).cast("string"), F.lit("]"), F.when(F.col("field") != "", F.concat(F.lit("."), F.col("field"))).otherwise(""))
-    return first.select(path.alias("path"), "expected", "actual", "reason")
+def _compared(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """The differing documents of two logs, stored: every report asks them several times."""
+    return stored(differing_rows(document(expected, key), document(actual, key)), "differing")
 
 
-def surface_diff(expected: DataFrame, actual: DataFrame, key: str = "sequence") -> DataFrame:
-    """First difference of two trade logs by position."""
-    return first_difference(differences(expected, actual, key), key)
+def surface_diff(expected: DataFrame, actual: DataFrame, key: str = "sequence", root: str = "$.trades") -> DataFrame:
+    """First difference of two trade logs by position, at any depth: path, expected, actual, expected_type, actual_type, reason."""
+    return first_difference(_compared(expected, actual, key), root)
 
 
-def trace_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """First difference of two event streams: the event's key fields come before its hash, and the hash before its state fields.
+#: What stands before an event's state, in the order of comparison.
+EVENT_KEY = ["sequence", "ts", "phase", "pair", "callback"]
 
-    Events: sequence, ts, phase, pair, callback, event_hash and any state fields.
+
+def trace_diff(a: DataFrame, b: DataFrame, header_a: dict | None = None, header_b: dict | None = None) -> DataFrame:
+    """First difference of two event streams: sequence, path, expected, actual, reason; no row if there is none.
+
+    Headers, if given, come first ($.header.<field>), then at each event its key ($.event_key.<field>), the fields of its state, a JSON document ($.state...), and its
+    hash ($.event_hash), which alone decides whether the state is looked at; last the number of events ($.events.length). Streams without state compare by hash.
     """
-    key = ["ts", "phase", "pair", "callback"]
-    fields = [*key, "event_hash", *[c for c in a.columns if c not in ("sequence", "event_hash", *key)]]
-    return first_difference(differences(a, b, "sequence", fields))
+    spark = a.sparkSession
+    if header_a is not None and header_b is not None:
+        off = [(None, f"$.header.{f}", str(v), None if header_b.get(f) is None else str(header_b[f]), "header") for f, v in header_a.items() if header_b.get(f) != v]
+        if off:
+            return spark.createDataFrame(off[:1], "sequence long, path string, expected string, actual string, reason string")
+    at = lambda df: df.withColumn("_key", F.to_json(F.struct(*EVENT_KEY), {"ignoreNullFields": "false"})).select(F.col("sequence").cast("long").alias("key"), "_key", "event_hash", *([c for c in ["state"] if c in df.columns]))
+    x, y = at(a), at(b)
+    has_state = "state" in x.columns and "state" in y.columns
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{s}{c}") for c in df.columns if c != "key"])
+    marks = side(x.drop("state"), "a").join(side(y.drop("state"), "b"), "key", "full_outer").where("not (a_key <=> b_key and aevent_hash <=> bevent_hash)")
+    marks = stored(marks, "events")
+    first = marks.where("a_key is not null and b_key is not null").agg(F.min_by(F.struct("*"), "key").alias("x")).where("x is not null").select("x.*")
+    keys = document_differences(first.select("key", F.col("a_key").alias("expected"), F.col("b_key").alias("actual"))).withColumn("path", F.concat(F.lit("$.event_key"), "path")).withColumn("_no", F.lit(0))
+    found = keys
+    if has_state:
+        one = F.broadcast(first.select("key"))  # one row
+        states = x.join(one, "key").select("key", F.col("state").alias("expected")).join(y.join(one, "key").select("key", F.col("state").alias("actual")), "key")
+        found = found.unionByName(document_differences(states).withColumn("path", F.concat(F.lit("$.state"), "path")).withColumn("_no", F.lit(1)))
+    none = F.array().cast("array<int>")
+    hashes = first.where("not (aevent_hash <=> bevent_hash)").select("key", none.alias("ord"), F.lit("$.event_hash").alias("path"), F.col("aevent_hash").alias("expected"), F.col("bevent_hash").alias("actual"), F.lit("str").alias("expected_type"), F.lit("str").alias("actual_type"), F.lit("value").alias("reason"), F.lit(2).alias("_no"))
+    lonely = marks.where("a_key is null or b_key is null").agg(F.min("key").alias("key"), F.count("a_key").alias("e"), F.count("b_key").alias("n")).where("key is not null")
+    ends = lambda c, other: F.when(F.col(c) > 0, F.col("key") + F.col(c)).otherwise(F.col("key")).cast("string")
+    length = lonely.select("key", none.alias("ord"), F.lit("$.events.length").alias("path"), ends("e", "n").alias("expected"), ends("n", "e").alias("actual"), F.lit("int").alias("expected_type"), F.lit("int").alias("actual_type"), F.lit("length").alias("reason"), F.lit(3).alias("_no"))
+    every = found.unionByName(hashes).unionByName(length)
+    best = every.agg(F.min_by(F.struct("key", "path", "expected", "actual", "reason"), F.struct("_no", "ord")).alias("x")).where("x is not null").select("x.*")
+    return best.withColumnRenamed("key", "sequence")
 
 
 def fragment(a: DataFrame, b: DataFrame, index: int, key: str = "sequence") -> DataFrame:
@@ -85,28 +204,35 @@ def fragment(a: DataFrame, b: DataFrame, index: int, key: str = "sequence") -> D
     return x.unionByName(y)
 
 
-def confirmation_report(expected: DataFrame, actual: DataFrame, key: str = "sequence") -> DataFrame:
-    """One row: rows of both sides, whether they are equal, and the first difference."""
-    diffs = differences(expected, actual, key)
-    first = first_difference(diffs, key)
+def _confirmed(expected: DataFrame, actual: DataFrame, rows: DataFrame) -> DataFrame:
+    first = first_difference(rows)
     sizes = expected.agg(F.count("*").alias("expected_rows")).crossJoin(actual.agg(F.count("*").alias("actual_rows")))  # one row each
-    counted = diffs.agg(F.count_distinct(key).alias("differing_rows"))
+    counted = rows.agg(F.count("*").alias("differing_rows"))
     return sizes.crossJoin(counted).join(first, F.lit(True), "left").withColumn("equal", F.col("differing_rows") == 0)
 
 
-def mismatch_report(expected: DataFrame, actual: DataFrame, candles: DataFrame, key: str = "sequence") -> DataFrame:
-    """Confirmation report with the replay: candles and pairs up to the later close of the two trades that differ first, else to the end.
+def confirmation_report(expected: DataFrame, actual: DataFrame, key: str = "sequence") -> DataFrame:
+    """One row: rows of both sides, how many differ, the first difference (path, values, types, reason) and whether they are equal."""
+    return _confirmed(expected, actual, _compared(expected, actual, key))
+
+
+def mismatch_report(expected: DataFrame, actual: DataFrame, candles: DataFrame, key: str = "sequence", state_difference: DataFrame | None = None) -> DataFrame:
+    """Confirmation report with the replay: candles and pairs up to the cutoff, and both sides' fragments of the trade that differs first.
 
-    Trades need close_ts.
+    The cutoff is the time of the first differing state event (ts), if given; else the later close of the two trades that differ first; else the last candle. Fragments are
+    the trades as JSON, {"missing":true} for a side that has none, null if nothing differs. Trades need close_ts.
     """
-    diffs = differences(expected, actual, key)
-    at = diffs.agg(F.min(key).alias("_at"))
-    ends = expected.select(key, "close_ts").unionByName(actual.select(key, "close_ts")).join(F.broadcast(at), F.col(key) == F.col("_at"))  # one row
-    cutoff = ends.agg(F.max("close_ts").alias("cutoff"))
+    rows = _compared(expected, actual, key)
+    # a missing row is the first difference only if no row of both sides differs
+    first = rows.agg(F.min_by(F.struct("key", "expected", "actual"), F.struct(F.col("expected").isNull() | F.col("actual").isNull(), "key")).alias("x")).select("x.*")
+    gone = F.when(F.col("key").isNotNull(), F.lit('{"missing":true}'))
+    first = F.broadcast(first.select(F.col("key").alias("_at"), F.coalesce("expected", gone).alias("expected_fragment"), F.coalesce("actual", gone).alias("actual_fragment")))  # one row
+    ends = expected.select(key, "close_ts").unionByName(actual.select(key, "close_ts")).join(first, F.col(key) == F.col("_at")).agg(F.max("close_ts").alias("_trade"))
+    event = state_difference.agg(F.min("ts").alias("_event")) if state_difference is not None else candles.sparkSession.range(1).select(F.lit(None).cast("long").alias("_event"))
     last = candles.agg(F.max("ts").alias("_last"))
-    kept = candles.crossJoin(F.broadcast(cutoff.crossJoin(last))).where(F.col("ts") <= F.coalesce("cutoff", "_last"))  # one row
-    replay = kept.agg(F.coalesce(F.max("cutoff"), F.max("_last")).alias("cutoff"), F.count("*").alias("replay_candles"), F.count_distinct("pair").alias("replay_pairs"))
-    return confirmation_report(expected, actual, key).crossJoin(replay)
+    cutoff = F.broadcast(ends.crossJoin(event).crossJoin(last).select(F.coalesce("_event", "_trade", "_last").alias("cutoff")))  # one row
+    kept = candles.join(cutoff, F.col("ts") <= F.col("cutoff")).agg(F.count("*").alias("replay_candles"), F.count_distinct("pair").alias("replay_pairs"))
+    return _confirmed(expected, actual, rows).crossJoin(cutoff).crossJoin(kept).crossJoin(first.drop("_at"))
 
 
 def validate_surface(trades: DataFrame, decimals: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wickwork.functions.economics import quantize_step
 from wickwork.functions.timeframes import DAY_MS, timeframe_ms
 from wickwork.operators.candles import by_time
 
@@ -150,7 +151,7 @@ def first_barrier(entries: DataFrame, candles: DataFrame, stop: float, timeout_m
     raw = lambda share: side(F.col("open_rate") * (1 - share), F.col("open_rate") * (1 + share))
 
     def tick(c):
-        return c if step is None else side(F.ceil(F.round(c / step, 9)) * step, F.floor(F.round(c / step, 9)) * step)
+        return c if step is None else side(quantize_step(c, F.lit(step), "ceil"), quantize_step(c, F.lit(step), "floor"))
 
     stop_rate = tick(raw(stop))
     liq_rate = tick(raw(liquidation)) if liquidation is not None else F.lit(None).cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wickwork.functions.economics import quantize_step
+from wickwork.operators.replay import order_arrays, position_state, realized_profit  # noqa: F401
 
 MONEY = "decimal(38,18)"
 LEVELS = 5
@@ -24,90 +24,6 @@ _MANUAL = ["gm0", "gmd0"]
 DERISK_TAGS = ("d", "d1", "derisk_level_1", "derisk_level_2", "derisk_level_3")
 
 
-def order_arrays(orders: DataFrame, *columns: str) -> DataFrame:
-    """One row a trade with its orders as a sorted array of structs."""
-    row = F.struct("sequence", *[c for c in columns if c != "sequence"])
-    return orders.groupBy("trade_id").agg(F.array_sort(F.collect_list(row)).alias("orders"))
-
-
-#: Exact types of amounts and fees, of prices, and of money and averages: quotients and products of these keep 12 places at least.
-AMOUNT, PRICE, RATE = "decimal(20,9)", "decimal(26,15)", "decimal(29,15)"
-
-
-def position_state(orders: DataFrame, heads: DataFrame | None = None, amount_step: float | None = None, price_step: float | None = None) -> DataFrame:
-    """amount, stake (at the weighted entry), max_stake and average of what each trade holds after all its orders, and the error of the first order that cannot be filled.
-
-    Exact decimals: 9 places for amounts, 15 for prices and money. An entry adds its cost by leverage to max_stake, which an exit never lowers; an exit leaves the average as it is. With
-    amount_step what is left is cut to whole steps, with price_step the average is rounded to whole steps (half up). heads: trade_id, leverage (1 if it is not given).
-    error: `amount` or `price` that is not above 0 or NULL, `holding` for an exit of more than is held, NULL for a sound log; orders from the first bad one on do not count.
-    """
-    exact = lambda c, kind: F.coalesce(c, F.lit(0.0)).cast(kind)
-    zero = F.struct(*[F.lit(0).cast(k).alias(n) for n, k in (("amount", AMOUNT), ("stake", RATE), ("top", RATE), ("average", RATE))], F.lit(None).cast("string").alias("error"))
-    rounded = lambda c, step, how, kind: c if step is None else quantize_step(c, F.lit(step), how).cast(kind)
-
-    def fold(leverage: Column) -> Column:
-        def step(s: Column, o: Column) -> Column:
-            size, price = exact(o["amount"], AMOUNT), exact(o["price"], PRICE)
-            wrong = F.when(size <= 0, "amount").when(price <= 0, "price").when(~o["is_entry"] & (size > s["amount"]), "holding")
-            error = F.coalesce(s["error"], wrong)
-            held = rounded(F.when(o["is_entry"], s["amount"] + size).otherwise(s["amount"] - size).cast(AMOUNT), amount_step, "floor", AMOUNT)
-            cost = ((size * price).cast(RATE) / leverage).cast(RATE)
-            bought = (s["amount"] * s["average"] + size * price).cast(RATE)
-            average = F.when(o["is_entry"], rounded(F.try_divide(bought, held).cast(RATE), price_step, "round", RATE)).otherwise(s["average"]).cast(RATE)
-            stake = ((held * average).cast(RATE) / leverage).cast(RATE)
-            new = F.struct(held.alias("amount"), stake.alias("stake"), F.when(o["is_entry"], s["top"] + cost).otherwise(s["top"]).cast(RATE).alias("top"), average.alias("average"), F.lit(None).cast("string").alias("error"))
-            bad = F.struct(s["amount"].alias("amount"), s["stake"].alias("stake"), s["top"].alias("top"), s["average"].alias("average"), error.alias("error"))
-            return F.when(error.isNotNull(), bad).otherwise(new)
-
-        return F.aggregate("orders", zero, step)
-
-    rows = order_arrays(orders, "is_entry", "amount", "price")
-    rows = rows.join(heads.select("trade_id", F.col("leverage").cast(AMOUNT).alias("_by")), "trade_id") if heads is not None else rows.withColumn("_by", F.lit(1).cast(AMOUNT))
-    state = rows.select("trade_id", fold(F.col("_by")).alias("s"))
-    return state.select("trade_id", *[F.col(f"s.{a}").cast("double").alias(b) for a, b in (("amount", "amount"), ("stake", "stake"), ("top", "max_stake"), ("average", "average"))], F.col("s.error").alias("error"))
-
-
-def realized_profit(orders: DataFrame, heads: DataFrame, funding: DataFrame | None = None) -> DataFrame:
-    """profit (each exit against the average entry with fees, rounded to 8 places, summed) and entry_value of each trade.
-
-    heads: trade_id, is_short, fee_open, fee_close. funding: (trade_id, sequence, funding_fee) earned up to an order; it is kept until the next exit takes it.
-    Exact decimals: 9 places of amounts and fees, 15 of prices and money. error and what it does are those of position_state().
-    """
-    o = orders.select("trade_id", "sequence", "is_entry", "amount", "price")
-    o = o.join(funding, ["trade_id", "sequence"], "left").withColumn("funding", F.coalesce("funding_fee", F.lit(0.0))).drop("funding_fee") if funding is not None else o.withColumn("funding", F.lit(0.0))
-    names = ("amount", "value", "funding", "profit", "entries")
-    kinds = dict(zip(names, (AMOUNT, RATE, RATE, RATE, RATE)))
-    zero = F.struct(*[F.lit(0).cast(k).alias(n) for n, k in kinds.items()], F.lit(None).cast("string").alias("error"))
-    exact = lambda c, kind: F.coalesce(c, F.lit(0.0)).cast(kind)
-
-    def fold(fee_open: Column, fee_close: Column, is_short: Column) -> Column:
-        one = F.lit(1).cast(AMOUNT)
-        into = F.when(is_short, one - fee_open.cast(AMOUNT)).otherwise(one + fee_open.cast(AMOUNT)).cast(AMOUNT)
-        out = F.when(is_short, one + fee_close.cast(AMOUNT)).otherwise(one - fee_close.cast(AMOUNT)).cast(AMOUNT)
-
-        def step(s: Column, x: Column) -> Column:
-            size, price, entry = exact(x["amount"], AMOUNT), exact(x["price"], PRICE), x["is_entry"]
-            wrong = F.when(size <= 0, "amount").when(price <= 0, "price").when(~entry & (size > s["amount"]), "holding")
-            error = F.coalesce(s["error"], wrong)
-            average = F.coalesce(F.try_divide(s["value"], s["amount"]), F.lit(0)).cast(RATE)
-            cost = (size * price).cast(RATE)
-            funded = (s["funding"] + x["funding"].cast(RATE)).cast(RATE)
-            paid, got = ((size * average).cast(RATE) * into).cast(RATE), (cost * out).cast(RATE)
-            gain = F.round(F.when(is_short, paid - got).otherwise(got - paid) + funded, 8).cast(RATE)
-            whole = ~entry & (size == s["amount"])
-            new = {
-                "amount": F.when(entry, s["amount"] + size).otherwise(s["amount"] - size), "value": F.when(entry, s["value"] + cost).when(whole, 0).otherwise(s["value"] - size * average),
-                "funding": F.when(entry, funded).otherwise(0), "profit": F.when(entry, s["profit"]).otherwise(s["profit"] + gain), "entries": F.when(entry, s["entries"] + cost * into).otherwise(s["entries"]),
-            }
-            return F.struct(*[F.when(error.isNotNull(), s[n]).otherwise(new[n].cast(k)).alias(n) for n, k in kinds.items()], error.alias("error"))
-
-        return F.aggregate("orders", zero, step)
-
-    rows = order_arrays(o, "is_entry", "amount", "price", "funding").join(heads.select("trade_id", "is_short", "fee_open", "fee_close"), "trade_id")
-    state = rows.select("trade_id", fold(F.col("fee_open"), F.col("fee_close"), F.col("is_short")).alias("s"))
-    return state.select("trade_id", F.col("s.profit").cast("double").alias("profit"), F.col("s.entries").cast("double").alias("entry_value"), F.col("s.error").alias("error"))
-
-
 def closed_ratio(profit: Column, entry_value: Column, leverage: Column) -> Column:
     """Profit by entry value times leverage, 0 without an entry value."""
     return F.when(entry_value == 0, 0.0).otherwise(profit / entry_value * leverage)

@@ -36,6 +36,14 @@ def _halved(s, d):
 _HALVES = "SELECT trade_id, sum(amount * pow(2, sequence)) / pow(2, max(sequence) + 1) AS amount, sum(amount * p * pow(2, sequence)) / pow(2, max(sequence) + 1) AS stake, sum(amount * p) AS top FROM (SELECT *, steady(price) AS p FROM toe) GROUP BY trade_id"
 query("position_state", "SELECT trade_id, amount, steady(stake / leverage) AS stake, steady(top / leverage) AS max_stake, steady(stake / amount) AS average, NULL::VARCHAR AS error FROM halves JOIN theads USING (trade_id)", halves=_HALVES)(lambda s, d: st(_scaled(op.position_state(_halved(s, d), src.trade_heads(s, d)), "amount", "stake", "max_stake"), "stake", "max_stake", "average"))
 _GAIN = "SELECT trade_id, sequence, amount * pow(2, sequence) AS w, amount * p * pow(2, sequence) AS v, amount * p AS cost, p, sum(amount * pow(2, sequence)) OVER o / pow(2, sequence + 1) AS out, sum(amount * p * pow(2, sequence)) OVER o / pow(2, sequence + 1) AS worth FROM (SELECT *, steady(price) AS p FROM toe) WINDOW o AS (PARTITION BY trade_id ORDER BY sequence)"
+# the same holdings, in market steps: amounts below a step of 0.5, averages to the nearest 0.25, stakes from what was before
+query("position_state_steps", "SELECT trade_id, floor(amount * 2) / 2 AS amount, steady(stake / leverage) AS stake, floor(stake / amount * 4 + 0.5) / 4 AS average FROM (SELECT trade_id, amount * 4096 AS amount, stake * 4096 AS stake FROM halves) JOIN theads USING (trade_id)", halves=_HALVES)(
+    lambda s, d: st(op.position_state(_halved(s, d), src.trade_heads(s, d), 0.5, 0.25), "stake").select("trade_id", "amount", "stake", "average")
+)
+# amounts of 1e-14 of what is above and prices 1e10 times as high: far beyond fixed decimals
+query("position_state_extremes", "SELECT trade_id, steady(amount * 4096) AS amount, steady(stake / leverage / 4096) AS stake, error FROM (SELECT *, NULL::VARCHAR AS error FROM halves) JOIN theads USING (trade_id)", halves=_HALVES)(
+    lambda s, d: op.position_state(_halved(s, d).withColumns({"amount": F.col("amount") * 2.0**-60, "price": F.col("price") * 2.0**36}), src.trade_heads(s, d)).select("trade_id", steady(F.col("amount") * 2.0**60).alias("amount"), steady(F.col("stake") * 2.0**0).alias("stake"), "error")
+)
 query("realized_profit_partial", "SELECT trade_id, steady(sum(CASE WHEN is_short THEN worth * (1 - fee_open) - out * p * (1 + fee_close) ELSE out * p * (1 - fee_close) - worth * (1 + fee_open) END)) AS profit, steady(sum(cost * CASE WHEN is_short THEN 1 - fee_open ELSE 1 + fee_open END)) AS entry_value FROM gain JOIN theads USING (trade_id) GROUP BY trade_id", gain=_GAIN)(lambda s, d: st(_scaled(op.realized_profit(_halved(s, d), src.trade_heads(s, d)).drop("error"), "profit", "entry_value"), "profit", "entry_value"))
 query("realized_profit_spot", "SELECT trade_id, steady(amount * close_rate * (1 - fee_close) - entry_value * (1 + fee_open)) AS profit, steady(entry_value * (1 + fee_open)) AS entry_value FROM closed")(lambda s, d: st(op.realized_profit(src.trade_orders(s, d), src.trade_heads(s, d).withColumn("is_short", F.lit(False))).drop("error"), "profit", "entry_value"))
 query("realized_profit_leveraged", "SELECT trade_id, steady(profit) AS profit, steady(paid) AS entry_value FROM closed")(lambda s, d: st(op.realized_profit(src.trade_orders(s, d), src.trade_heads(s, d)).drop("error"), "profit", "entry_value"))
@@ -119,14 +127,21 @@ _c = F.col
 query("quantize_step", "SELECT v, u / 10000 AS st, (k // u) * u / 10000 AS low, ((k + u - 1) // u) * u / 10000 AS high, ((2 * k + u) // (2 * u)) * u / 10000 AS near FROM (SELECT *, round(v * 10000)::BIGINT AS k FROM (SELECT DISTINCT round(l_extendedprice / 7, 4) AS v, unnest([100, 2500, 5000]) AS u FROM lineitem))")(
     lambda s, d: src.table(s, d, "lineitem").select(F.round(_c("l_extendedprice") / 7, 4).alias("v")).distinct().withColumn("st", F.explode(F.array(F.lit(0.01), F.lit(0.25), F.lit(0.5)))).select("v", "st", *[eco.quantize_step(_c("v"), _c("st"), how).alias(n) for how, n in (("floor", "low"), ("ceil", "high"), ("round", "near"))])
 )
-query("entry_sizing", "SELECT pair, ts, amount, steady(amount * open / 2) AS stake, steady(amount * open * 1.001) AS cost FROM (SELECT *, round(floor(round(100.0 * 2 / open / 0.001, 9)) * 0.001, 12) AS amount FROM cf)")(
+# ticks far below a billionth: values and steps of 1e-10, 1e-8 places
+query("quantize_small_steps", "SELECT DISTINCT k, (k // 3) * 3 * 1.0::DOUBLE AS low, ((k + 2) // 3) * 3 * 1.0::DOUBLE AS high, ((2 * k + 3) // 6) * 3 * 1.0::DOUBLE AS near FROM (SELECT l_partkey * 7 AS k FROM lineitem)")(
+    lambda s, d: src.table(s, d, "lineitem").select((_c("l_partkey") * 7).alias("k")).distinct().withColumn("v", F.concat(_c("k").cast("string"), F.lit("e-10")).cast("double")).select("k", *[F.round(eco.quantize_step(_c("v"), F.lit(3e-10), how) * 1e10, 3).alias(n) for how, n in (("floor", "low"), ("ceil", "high"), ("round", "near"))])
+)
+query("entry_sizing_small_rates", "SELECT DISTINCT k, (100000000000000 // nullif(k * 1000, 0))::DOUBLE AS amount FROM (SELECT l_partkey AS k FROM lineitem)")(
+    lambda s, d: src.table(s, d, "lineitem").select(_c("l_partkey").alias("k")).distinct().select("k", eco.entry_amount(F.lit(50.0), F.lit(2.0), F.concat(_c("k").cast("string"), F.lit("e-9")).cast("double"), F.lit(1.0)).alias("amount"))
+)
+query("entry_sizing", "SELECT pair, ts, amount, steady(amount * open / 2) AS stake, steady(amount * open * 1.001) AS cost FROM (SELECT *, round(floor(round(100.0 * 2 / open / 0.001, 9)) * 0.001, 9) AS amount FROM cf)")(
     lambda s, d: src.full_candles(s, d).withColumn("amount", eco.entry_amount(F.lit(100.0), F.lit(2.0), _c("open"), F.lit(0.001))).select("pair", "ts", "amount", steady(eco.entry_stake(_c("amount"), _c("open"), F.lit(2.0))).alias("stake"), steady(eco.entry_cost(_c("amount"), _c("open"), F.lit(0.001))).alias("cost"))
 )
 query("min_stake", "SELECT pair, ts, round(greatest(5.0 * 1.05 / 0.9, 0.1 * open * 1.05) / 2, 6) AS least FROM cf")(lambda s, d: src.full_candles(s, d).select("pair", "ts", F.round(eco.min_stake(F.lit(5.0), F.lit(0.1), _c("open"), -0.1, 0.05, F.lit(2.0)), 6).alias("least")))
 query("available_and_proposed_stake", "SELECT trade_id, round(a, 6) AS available, round(least((a + stake_amount) / 5, a), 6) AS unlimited, round(least(1e5, a), 6) AS fixed FROM (SELECT trade_id, stake_amount, greatest(least((stake_amount + 2e5) * 0.9 - stake_amount, 2e5), 0) AS a FROM closed)")(
     lambda s, d: src.closed_trades(s, d).withColumn("a", eco.available_stake(_c("stake_amount"), F.lit(2e5), 0.9)).select("trade_id", F.round("a", 6).alias("available"), F.round(eco.proposed_stake(_c("a"), _c("stake_amount"), F.lit(5), F.lit(None).cast("double")), 6).alias("unlimited"), F.round(eco.proposed_stake(_c("a"), _c("stake_amount"), F.lit(5), F.lit(1e5)), 6).alias("fixed"))
 )
-query("initial_stop", "SELECT pair, ts, round(ceil(round(open * 0.95 / 0.01, 9)) * 0.01, 6) AS long_stop, round(floor(round(open * 1.05 / 0.01, 9)) * 0.01, 6) AS short_stop FROM cf")(lambda s, d: src.full_candles(s, d).select("pair", "ts", *[F.round(eco.initial_stop(_c("open"), F.lit(-0.1), F.lit(2.0), F.lit(short), F.lit(0.01)), 6).alias(n) for short, n in ((False, "long_stop"), (True, "short_stop"))]))
+query("initial_stop", "SELECT pair, ts, round(ceil((open * (1 + -0.1::DOUBLE / 2))::VARCHAR::DECIMAL(38,18) * 100)::DOUBLE / 100, 6) AS long_stop, round(floor((open * (1 - -0.1::DOUBLE / 2))::VARCHAR::DECIMAL(38,18) * 100)::DOUBLE / 100, 6) AS short_stop FROM cf")(lambda s, d: src.full_candles(s, d).select("pair", "ts", *[F.round(eco.initial_stop(_c("open"), F.lit(-0.1), F.lit(2.0), F.lit(short), F.lit(0.01)), 6).alias(n) for short, n in ((False, "long_stop"), (True, "short_stop"))]))
 query("adjusted_stop", "SELECT trade_id, CASE WHEN is_short THEN least(open_rate, close_rate) ELSE greatest(open_rate, close_rate) END AS stop FROM closed")(lambda s, d: src.closed_trades(s, d).select("trade_id", eco.adjusted_stop(_c("open_rate"), _c("close_rate"), _c("is_short")).alias("stop")))
 query("liquidation_price", "SELECT trade_id, steady(greatest(raw + 0.05 * (open_rate - raw), 0)) AS liquidation_price FROM (SELECT *, (stake_amount + extra - dd * amount * open_rate) / (amount * rate - dd * amount) AS raw FROM (SELECT trade_id, amount, is_short, round(stake_amount, 6) AS stake_amount, round(open_rate, 6) AS open_rate, CASE WHEN is_short THEN -1 ELSE 1 END AS dd, (SELECT max_by(maintenance_rate, min_notional) FROM tr WHERE stake_amount >= min_notional) AS rate, (SELECT max_by(maintenance_amount, min_notional) FROM tr WHERE stake_amount >= min_notional) AS extra FROM closed))", tr=_TIERS)(
     lambda s, d: maintenance_tier(src.closed_trades(s, d).select("trade_id", "pair", F.round("stake_amount", 6).alias("stake"), F.round("open_rate", 6).alias("open_rate"), "amount", "is_short"), tiers(s, d)).select("trade_id", steady(eco.liquidation_price(_c("open_rate"), _c("amount"), _c("stake"), _c("maintenance_rate"), _c("maintenance_amount"), _c("is_short"), 0.05)).alias("liquidation_price"))

@@ -34,3 +34,10 @@ def scratch(spark: SparkSession, label: str) -> str:
         spark.sparkContext.setCheckpointDir(named)
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return f"{known.get()}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df, label: str):
+    """Write a table to the shared folder and read it again, so that later plans ask it as often as they like and survive lost executors."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
