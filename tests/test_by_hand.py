@@ -423,3 +423,155 @@ def test_dataset_digest_of_no_files_and_in_any_order(spark):
     assert first == second and (first["files"], first["bytes"]) == (3, 4)
     assert one(dataset_digest(spark.createDataFrame([], kind)))["files"] == 0
     assert one(dataset_digest(spark.createDataFrame(rows[:2], kind)))["digest"] != first["digest"]
+
+
+def closed(spark, rows):
+    """rows: (pair, is_short, close day, profit_abs, profit_ratio, exit_reason), in closing order."""
+    kind = "trade_id long, pair string, is_short boolean, close_ts long, profit_abs double, profit_ratio double, exit_reason string, sequence long"
+    return spark.createDataFrame([(k, p, sh, int(day * 24 * H), float(a), float(r), e, k) for k, (p, sh, day, a, r, e) in enumerate(rows)], kind)
+
+
+def test_a_lookback_begins_after_its_cutoff(spark):
+    t = closed(spark, [("a", False, 0, -1, -0.5, "stop_loss"), ("a", False, 10, -1, -0.5, "stop_loss")])
+    day = 24 * H
+    seen = locks.running_lookback(t, 10 * day, ["pair"], {"n": F.lit(1).cast("long")}).select("sequence", "n").collect()
+    assert sorted(tuple(r) for r in seen) == [(0, 1), (1, 1)]
+    assert locks.stoploss_requests(t, 10 * day, 2, H).count() == 0 and locks.stoploss_requests(t, 10 * day + 1, 2, H).count() == 1
+    assert locks.low_profit_requests(t, 10 * day, 2, H).count() == 0 and locks.low_profit_requests(t, 10 * day + 1, 2, H).count() == 1
+    assert locks.drawdown_requests(t, 10 * day, 2, H, 0.6).count() == 0 and locks.drawdown_requests(t, 10 * day + 1, 2, H, 0.6).count() == 1
+    with pytest.raises(ValueError):
+        locks.drawdown_requests(t, day, 1, H, 1.0, 100.0)
+
+
+def test_losses_of_a_stoploss_guard(spark):
+    """Stops on the exchange count; a trade without a ratio does not, whatever it lost."""
+    t = closed(spark, [("a", False, 0, -1, -0.5, "stoploss_on_exchange"), ("a", False, 1, 0, -0.5, "liquidation"), ("a", False, 2, -1, 0, "stop_loss"), ("a", False, 3, -1, -0.5, "exit_signal")])
+    assert one(locks.stoploss_requests(t, 24 * H * 30, 2, H).where("sequence = 1"))["until"] == 25 * H
+    assert locks.stoploss_requests(t, 24 * H * 30, 3, H).count() == 0
+
+
+@pytest.mark.parametrize("start", [None, 20.0, 0.0])
+def test_drawdown_of_lookbacks_by_blocks(spark, start):
+    import random
+
+    rng = random.Random(5)
+    rows = sorted(((rng.choice("ab"), False, rng.randint(0, 60) / 2, rng.choice([-3, -1, 0, 2, 4]), rng.choice([-0.3, -0.1, 0.2]), "x") for _ in range(180)), key=lambda r: r[2])
+    back, limit, allowed = 24 * H * 4, 3, 0.35 if start is None else 0.1
+    want = set()
+    for i, r in enumerate(rows):
+        now = int(r[2] * 24 * H)
+        inside = [q for q in rows[: i + 1] if now - back < int(q[2] * 24 * H)]
+        base = 0.0 if start is None else start + sum(q[3] for q in rows if int(q[2] * 24 * H) <= now - back)
+        total, high, worst = 0.0, 0.0, 0.0
+        for q in inside:
+            total += q[4] if start is None else q[3]
+            high = max(high, total)
+            top = base + high
+            fall = high - total if start is None else (top - (base + total)) / top if top else (float("inf") if base + total < 0 else 0.0)
+            worst = max(worst, round(fall, 9))
+        if len(inside) >= limit and worst > allowed:
+            want.add(i)
+    got = {r["sequence"] for r in locks.drawdown_requests(closed(spark, rows), back, limit, H, allowed, start).collect()}
+    assert got == want and (got or start == 0.0)
+
+
+def test_blocks_of_a_span_are_few(spark):
+    """Some 2 * RADIX blocks a level and span, not one row for every trade of a look-back."""
+    n = 3000
+    points = spark.range(n + 1).select(F.col("id").alias("pos"), F.sin("id").alias("value"))
+    spans = spark.range(1, n + 1).select("id", F.greatest(F.col("id") - 2000, F.lit(0)).alias("first"), F.col("id").alias("last"))
+    out = locks.worst_falls(points, spans, False)
+    joined = [r for r in out.where("id > 2500").collect()]
+    assert len(joined) == 500 and all(1.99 < r["worst"] <= 2 for r in joined)
+    metrics = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in metrics and "Join Inner" in metrics
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_first_barrier_against_a_walk(spark, seed):
+    """Long ranges over several levels of blocks, holes, ties of signal, timeout and barriers, pairs without candles."""
+    import random
+
+    rng = random.Random(seed)
+    bars, price = [], {"a": 100.0, "b": 100.0}
+    for p in "ab":
+        for k in range(700):
+            if rng.random() < 0.1:
+                continue
+            price[p] = max(1.0, price[p] * (1 + rng.uniform(-0.02, 0.02)))
+            o = round(price[p], 2)
+            bars.append((p, k * H, o, o * 1.01, o * 0.99, o, 1.0, int(rng.random() < 0.004), int(rng.random() < 0.004)))
+    entries = []
+    for i in range(150):
+        p, k = rng.choice("abc"), rng.randint(-3, 705)
+        rate = next((b[2] for b in bars if b[0] == p and b[1] >= k * H), 100.0)
+        entries.append((f"t{i}", p, k * H, rate, rng.random() < 0.5))
+    stop, timeout, liq = [(0.05, 90 * H, None), (0.3, 10_000 * H, 0.2), (0.1, 0, 0.05)][seed - 1]
+    want = {}
+    for t, p, open_ts, rate, short in entries:
+        mine = [b for b in bars if b[0] == p]
+        found = None
+        at = lambda share: rate * (1 + share) if short else rate * (1 - share)
+        for b in mine:
+            if b[1] > open_ts:
+                hit = lambda share: share is not None and (b[3] >= at(share) if short else b[4] <= at(share))
+                if b[8 if short else 7]:
+                    found = (b[1], "exit_signal", b[2])
+                elif b[1] >= max(open_ts + timeout, open_ts + 1):
+                    found = (b[1], "timeout", b[2])
+                elif hit(stop):
+                    found = (b[1], "stop_loss", at(stop))
+                elif hit(liq):
+                    found = (b[1], "liquidation", at(liq))
+            if found:
+                break
+        want[t] = found or ((mine[-1][1], "force_exit", mine[-1][2]) if mine else (None, "force_exit", None))
+    c = spark.createDataFrame(bars, "pair string, ts long, open double, high double, low double, close double, volume double, exit_long int, exit_short int")
+    e = spark.createDataFrame(entries, "trade_id string, pair string, open_ts long, open_rate double, is_short boolean")
+    got = {r["trade_id"]: (r["exit_ts"], r["exit_reason"], r["exit_rate"]) for r in joins.first_barrier(e, c, stop, timeout, liq).collect()}
+    assert got == want
+    if seed == 1:  # the sweep agrees, keeps the order and reports what cannot run
+        rows = strategies.candidate_sweep(e.where("pair <> 'c'"), c, [("x", stop, timeout), ("bad", 0.0, 1), ("worse", None, 1), ("late", 0.2, -1), ("y", 0.2, 10 * H)]).collect()
+        assert [(r["candidate"], r["status"], r["error"]) for r in rows] == [("x", "completed", None), ("bad", "failed", "stop"), ("worse", "failed", "stop"), ("late", "failed", "timeout"), ("y", "completed", None)]
+        sides = {t: (rate, short) for t, p, _, rate, short in entries if p != "c"}
+        gains = [1 - want[t][2] / r if short else want[t][2] / r - 1 for t, (r, short) in sides.items()]
+        assert (rows[0]["trades"], rows[0]["wins"]) == (len(sides), sum(g > 0 for g in gains)) and rows[0]["mean_ratio"] == pytest.approx(sum(gains) / len(gains), abs=2e-4)
+        assert rows[1]["trades"] is None
+
+
+def test_barriers_without_candles(spark):
+    c = spark.createDataFrame([], "pair string, ts long, open double, high double, low double, close double, volume double, exit_long int, exit_short int")
+    e = spark.createDataFrame([("t", "a", 0, 100.0, False)], "trade_id string, pair string, open_ts long, open_rate double, is_short boolean")
+    assert one(joins.first_barrier(e, c, 0.1, H))["exit_reason"] == "force_exit"
+
+
+def test_execution_window_keeps_its_head_as_context(spark):
+    """The row on which the range starts cannot act on a signal; it and the startup rows before it are context."""
+
+    def run(n, start, end, startup):
+        df = spark.createDataFrame([("a", k) for k in range(n)], "pair string, ts long")
+        return [(r["ts"], r["is_context"]) for r in candles.execution_window(df, start, end, startup).orderBy("ts").collect()]
+
+    assert run(3, 1, 2, 0) == [(1, True), (2, False)]
+    assert run(5, 3, 4, 3) == [(0, True), (1, True), (2, True), (3, True), (4, False)]
+    assert run(5, 1, 4, 2) == [(0, True), (1, True), (2, True), (3, False), (4, False)]  # one row of history short: the range loses a row
+    assert run(5, 1, 2, 9) == [] and run(5, 4, 4, 0) == [] and run(5, 9, 12, 0) == []
+    with pytest.raises(ValueError):
+        run(3, 2, 1, 0)
+
+
+def test_signals_before_the_first_executable_row_are_not_counted(spark):
+    c = candle_rows(spark, [("a", k, 1, 1, 1, 1, 1) for k in range(5)])
+    strategy = lambda df: df.withColumn("enter_long", F.col("ts").isin(0, 3 * H).cast("int"))
+    rows, counts = strategies.prepare_signals(c, strategy, 3 * H, 4 * H, None, 3)
+    assert [(r["ts"] // H, r["is_context"], r["exec_enter_long"]) for r in rows.orderBy("ts").collect()] == [(0, True, 0), (1, True, 1), (2, True, 0), (3, True, 0), (4, False, 1)]
+    assert (one(counts)["rows"], one(counts)["enter_long"]) == (1, 1)
+
+
+def test_prepared_candles_and_their_coverage(spark):
+    c = candle_rows(spark, [("a", k, 1, 1, 1, 1, 1) for k in range(0, 12)] + [("b", k, 1, 1, 1, 1, 1) for k in range(8, 12)] + [("c", k, 1, 1, 1, 1, 1) for k in range(0, 6)]).withColumn("seq", F.col("ts"))
+    out, coverage = strategies.prepare_candles(c, "1h", 4 * H, 11 * H, 3, {"2h": c}, ["a", "b", "c", "d"])
+    assert {r["pair"]: (r["accepted"], r["missing_candles"]) for r in coverage.collect()} == {"a": (True, 0), "b": (False, 7), "c": (False, 0), "d": (False, None)}
+    assert sorted((r["pair"], r["ts"] // H) for r in out.collect()) == [("a", k) for k in range(1, 12)]
+    some, _ = strategies.prepare_candles(c, "1h", 4 * H, 11 * H, 3, None, ["a", "b"], "available")
+    assert {r["pair"] for r in some.collect()} == {"a", "b"}

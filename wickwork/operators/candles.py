@@ -93,17 +93,18 @@ def startup_windows(df: DataFrame, timeframes: dict[str, int], start: int, end:
 
 
 def execution_window(df: DataFrame, start: int, end: int, startup: int) -> DataFrame:
-    """Executable rows and up to `startup` rows of context before them (is_context).
+    """Executable rows and the context before them (is_context): the first row of the range, on which no signal can act yet, and up to `startup` rows before it.
 
-    A pair with too little history loses as many rows of the range, and one more, because signals act on the next candle.
+    A pair with too little history loses as many rows of the range first. A pair without an executable row has none at all.
     """
-    line = by_time()
-    inside = (F.col("ts") >= start) & (F.col("ts") <= end)
-    history = F.count_if(F.col("ts") < start).over(Window.partitionBy("pair"))
-    ranked = df.where(F.col("ts") <= end).withColumn("_history", history).withColumn("_n", F.row_number().over(line))
-    first = F.col("_history") + F.greatest(F.lit(0), F.lit(startup) - F.col("_history")) + 2
-    ranked = ranked.withColumn("is_context", F.col("_n") < first).where(F.col("_n") >= first - startup)
-    return ranked.where(inside | F.col("is_context")).drop("_n", "_history")
+    if startup < 0 or start > end:
+        raise ValueError("startup must not be negative and the range must not end before it starts")
+    whole = Window.partitionBy("pair")
+    counts = {"_history": F.count_if(F.col("ts") < start).over(whole), "_all": F.count("*").over(whole)}
+    ranked = df.where(F.col("ts") <= end).withColumns(counts).withColumn("_n", F.row_number().over(by_time()))
+    head = F.col("_history") + F.greatest(F.lit(0), F.lit(startup) - F.col("_history")) + 1
+    ranked = ranked.withColumn("is_context", F.col("_n") <= head).where((F.col("_n") >= head - startup) & (F.col("_all") > head))
+    return ranked.drop("_n", "_history", "_all")
 
 
 def validation_code(line: Window) -> Column:

@@ -6,13 +6,16 @@ are hash joins and never a product of the sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wickwork.functions.economics import quantize_step
 from wickwork.functions.timeframes import DAY_MS, timeframe_ms
 from wickwork.operators.candles import by_time
+from wickwork.session import stored
 
 BUCKET_MS = DAY_MS
 
@@ -139,43 +142,122 @@ def funding_by_segment(orders: DataFrame, trades: DataFrame, events: DataFrame)
     return hit.groupBy("trade_id", "sequence").agg(F.sum(sign * F.col("rate") * F.col("mark") * F.col("held")).alias("funding_fee"))
 
 
+#: Candles, or blocks, that make one block of the next level.
+RADIX = 16
+
+
+def candle_blocks(candles: DataFrame, longest: int) -> tuple[DataFrame, int]:
+    """(pair, level, block, low, high) of blocks of RADIX^level candles by position `pos`, and the number of levels that a pair of `longest` candles needs."""
+    level = candles.select("pair", F.col("pos").alias("block"), "low", "high")
+    out, levels = level.withColumn("level", F.lit(0)), 1
+    while RADIX**levels <= longest:
+        level = level.groupBy("pair", F.floor(F.col("block") / RADIX).alias("block")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        out, levels = out.unionByName(level.withColumn("level", F.lit(levels))), levels + 1
+    return out, levels
+
+
+def _cover(first: Column, end: Column, levels: int) -> Column:
+    """Blocks (level, block, at) that make up the positions from first to before end, some 2 * RADIX of each level at most."""
+    low = [F.ceil(first / RADIX**k).cast("long") for k in range(levels)]
+    high = [F.floor(end / RADIX**k).cast("long") for k in range(levels)]
+
+    def some(k: int, start: Column, stop: Column) -> Column:
+        blocks = F.when(stop > start, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(blocks, lambda b: F.struct((b * RADIX**k).alias("at"), F.lit(k).alias("level"), b.alias("block")))
+
+    parts = [some(levels - 1, low[-1], high[-1])]
+    for k in range(levels - 1):  # what the next level covers is left to it
+        inner = low[k + 1] < high[k + 1]
+        parts += [some(k, low[k], F.when(inner, low[k + 1] * RADIX).otherwise(high[k])), some(k, F.when(inner, high[k + 1] * RADIX).otherwise(high[k]), high[k])]
+    return F.flatten(F.array(*parts))
+
+
+def first_passages(asks: DataFrame, blocks: DataFrame, levels: int, keys: list[str]) -> DataFrame:
+    """(keys, pos): the first candle from position first to before end that reaches the barrier: low at or below it (long) or high at or above it (short).
+
+    The range is covered by few blocks; of the first that reaches the barrier only its children are looked at, level by level, so the cost is the logarithm of the range.
+    asks: keys, pair, is_short, barrier, first, end.
+    """
+    reached = F.when(F.col("is_short"), F.col("high") >= F.col("barrier")).otherwise(F.col("low") <= F.col("barrier"))
+    about = F.struct("pair", "is_short", "barrier")
+
+    def first_of(rows: DataFrame) -> DataFrame:
+        """The first block of each ask that reaches its barrier."""
+        best = F.min_by(F.struct("level", "block", about.alias("a")), "at").alias("x")
+        return rows.join(blocks, ["pair", "level", "block"]).where(reached).groupBy(*keys).agg(best).select(*keys, "x.a.*", "x.level", "x.block")
+
+    found = first_of(asks.where("end > first").select(*keys, "pair", "is_short", "barrier", F.explode(_cover(F.col("first"), F.col("end"), levels)).alias("b")).select(*keys, "pair", "is_short", "barrier", "b.*"))
+    for k in range(levels - 1, 0, -1):
+        children = F.explode(F.sequence(F.col("block") * RADIX, F.col("block") * RADIX + RADIX - 1))
+        below = found.where(F.col("level") == k).select(*keys, "pair", "is_short", "barrier", F.lit(k - 1).alias("level"), children.alias("block"))
+        found = found.where(F.col("level") < k).unionByName(first_of(below.withColumn("at", F.col("block"))).select(*found.columns))
+    return found.select(*keys, F.col("block").alias("pos"))
+
+
+def first_exits(asks: DataFrame, candles: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds exit_ts, exit_reason and exit_rate to asks: keys, pair, open_ts, is_short, _stop, _liq (or NULL), _due; rules as in first_barrier.
+
+    Signals and timeouts are one stream per pair that carries the next candle back; barriers are first passages over blocks of candles. So nothing is joined by range, and asks may be
+    many for one entry: all of them share the candles and blocks of one scan.
+    """
+    line = Window.partitionBy("pair").orderBy("ts")
+    ahead = line.rowsBetween(0, Window.unboundedFollowing)
+    bars = candles.select("pair", "ts", "open", "low", "high", "exit_long", "exit_short").withColumn("pos", F.row_number().over(line).cast("long") - 1)
+    mark = lambda c: F.first(F.when(F.col(c) == 1, F.struct("pos", "ts", "open")), ignorenulls=True).over(ahead)
+    bars = stored(bars.withColumns({"_long": mark("exit_long"), "_short": mark("exit_short")}), "bars")
+    longest = bars.agg(F.max("pos")).first()[0]
+    if longest is None:
+        none = F.lit(None)
+        return asks.select("*", none.cast("long").alias("exit_ts"), F.lit("force_exit").alias("exit_reason"), none.cast("double").alias("exit_rate"))
+    blocks, levels = candle_blocks(bars, longest + 1)
+    # the first candle after the open (behind candles of the same time) and the first at or after the due time (before them)
+    bar = F.struct("pos", "ts", "open", "_long", "_short")
+    own = F.struct(*[F.col(k).alias(k) for k in keys])
+    stream = bars.select("pair", F.col("ts").alias("_at"), F.lit(1).alias("_kind"), bar.alias("_bar"), F.lit(None).cast(asks.select(own.alias("o")).schema["o"].dataType).alias("_own"))
+    times = F.explode(F.array(F.struct(F.col("open_ts").alias("_at"), F.lit(2).alias("_kind")), F.struct(F.col("_due").alias("_at"), F.lit(0).alias("_kind"))))
+    marks = asks.select("pair", times.alias("t"), own.alias("_own")).select("pair", "t.*", F.lit(None).cast(stream.schema["_bar"].dataType).alias("_bar"), "_own")
+    onward = Window.partitionBy("pair").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    seen = stream.unionByName(marks).withColumn("_next", F.first("_bar", ignorenulls=True).over(onward)).where("_kind <> 1")
+    at = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_next")))
+    begun = seen.groupBy("_own").agg(at(2).alias("_from"), at(0).alias("_late")).select("_own.*", "_from", "_late")
+    rows = asks.join(begun, keys)
+    signal = F.when(F.col("is_short"), F.col("_from._short")).otherwise(F.col("_from._long"))
+    rows = rows.withColumn("_signal", signal)
+    never = F.lit(longest + 1)
+    until = F.least(F.coalesce("_signal.pos", never), F.coalesce("_late.pos", never))
+    nearer = F.when(F.col("is_short"), F.least("_stop", "_liq")).otherwise(F.greatest("_stop", "_liq"))
+    rows = stored(rows.withColumns({"first": F.col("_from.pos"), "end": until, "barrier": nearer}), "asks")
+    hits = first_passages(rows.where("first is not null"), blocks, levels, keys).withColumnRenamed("pos", "_hit")
+    hits = rows.select(*keys, "pair").join(hits, keys).join(bars.select("pair", F.col("pos").alias("_hit"), F.struct("ts", "low", "high").alias("_at")), ["pair", "_hit"]).drop("pair", "_hit")
+    last = bars.groupBy("pair").agg(F.max("ts").alias("_last_ts"), F.max_by("open", "ts").alias("_last_open"))
+    out = rows.join(hits, keys, "left").join(last, "pair", "left")
+    stopped = F.when(F.col("is_short"), F.col("_at.high") >= F.col("_stop")).otherwise(F.col("_at.low") <= F.col("_stop"))
+    by_signal = F.col("_signal.pos") <= F.coalesce("_late.pos", never)
+    reason = F.when(F.col("_at").isNotNull(), F.when(stopped, "stop_loss").otherwise("liquidation")).when(by_signal, "exit_signal").when(F.col("_late").isNotNull(), "timeout").otherwise("force_exit")
+    when = {"stop_loss": ("_at.ts", "_stop"), "liquidation": ("_at.ts", "_liq"), "exit_signal": ("_signal.ts", "_signal.open"), "timeout": ("_late.ts", "_late.open")}
+    pick = lambda k, other: reduce(lambda c, x: c.when(F.col("exit_reason") == x[0], F.col(x[1][k])), when.items(), F).otherwise(F.col(other))
+    out = out.withColumn("exit_reason", reason)
+    return out.select(*asks.columns, pick(0, "_last_ts").alias("exit_ts"), "exit_reason", pick(1, "_last_open").alias("exit_rate"))
+
+
+def barrier_asks(entries: DataFrame, stop: Column, timeout_ms: Column, liquidation: Column | None = None, step: float | None = None) -> DataFrame:
+    """Adds _stop, _liq and _due: barriers at shares of the open rate, rounded up (long) or down (short) to step, and the time at which an entry is due."""
+    side = lambda a, b: F.when(F.col("is_short"), b).otherwise(a)
+    raw = lambda share: side(F.col("open_rate") * (1 - share), F.col("open_rate") * (1 + share))
+    tick = lambda c: c if step is None else side(quantize_step(c, F.lit(step), "ceil"), quantize_step(c, F.lit(step), "floor"))
+    burnt = tick(raw(liquidation)) if liquidation is not None else F.lit(None).cast("double")
+    return entries.withColumns({"_stop": tick(raw(stop)), "_liq": burnt, "_due": F.greatest(F.col("open_ts") + timeout_ms, F.col("open_ts") + 1)})
+
+
 def first_barrier(entries: DataFrame, candles: DataFrame, stop: float, timeout_ms: int, liquidation: float | None = None, step: float | None = None) -> DataFrame:
     """The first exit of each entry: trade_id, exit_ts, exit_reason, exit_rate.
 
     entries: trade_id, pair, open_ts, open_rate, is_short; candles need exit_long and exit_short. Within one candle the order is signal, timeout,
     stop, liquidation. The first two fill at the open, the others at the barrier, rounded up (long) or down (short) to step. An entry that nothing hits is
-    closed at the open of the pair's last candle. The timeout falls on the first candle at or after it, however long the pair has none; that candle is
-    found in one stream of candles and due times per pair, so the range that is searched for the other exits ends with the timeout.
+    closed at the open of the pair's last candle. The timeout falls on the first candle at or after it, however long the pair has none.
     """
-    side = lambda a, b: F.when(F.col("is_short"), b).otherwise(a)
-    raw = lambda share: side(F.col("open_rate") * (1 - share), F.col("open_rate") * (1 + share))
-
-    def tick(c):
-        return c if step is None else side(quantize_step(c, F.lit(step), "ceil"), quantize_step(c, F.lit(step), "floor"))
-
-    stop_rate = tick(raw(stop))
-    liq_rate = tick(raw(liquidation)) if liquidation is not None else F.lit(None).cast("double")
-    after = candles.select("pair", "ts", "open", "low", "high", "exit_long", "exit_short")
-    wanted = entries.withColumn("_stop", stop_rate).withColumn("_liq", liq_rate).withColumn("_due", F.greatest(F.col("open_ts") + timeout_ms, F.col("open_ts") + 1))
-    bars = after.select("pair", F.col("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct("ts", "open", "exit_long", "exit_short").alias("_bar"))
-    asks = wanted.select("trade_id", "pair", "is_short", F.col("_due").alias("_at"), F.lit(0).alias("_kind"))
-    ahead = Window.partitionBy("pair").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    due = asks.unionByName(bars, allowMissingColumns=True).withColumn("_next", F.first("_bar", ignorenulls=True).over(ahead)).where("_kind = 0 and _next is not null")
-    late = F.when(side(F.col("_next.exit_long"), F.col("_next.exit_short")) == 1, 0).otherwise(1)
-    due = due.select("trade_id", F.struct(F.col("_next.ts").alias("ts"), late.alias("_code"), F.col("_next.open").alias("_rate")).alias("_x"))
-    hit = _exploded(wanted, "open_ts", "_due").join(_bucketed(after), ["pair", "_bucket"]).where("ts > open_ts and ts < _due")
-    signal = side(F.col("exit_long"), F.col("exit_short")) == 1
-    stopped = side(F.col("low") <= F.col("_stop"), F.col("high") >= F.col("_stop"))
-    burnt = side(F.col("low") <= F.col("_liq"), F.col("high") >= F.col("_liq"))
-    code = F.when(signal, 0).when(stopped, 2).when(burnt, 3)
-    rate = F.when(code <= 1, F.col("open")).when(code == 2, F.col("_stop")).otherwise(F.col("_liq"))
-    found = hit.withColumn("_code", code).withColumn("_rate", rate).where("_code is not null").select("trade_id", F.struct("ts", "_code", "_rate").alias("_x"))
-    found = found.unionByName(due).groupBy("trade_id").agg(F.min_by("_x", F.struct("_x.ts", "_x._code")).alias("_x"))
-    last = candles.groupBy("pair").agg(F.max("ts").alias("_last_ts"), F.max_by("open", "ts").alias("_last_open"))
-    code = F.col("_x._code")
-    names = F.when(code == 0, "exit_signal").when(code == 1, "timeout").when(code == 2, "stop_loss").when(code == 3, "liquidation")
-    out = entries.join(found, "trade_id", "left").join(last, "pair", "left")
-    return out.select(*entries.columns, F.coalesce("_x.ts", "_last_ts").alias("exit_ts"), F.coalesce(names, F.lit("force_exit")).alias("exit_reason"), F.coalesce("_x._rate", "_last_open").alias("exit_rate"))
+    asks = barrier_asks(entries, F.lit(stop), F.lit(timeout_ms), None if liquidation is None else F.lit(liquidation), step)
+    return first_exits(asks, candles, ["trade_id"]).drop("_stop", "_liq", "_due")
 
 
 def locked_entries(signals: DataFrame, locks: DataFrame, side: str = "long") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wickwork.functions.timeframes import DAY_MS
-from wickwork.session import scratch
+from wickwork.session import stored
 
 REQUEST = ("pair", "side", "ts", "until", "reason", "sequence", "is_global", "handler")
 
@@ -34,20 +34,6 @@ def cooldown_requests(trades: DataFrame, duration_ms: int | None, unlock_at: str
     return _request(trades, F.col("pair"), F.lit("*"), lock_end(F.col("close_ts"), duration_ms, unlock_at), "cooldown", False, handler)
 
 
-def _lookback(trades: DataFrame, lookback_ms: int, same_pair: bool, keep: Column | None = None) -> DataFrame:
-    """Each trade `a` with the trades `b` closed in its look-back, itself included: columns of a, and b's as b_*."""
-    b = trades if keep is None else trades.where(keep)
-    names = ["pair", "is_short", "close_ts", "profit_abs", "profit_ratio", "sequence"]
-    b = b.select(*[F.col(c).alias(f"b_{c}") for c in names], F.floor(F.col("close_ts") / DAY_MS).alias("_bucket"))
-    day = lambda c: F.floor(c / DAY_MS)
-    a = trades.withColumn("_bucket", F.explode(F.sequence(day(F.col("close_ts") - lookback_ms), day(F.col("close_ts")))))
-    if same_pair:
-        joined = a.join(b.withColumnRenamed("b_pair", "pair"), ["pair", "_bucket"])
-    else:
-        joined = a.join(b, "_bucket")
-    return joined.where((F.col("b_sequence") <= F.col("sequence")) & (F.col("b_close_ts") >= F.col("close_ts") - lookback_ms) & (F.col("b_close_ts") <= F.col("close_ts")))
-
-
 #: Closes a block of `emit_locks` holds.
 BLOCK = 10_000
 
@@ -86,20 +72,20 @@ def _day(c: str, keys: list[str]) -> Column | None:
 def running_lookback(trades: DataFrame, lookback_ms: int, keys: list[str], measures: dict[str, Column]) -> DataFrame:
     """Sums, over each trade's look-back, of measures by key, as running totals up to its sequence less those before the look-back.
 
-    A question stands in the stream of closes at the start of each look-back, before closes of the same time, and adds nothing to the totals.
+    A look-back holds what closed strictly after its start: a question stands in the stream of closes there, after closes of the same time, and adds nothing to the totals.
     So no pair of trades is formed and the cost does not grow with the length of the look-back.
     """
     run = _running(trades.withColumns({f"_v_{k}": v for k, v in measures.items()}), keys, _day("close_ts", keys), ["sequence"], {f"r_{k}": F.col(f"_v_{k}") for k in measures})
     closes = run.select(*keys, F.col("close_ts").alias("_at"), F.lit(0).alias("_kind"), F.col("sequence").alias("_seq"), *[f"_v_{k}" for k in measures])
-    asks = run.drop(*[f"_v_{k}" for k in measures]).withColumn("_at", F.col("close_ts") - lookback_ms).withColumn("_kind", F.lit(-1)).withColumn("_seq", F.col("sequence"))
+    asks = run.drop(*[f"_v_{k}" for k in measures]).withColumn("_at", F.col("close_ts") - lookback_ms).withColumn("_kind", F.lit(1)).withColumn("_seq", F.col("sequence"))
     both = asks.unionByName(closes, allowMissingColumns=True)
-    carried = _running(both, keys, _day("_at", keys), ["_at", "_kind", "_seq"], {f"b_{k}": F.col(f"_v_{k}") for k in measures}).where("_kind = -1")
+    carried = _running(both, keys, _day("_at", keys), ["_at", "_kind", "_seq"], {f"b_{k}": F.col(f"_v_{k}") for k in measures}).where("_kind = 1")
     return carried.select(*trades.columns, *[(F.col(f"r_{k}") - F.col(f"b_{k}")).alias(k) for k in measures])
 
 
 def stoploss_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_ms: int, required: float = 0.0, per_pair: bool = True, per_side: bool = False, handler: int = 1) -> DataFrame:
     """At least `limit` stop or liquidation losses in the look-back lock the pair or, if not per_pair, all pairs; the lock runs from the latest of these losses."""
-    loss = F.col("exit_reason").isin("stop_loss", "trailing_stop_loss", "liquidation") & (F.col("profit_abs") != 0) & (F.col("profit_ratio") < required)
+    loss = F.col("exit_reason").isin("stop_loss", "trailing_stop_loss", "stoploss_on_exchange", "liquidation") & (F.col("profit_ratio") != 0) & (F.col("profit_ratio") < required)
     keys = [*["pair"] * per_pair, *["is_short"] * per_side]
     counted = running_lookback(trades, lookback_ms, keys, {"losses": loss.cast("long")})
     hit = _running(counted, keys, _day("close_ts", keys), ["sequence"], {}, {"latest": F.when(loss, F.col("close_ts"))}).where(F.col("losses") >= limit)
@@ -117,30 +103,75 @@ def low_profit_requests(trades: DataFrame, lookback_ms: int, limit: int, duratio
     return _request(hit, F.col("pair"), side, F.col("close_ts") + duration_ms, "low_profit", False, handler)
 
 
+#: Blocks that make one of the next level.
+RADIX = 4
+
+
+def _fall(high: Column, low: Column, relative: bool) -> Column:
+    """How far a curve falls from a high to a later low, at least 0."""
+    if not relative:
+        return F.greatest(high - low, F.lit(0.0))
+    return F.when(high > 0, F.greatest((high - low) / high, F.lit(0.0))).when((high == 0) & (low < 0), F.lit(float("inf"))).otherwise(F.lit(0.0))
+
+
+def _merged(parts: Column, relative: bool) -> Column:
+    """high, low and worst fall of stretches of a curve in order (structs at, high, low, worst)."""
+
+    def add(s: Column, x: Column) -> Column:
+        return F.struct(F.greatest(s["high"], x["high"]).alias("high"), F.least(s["low"], x["low"]).alias("low"), F.greatest(s["worst"], x["worst"], _fall(s["high"], x["low"], relative)).alias("worst"))
+
+    empty = F.struct(F.lit(float("-inf")).alias("high"), F.lit(float("inf")).alias("low"), F.lit(0.0).alias("worst"))
+    return F.aggregate(F.array_sort(parts), empty, add)
+
+
+def worst_falls(points: DataFrame, spans: DataFrame, relative: bool) -> DataFrame:
+    """Adds to spans (first, last, ...) the worst fall of the curve points (pos from 0 without gaps, value) between positions first and last, both included.
+
+    The curve is summed up in blocks of RADIX, RADIX^2, ... positions (high, low and worst fall), and every span is covered by some 2 * RADIX blocks of each level at most, joined by level
+    and block: a span costs the logarithm of its length. spans are asked twice and need a column `id` of their own.
+    """
+    count = points.count()
+    level = points.select(F.col("pos").alias("block"), F.col("value").alias("high"), F.col("value").alias("low"), F.lit(0.0).alias("worst"))
+    blocks, size, levels = level.withColumn("level", F.lit(0)), 1, 1
+    while size * RADIX <= count:
+        part = F.collect_list(F.struct(F.col("block").alias("at"), "high", "low", "worst"))
+        level = level.groupBy(F.floor(F.col("block") / RADIX).alias("block")).agg(_merged(part, relative).alias("m")).select("block", "m.*")
+        blocks, size, levels = blocks.unionByName(level.withColumn("level", F.lit(levels))), size * RADIX, levels + 1
+    low = [F.ceil(F.col("first") / RADIX**k).cast("long") for k in range(levels)]
+    high = [F.floor((F.col("last") + 1) / RADIX**k).cast("long") for k in range(levels)]
+
+    def cover(k: int, start: Column, end: Column) -> Column:
+        """Blocks of level k from start to before end."""
+        some = F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(some, lambda b: F.struct(F.lit(k).alias("level"), b.alias("block"), (b * RADIX**k).alias("at")))
+
+    parts = []
+    for k in range(levels):
+        if k + 1 == levels:
+            parts.append(cover(k, low[k], high[k]))
+        else:  # what the next level covers is left to it
+            inner = low[k + 1] < high[k + 1]
+            parts += [cover(k, low[k], F.when(inner, low[k + 1] * RADIX).otherwise(high[k])), cover(k, F.when(inner, high[k + 1] * RADIX).otherwise(high[k]), high[k])]
+    asked = spans.select("id", F.explode(F.flatten(F.array(*parts))).alias("b")).select("id", "b.*")
+    found = asked.join(blocks, ["level", "block"]).groupBy("id").agg(_merged(F.collect_list(F.struct("at", "high", "low", "worst")), relative)["worst"].alias("worst"))
+    return spans.join(found, "id")
+
+
 def drawdown_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_ms: int, allowed: float, start: float | None = None, handler: int = 3) -> DataFrame:
     """A drawdown of the look-back's trades above `allowed` locks all pairs; of summed ratios, or with `start` of the equity, relative to its high.
 
-    The trades of a look-back form one array, folded in closing order; look-backs that can hold very many trades should be cut by day before.
+    The look-back begins at what was earned before it. Sums are exact to 8 places, so a look-back is a span of one curve over all trades (see worst_falls). Relative to a high, `allowed` must be below 1.
     """
-    value = F.col("b_profit_ratio") if start is None else F.col("b_profit_abs")
-    before = F.lit(0.0)
-    base = trades
-    if start is not None:
-        run = running_lookback(trades, lookback_ms, [], {"inside": F.round("profit_abs", 8).cast("decimal(28,8)")})
-        total = _running(run, [], _day("close_ts", []), ["sequence"], {"total": F.round("profit_abs", 8).cast("decimal(28,8)")})
-        base = total.withColumn("_before", (F.col("total") - F.col("inside")).cast("double")).drop("inside", "total")
-        before = F.lit(start) + F.col("_before")
-    joined = _lookback(base, lookback_ms, False)
-    rows = joined.groupBy("sequence").agg(F.array_sort(F.collect_list(F.struct("b_sequence", value.alias("v")))).alias("path"), F.any_value("close_ts").alias("close_ts"), F.any_value(before).alias("_from"))
-    zero = F.struct(F.col("_from").cast("double").alias("cum"), F.col("_from").cast("double").alias("high"), F.lit(0.0).alias("worst"))
-
-    def step(s: Column, x: Column) -> Column:
-        cum = s["cum"] + x["v"]
-        high = F.greatest(s["high"], cum)
-        fall = high - cum if start is None else (high - cum) / high
-        return F.struct(cum.alias("cum"), high.alias("high"), F.greatest(s["worst"], fall).alias("worst"))
-
-    hit = rows.withColumn("drawdown", F.aggregate("path", zero, step)["worst"]).where((F.size("path") >= limit) & (F.col("drawdown") > allowed))
+    if start is not None and not allowed < 1:
+        raise ValueError("a drawdown of the equity is a share of its high: allowed must be below 1")
+    value = F.round("profit_ratio" if start is None else "profit_abs", 8).cast("decimal(28,8)")
+    run = _running(trades, [], _day("close_ts", []), ["sequence"], {"place": F.lit(1).cast("long"), "curve": value})
+    rows = stored(running_lookback(run, lookback_ms, [], {"closed": F.lit(1).cast("long")}), "lookbacks")
+    base = float(start or 0.0)
+    points = rows.select(F.col("place").alias("pos"), (F.col("curve").cast("double") + base).alias("value"))
+    points = points.unionByName(trades.sparkSession.range(1).select(F.lit(0).cast("long").alias("pos"), F.lit(base).alias("value")))
+    spans = rows.where(F.col("closed") >= limit).select(F.col("place").alias("id"), (F.col("place") - F.col("closed")).alias("first"), F.col("place").alias("last"), "close_ts", "sequence")
+    hit = worst_falls(points, spans, start is not None).where(F.col("worst") > allowed)
     return _request(hit, F.lit("*"), F.lit("*"), F.col("close_ts") + duration_ms, "max_drawdown", True, handler)
 
 
@@ -150,9 +181,7 @@ def emit_locks(requests: DataFrame, size_ms: int) -> DataFrame:
     The end is rounded up to the next candle, one more if it is on a boundary. A request is left out if a scope that covers it already ends later than its `until`. What
     ended later was emitted or was itself covered by something later still, so a running maximum over all earlier requests decides.
     """
-    path = scratch(requests.sparkSession, "requests")  # asked four times below
-    requests.select(*REQUEST).write.parquet(path)
-    rows = requests.sparkSession.read.parquet(path).withColumn("lock_end", (F.floor(F.col("until") / size_ms) + 1) * size_ms)
+    rows = stored(requests.select(*REQUEST), "requests").withColumn("lock_end", (F.floor(F.col("until") / size_ms) + 1) * size_ms)  # asked four times below
     order = [F.col("sequence"), F.col("is_global"), F.col("handler"), F.col("pair"), F.col("side")]
     # every request asks the scopes that cover it; every request also marks its own scope
     marks = rows.select(*REQUEST, "lock_end", F.col("pair").alias("s_pair"), F.col("side").alias("s_side"), F.lit(1).alias("is_mark"))

@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.operators.candles import by_time
+from wickwork.functions.timeframes import timeframe_ms
+from wickwork.operators.candles import by_time, clean_candles, execution_window, filter_timerange
 from wickwork.operators.compare import differences
-from wickwork.operators.joins import attach_funding, first_barrier, merge_informative
+from wickwork.operators.joins import attach_funding, barrier_asks, coverage_gaps, first_exits, merge_informative, startup_shortfalls
 from wickwork.operators.signals import FLAGS, shift_signals, signal_counts
 
 ColumnStrategy = Callable[[DataFrame], DataFrame]
@@ -61,24 +62,54 @@ def scan_lookahead(candles: DataFrame, strategy: ColumnStrategy, cutoffs: list[i
     return out
 
 
-def prepare_signals(candles: DataFrame, strategy: ColumnStrategy, start: int, end: int, events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(signals, counts): strategy, shift to the next candle, range, funding, and counts by pair of the executable rows."""
-    shifted = shift_signals(strategy(candles)).where((F.col("ts") >= start) & (F.col("ts") <= end))
+def prepare_candles(
+    candles: DataFrame, timeframe: str, start: int, end: int, startup: int, informative: dict[str, DataFrame] | None = None, pairs: list[str] | None = None, policy: str = "strict"
+) -> tuple[DataFrame, DataFrame]:
+    """(candles, coverage): raw candles cut to the range and its startup, cleaned, and joined with the cleaned informative candles of coarser timeframes (by name).
+
+    coverage has one row a requested pair (all that are there, if none are named): first_ts, last_ts, start_missing, end_missing, accepted (by policy, see coverage_gaps) and missing_candles of the
+    startup. Pairs that are not accepted have no candles. Informative candles begin as many of their own candles before the range.
+    """
+    size = timeframe_ms(timeframe)
+    pairs = sorted(r["pair"] for r in candles.select("pair").distinct().collect()) if pairs is None else pairs
+    coverage = coverage_gaps(candles, pairs, size, start, end, policy).join(startup_shortfalls(candles, pairs, size, start, startup), "pair")
+    accepted = coverage.where("accepted").select("pair")
+    own = filter_timerange(candles.join(accepted, "pair", "left_semi"), start - startup * size, end)
+    out = clean_candles(own, timeframe)
+    for coarser, rows in (informative or {}).items():
+        wide = filter_timerange(rows, start - startup * timeframe_ms(coarser), end)
+        out = merge_informative(out, clean_candles(wide, coarser), timeframe, coarser)
+    return out, coverage
+
+
+def prepare_signals(candles: DataFrame, strategy: ColumnStrategy, start: int, end: int, events: DataFrame | None = None, startup: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(signals, counts): strategy, shift to the next candle, execution window, funding, and counts by pair of the executable rows.
+
+    signals keep the rows before the first executable one, up to startup and the first of the range, as is_context: rules may look back at them, no signal on them is traded.
+    """
+    shifted = execution_window(shift_signals(strategy(candles)), start, end, startup)
     out = attach_funding(shifted, events) if events is not None else shifted
-    executable = out.select("pair", *[F.col(f"exec_{c}").alias(c) for c in FLAGS])
+    executable = out.where("not is_context").select("pair", *[F.col(f"exec_{c}").alias(c) for c in FLAGS])
     return out, signal_counts(executable)
 
 
 def candidate_sweep(entries: DataFrame, candles: DataFrame, candidates: list[tuple[str, float, int]]) -> DataFrame:
-    """One report row a candidate (name, stop, timeout_ms), in the order given: trades, wins and the mean ratio of its exits.
+    """One report row a candidate (name, stop, timeout_ms), in the order given: trades, wins and the mean ratio of its exits, status (completed or failed) and error.
 
-    Each candidate is a label join of its own on the same candles; candidates are few, trades and candles may be many.
+    All candidates are rows of one plan: entries times candidates ask the blocks of one scan of the candles. A candidate that cannot be run (a stop that is no share, a timeout below 0) is a
+    failed row and does not end the sweep.
     """
+    spark = entries.sparkSession
+    table = spark.createDataFrame([(k, n, None if s is None else float(s), t) for k, (n, s, t) in enumerate(candidates)], "position int, candidate string, stop double, timeout long")
+    bad = F.when(F.col("stop").isNull() | F.isnan("stop") | (F.col("stop") <= 0), "stop").when(F.col("timeout").isNull() | (F.col("timeout") < 0), "timeout")
+    table = table.withColumn("error", bad)
+    each = F.array(*[F.struct(F.lit(k).alias("_position"), F.lit(float(s)).alias("_share"), F.lit(t).cast("long").alias("_timeout")) for k, (_, s, t) in enumerate(candidates) if s is not None and s > 0 and t is not None and t >= 0])
+    asks = entries.select("*", F.explode(each.cast("array<struct<_position:int,_share:double,_timeout:bigint>>")).alias("_c")).select(*entries.columns, "_c.*")
+    exits = first_exits(barrier_asks(asks, F.col("_share"), F.col("_timeout")), candles, ["trade_id", "_position"])
     ratio = F.when(F.col("is_short"), 1 - F.col("exit_rate") / F.col("open_rate")).otherwise(F.col("exit_rate") / F.col("open_rate") - 1)
-    out = None
-    for k, (name, stop, timeout) in enumerate(candidates):
-        row = first_barrier(entries, candles, stop, timeout).withColumn("_r", ratio).agg(
-            F.lit(k).alias("position"), F.lit(name).alias("candidate"), F.count("*").alias("trades"), F.count_if(F.col("_r") > 0).alias("wins"), F.round(F.avg(F.round("_r", 8).cast("decimal(28,8)")).cast("double"), 4).alias("mean_ratio")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    report = exits.withColumn("_r", ratio).groupBy(F.col("_position").alias("position")).agg(
+        F.count("*").alias("trades"), F.count_if(F.col("_r") > 0).alias("wins"), F.round(F.avg(F.round("_r", 8).cast("decimal(28,8)")).cast("double"), 4).alias("mean_ratio")
+    )
+    status = F.when(F.col("error").isNull(), "completed").otherwise("failed")
+    none = lambda c: F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0).cast("long")))
+    return table.join(report, "position", "left").select("position", "candidate", none("trades").alias("trades"), none("wins").alias("wins"), "mean_ratio", status.alias("status"), "error").orderBy("position")

@@ -35,7 +35,7 @@ query("slice_half_open", f"SELECT * FROM cf WHERE ts >= {START} AND ts < {END}")
 query("bound_startup_window", f"SELECT *, '1h' AS timeframe FROM cf WHERE ts BETWEEN {START} - 10 * {HOUR} AND {END} UNION ALL SELECT pair, ts, open, high, low, close, volume, '4h' FROM h4 WHERE ts BETWEEN {START} - 20 * {HOUR * 4} AND {END}", h4=_RESAMPLE.format(b="(ts // 14400000) * 14400000"))(
     lambda s, d: op.startup_windows(src.full_candles(s, d).withColumn("timeframe", F.lit("1h")).unionByName(op.resample(src.full_candles(s, d), "4h").withColumn("timeframe", F.lit("4h"))), {"1h": 10, "4h": 20}, START, END)
 )
-query("execution_window", f"SELECT pair, ts, open, high, low, close, volume, n < first AS is_context FROM (SELECT *, h + greatest(0, 30 - h) + 2 AS first FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts) AS n, count(*) FILTER (ts < {START}) OVER (PARTITION BY pair) AS h FROM cf WHERE ts <= {END})) WHERE n >= first - 30 AND (ts >= {START} OR n < first)")(lambda s, d: op.execution_window(src.full_candles(s, d), START, END, 30))
+query("execution_window", f"SELECT pair, ts, open, high, low, close, volume, n <= head AS is_context FROM (SELECT *, h + greatest(0, 30 - h) + 1 AS head FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts) AS n, count(*) OVER (PARTITION BY pair) AS c, count(*) FILTER (ts < {START}) OVER (PARTITION BY pair) AS h FROM cf WHERE ts <= {END})) WHERE n >= head - 30 AND c > head")(lambda s, d: op.execution_window(src.full_candles(s, d), START, END, 30))
 query("validate_candles", "SELECT pair, min(row) AS row, min_by(code, row) AS code FROM (SELECT pair, row_number() OVER w - 1 AS row, CASE WHEN ts < 0 THEN 'negative_time' WHEN open <= 0 THEN 'open_not_positive' WHEN high < low THEN 'high_below_low' WHEN low <= 0 THEN 'low_not_positive' WHEN volume < 0 THEN 'negative_volume' WHEN lag(ts) OVER w >= ts THEN 'time_not_increasing' END AS code FROM ticks WINDOW w AS (PARTITION BY pair ORDER BY seq)) WHERE code IS NOT NULL GROUP BY pair")(lambda s, d: op.validate_candles(src.ticks(s, d), "seq"))
 query("project_features", "SELECT pair, ts, open, high, low, close, volume, close - open AS body FROM cf")(lambda s, d: op.project_features(src.full_candles(s, d).withColumn("body", F.col("close") - F.col("open")).withColumn("unused", F.lit(1)), ["body", "close"]))
 query("encode_nonfinite", "SELECT pair, ts, CASE WHEN volume = 0 AND close > open THEN '{\"$float\":\"inf\"}' WHEN volume = 0 AND close < open THEN '{\"$float\":\"-inf\"}' WHEN volume = 0 THEN '{\"$float\":\"nan\"}' ELSE printf('%.6f', (close - open) / volume) END AS encoded FROM cf")(

@@ -32,9 +32,27 @@ _FLAG = {
 _MEAN = "round((sum(round({x}, 8)::DECIMAL(28,8))::DOUBLE / count(*)), {p})"
 query("flagship", f"SELECT pair, exit_reason, count(*) AS trades, count(*) FILTER (exit_rate / open_rate - 1 > 0) AS wins, {_MEAN.format(x='exit_rate / open_rate - 1', p=4)} AS mean_ratio FROM r6 GROUP BY ALL", **_FLAG)(lambda s, d: flagship(s, d).withColumn("mean_ratio", F.round("mean_ratio", 4)))
 
-query("prepare_candles", f"SELECT a.*, i.close AS close_6h FROM (SELECT * FROM c1 WHERE ts BETWEEN {START} - 20 * {HOUR} AND {END}) a LEFT JOIN c6 i ON a.pair = i.pair AND a.ts = i.ts + 18000000", **_SIX, h1=_H.format(n=3600000, m="mrg"), g1=_GRID.format(n=3600000, h="h1"), c1=_FILL.format(g="g1", h="h1"))(
-    lambda s, d: jn.merge_informative(cnd.filter_timerange(cnd.clean_candles(src.ticks(s, d), "1h"), START - 20 * HOUR, END), cnd.clean_candles(src.ticks(s, d), "6h").select("pair", "ts", "close"), "1h", "6h").drop("ts_6h")
-)
+# the range and its startup are cut before candles are cleaned, so gaps are filled from what is inside; the ticks of a pair with too late a start are left out
+_CUT = "SELECT * FROM mrg WHERE ts BETWEEN {s} AND {e}"
+_PREPARED = {
+    "mrg": _M, "m1": _CUT.format(s=START - 20 * HOUR, e=END), "h1": _H.format(n=3600000, m="m1"), "g1": _GRID.format(n=3600000, h="h1"), "c1": _FILL.format(g="g1", h="h1"),
+    "m6": _CUT.format(s=START - 120 * HOUR, e=END), "h6": _H.format(n=21600000, m="m6"), "g6": _GRID.format(n=21600000, h="h6"), "c6": _FILL.format(g="g6", h="h6"),
+}
+_RAW = f"SELECT pair, min(ts) AS first_ts, max(ts) AS last_ts FROM late GROUP BY pair"
+_LATE = f"SELECT * FROM ticks WHERE pair <> 'view' OR ts >= {START} + 48 * {HOUR}"
+
+
+def late(s, d):
+    """Ticks of which one pair starts after the range does."""
+    return src.ticks(s, d).where((F.col("pair") != "view") | (F.col("ts") >= START + 48 * HOUR))
+
+
+def prepared(s, d):
+    return op.prepare_candles(late(s, d), "1h", START, END, 20, {"6h": late(s, d)})
+
+
+query("prepare_candles", "SELECT a.pair, a.ts, a.open, a.high, a.low, a.close, a.volume, i.close AS close_6h FROM c1 a LEFT JOIN c6 i ON a.pair = i.pair AND a.ts = i.ts + 18000000 WHERE a.pair <> 'view'", **_PREPARED)(lambda s, d: prepared(s, d)[0].select("pair", "ts", "open", "high", "low", "close", "volume", "close_6h"))
+query("prepare_candles_coverage", f"SELECT pair, first_ts, last_ts, first_ts > {START} AS start_missing, last_ts + {HOUR} < {END} AS end_missing, first_ts <= {START} AND last_ts + {HOUR} >= {END} AS accepted, greatest(0, ceil((first_ts - ({START} - 20 * {HOUR})) / {HOUR}))::BIGINT AS missing_candles FROM raw", late=_LATE, raw=_RAW)(lambda s, d: prepared(s, d)[1])
 
 
 def with_signals(candles):
@@ -44,11 +62,20 @@ def with_signals(candles):
 
 _STRAT = "SELECT pair, ts, open, high, low, close, volume, enter_long, exit_long FROM sig"
 query("column_strategy", _STRAT)(lambda s, d: with_signals(src.full_candles(s, d)))
-query("prepare_signals", f"SELECT s.*, rate AS funding_rate, mark AS mark_price FROM (SELECT pair, ts, close, coalesce(lag(enter_long) OVER w, 0) AS exec_enter_long, coalesce(lag(exit_long) OVER w, 0) AS exec_exit_long FROM sig WINDOW w AS (PARTITION BY pair ORDER BY ts)) s LEFT JOIN fund USING (pair, ts) WHERE ts BETWEEN {START} AND {END}")(
-    lambda s, d: op.prepare_signals(src.full_candles(s, d), with_signals, START, END, src.funding(s, d))[0].select("pair", "ts", "close", "exec_enter_long", "exec_exit_long", "funding_rate", "mark_price")
+# one pair has 10 candles of history where 24 are asked for
+_EXEC = f"SELECT *, h + greatest(0, 24 - h) + 1 AS head FROM (SELECT pair, ts, close, coalesce(lag(enter_long) OVER w, 0) AS exec_enter_long, coalesce(lag(exit_long) OVER w, 0) AS exec_exit_long, row_number() OVER w AS n, count(*) FILTER (ts < {START}) OVER (PARTITION BY pair) AS h FROM short WHERE ts <= {END} WINDOW w AS (PARTITION BY pair ORDER BY ts))"
+
+
+def short_candles(s, d):
+    return src.full_candles(s, d).where((F.col("pair") != "view") | (F.col("ts") >= START - 10 * HOUR))
+
+
+_SHORT = "SELECT pair, ts, open, high, low, close, volume, coalesce((lag(close) OVER w > lag(open) OVER w AND close < open AND volume > 0)::INT, 0) AS enter_long, (close > 2 * open)::INT AS exit_long FROM (SELECT * FROM cf WHERE pair <> 'view' OR ts >= " + f"{START} - 10 * {HOUR}) WINDOW w AS (PARTITION BY pair ORDER BY ts)"
+query("prepare_signals", "SELECT s.pair, s.ts, close, exec_enter_long, exec_exit_long, n <= head AS is_context, rate AS funding_rate, mark AS mark_price FROM ex s LEFT JOIN fund USING (pair, ts) WHERE n >= head - 24", short=_SHORT, ex=_EXEC)(
+    lambda s, d: op.prepare_signals(short_candles(s, d), with_signals, START, END, src.funding(s, d), 24)[0].select("pair", "ts", "close", "exec_enter_long", "exec_exit_long", "is_context", "funding_rate", "mark_price")
 )
-query("prepare_signals_counts", f"SELECT pair, count(*) AS rows, count(*) FILTER (a = 1) AS enter_long, 0::BIGINT AS enter_short, count(*) FILTER (b = 1) AS exit_long, 0::BIGINT AS exit_short FROM (SELECT pair, ts, lag(enter_long) OVER w AS a, lag(exit_long) OVER w AS b FROM sig WINDOW w AS (PARTITION BY pair ORDER BY ts)) WHERE ts BETWEEN {START} AND {END} GROUP BY pair")(
-    lambda s, d: op.prepare_signals(src.full_candles(s, d), with_signals, START, END)[1]
+query("prepare_signals_counts", "SELECT pair, count(*) AS rows, count(*) FILTER (exec_enter_long = 1) AS enter_long, 0::BIGINT AS enter_short, count(*) FILTER (exec_exit_long = 1) AS exit_long, 0::BIGINT AS exit_short FROM ex WHERE n > head GROUP BY pair", short=_SHORT, ex=_EXEC)(
+    lambda s, d: op.prepare_signals(short_candles(s, d), with_signals, START, END, None, 24)[1]
 )
 
 
@@ -81,9 +108,10 @@ def peeking(candles):
 query("scan_lookahead", f"SELECT {START}::BIGINT AS cutoff, pair || '@' || ts AS key, 'enter_long' AS field, '1' AS expected, '0' AS actual FROM (SELECT *, lead(close) OVER (PARTITION BY pair ORDER BY ts) AS nx FROM cf) WHERE ts = {START} AND nx > close")(
     lambda s, d: op.scan_lookahead(src.full_candles(s, d), peeking, [START], ["enter_long"]).withColumn("cutoff", F.col("cutoff").cast("long"))
 )
-_SWEEP = "SELECT {k}::INT AS position, '{name}' AS candidate, count(*) AS trades, count(*) FILTER (r > 0) AS wins, " + _MEAN.format(x="r", p=4) + " AS mean_ratio FROM (SELECT CASE WHEN e.is_short THEN 1 - rate / open_rate ELSE rate / open_rate - 1 END AS r FROM (SELECT c.*, coalesce(x.rate, l.lo) AS rate FROM ctr c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts) AS n FROM (SELECT c.trade_id, s.ts, CASE WHEN NOT is_short AND exit_long = 1 OR s.ts >= open_ts + {to} THEN s.open WHEN CASE WHEN is_short THEN high >= open_rate * (1 + {st}::DOUBLE) ELSE low <= open_rate * (1 - {st}::DOUBLE) END THEN CASE WHEN is_short THEN open_rate * (1 + {st}::DOUBLE) ELSE open_rate * (1 - {st}::DOUBLE) END END AS rate FROM ctr c JOIN sig s ON c.pair = s.pair AND s.ts > open_ts AND s.ts <= open_ts + {to} + 86400000) WHERE rate IS NOT NULL) x ON c.trade_id = x.trade_id AND n = 1 JOIN (SELECT pair, max_by(open, ts) AS lo FROM sig GROUP BY pair) l ON c.pair = l.pair) e)"
+_SWEEP = "SELECT {k}::INT AS position, '{name}' AS candidate, 'completed' AS status, NULL::VARCHAR AS error, count(*) AS trades, count(*) FILTER (r > 0) AS wins, " + _MEAN.format(x="r", p=4) + " AS mean_ratio FROM (SELECT CASE WHEN e.is_short THEN 1 - rate / open_rate ELSE rate / open_rate - 1 END AS r FROM (SELECT c.*, coalesce(x.rate, l.lo) AS rate FROM ctr c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts) AS n FROM (SELECT c.trade_id, s.ts, CASE WHEN NOT is_short AND exit_long = 1 OR s.ts >= open_ts + {to} THEN s.open WHEN CASE WHEN is_short THEN high >= open_rate * (1 + {st}::DOUBLE) ELSE low <= open_rate * (1 - {st}::DOUBLE) END THEN CASE WHEN is_short THEN open_rate * (1 + {st}::DOUBLE) ELSE open_rate * (1 - {st}::DOUBLE) END END AS rate FROM ctr c JOIN sig s ON c.pair = s.pair AND s.ts > open_ts AND s.ts <= open_ts + {to} + 86400000) WHERE rate IS NOT NULL) x ON c.trade_id = x.trade_id AND n = 1 JOIN (SELECT pair, max_by(open, ts) AS lo FROM sig GROUP BY pair) l ON c.pair = l.pair) e)"
+_FAILED = " UNION ALL SELECT 2, 'no share', 'failed', 'stop', NULL, NULL, NULL"
 _CAND = [("tight", 0.2, 6 * HOUR), ("wide", 0.8, DAY)]
-query("candidate_sweep", " UNION ALL ".join(_SWEEP.format(k=k, name=n, st=st, to=to) for k, (n, st, to) in enumerate(_CAND)))(lambda s, d: op.candidate_sweep(src.candle_trades(s, d), src.signals(s, d), _CAND))
+query("candidate_sweep", " UNION ALL ".join(_SWEEP.format(k=k, name=n, st=st, to=to) for k, (n, st, to) in enumerate(_CAND)) + _FAILED)(lambda s, d: op.candidate_sweep(src.candle_trades(s, d), src.signals(s, d), [*_CAND, ("no share", -0.5, DAY)]))
 
 
 def surface(s, d):
