@@ -10,7 +10,7 @@ from wickwork.functions import scalars
 from wickwork.functions.timeframes import parse_timerange, timeframe_ms
 from wickwork.operators import candles, compare, joins, locks, runs, signals, trades, universe
 from wickwork.plans import strategies
-from wickwork.sources import files
+from wickwork.sources import exports, files
 
 H = 3_600_000
 
@@ -189,7 +189,7 @@ def test_a_present_null_tag_wins(spark, tmp_path):
     row = {"pair": "A/B", "is_short": False, "open_timestamp": 1, "close_timestamp": 2, "amount": 1, "orders": []}
     made = [row | {"enter_tag": None, "buy_tag": "old"}, row | {"buy_tag": "old"}, row | {"enter_tag": "new", "buy_tag": "old"}]
     (tmp_path / "x.json").write_text(json.dumps({"strategy": {"S": {"trades": made, "locks": []}}}))
-    t = files.normalize_trades(files.read_backtest_export(spark, str(tmp_path)))[0].orderBy("sequence").collect()
+    t = exports.normalize_trades(exports.read_backtest_export(spark, str(tmp_path))[0])[0].orderBy("sequence").collect()
     assert [r["entry_tag"] for r in t] == [None, "old", "new"]
 
 
@@ -404,11 +404,11 @@ def test_lookahead_scan_finds_nothing_in_a_sound_strategy(spark):
 def test_export_in_a_zip(spark, tmp_path):
     import zipfile
 
-    body = '{"strategy": {"S": {"trades": [{"pair": "A/B", "is_short": false, "open_timestamp": 1, "close_timestamp": 2, "amount": 1.50, "buy_tag": "t", "orders": []}], "locks": []}}}'
+    body = '{"strategy": {"S": {"trades": [{"pair": "A/B", "is_short": false, "open_timestamp": 1, "close_timestamp": 2, "amount": 1.50, "buy_tag": "t", "exit_reason": "roi", "orders": []}], "locks": []}}}'
     with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
         z.writestr("r.json", body)
         z.writestr("r_config.json", "{}")
-    t, o, k = files.normalize_trades(files.read_backtest_export(spark, str(tmp_path)))
+    t, o, k = exports.normalize_trades(exports.read_backtest_export(spark, str(tmp_path))[0])
     row = one(t)
     assert (row["amount"], row["entry_tag"], row["is_short"], row["error"]) == ("1.5", "t", False, None)
     assert o.count() == 0 and k.count() == 0
@@ -575,3 +575,85 @@ def test_prepared_candles_and_their_coverage(spark):
     assert sorted((r["pair"], r["ts"] // H) for r in out.collect()) == [("a", k) for k in range(1, 12)]
     some, _ = strategies.prepare_candles(c, "1h", 4 * H, 11 * H, 3, None, ["a", "b"], "available")
     assert {r["pair"] for r in some.collect()} == {"a", "b"}
+
+
+def export_document(rng, trades):
+    """A result of version 2 whose texts hold braces, quotes and backslashes."""
+    text = lambda: "".join(rng.choice(['a', '}', '{', '"', "\\", "]", ",", ":", "é", "\n"]) for _ in range(rng.randint(1, 12)))
+    made = [
+        {"pair": f"A{k}/B", "is_short": k % 2 == 1, "open_timestamp": k, "close_timestamp": k + 1, "amount": 1.5, "enter_tag": text(), "exit_reason": "roi", "nested": {"x": {"y": text()}}, "trade_duration": 1, "is_open": False, "weekday": 6,
+         "orders": [{"ft_is_entry": True, "amount": 2, "tag": text()} for _ in range(rng.randint(0, 3))]} for k in range(trades)
+    ]
+    locks = [{"pair": "*", "side": "*", "lock_timestamp": k, "lock_end_timestamp": k + 5, "reason": text(), "active": True} for k in range(4)]
+    counts = {c: 1 for c in exports._COUNTS}
+    return {"trading_mode": "spot", "config": {"a": {"b": "}"}}, "trades": made, "empty": [], "per_pair": [{"key": text()}], "timeframe": "5m", "locks": locks, "timerange": "1-2", **{c: 1.25 for c in exports._BALANCES}, **counts}
+
+
+@pytest.mark.parametrize("shape", ["map", "flat", "zip", "indented"])
+def test_exports_in_many_pieces(spark, tmp_path, shape):
+    """Files are cut anywhere, and every text and number comes back as it is in the file."""
+    import json
+    import random
+    import zipfile
+
+    rng = random.Random(6)
+    result = export_document(rng, 90)
+    document = result | {"strategy_name": "F"} if shape == "flat" else {"metadata": {"x": "{"}, "strategy": {"S": result, "T": result | {"trades": result["trades"][:3], "locks": []}}, "strategy_comparison": [{"key": "S", "trades": 3}]}
+    body = json.dumps(document, indent=2 if shape == "indented" else None, ensure_ascii=shape != "flat")
+    if shape == "zip":
+        with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+            z.writestr("r.json", body)
+    else:
+        (tmp_path / "r.json").write_text(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "12000")
+    try:
+        records, heads = exports.read_backtest_export(spark, str(tmp_path))
+        found = records.collect()
+        summary = {r["strategy"]: r for r in exports.normalize_summary(heads).collect()}
+        t, o, k = exports.normalize_trades(records, 2)
+        t, o, k = t.where("error is null").collect(), o.collect(), k.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {"F": result} if shape == "flat" else {"S": result, "T": result | {"trades": result["trades"][:3], "locks": []}}
+    for name, r in want.items():
+        for section in ("trades", "locks", "per_pair"):
+            rows = sorted((x["sequence"], json.loads(x["record"])) for x in found if x["strategy"] == name and x["section"] == section)
+            assert rows == list(enumerate(r[section]))
+        assert (summary[name]["version"], summary[name]["error"], summary[name]["starting_balance"], summary[name]["timerange"]) == (2, None, "1.25", "1-2")
+        mine = sorted((x["sequence"], x["entry_tag"]) for x in t if x["strategy"] == name)
+        assert mine == [(i, x["enter_tag"]) for i, x in enumerate(r["trades"])]
+        assert sum(x["strategy"] == name for x in o) == sum(len(x["orders"]) for x in r["trades"]) and sum(x["strategy"] == name for x in k) == len(r["locks"])
+    assert {x["section"] for x in found} == {"trades", "locks", "per_pair"}
+
+
+def test_version_one_has_no_summary(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"strategy": {"S": {"trades": [{"pair": "A/B", "is_short": false, "open_date": "2024-01-01 00:00:00", "close_timestamp": 1704067260000, "amount": 0.10, "sell_reason": "roi", "orders": []}, {"pair": "", "amount": 1}]}}}')
+    records, heads = exports.read_backtest_export(spark, str(tmp_path))
+    t = exports.normalize_trades(records)[0].orderBy("sequence").collect()
+    assert (t[0]["open_ts"], t[0]["amount"], t[0]["exit_reason"], t[0]["error"], t[1]["error"]) == (1_704_067_200_000, "0.1", "roi", None, "pair")
+    assert exports.normalize_trades(records, 2)[0].where("error = 'duration'").count() == 1
+    assert all(r["version"] == 1 and r["error"] is None for r in exports.normalize_summary(heads).collect())
+    with pytest.raises(ValueError):
+        exports.normalize_trades(records, 3)
+
+
+def test_written_surface_in_order(spark, tmp_path):
+    t = spark.createDataFrame([(1, "b", "1.50"), (0, "a", "0.12345678")], "sequence long, pair string, amount string")
+    o = spark.createDataFrame([(0, 1, 5), (0, 0, 4)], "trade long, sequence int, size int")
+    k = spark.createDataFrame([("z", "*", 5, 9, "r"), ("a", "*", 5, 9, "r"), ("b", "*", 1, 9, None)], "pair string, side string, lock_ts long, lock_end long, reason string")
+    path = str(tmp_path / "s")
+    manifest = {r["kind"]: (r["lines"], r["errors"]) for r in exports.write_surface(spark.createDataFrame([(2,)], "total_trades long"), k, t, o, path, ["amount"]).collect()}
+    assert manifest == {"summary": (1, 0), "lock": (3, 0), "trade": (2, 1)}
+    lines = [(r["kind"], r["value"]) for r in exports.read_surface(spark, path).collect()]
+    assert [x for x, _ in lines] == ["summary", "lock", "lock", "lock", "trade", "trade"] and '"pair":"b"' in lines[1][1] and '"pair":"a"' in lines[2][1]
+    assert lines[4][1] == '{"sequence":0,"pair":"a","amount":"0.12345678","orders":[{"sequence":0,"size":4},{"sequence":1,"size":5}]}'
+    import glob
+
+    part = next(f for f in glob.glob(f"{path}/lines/part-*") if open(f).read())
+    with open(part, "a") as f:
+        f.write('{"kind":"trade","value":"{}"}\n')
+    for crc in glob.glob(f"{path}/lines/.part-*.crc"):
+        __import__("os").remove(crc)
+    with pytest.raises(ValueError):
+        exports.read_surface(spark, path)

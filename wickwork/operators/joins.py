@@ -29,8 +29,9 @@ def merge_informative(base: DataFrame, informative: DataFrame, timeframe: str, c
     if coarse < fine:
         raise ValueError("the informative timeframe is finer than the base")
     names = [c for c in informative.columns if c != "pair"]
-    row = informative.select("pair", (F.col("ts") + (coarse - fine)).alias("_key"), F.struct(*[F.col(c).alias(f"{c}_{coarser}") for c in names]).alias("_row"))
-    joined = base.join(row, (base["pair"] == row["pair"]) & (base["ts"] == row["_key"]), "left").drop(row["pair"]).drop("_key")
+    row = informative.select(F.col("pair").alias("_pair"), (F.col("ts") + (coarse - fine)).alias("_key"), F.struct(*[F.col(c).alias(f"{c}_{coarser}") for c in names]).alias("_row"))
+    # by names of their own: both sides may stem from one table
+    joined = base.join(row, (F.col("pair") == F.col("_pair")) & (F.col("ts") == F.col("_key")), "left").drop("_pair", "_key")
     if ffill:
         joined = joined.withColumn("_row", F.last("_row", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     return joined.select(*base.columns, "_row.*")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wickwork.operators import candles as cnd
+from wickwork.operators.trades import closure_sequence
 from wickwork.queries.base import HOUR, query
 from wickwork.queries.candles import END, START
 from wickwork.session import scratch
+from wickwork.sources import exports as ex
 from wickwork.sources import files as op
 from wickwork.sources import tables as src
 
@@ -83,12 +86,56 @@ def exports(s, d):
     files = t.join(orders, "trade_id").groupBy("leverage", F.floor(F.col("trade_id") / TRADES_A_FILE).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("trades"))
     # one export a file: files of a task are told apart by the folder of their part
     files.select("leverage", "part", F.to_json(F.struct(F.struct(F.struct("trades").alias("S")).alias("strategy"))).alias("value")).repartition("leverage", "part").write.partitionBy("leverage", "part").text(path)
-    return op.read_backtest_export(s, path, "S").where("trades is not null")
+    return ex.read_backtest_export(s, path, "S")[0]
 
 
 _NORM = "SELECT row_number() OVER (PARTITION BY leverage, trade_id // 10000 ORDER BY trade_id) - 1 AS sequence, leverage::VARCHAR AS leverage, pair, is_short, open_ts, close_ts, amount::BIGINT::VARCHAR AS amount, entry_tag, exit_reason FROM closed"
-query("normalize_trades", _NORM.replace(" - 1 AS sequence", "::INT - 1 AS sequence"))(lambda s, d: op.normalize_trades(exports(s, d))[0].where("error is null").select("sequence", "leverage", "pair", "is_short", "open_ts", "close_ts", "amount", "entry_tag", "exit_reason"))
-query("read_backtest_export", "SELECT 'S' AS strategy, count(*)::INT AS trades FROM closed GROUP BY leverage, trade_id // 10000")(lambda s, d: exports(s, d).select("strategy", F.size("trades").alias("trades")))
+query("normalize_trades", _NORM.replace(" - 1 AS sequence", "::INT - 1 AS sequence"))(lambda s, d: ex.normalize_trades(exports(s, d))[0].where("error is null").select("sequence", "leverage", "pair", "is_short", "open_ts", "close_ts", "amount", "entry_tag", "exit_reason"))
+query("read_backtest_export", "SELECT 'S' AS strategy, count(*) AS trades FROM closed GROUP BY leverage, trade_id // 10000")(lambda s, d: exports(s, d).where("section = 'trades'").groupBy("path", "strategy").agg(F.count("*").alias("trades")).drop("path"))
+query("normalize_orders", "SELECT row_number() OVER (PARTITION BY leverage, trade_id // 10000 ORDER BY trade_id, sequence) AS n, leverage, is_entry, amount::BIGINT::VARCHAR AS amount, ts FROM tord JOIN (SELECT trade_id, leverage FROM theads) USING (trade_id)")(
+    lambda s, d: (lambda t: t[1].join(t[0].select("path", F.col("sequence").alias("trade"), F.col("leverage").cast("int").alias("leverage")), ["path", "trade"]).select(F.row_number().over(Window.partitionBy("path").orderBy("trade", "sequence")).cast("long").alias("n"), "leverage", "is_entry", "amount", "ts"))(ex.normalize_trades(exports(s, d)))
+)
+
+
+def one_export(s, d):
+    """All closed trades as one export of version 2, a single JSON object of one line with braces and quotes inside its texts, and locks."""
+    t = src.closed_trades(s, d)
+    row = F.struct("trade_id", "pair", "is_short", F.col("open_ts").alias("open_timestamp"), F.col("close_ts").alias("close_timestamp"), "amount", F.concat(F.lit('a "}{" b\\'), "pair").alias("enter_tag"), "exit_reason", F.array(F.struct(F.lit(True).alias("ft_is_entry"), "amount")).alias("orders"), F.lit(60).alias("trade_duration"), F.lit(False).alias("is_open"), F.lit(1).alias("weekday"))
+    locks = src.candle_locks(s, d).agg(F.array_sort(F.collect_list(F.struct(F.col("lock_ts").alias("lock_timestamp"), F.col("lock_end").alias("lock_end_timestamp"), "pair", "side", F.lit("x } y").alias("reason"), F.lit(True).alias("active")))).alias("locks"))
+    whole = t.agg(F.array_sort(F.collect_list(row)).alias("trades"), F.count("*").alias("total_trades")).crossJoin(locks)  # one row each
+    counts = [F.lit(k).alias(c) for k, c in enumerate(ex._COUNTS) if c != "total_trades"]
+    head = [F.lit(c).alias(c) for c in ("5m", "1-2")]
+    result = F.struct(F.lit("spot").alias("trading_mode"), head[0].alias("timeframe"), "total_trades", F.array(F.struct(F.lit("}").alias("key"))).alias("results_per_pair"), "locks", "trades", head[1].alias("timerange"), F.lit(1000.5).alias("starting_balance"), *[F.lit(2.25).alias(c) for c in ex._BALANCES[1:]], *counts)
+    path = scratch(s, "one-export")
+    whole.select(F.to_json(F.struct(F.struct(result.alias("S")).alias("strategy"), F.array(F.struct(F.lit("S").alias("key"))).alias("strategy_comparison")))).coalesce(1).write.text(path)
+    return ex.read_backtest_export(s, path)
+
+
+_TAG = "'a \"}{\" b\\' || pair"
+query("normalize_trades_v2", f"SELECT (row_number() OVER (ORDER BY trade_id) - 1)::INT AS sequence, pair, is_short, open_ts, close_ts, amount::BIGINT::VARCHAR AS amount, {_TAG} AS entry_tag, exit_reason, 60 AS duration_minutes, false AS is_open, 1 AS weekday FROM closed")(
+    lambda s, d: ex.normalize_trades(one_export(s, d)[0], 2)[0].where("error is null").select("sequence", "pair", "is_short", "open_ts", "close_ts", "amount", "entry_tag", "exit_reason", "duration_minutes", "is_open", "weekday")
+)
+query("normalize_locks", "SELECT pair, side, lock_ts, lock_end, 'x } y' AS reason, true AS active FROM lck")(lambda s, d: ex.normalize_trades(one_export(s, d)[0], 2)[2].drop("path", "strategy", "sequence"))
+query("normalize_summary", "SELECT 'S' AS strategy, 'spot' AS trading_mode, '5m' AS timeframe, '1-2' AS timerange, '1000.5' AS starting_balance, '2.25' AS total_volume, count(*) AS total_trades, 7::BIGINT AS max_open_trades, 2 AS version, NULL::VARCHAR AS error FROM closed")(
+    lambda s, d: ex.normalize_summary(one_export(s, d)[1]).select("strategy", "trading_mode", "timeframe", "timerange", "starting_balance", "total_volume", "total_trades", "max_open_trades", "version", "error")
+)
+
+
+def written_surface(s, d):
+    """The manifest and the lines of a surface of all closed trades; every third trade's amount has a zero too much."""
+    t = src.closed_trades(s, d).select("trade_id", "pair", "close_ts", "exit_reason", F.concat(F.col("amount").cast("long").cast("string"), F.when(F.col("trade_id") % 3 == 0, ".50").otherwise("")).alias("amount"))
+    o = src.trade_orders(s, d).select(F.col("trade_id").alias("trade"), "sequence", F.col("amount").cast("long").alias("size"))
+    path = scratch(s, "surface")
+    trades = closure_sequence(t).drop("exit_reason")
+    orders = o.join(trades.select(F.col("trade_id").alias("trade"), F.col("sequence").alias("_no")), "trade").select(F.col("_no").alias("trade"), "sequence", "size")
+    summary = t.agg(F.count("*").alias("total_trades"))
+    return ex.write_surface(summary, src.candle_locks(s, d), trades, orders, path, ["amount"]), ex.read_surface(s, path)
+
+
+query("write_surface", "SELECT 'summary' AS kind, 1::BIGINT AS lines, 0::BIGINT AS errors UNION ALL SELECT 'lock', count(*), 0 FROM lck UNION ALL SELECT 'trade', count(*), count(*) FILTER (trade_id % 3 = 0) FROM closed")(lambda s, d: written_surface(s, d)[0].drop("digest"))
+query("read_surface", "SELECT (row_number() OVER (ORDER BY close_ts, trade_id) - 1) AS sequence, trade_id, pair, n AS orders FROM closed JOIN (SELECT trade_id, count(*) AS n FROM tord GROUP BY trade_id) USING (trade_id)")(
+    lambda s, d: written_surface(s, d)[1].where("kind = 'trade'").select(F.from_json("value", "sequence long, trade_id long, pair string, orders array<struct<sequence:int>>").alias("t")).select("t.sequence", "t.trade_id", "t.pair", F.size("t.orders").cast("long").alias("orders"))
+)
 
 
 def state_events(s, d):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +14,6 @@ from pyspark.sql.window import Window
 
 from wickwork.functions.timeframes import to_ms
 from wickwork.operators.candles import dedup_keep_last, startup_windows
-from wickwork.operators.compare import canonical_decimal
 
 CANDLE_COLUMNS = ("date", "open", "high", "low", "close", "volume")
 #: Fixed value: the shape of a candle file's name.
@@ -115,65 +112,6 @@ def read_signal_vectors(spark: SparkSession, path: str, features: list[str], can
     return df.select(*need, *tags)
 
 
-_TEXT = T.StringType()
-_ORDER = T.StructType([T.StructField(c, _TEXT) for c in ("ft_is_entry", "amount", "safe_price", "cost", "order_filled_timestamp", "ft_order_tag")])
-_TRADE = T.StructType([T.StructField(c, _TEXT) for c in ("pair", "is_short", "leverage", "open_timestamp", "close_timestamp", "open_rate", "close_rate", "amount", "stake_amount", "enter_tag", "buy_tag", "exit_reason", "sell_reason", "fee_open", "fee_close", "profit_abs", "profit_ratio")] + [T.StructField("orders", T.ArrayType(_ORDER))])
-_LOCK = T.StructType([T.StructField(c, _TEXT) for c in ("pair", "side", "lock_timestamp", "lock_end_timestamp", "reason")])
-#: Numbers are read as the text that the file holds, so no digit is lost.
-EXPORT = T.StructType([T.StructField("strategy", T.MapType(_TEXT, T.StructType([T.StructField("trades", T.ArrayType(_TRADE)), T.StructField("locks", T.ArrayType(_LOCK))])))])
-
-#: The same with the names that each trade has.
-NAMES = "strategy map<string, struct<trades: array<map<string, string>>>>"
-
-
-def read_backtest_export(spark: SparkSession, path: str, strategy: str | None = None) -> DataFrame:
-    """One row a strategy of each export: path, strategy, trades, locks. Exports are JSON files, or ZIP files that hold one JSON export.
-
-    Whole files are parsed, each by one task, as an export is one JSON object.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                if name.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        inside = [x for x in z.namelist() if x.endswith(".json") and not x.endswith(("_config.json", ".meta.json"))]
-                        if len(inside) != 1:
-                            raise ValueError(f"{name} holds {len(inside)} exports")
-                        content = z.read(inside[0])
-                yield pd.DataFrame({"path": [name], "text": [content.decode("utf-8")]})
-
-    parsed = files.select("path", "content").mapInPandas(texts, "path string, text string").select("path", F.from_json("text", EXPORT).alias("x"), F.from_json("text", NAMES).alias("n"))
-    rows = parsed.select("path", "n", F.explode("x.strategy").alias("strategy", "s"))
-    names = lambda k: F.map_keys(F.col("n.strategy")[F.col("strategy")]["trades"][k])
-    trades = F.transform("s.trades", lambda t, k: t.withField("names", names(k)))
-    rows = rows.select("path", "strategy", trades.alias("trades"), "s.locks")
-    return rows if strategy is None else rows.where(F.col("strategy") == strategy)
-
-
-def normalize_trades(exports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(trades, orders, locks) of exports with canonical decimals, aliases resolved and an error code for rows out of range."""
-    t = exports.select("path", "strategy", F.posexplode("trades").alias("sequence", "t"))
-    dec = lambda c: canonical_decimal(F.col(f"t.{c}")).alias(c)
-
-    def present(new: str, old: str) -> Column:
-        """The value of the newer name where the file has that name, null or not."""
-        return F.when(F.array_contains("t.names", new), F.col(f"t.{new}")).otherwise(F.col(f"t.{old}"))
-
-    opened, closed = F.col("t.open_timestamp").try_cast("long"), F.col("t.close_timestamp").try_cast("long")
-    error = F.when(opened.isNull() | closed.isNull(), "time").when(closed < opened, "order").when(canonical_decimal(F.col("t.amount")).isNull(), "amount").when(F.col("t.pair").isNull(), "pair")
-    trades = t.select(
-        "path", "strategy", "sequence", "t.pair", (F.lower("t.is_short") == "true").alias("is_short"), opened.alias("open_ts"), closed.alias("close_ts"),
-        *[dec(c) for c in ("leverage", "open_rate", "close_rate", "amount", "stake_amount", "fee_open", "fee_close", "profit_abs", "profit_ratio")],
-        F.nullif(present("enter_tag", "buy_tag"), F.lit("")).alias("entry_tag"), present("exit_reason", "sell_reason").alias("exit_reason"), error.alias("error"),
-    )
-    o = t.select("path", "strategy", F.col("sequence").alias("trade"), F.posexplode("t.orders").alias("sequence", "o"))
-    orders = o.select("path", "strategy", "trade", "sequence", (F.lower("o.ft_is_entry") == "true").alias("is_entry"), canonical_decimal(F.col("o.amount")).alias("amount"), canonical_decimal(F.col("o.safe_price")).alias("price"), canonical_decimal(F.col("o.cost")).alias("cost"), F.col("o.order_filled_timestamp").try_cast("long").alias("ts"), F.nullif("o.ft_order_tag", F.lit("")).alias("tag"))
-    locks = exports.select("path", "strategy", F.explode("locks").alias("l")).select("path", "strategy", "l.pair", "l.side", F.col("l.lock_timestamp").try_cast("long").alias("lock_ts"), F.col("l.lock_end_timestamp").try_cast("long").alias("lock_end"), "l.reason")
-    return trades, orders, locks
-
-
 def write_trade_surface(trades: DataFrame, orders: DataFrame, path: str) -> DataFrame:
     """Write one JSON line a trade with its orders in sequence, and read the lines back: trade_id, surface.
 
