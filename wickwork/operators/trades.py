@@ -54,11 +54,15 @@ def current_profit_ratio(open_rate: Column, rate: Column, amount: Column, fee: C
     return F.when((leverage == 1) & ~is_short, spot).otherwise(gain / opened * leverage)
 
 
-def backtest_summary(trades: DataFrame, start: float) -> DataFrame:
-    """One row: trades, total profit, final balance and volume. Money is summed as decimals, so the result does not depend on partitioning."""
+def backtest_summary(trades: DataFrame, start: float, rejected: DataFrame | None = None) -> DataFrame:
+    """One row: trades, total profit, final balance, volume, the most trades open at once, and the entry signals that were rejected (rows of `rejected`, 0 without it).
+
+    Money is summed as decimals, so the result does not depend on partitioning.
+    """
     money = lambda c: F.sum(F.round(c, 8).cast("decimal(28,8)")).cast("double")
     out = trades.agg(F.count("*").alias("trades"), F.coalesce(money("profit_abs"), F.lit(0.0)).alias("total_profit"), F.coalesce(money(F.col("entry_value") + F.col("amount") * F.col("close_rate")), F.lit(0.0)).alias("volume"))
-    return out.withColumn("final_balance", F.col("total_profit") + start)
+    turned = trades.sparkSession.range(1).select(F.lit(0).cast("long").alias("rejected_signals")) if rejected is None else rejected.agg(F.count("*").alias("rejected_signals"))
+    return out.withColumn("final_balance", F.col("total_profit") + start).crossJoin(max_concurrency(trades)).crossJoin(turned)  # one row each
 
 
 def summary_by_pair(trades: DataFrame) -> DataFrame:
@@ -246,15 +250,18 @@ def max_drawdown(trades: DataFrame, value: str, start: float, relative: bool) ->
     return out.agg(F.coalesce(F.round(F.max(F.when(F.col("_high") != 0, fall / F.col("_high")) if relative else fall), 6), F.lit(0.0)).alias("max_drawdown"))
 
 
-def coverage_sets(trades: DataFrame) -> DataFrame:
-    """One row a kind: the sorted distinct tag words, compound tags, exit reasons, sides and leverages."""
+def coverage_sets(trades: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """One row a kind: the sorted distinct tag words, compound tags, exit reasons, sides and leverages of trades, and the callbacks of events (callback) if they are given."""
     words = F.filter(F.split(F.coalesce("entry_tag", F.lit("")), r"\s+"), lambda w: w != "")
     kinds = {
         "tag_words": words, "compound_tags": F.when(F.size(words) > 1, F.array(F.col("entry_tag"))).otherwise(F.array().cast("array<string>")), "exit_reasons": F.array("exit_reason"),
         "sides": F.array(F.when(F.col("is_short"), "short").otherwise("long")), "leverages": F.array(F.col("leverage").cast("string")),
     }
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("values")) for k, v in kinds.items()]))
-    flat = trades.select(each.alias("k")).select("k.kind", F.explode("k.values").alias("value")).where("value is not null").distinct()
+    flat = trades.select(each.alias("k")).select("k.kind", F.explode("k.values").alias("value"))
+    if events is not None:
+        flat = flat.unionByName(events.where("callback <> ''").select(F.lit("callbacks").alias("kind"), F.col("callback").alias("value")))
+    flat = flat.where("value is not null").distinct()
     return flat.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("values"))
 
 

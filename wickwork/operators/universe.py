@@ -43,11 +43,16 @@ def select_universe(candidates: DataFrame, gaps: DataFrame, quality: DataFrame,
     return listed.withColumn("_r", rank).withColumn("selected", (F.col("reasons") == "") & (F.col("_r") <= n)).drop("_r")
 
 
-def selection_report(selection: DataFrame, blacklisted: DataFrame) -> DataFrame:
-    """One row: pairs selected, rejected and blacklisted, as sorted text."""
+def selection_report(selection: DataFrame, blacklisted: DataFrame, quality: DataFrame | None = None, required: int | None = None) -> DataFrame:
+    """One row: pairs selected, rejected and blacklisted, as sorted text; candidates and required as numbers; quality as JSON, one object a candidate pair (pair, duplicates, reversals, gaps), sorted."""
     names = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("pair")))), ",")
-    out = selection.agg(names(F.col("selected")).alias("selected"), names(F.col("reasons") != "").alias("rejected"))
-    return out.crossJoin(blacklisted.agg(F.array_join(F.array_sort(F.collect_list("pair")), ",").alias("blacklisted")))  # one row each
+    out = selection.agg(names(F.col("selected")).alias("selected"), names(F.col("reasons") != "").alias("rejected"), F.count("*").alias("candidates"))
+    out = out.crossJoin(blacklisted.agg(F.array_join(F.array_sort(F.collect_list("pair")), ",").alias("blacklisted"))).withColumn("required", F.lit(required).cast("int"))  # one row each
+    if quality is None:
+        return out.withColumn("quality", F.lit("[]"))
+    row = F.struct("pair", "duplicates", "reversals", "gaps")
+    known = quality.join(selection.select("pair"), "pair", "left_semi").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("quality"))
+    return out.crossJoin(known)
 
 
 def feature_union(rules: DataFrame) -> DataFrame:

@@ -23,8 +23,12 @@ ColumnStrategy = Callable[[DataFrame], DataFrame]
 REQUIRED = ("pair", "ts", "open", "high", "low", "close", "volume")
 
 
-def grouped(df: DataFrame, strategy: Any, schema: str) -> DataFrame:
-    """Run a strategy object on each pair's frame, sorted by time. Its frames must have the columns of schema."""
+def grouped(df: DataFrame, strategy: Any, schema: str, lookback_ms: int | None = None, chunk_ms: int | None = None) -> DataFrame:
+    """Run a strategy object on each pair's frame, sorted by time. Its frames must have the columns of schema.
+
+    With chunk_ms a frame is a chunk of a pair's time and the lookback_ms before it, which is trimmed off again, so a long pair is many tasks. That is right only for strategies whose rows depend on
+    no more than lookback_ms of rows before them; a strategy declares it here or as its attribute `lookback_ms`, and chunks without it are refused. Rows of a frame keep their order by time.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         meta = {"pair": frame["pair"].iloc[0]}
@@ -33,12 +37,25 @@ def grouped(df: DataFrame, strategy: Any, schema: str) -> DataFrame:
             out = step(out, meta)
         return out
 
-    return df.groupBy("pair").applyInPandas(run, schema)
+    if chunk_ms is None:
+        return df.groupBy("pair").applyInPandas(run, schema)
+    back = getattr(strategy, "lookback_ms", None) if lookback_ms is None else lookback_ms
+    if back is None or back < 0 or chunk_ms <= 0:
+        raise ValueError("chunks need the look-back that the strategy declares")
+
+    def run_chunk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out = run(frame.drop(columns="_chunk"))
+        return out[out["ts"] // chunk_ms == key[1]]
+
+    chunks = F.sequence(F.floor(F.col("ts") / chunk_ms), F.floor((F.col("ts") + back) / chunk_ms))
+    rows = df.withColumn("_chunk", F.explode(chunks))
+    own = df.select("pair", F.floor(F.col("ts") / chunk_ms).alias("_chunk")).distinct()  # overlaps into time without rows are left out
+    return rows.join(own, ["pair", "_chunk"], "left_semi").groupBy("pair", "_chunk").applyInPandas(run_chunk, schema)
 
 
-def grouped_with_informative(df: DataFrame, informative: DataFrame, timeframe: str, coarser: str, strategy: Any, schema: str) -> DataFrame:
+def grouped_with_informative(df: DataFrame, informative: DataFrame, timeframe: str, coarser: str, strategy: Any, schema: str, lookback_ms: int | None = None, chunk_ms: int | None = None) -> DataFrame:
     """As grouped(), with the columns of a coarser timeframe merged in first, without lookahead."""
-    return grouped(merge_informative(df, informative, timeframe, coarser, ffill=True), strategy, schema)
+    return grouped(merge_informative(df, informative, timeframe, coarser, ffill=True), strategy, schema, lookback_ms, chunk_ms)
 
 
 def validate_output(df: DataFrame) -> DataFrame:

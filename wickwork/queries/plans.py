@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wickwork.operators import candles as cnd
 from wickwork.operators import joins as jn
 from wickwork.operators import signals as sg
+from wickwork.operators import states
 from wickwork.operators.trades import closure_sequence, wallet_state
 from wickwork.functions.timeframes import duration_minutes, weekday
 from wickwork.plans import strategies as op
@@ -14,7 +15,6 @@ from wickwork.plans.flagship import flagship
 from wickwork.queries.base import DAY, HOUR, query
 from wickwork.queries.candles import END, START
 from wickwork.queries.trades import _EV, _RUN
-from wickwork.sources import files
 from wickwork.sources import tables as src
 
 _M = "SELECT pair, ts, min_by(open, seq) AS open, max(high) AS high, min(low) AS low, max_by(close, seq) AS close, max(volume) AS volume FROM ticks GROUP BY pair, ts"
@@ -121,9 +121,39 @@ def surface(s, d):
 
 
 query("result_to_surface", "SELECT row_number() OVER (ORDER BY close_ts, trade_id) - 1 AS sequence, trade_id, pair, printf('%.2f', first_cost) AS first_cost, (close_ts - open_ts) // 60000 AS minutes, (isodow(make_timestamp(open_ts * 1000)) - 1)::INT AS weekday, exit_reason FROM closed")(surface)
-query("project_engine_state", "SELECT ts, trade_id, '{\"closed_trade_count\":' || cl || ',\"open_trade_count\":' || op || '}' AS state FROM run WHERE kind = 0", ev=_EV, run=_RUN)(
-    lambda s, d: wallet_state(src.closed_trades(s, d), 1e9).select("ts", "trade_id", F.to_json(F.struct(F.col("closed_trades").alias("closed_trade_count"), F.col("open_trades").alias("open_trade_count"))).alias("state"))
-)
-query("project_reference_state", "SELECT o_orderkey, (o_custkey % 100)::DOUBLE AS quote_free, CASE WHEN o_orderkey % 3 = 0 THEN 'ADA=2.0,BTC=1.0' ELSE 'BTC=1.0' END AS base_balances FROM orders")(
-    lambda s, d: files.project_reference_state(src.table(s, d, "orders").select("o_orderkey", F.create_map(F.lit("USDT"), (F.col("o_custkey") % 100).cast("double"), F.lit("BTC"), F.lit(1.0), F.lit("ADA"), F.when(F.col("o_orderkey") % 3 == 0, 2.0).otherwise(0.0)).alias("wallets")), "USDT").select("o_orderkey", "quote_free", F.array_join(F.transform("base_balances", lambda b: F.concat(b["currency"], F.lit("="), b["amount"].cast("string"))), ",").alias("base_balances"))
-)
+# both sides' states of every close; the engine's locks come in another order
+_HELD = "SELECT *, CASE WHEN cl % 3 = 0 THEN ',\"locks\":[{\"pair\":\"*\",\"lock_timestamp_ms\":' || (ts - 5) || ',\"lock_end_timestamp_ms\":' || ts || ',\"side\":\"*\",\"active\":true},{\"pair\":\"a\",\"lock_timestamp_ms\":' || ts || ',\"lock_end_timestamp_ms\":' || (ts + 9) || ',\"reason\":\"r\",\"side\":\"long\",\"active\":true}]' ELSE '' END AS locks FROM run WHERE kind = 0"
+_DOC = "'{\"quote_free\":\"' || cl || '.5\",\"base_balances\":[' || {bases} || '],\"open_trade_count\":' || op || ',\"realized_profit\":\"' || cl || '\",\"closed_trade_count\":' || cl || ',\"rejected_signals\":2,\"trade_id_counter\":' || (cl + op) || ',\"order_id_counter\":' || 2 * cl || locks || '}'"
+
+
+def _held_locks(start: str, end: str):
+    lock = lambda pair, side, a, b, reason: F.struct(F.lit(pair).alias("pair"), F.lit(side).alias("side"), a.alias(start), b.alias(end), F.lit(reason).cast("string").alias("reason"), F.lit(True).alias("active"))
+    made = F.array(lock("a", "long", F.col("ts"), F.col("ts") + 9, "r"), lock("*", "*", F.col("ts") - 5, F.col("ts"), None))
+    return F.when(F.col("closed_trades") % 3 == 0, made)
+
+
+def _states(s, d):
+    return wallet_state(src.closed_trades(s, d), 1e9).select("ts", F.col("trade_id").alias("of"), "closed_trades", F.col("open_trades").alias("open_trade_count"))
+
+
+def reference_states(s, d, mode):
+    n = F.col("closed_trades")
+    wallets = F.create_map(F.lit("USDT"), n + 0.5, F.lit("XRP"), F.lit(0.0), F.lit("BTC"), F.lit(1.0), F.lit("ADA"), F.when(n % 2 == 0, 2.25).otherwise(0.0))
+    rows = _states(s, d).withColumns({"wallets": wallets, "total_profit": n.cast("double"), "rejected_signals": F.lit(2), "trade_id": n + F.col("open_trade_count"), "order_id": n * 2, "locks": _held_locks("lock_timestamp", "lock_end_timestamp")})
+    return states.project_reference_state(rows, "USDT", mode).select("ts", F.col("of").alias("trade_id"), "state")
+
+
+def engine_states(s, d):
+    n = F.col("closed_trades")
+    free = lambda c, x: F.struct(F.lit(c).alias("currency"), x.alias("free"))
+    rows = _states(s, d).withColumns({"quote_free": n + 0.5, "base_balances": F.array(free("ADA", F.when(n % 2 == 0, 2.25).otherwise(0.0)), free("BTC", F.lit(1.0))), "realized_profit": n.cast("double"), "closed_trade_count": n, "rejected_signals": F.lit(2), "trade_id_counter": n + F.col("open_trade_count"), "order_id_counter": n * 2, "locks": _held_locks("lock_timestamp_ms", "lock_end_timestamp_ms")})
+    return states.project_engine_state(rows).select("ts", F.col("of").alias("trade_id"), "state")
+
+
+_SPOT = "CASE WHEN cl % 2 = 0 THEN '{\"currency\":\"ADA\",\"free\":\"2.25\"},' ELSE '' END || '{\"currency\":\"BTC\",\"free\":\"1\"}'"
+query("project_engine_state", "SELECT ts, trade_id, " + _DOC.replace("{bases}", _SPOT) + " AS state FROM held", ev=_EV, run=_RUN, held=_HELD)(engine_states)
+query("project_reference_state", "SELECT ts, trade_id, " + _DOC.replace("{bases}", _SPOT) + " AS state FROM held", ev=_EV, run=_RUN, held=_HELD)(lambda s, d: reference_states(s, d, "spot"))
+query("project_reference_state_futures", "SELECT ts, trade_id, " + _DOC.replace("{bases}", "''") + " AS state FROM held", ev=_EV, run=_RUN, held=_HELD)(lambda s, d: reference_states(s, d, "futures"))
+
+# a strategy on chunks of 5 days of each pair with 2 hours of overlap gives what it gives on whole pairs
+query("grouped_strategy_chunks", _STRAT)(lambda s, d: op.grouped(src.full_candles(s, d), Pattern(), _SCHEMA, lookback_ms=2 * HOUR, chunk_ms=5 * DAY))

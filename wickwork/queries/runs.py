@@ -65,7 +65,7 @@ def selection(s, d):
 
 _SEL = _SEL.replace("(VALUES (0, 'click'), (1, 'view'), (2, 'purchase'), (3, 'error'), (4, 'signup'), (5, 'absent'))", "(VALUES " + ", ".join(f"({k}, '{p}')" for k, p in enumerate(PAIRS)) + ")")
 query("select_universe", "SELECT * FROM chosen", gaps=_GAPS, ql=_QL, sel=_SEL, chosen=_SELECTED)(selection)
-query("release_selection_report", "SELECT coalesce(string_agg(pair, ',' ORDER BY pair) FILTER (selected), '') AS selected, coalesce(string_agg(pair, ',' ORDER BY pair) FILTER (reasons <> ''), '') AS rejected, 'click,error' AS blacklisted FROM chosen", gaps=_GAPS, ql=_QL, sel=_SEL, chosen=_SELECTED)(lambda s, d: uni.selection_report(selection(s, d), src.candles(s, d).select("pair").where("pair in ('click', 'error')").distinct()))
+query("release_selection_report", "SELECT coalesce(string_agg(pair, ',' ORDER BY pair) FILTER (selected), '') AS selected, coalesce(string_agg(pair, ',' ORDER BY pair) FILTER (reasons <> ''), '') AS rejected, 'click,error' AS blacklisted, count(*) AS candidates, 2 AS required, (SELECT '[' || string_agg('{\"pair\":\"' || pair || '\",\"duplicates\":' || dup || ',\"reversals\":' || rev || ',\"gaps\":' || gap || '}', ',' ORDER BY pair) || ']' FROM ql WHERE pair IN (SELECT pair FROM sel)) AS quality FROM chosen", gaps=_GAPS, ql=_QL, sel=_SEL, chosen=_SELECTED)(lambda s, d: uni.selection_report(selection(s, d), src.candles(s, d).select("pair").where("pair in ('click', 'error')").distinct(), cnd.quality(src.candles(s, d), 10 * HOUR, "ts"), 2))
 query("feature_union", "SELECT DISTINCT unnest(string_split(o_orderpriority, '-')) AS feature FROM orders")(lambda s, d: uni.feature_union(src.table(s, d, "orders").select(F.col("o_orderkey").alias("rule"), F.split("o_orderpriority", "-").alias("features"))))
 
 

@@ -54,8 +54,10 @@ query("profit_snapshot", "SELECT trade_id, steady(-entry_value * 1.001 + amount
 query("current_profit_ratio", "SELECT trade_id, round(CASE WHEN leverage = 1 AND NOT is_short THEN close_rate * 0.999 / (open_rate * 1.001) - 1 WHEN is_short THEN (amount * open_rate * 0.999 - amount * close_rate * 1.001 + 5) / (amount * open_rate * 0.999) * leverage ELSE (amount * close_rate * 0.999 - amount * open_rate * 1.001 + 5) / (amount * open_rate * 1.001) * leverage END, 6) AS ratio FROM closed")(
     lambda s, d: src.closed_trades(s, d).select("trade_id", (F.round(op.current_profit_ratio(F.col("open_rate"), F.col("close_rate"), F.col("amount"), F.lit(0.001), F.col("leverage"), F.col("is_short"), F.lit(5.0)), 6) + 0.0).alias("ratio"))
 )
-query("backtest_summary", "SELECT count(*) AS trades, round(sum(round(profit_abs, 8)), 2) AS total_profit, round(sum(entry_value + amount * close_rate), 2) AS volume, round(sum(round(profit_abs, 8)), 2) + 1e9::DOUBLE AS final_balance FROM closed")(
-    lambda s, d: op.backtest_summary(src.closed_trades(s, d), START).select("trades", F.round("total_profit", 2).alias("total_profit"), F.round("volume", 2).alias("volume"), (F.round("total_profit", 2) + START).alias("final_balance"))
+_EV = "SELECT trade_id, open_ts AS ts, 1::INT AS kind, round(stake_amount, 8)::DECIMAL(28,8) AS tied, 0::DECIMAL(28,8) AS profit, 1 AS op, 0 AS cl FROM closed UNION ALL SELECT trade_id, close_ts, 0, -round(stake_amount, 8)::DECIMAL(28,8), round(profit_abs, 8)::DECIMAL(28,8), -1, 1 FROM closed"
+_RUN = "SELECT ts, kind, trade_id, sum(tied) OVER w AS tied, sum(profit) OVER w AS profit, sum(op) OVER w AS op, sum(cl) OVER w AS cl FROM ev WINDOW w AS (ORDER BY ts, kind, trade_id ROWS UNBOUNDED PRECEDING)"
+query("backtest_summary", "SELECT count(*) AS trades, round(sum(round(profit_abs, 8)), 2) AS total_profit, round(sum(entry_value + amount * close_rate), 2) AS volume, round(sum(round(profit_abs, 8)), 2) + 1e9::DOUBLE AS final_balance, (SELECT max(op)::BIGINT FROM run) AS max_open_trades, (SELECT count(*) FROM sigs WHERE go = 1) AS rejected_signals FROM closed", ev=_EV, run=_RUN)(
+    lambda s, d: op.backtest_summary(src.closed_trades(s, d), START, src.candle_trades(s, d)).select("max_open_trades", "rejected_signals", "trades", F.round("total_profit", 2).alias("total_profit"), F.round("volume", 2).alias("volume"), (F.round("total_profit", 2) + START).alias("final_balance"))
 )
 query("order_reference_points", "SELECT trade_id, min_by(amount, sequence) FILTER (is_entry) AS first_amount, round(min_by(amount * price, sequence) FILTER (is_entry), 6) AS first_cost, max_by(price, sequence) FILTER (is_entry) AS last_entry_price, max_by(price, sequence) FILTER (NOT is_entry) AS last_exit_price, max_by(price, sequence) AS last_price, max_by(ts, sequence) AS last_ts FROM ords GROUP BY trade_id")(lambda s, d: r6(op.reference_points(src.tagged_orders(s, d)), "first_cost"))
 query("fill_counts", "SELECT trade_id, count(*) FILTER (is_entry) AS entries, count(*) FILTER (NOT is_entry) AS exits FROM ords GROUP BY trade_id")(lambda s, d: op.fill_counts(src.tagged_orders(s, d)))
@@ -93,8 +95,6 @@ query("cluster_profit", "SELECT trade_id, level, round(amount * 1500.0 * 0.999 -
 query("closure_sequence", "SELECT trade_id, close_ts, row_number() OVER (ORDER BY close_ts, exit_reason = 'force_exit', CASE WHEN exit_reason = 'force_exit' THEN -trade_id ELSE trade_id END) - 1 AS sequence FROM (SELECT trade_id, close_ts, CASE WHEN trade_id % 5 = 0 THEN 'force_exit' ELSE exit_reason END AS exit_reason FROM closed)")(
     lambda s, d: op.closure_sequence(src.closed_trades(s, d).select("trade_id", "close_ts", F.when(F.col("trade_id") % 5 == 0, "force_exit").otherwise(F.col("exit_reason")).alias("exit_reason"))).select("trade_id", "close_ts", "sequence")
 )
-_EV = "SELECT trade_id, open_ts AS ts, 1::INT AS kind, round(stake_amount, 8)::DECIMAL(28,8) AS tied, 0::DECIMAL(28,8) AS profit, 1 AS op, 0 AS cl FROM closed UNION ALL SELECT trade_id, close_ts, 0, -round(stake_amount, 8)::DECIMAL(28,8), round(profit_abs, 8)::DECIMAL(28,8), -1, 1 FROM closed"
-_RUN = "SELECT ts, kind, trade_id, sum(tied) OVER w AS tied, sum(profit) OVER w AS profit, sum(op) OVER w AS op, sum(cl) OVER w AS cl FROM ev WINDOW w AS (ORDER BY ts, kind, trade_id ROWS UNBOUNDED PRECEDING)"
 _STATE = "steady((1000000000::DECIMAL(28,8) + profit - tied)::DOUBLE / 100) AS free, steady(tied::DOUBLE / 100) AS tied, op::BIGINT AS open_trades, steady(profit::DOUBLE / 100) AS realized, cl::BIGINT AS closed_trades FROM run"
 query("equity_curve", f"SELECT ts, kind, trade_id, {_STATE}", ev=_EV, run=_RUN)(lambda s, d: hundreds(op.equity_curve(src.closed_trades(s, d), START), "free", "tied", "realized"))
 query("wallet_state", f"SELECT ts, trade_id, {_STATE} WHERE kind = 0", ev=_EV, run=_RUN)(lambda s, d: hundreds(op.wallet_state(src.closed_trades(s, d), START), "free", "tied", "realized"))
@@ -103,7 +103,14 @@ _DD = "SELECT cum, greatest({s}, max(cum) OVER (ORDER BY close_ts, trade_id ROWS
 query("max_drawdown_ratios", "SELECT round(max(high - cum), 6) AS max_drawdown FROM dd", dd=_DD.format(s="0.0::DOUBLE", v="profit_ratio"))(lambda s, d: op.max_drawdown(src.closed_trades(s, d), "profit_ratio", 0.0, False))
 query("max_drawdown_equity", "SELECT round(max((high - cum) / high), 6) AS max_drawdown FROM dd", dd=_DD.format(s="1e9::DOUBLE", v="profit_abs"))(lambda s, d: op.max_drawdown(src.closed_trades(s, d), "profit_abs", START, True))
 _SETS = "SELECT 'tag_words' AS kind, unnest(string_split(entry_tag, ' ')) AS value FROM closed UNION SELECT 'compound_tags', entry_tag FROM closed WHERE contains(entry_tag, ' ') UNION SELECT 'exit_reasons', exit_reason FROM closed UNION SELECT 'sides', CASE WHEN is_short THEN 'short' ELSE 'long' END FROM closed UNION SELECT 'leverages', leverage::VARCHAR FROM closed"
-query("coverage_sets", 'SELECT kind, string_agg(value, \',\' ORDER BY value) AS "values" FROM (SELECT DISTINCT * FROM sets WHERE value <> \'\') GROUP BY kind', sets=_SETS)(lambda s, d: op.coverage_sets(src.closed_trades(s, d)))
+_SETS += " UNION SELECT 'callbacks', CASE WHEN o_orderkey % 2 = 0 THEN 'custom_exit' ELSE 'adjust_trade_position' END FROM orders"
+
+
+def _called(s, d):
+    return src.table(s, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "custom_exit").otherwise("adjust_trade_position").alias("callback"))
+
+
+query("coverage_sets", 'SELECT kind, string_agg(value, \',\' ORDER BY value) AS "values" FROM (SELECT DISTINCT * FROM sets WHERE value <> \'\') GROUP BY kind', sets=_SETS)(lambda s, d: op.coverage_sets(src.closed_trades(s, d), _called(s, d)))
 
 
 def _observed(s, d):

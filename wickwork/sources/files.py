@@ -129,12 +129,6 @@ def read_state_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(key).option("primitivesAsString", "true").json(path)
 
 
-def project_reference_state(events: DataFrame, quote: str) -> DataFrame:
-    """quote_free, and base_balances: the other currencies that are not zero, as sorted structs (currency, amount), of a map column wallets."""
-    others = F.map_filter("wallets", lambda k, v: (k != quote) & (v != 0))
-    return events.withColumn("quote_free", F.coalesce(F.col("wallets")[quote], F.lit(0.0))).withColumn("base_balances", F.transform(F.array_sort(F.map_entries(others)), lambda e: F.struct(e["key"].alias("currency"), e["value"].alias("amount")))).drop("wallets")
-
-
 _TIER = "array<struct<minNotional:string,maxNotional:string,maxLeverage:string,maintenanceMarginRate:string,maintAmt:string,info:struct<cum:string>>>"
 MARKETS = f"map<string,struct<precision:struct<amount:string,price:string>,limits:struct<amount:struct<min:string>,cost:struct<min:string>,leverage:struct<max:string>>,taker:string,tiers:{_TIER}>>"
 
