@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wickwork.operators import candles as cnd
 from wickwork.operators.trades import closure_sequence
 from wickwork.queries.base import HOUR, query
 from wickwork.queries.candles import END, START

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wickwork.operators import candles as cnd
-from wickwork.operators import joins as jn
-from wickwork.operators import signals as sg
 from wickwork.operators import states
 from wickwork.operators.trades import closure_sequence, wallet_state
 from wickwork.functions.timeframes import duration_minutes, weekday

@@ -10,7 +10,6 @@ import pyarrow as pa
 import pyarrow.feather
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wickwork.functions.timeframes import to_ms
