@@ -141,9 +141,10 @@ def _folded(rows: DataFrame, fold, names: list[str], arguments: list[str], schem
 
 
 def order_arrays(orders: DataFrame, *columns: str) -> DataFrame:
-    """One row a trade with its orders as a sorted array of structs."""
+    """One row a trade with its orders as a sorted array of structs, over as many tasks as a shuffle has: what folds them costs more than its bytes show."""
     row = F.struct("sequence", *[c for c in columns if c != "sequence"])
-    return orders.groupBy("trade_id").agg(F.array_sort(F.collect_list(row)).alias("orders"))
+    tasks = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return orders.repartition(tasks, "trade_id").groupBy("trade_id").agg(F.array_sort(F.collect_list(row)).alias("orders"))
 
 
 def position_state(orders: DataFrame, heads: DataFrame | None = None, amount_step: float | None = None, price_step: float | None = None) -> DataFrame:
