@@ -97,13 +97,15 @@ def read_backtest_export(spark: SparkSession, path: str, strategy: str | None =
     opens = F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
     ends_within = (F.length(F.regexp_replace("shown", r'(?s)\\.|[^"\\]', "")) % 2) == 1
     rows = rows.withColumns({"opens": opens, "closes": (~ends_within).cast("int")})
-    rows = _before(rows.drop("quotes"), {"depth": F.col("opens") - F.col("closes")})
+    rows = stored(rows.drop("quotes"), "opened")  # so that no pattern is matched again for every column that asks
+    rows = _before(rows, {"depth": F.col("opens") - F.col("closes")})
     deep = rows.groupBy("path").agg(F.max((F.col("depth") <= 1) & F.col("shown").rlike(r'"strategy"\s*:\s*\{')).alias("deep"))
     rows = rows.join(deep, "path").withColumn("at", F.when(F.col("deep"), DEEP).otherwise(FLAT))
     high = F.col("depth") + F.col("opens")
     begins = (F.col("depth") < F.col("at")) & (high >= F.col("at"))
     head = F.when(begins, _head(F.col("shown"), F.col("at") - F.col("depth"))).when(F.col("depth") < F.col("at"), F.col("shown"))
-    rows = rows.withColumns({"begins": begins, "head": head})
+    rows = stored(rows.withColumns({"begins": begins, "head": head}), "heads")
+    high = F.col("depth") + F.col("opens")
     key = lambda text, then: F.nullif(F.regexp_extract(text, rf'"({_INSIDE})"\s*:\s*{then}$', 1), F.lit(""))
     # a list's name stands before its first record; an object that is no record of a list stands behind a colon
     section = F.when(begins, F.when(F.col("head").rlike(r":\s*$"), "").otherwise(key(F.col("head"), r"\[\s*")))
@@ -181,10 +183,14 @@ def normalize_trades(records: DataFrame, version: int = 1) -> tuple[DataFrame, D
     flag = lambda *names, m="m": F.when(F.lower(_named(m, *names)).isin("true", "false"), F.lower(_named(m, *names)) == "true")
     whole = lambda n: F.when(_named("m", n).rlike(r"^\d+$"), _named("m", n).try_cast("int"))
     t = t.withColumns({"_open": opened, "_close": closed, "_pair": _text("pair"), "_short": flag("is_short"), "_reason": _text("exit_reason", "sell_reason")})
+    # names are resolved once, before the patterns of decimals ask for them
+    named = _DECIMALS | (_DECIMALS_V2 if version == 2 else {})
+    t = stored(t.select("path", "strategy", "sequence", "m", "_open", "_close", "_pair", "_short", "_reason", *[_named("m", *n).alias(f"_d_{c}") for c, n in named.items()]), "named")
+    decimal = lambda c: canonical_decimal(F.col(f"_d_{c}")).alias(c)
     trades = t.select(
-        "path", "strategy", "sequence", F.col("_pair").alias("pair"), F.col("_short").alias("is_short"), F.col("_open.ts").alias("open_ts"), F.col("_close.ts").alias("close_ts"), *[_number(*n).alias(c) for c, n in _DECIMALS.items()],
+        "path", "strategy", "sequence", F.col("_pair").alias("pair"), F.col("_short").alias("is_short"), F.col("_open.ts").alias("open_ts"), F.col("_close.ts").alias("close_ts"), *[decimal(c) for c in _DECIMALS],
         _text("fee_open_currency").alias("fee_open_currency"), _text("fee_close_currency").alias("fee_close_currency"), _text("enter_tag", "buy_tag").alias("entry_tag"), F.col("_reason").alias("exit_reason"),
-        *([] if version == 1 else [whole("trade_duration").alias("duration_minutes"), flag("is_open").alias("is_open"), *[_number(*n).alias(c) for c, n in _DECIMALS_V2.items()], whole("weekday").alias("weekday")]),
+        *([] if version == 1 else [whole("trade_duration").alias("duration_minutes"), flag("is_open").alias("is_open"), *[decimal(c) for c in _DECIMALS_V2], whole("weekday").alias("weekday")]),
         F.coalesce("_open.error", "_close.error").alias("_time"),
     )
     error = F.when(F.col("pair").isNull(), "pair").when(F.col("open_ts").isNull() | F.col("close_ts").isNull() | F.col("_time").isNotNull(), "time").when(F.col("close_ts") < F.col("open_ts"), "order")
