@@ -205,25 +205,46 @@ def test_a_star_whose_hub_comes_last_is_one_class(spark, tmp_path):
     assert len(meets) > 50 and {r["class_id"] for r in got if r["doc_id"] in meets} == {min(meets)}
 
 
-def test_near_copies_among_texts_that_share_a_passage(spark, tmp_path):
-    """Half of every text is one passage, so its k-mers fill crowded groups; 60 of 300 texts have a near copy beside it."""
+@pytest.mark.parametrize(("changed", "unrelated"), [(12, 240), (35, 240), (38, 240), (38, 0)])
+def test_near_copies_among_texts_that_share_a_passage(spark, tmp_path, changed, unrelated):
+    """Half of every text is one passage, so its k-mers fill crowded groups; 60 texts have a near copy there, and each is found."""
     rng = random.Random(6)
     vocabulary = [f"w{k}" for k in range(4000)]
     passage = rng.choices(vocabulary, k=100)
     rows = []
-    for k in range(300):
+    for k in range(60 + unrelated):
         own = rng.choices(vocabulary, k=100)
         rows.append((k, own[:50] + passage + own[50:]))
         if k < 60:
             copy = list(rows[-1][1])
-            for at in rng.sample([*range(50), *range(150, 200)], 12):
+            for at in rng.sample([*range(50), *range(150, 200)], changed):
                 copy[at] = rng.choice(vocabulary)
             rows.append((1000 + k, copy))
     path = str(tmp_path / "t")
     spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string").write.parquet(path)
     found = classes(near_dedup.near_duplicates(spark.read.parquet(path))[0].collect())
-    caught = sum(sorted(found[k]) == [k, 1000 + k] for k in range(60))
-    assert caught >= 57 and all(len(found[k]) == 1 for k in range(60, 300))
+    assert all(sorted(found[k]) == [k, 1000 + k] for k in range(60)) and all(len(found[k]) == 1 for k in range(60, 60 + unrelated))
+
+
+def test_similar_texts_have_a_rare_gram_in_common():
+    """The prefix filter loses no similar pair, whatever the counts of grams are."""
+    rng = random.Random(10)
+    counts = np.random.default_rng(11).integers(2, 9, 1 << near_dedup.BIN_BITS)
+    met = 0
+    for _ in range(2000):
+        a = [rng.randrange(40) for _ in range(rng.randint(2, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 5 + 1)):
+            kind, at = rng.randrange(3), rng.randrange(len(b))
+            b[at : at + (kind < 2)] = [rng.randrange(40)] * (kind > 0)
+            b = b or [0]
+        if edit_distance(a, b) > int(0.2 * max(len(a), len(b)) + 1e-9):
+            continue
+        met += 1
+        for k in near_dedup.GRAMS:
+            x, y = (near_dedup.rarest(near_dedup.occurrences(near_dedup.kmers(np.array(w, np.uint64) + np.uint64(7), k)), len(w), k, counts) for w in (a, b))
+            assert set(x.tolist()) & set(y.tolist())
+    assert met > 800
 
 
 def test_similar_short_texts_always_have_a_value_in_common():

@@ -9,9 +9,9 @@ Texts with equal words are one node. Texts with an equal value are a group, and
 
 1. every member is aligned with the smallest one, its head, as long as both are in different components;
 2. a group of at most SMALL members that still holds several components is settled pair by pair, by lengths, words in common and alignment;
-3. a larger one is crowded because of a passage that its members share with the head, so each gets new sketches of what it has beside
-   the k-mers of the heads that it is not similar to, and the groups of these go through the same steps;
-4. what is crowded after LEVELS rounds is dealt into blocks by length and by a hash, and every two members of blocks near in length are settled.
+3. members of larger ones, crowded by a passage that they share, meet again by their rarest grams: d edits destroy at most k * d grams of k words, so two similar
+   texts have one in common among the k * d + k + 1 that are rarest among all members (prefix filter). First k is 2, then 1 for what is crowded still. No similar pair is lost;
+4. what shares only common words even so is dealt into blocks by length and by a hash, and every two members of blocks near in length are settled.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from wickwork.llm.components import EDGES_A_TASK, components
 KMER, PICKED, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
 #: Words of a text for which further values make the search complete; up to the first number they come from deleted words, beyond from segments.
 DELETED, SHORT = 14, 30
-#: Members of a group that is settled pair by pair, sketches of what a member has beside its head, and rounds of such sketches.
-SMALL, BESIDE, LEVELS = 128, 16, 3
+#: Members of a group that is settled pair by pair, words of a gram in the rounds for crowded groups, and bits of the bins in which grams are counted to order them.
+SMALL, GRAMS, BIN_BITS = 128, (2, 1), 20
 #: Texts and words that a block of a mixed bucket should hold, and the bins in which words are counted to rule pairs out.
 BLOCK, BLOCK_WORDS, BINS = 1024, 1_000_000, 64
 #: Word hashes that a worker keeps.
@@ -61,9 +61,9 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
+def kmers(words: np.ndarray, length: int = KMER) -> np.ndarray:
     """Hash of the k-mer at each place; a shorter text is one k-mer as a whole."""
-    size = min(KMER, len(words))
+    size = min(length, len(words))
     h = np.zeros(len(words) - size + 1 if size else 0, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
@@ -72,18 +72,36 @@ def kmers(words: np.ndarray) -> np.ndarray:
     return h
 
 
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """Hashes of k-mers with the k-th occurrence of one told apart from the others."""
+    order = np.argsort(h, kind="stable")
+    ranked = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    if not new.all():
+        place = np.arange(len(h))
+        h = h.copy()
+        with np.errstate(over="ignore"):
+            h[order] += (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    return h
+
+
+def rarest(h: np.ndarray, n_words: int, length: int, counts: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The labelled grams h (of `length` words) among which a similar text has one too, by how often their bins occur; those that no other text can have are left out.
+
+    A similar text of m words has n_words - m + k * d(m) grams less in common than n_words has, for d(m) edits allowed; for every m that is at most k * d(n_words) + k.
+    """
+    often = counts[h >> np.uint64(64 - BIN_BITS)]
+    first = np.lexsort((h, often))[: length * (int((1 - least) * n_words + 1e-9) + 1) + 1]
+    return h[first[often[first] > 1]].view(np.int64)
+
+
 def sketch(h: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
     """The values of a text from its k-mers in order, one a hash function. No k-mers: no values."""
     if not len(h):
         return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        order = np.argsort(h, kind="stable")
-        ranked = h[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        if not new.all():  # label the k-th occurrence of a k-mer
-            place = np.arange(len(h))
-            h = h.copy()
-            h[order] += (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        h = occurrences(h)
         mixed = (h[None, :] ^ _FACTORS[0][:sketches, None]) * _FACTORS[1][:sketches, None]
         mixed ^= mixed >> np.uint64(31)
         row = np.arange(sketches)
@@ -258,7 +276,6 @@ class _Search:
         self.links: list[DataFrame] = []
         self.tried: list[DataFrame] = []
         self.open_tables: list[DataFrame] = []
-        self.met: list[DataFrame] = []
 
     def labelled(self, rows: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
         if self.labels is None:
@@ -305,9 +322,9 @@ class _Search:
         if self.labels is None or links.limit(1).count():
             self.labels = _relabel(self.labels, links)
 
-    def mixed(self, members: DataFrame) -> DataFrame:
-        """Members (value, node, head, n, label) of the groups with several components; of groups with the same members one is kept."""
-        rows = self.labelled(members.where("n > 2"))
+    def mixed(self, members: DataFrame, more_than: int = 2) -> DataFrame:
+        """Members (value, node, head, n, label) of the groups of more members that have several components; of groups with the same members one is kept."""
+        rows = self.labelled(members.where(F.col("n") > more_than))
         mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
         groups = rows.groupBy("value", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), mark(1).alias("m1"), mark(2).alias("m2")).where("lo < hi")
         one = groups.groupBy("n", "m1", "m2").agg(F.min("value").alias("value")).select("value")
@@ -328,33 +345,34 @@ class _Search:
         held = rows.groupBy("value").agg(F.collect_list(F.struct("node", "label", "n_words", "bag")).alias("x"))
         return held.select("x.node", "x.label", "x.n_words", "x.bag").mapInPandas(run, "a long, b long").distinct()
 
-    def beside(self, members: DataFrame) -> DataFrame:
-        """(node, value), stored: new sketches of the members of crowded groups, one set a member, of what it has beside the k-mers of all heads of other components that it met.
+    def rare_grams(self, nodes: DataFrame, length: int) -> DataFrame:
+        """(node, value), stored: the rarest grams of `length` words of each of the nodes (node), enough that similar ones have one in common.
 
-        A member of its head's own component keeps all its k-mers, so that others that come near it can still meet it.
+        How often grams occur among the nodes is counted in bins, a table of fixed size; grams of one bin are ordered by their hashes, so the order is the same for all texts.
         """
-        joined = self.labelled(members.select("head", "node", "label").distinct(), "head", "top")
-        met = stored(joined.select(F.when(F.col("top") != F.col("label"), F.col("head")).otherwise(F.col("node")).alias("a"), F.col("node").alias("b")).distinct(), "beside")
-        self.met.append(met)
-        every = met
-        for before in self.met[:-1]:  # what was left out in earlier rounds stays out
-            every = every.union(before.join(met.select("b").distinct(), "b", "left_semi").select("a", "b"))
-        both = self.with_words(every.distinct())
-        heads = F.collect_list(F.when(F.col("a") != F.col("b"), F.col("wa")))  # a member has as many heads as sketches in a round
-        rows = both.groupBy("b").agg(F.any_value("wb").alias("own"), heads.alias("heads"))
+        words, least, bins = stored(of_ids(self.words, nodes), "words"), self.least, 1 << BIN_BITS
+        grams = lambda x: occurrences(kmers(np.frombuffer(x, np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), length))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    bin_, n = np.unique(np.concatenate([grams(x) for x in pdf["words"]]) >> np.uint64(64 - BIN_BITS), return_counts=True)
+                    yield pd.DataFrame({"bin": bin_.astype(np.int64), "n": n.astype(np.int64)})
+
+        counted = words.select("words").mapInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros(bins, np.int64)
+        counts[counted["bin"].to_numpy(np.int64)] = counted["n"]
+        shared = words.sparkSession.sparkContext.broadcast(counts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            grams = lambda x: kmers(np.frombuffer(x, np.uint32).astype(np.uint64))
             for pdf in batches:
-                values = []
-                for own, heads in zip(pdf["own"], pdf["heads"]):
-                    h = grams(own)
-                    values.append(sketch(h[~np.isin(h, np.concatenate([grams(x) for x in heads]))] if len(heads) else h, BESIDE))
+                values = [rarest(grams(x), len(x) // 4, length, shared.value, least) for x in pdf["words"]]
                 if values:
-                    yield pd.DataFrame({"node": np.repeat(pdf["b"].to_numpy(), [len(v) for v in values]), "value": np.concatenate(values)})
+                    yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), [len(v) for v in values]), "value": np.concatenate(values)})
 
-        found = stored(rows.mapInPandas(run, "node long, value long"), "values")
-        drop_stored(both.words_at)
+        found = stored(words.mapInPandas(run, "node long, value long"), "values")
+        shared.destroy()
+        drop_stored(words)
         return found
 
 
@@ -411,31 +429,36 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def find_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(links, labels) of nodes (node, values, n_words, bag) and their words (node, words): links a, b; labels of the nodes that have a link."""
     search = _Search(nodes, words, least)
+    heads = lambda rows: rows.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     members = grouped(nodes.select("node", F.explode("values").alias("value")))
     nearest = members.groupBy("node").agg(F.min("head").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
     search.verify(nearest)
-    for level in range(LEVELS + 1):
-        search.verify(members.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-        mixed = search.mixed(members)
-        drop_stored(members)
-        if not mixed.limit(1).count():
-            break
-        search.verify(search.small_pairs(mixed))
-        crowded = search.mixed(mixed.drop("label").where(F.col("n") > SMALL))
-        drop_stored(mixed)
-        if not crowded.limit(1).count():
-            break
-        if level == LEVELS:
-            search.add(_across(crowded.select("node", "label", "value"), nodes, words, least))
-            break
-        values = search.beside(crowded)
+    search.verify(heads(members))
+    mixed = search.mixed(members)
+    drop_stored(members)
+    search.verify(search.small_pairs(mixed))
+    crowded = search.mixed(mixed.drop("label"), SMALL)
+    drop_stored(mixed)
+    for length in GRAMS:
+        if length * (1 - least) > 0.5 or not crowded.limit(1).count():  # so many edits may destroy all grams of a short text
+            continue
+        values = search.rare_grams(crowded.select("node").distinct(), length)
         members = grouped(values)
-        drop_stored(values, crowded)
+        mixed = search.mixed(members, 1)
+        search.verify(search.small_pairs(mixed))
+        large = search.mixed(mixed.drop("label"), SMALL)
+        search.verify(heads(large))
+        drop_stored(values, members, mixed, crowded)
+        crowded = search.mixed(large.drop("label"), SMALL)
+        drop_stored(large)
+    if crowded.limit(1).count():
+        search.add(_across(crowded.select("node", "label").distinct().withColumn("value", F.lit(0)), nodes, words, least))
+    drop_stored(crowded)
     found = search.links[0]
     for more in search.links[1:]:
         found = found.union(more)
     out = stored(found.distinct(), "found")
-    drop_stored(*search.links, *search.open_tables, *search.met)
+    drop_stored(*search.links, *search.open_tables)
     return out, search.labels
 
 
