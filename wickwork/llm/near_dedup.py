@@ -348,7 +348,7 @@ class _Search:
     def rare_grams(self, nodes: DataFrame, length: int) -> DataFrame:
         """(node, value), stored: the rarest grams of `length` words of each of the nodes (node), enough that similar ones have one in common.
 
-        How often grams occur among the nodes is counted in bins, a table of fixed size; grams of one bin are ordered by their hashes, so the order is the same for all texts.
+        How often grams occur among the nodes is counted in bins, a table of fixed size (a byte a bin); grams of one bin are ordered by their hashes, so the order is the same for all texts.
         """
         words, least, bins = stored(of_ids(self.words, nodes), "words"), self.least, 1 << BIN_BITS
         grams = lambda x: occurrences(kmers(np.frombuffer(x, np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), length))
@@ -357,11 +357,13 @@ class _Search:
             for pdf in batches:
                 if len(pdf):
                     bin_, n = np.unique(np.concatenate([grams(x) for x in pdf["words"]]) >> np.uint64(64 - BIN_BITS), return_counts=True)
-                    yield pd.DataFrame({"bin": bin_.astype(np.int64), "n": n.astype(np.int64)})
+                    yield pd.DataFrame({"bin": bin_.astype(np.int32), "n": n.astype(np.int64)})
 
-        counted = words.select("words").mapInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros(bins, np.int64)
-        counts[counted["bin"].to_numpy(np.int64)] = counted["n"]
+        n = F.sum("n")  # exact below 128, then four steps for each doubling, so that a count fits a byte
+        step = F.when(n < 128, n).otherwise(F.floor(F.log2(n / 128) * 4) + 128).cast("short")
+        counted = words.select("words").mapInPandas(count, "bin int, n long").groupBy("bin").agg(step.alias("n")).toArrow()
+        counts = np.zeros(bins, np.uint8)
+        counts[counted["bin"].to_numpy()] = counted["n"].to_numpy()
         shared = words.sparkSession.sparkContext.broadcast(counts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -429,11 +431,10 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def find_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(links, labels) of nodes (node, values, n_words, bag) and their words (node, words): links a, b; labels of the nodes that have a link."""
     search = _Search(nodes, words, least)
-    heads = lambda rows: rows.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     members = grouped(nodes.select("node", F.explode("values").alias("value")))
     nearest = members.groupBy("node").agg(F.min("head").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
     search.verify(nearest)
-    search.verify(heads(members))
+    search.verify(members.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     mixed = search.mixed(members)
     drop_stored(members)
     search.verify(search.small_pairs(mixed))
@@ -446,11 +447,9 @@ def find_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY) ->
         members = grouped(values)
         mixed = search.mixed(members, 1)
         search.verify(search.small_pairs(mixed))
-        large = search.mixed(mixed.drop("label"), SMALL)
-        search.verify(heads(large))
-        drop_stored(values, members, mixed, crowded)
-        crowded = search.mixed(large.drop("label"), SMALL)
-        drop_stored(large)
+        drop_stored(values, members, crowded)
+        crowded = search.mixed(mixed.drop("label"), SMALL)
+        drop_stored(mixed)
     if crowded.limit(1).count():
         search.add(_across(crowded.select("node", "label").distinct().withColumn("value", F.lit(0)), nodes, words, least))
     drop_stored(crowded)
