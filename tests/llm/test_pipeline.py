@@ -47,7 +47,7 @@ def test_twins(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(sql.oracle_sql()[name])
     got = queries.queries()[name](spark, SF).select(*want.columns)
