@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wickwork.llm import phrases, topk, whitening
+from wickwork.llm import near_dedup, phrases, topk, whitening
 
 VECTORS = "vec_id long, embedding array<float>, rank string, label int"
 
@@ -189,3 +189,29 @@ def test_blocks_below_the_kth_score_are_not_read():
     finally:
         topk._times = plain
     assert len(read) == 1 and found[0][1].tolist() == [36] * 5 and found[0][2].tolist() == [0, 1, 2, 3, 4]
+
+
+def test_similar_is_the_edit_distance():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = rng.integers(0, int(rng.choice([4, 40, 400])), int(rng.integers(1, 60))).astype(np.uint32)
+        b = list(a)
+        for _ in range(int(rng.integers(0, 1 + len(a) // 3))):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = [int(rng.integers(0, 400))] * int(rng.integers(0, 2))
+        b = np.array(b, np.uint32)
+        longest = max(len(a), len(b))
+        exact = near_dedup.distance_within(a.tolist(), b.tolist(), longest)
+        assert near_dedup.similar(a, b) == (exact <= 0.2 * longest + 1e-9)
+
+
+def test_near_duplicates_count_rows_and_links(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    near = [*words[:20], "other", *words[21:]]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(near)), (4, "alone"), (5, None), (6, None)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    found, links = near_dedup.near_duplicates(spark.read.parquet(path))
+    got = {r["doc_id"]: (r["class_id"], r["class_size"], r["n_links"]) for r in found.collect()}
+    assert got == {1: (1, 3, 1), 2: (1, 3, 1), 3: (1, 3, 1), 4: (4, 1, 0), 5: (5, 1, 0), 6: (6, 1, 0)}
+    assert links.count() == 1

@@ -36,6 +36,8 @@ DELETED, SHORT = 14, 30
 SMALL, GRAMS, BIN_BITS = 128, (2, 1), 20
 #: Texts and words that a block of a mixed bucket should hold, and the bins in which words are counted to rule pairs out.
 BLOCK, BLOCK_WORDS, BINS = 1024, 1_000_000, 64
+#: Pairs that a task aligns.
+PAIRS_A_TASK = 1_000
 #: Word hashes that a worker keeps.
 MEMO_WORDS = 100_000
 #: Node ids that are broadcast at most (eight bytes each) to leave uninvolved texts out of a shuffle.
@@ -178,7 +180,7 @@ def distance_within(a: list[int], b: list[int], most: int) -> int | None:
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two word sequences have at least this edit similarity. Words in common bound the distance from below and settle most pairs."""
+    """Whether two word sequences have at least this edit similarity. Words and pairs of neighbours in common bound the distance from below and settle most pairs: an edit costs one word, two pairs."""
     longest = max(len(a), len(b))
     most = int((1 - least) * longest + 1e-9)
     if abs(len(a) - len(b)) > most:
@@ -187,6 +189,9 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     common = Counter(x) & Counter(y)
     if longest - sum(common.values()) > most:
         return False
+    common = Counter(zip(x, x[1:])) & Counter(zip(y, y[1:]))
+    if longest - 1 - sum(common.values()) > 2 * most:
+        return False
     return distance_within(x, y, most) is not None
 
 
@@ -310,6 +315,7 @@ class _Search:
         size = lambda side: self.nodes.select(F.col("node").alias(side), F.col("n_words").alias(f"n{side}"))
         open_ = stored(self.apart(pairs).join(size("a"), "a").join(size("b"), "b"), "pairs")
         likely = open_.where(F.least("na", "nb") >= F.greatest("na", "nb") * (least - 1e-9)).select("a", "b")
+        likely = likely.repartition(max(2, likely.count() // PAIRS_A_TASK), "a", "b")  # ids are few bytes, alignments are the work
         both = self.with_words(likely)
         links = stored(both.select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long"), "links")
         drop_stored(both.words_at)
@@ -462,8 +468,10 @@ def find_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY) ->
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, links). rows: rid, doc_id, class_rid, class_id of every row; links: a, b (rids of aligned nodes).
+    """(rows, links). rows: rid, doc_id, class_rid, class_id, class_size, n_links of every row; links: a, b (rids of aligned nodes).
 
+    class_size counts the rows of the class. n_links counts the other texts to which the row's text was aligned and found similar; two texts that were in one class before
+    they could be aligned are not aligned any more, so links span the classes and are not all similar pairs. Equal texts have equal counts and no link between them.
     class_id is the smallest doc_id of the class and class_rid the smallest row id, where rid is the column _rid of docs if there is one, which must be a long
     without repeats, and else numbers the stored rows. Null texts are classes of their own. Texts with equal words, empty texts, and texts without a word but otherwise equal
     are in one class. Null doc_ids count as larger than any other; repeated rows are duplicates. An empty table gives empty results. Other columns are not used.
@@ -473,15 +481,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
     table = stored(sketched(ided, text), "sketch")
     ids = ided.where(F.col(text).isNotNull()).select(F.col("_rid").alias("rid"), "doc_id")
     known = table.select("rid", "digest").join(ids, "rid")
-    heads = stored(known.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id")), "heads")
+    heads = stored(known.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "heads")
     every = table.withColumnRenamed("rid", "node")
     nodes = stored(of_ids(every.select("node", "values", "n_words", "bag"), heads.select("node")), "nodes")
     links, labels = find_links(nodes, every.select("node", "words"), least)
-    named = heads.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min("node").alias("class_rid"))
-    names = stored(named.join(first, "label").select("digest", "class_rid", "class_id"), "names")
-    rows = known.join(names, "digest").select("rid", "doc_id", "class_rid", "class_id")
-    alone = ided.where(F.col(text).isNull()).select(F.col("_rid").alias("rid"), "doc_id", F.col("_rid").alias("class_rid"), F.col("doc_id").alias("class_id"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = heads.join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min("node").alias("class_rid"), F.sum("copies").alias("class_size"))
+    names = stored(named.join(first, "label").select("digest", "class_rid", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "names")
+    rows = known.join(names, "digest").select("rid", "doc_id", "class_rid", "class_id", "class_size", "n_links")
+    alone = ided.where(F.col(text).isNull()).select(F.col("_rid").alias("rid"), "doc_id", F.col("_rid").alias("class_rid"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     result = stored(rows.unionByName(alone), "classes")
     drop_stored(table, heads, nodes, names)
     return result, links

@@ -31,7 +31,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = near_dedup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "class_id")
+    return rows.select("doc_id", "class_id", "class_size", "n_links")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
