@@ -36,6 +36,8 @@ DELETED, SHORT = 14, 30
 SMALL, GRAMS, BIN_BITS = 128, (2, 1), 20
 #: Texts and words that a block of a mixed bucket should hold, and the bins in which words are counted to rule pairs out.
 BLOCK, BLOCK_WORDS, BINS = 1024, 1_000_000, 64
+#: Edits that the first band of an alignment allows.
+BAND = 16
 #: Pairs that a task aligns.
 PAIRS_A_TASK = 1_000
 #: Word hashes that a worker keeps.
@@ -95,7 +97,7 @@ def rarest(h: np.ndarray, n_words: int, length: int, counts: np.ndarray, least:
     """
     often = counts[h >> np.uint64(64 - BIN_BITS)]
     first = np.lexsort((h, often))[: length * (int((1 - least) * n_words + 1e-9) + 1) + 1]
-    return h[first[often[first] > 1]].view(np.int64)
+    return np.unique(h[first[often[first] > 1]]).view(np.int64)
 
 
 def sketch(h: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
@@ -151,32 +153,54 @@ def bag(words: np.ndarray) -> np.ndarray:
     return np.bincount(words % BINS, minlength=BINS)
 
 
+def distance_in_band(a: list[int], b: list[int], k: int) -> int | None:
+    """Edit distance of a and b, which is at most k shorter, if it is at most k.
+
+    Column by column of the alignment, the 2k + 1 cells around the diagonal are the bits of one number each: vp and vn tell where the distance grows or falls from
+    one cell to the next below, zero where it stays along a diagonal. Cells outside the band count as far, and no alignment of at most k edits leaves it.
+    """
+    n, m = len(a), len(b)
+    last = 1 << 2 * k
+    full = (last << 1) - 1
+    seen: dict[int, tuple[int, int]] = {}  # the cells of a word in the band, as of a column
+    for i, w in enumerate(a[:k], 1):
+        seen[w] = (0, seen.get(w, (0, 0))[1] | 1 << (i + k))
+    vp, vn, goal, distance = full ^ ((1 << k) - 1), 0, 1 << (k + n - m), n - m
+    for j, w in enumerate(b, 1):
+        if j + k <= n:
+            at, cells = seen.get(a[j + k - 1], (j, 0))
+            seen[a[j + k - 1]] = (j, cells >> (j - at) | last)
+        at, cells = seen.get(w, (j, 0))
+        same = cells >> (j - at)
+        zero = ((((same & vp) + vp) ^ vp) | same | vn) & full
+        if not zero & goal:
+            distance += 1
+            if distance > k:
+                return None
+        grows, falls, below = vn | (full ^ (zero | vp)), zero & vp, zero >> 1
+        vp, vn = falls | (full ^ (below | grows)), below & grows
+    return distance
+
+
 def distance_within(a: list[int], b: list[int], most: int) -> int | None:
-    """Edit distance of two sequences if it is at most `most`: furthest-reaching alignment on the diagonals of the band."""
+    """Edit distance of two sequences if it is at most `most`: banded alignment, in bands that grow from BAND to the width that `most` needs."""
+    if len(a) < len(b):
+        a, b = b, a
     n, m = len(a), len(b)
-    if abs(n - m) > most:
+    if n - m > most:
         return None
-    k = 0
-    while k < n and k < m and a[k] == b[k]:
-        k += 1
-    reach = {0: k}
-    if n == m == k:
-        return 0
-    goal = m - n  # diagonal j - i
-    for e in range(1, most + 1):
-        new = {}
-        for d in range(max(-e, goal - (most - e), -n), min(e, goal + (most - e), m) + 1):
-            i = max(reach.get(d, -2) + 1, reach.get(d + 1, -2) + 1, reach.get(d - 1, -2))
-            i = min(i, n, m - d)
-            if i < 0 or i + d < 0:
-                continue
-            while i < n and i + d < m and a[i] == b[i + d]:
-                i += 1
-            new[d] = i
-        if new.get(goal, -1) >= n:
-            return e
-        reach = new
-    return None
+    first = 0
+    while first < m and a[first] == b[first]:
+        first += 1
+    while m > first and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b, k = a[first:n], b[first:m], BAND
+    while True:
+        k = min(k, most)
+        found = distance_in_band(a, b, k) if n - m <= k else None
+        if found is not None or k == most:
+            return found
+        k *= 4
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -390,9 +414,9 @@ def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def grouped(values: DataFrame) -> DataFrame:
-    """Members (value, node, head, n) of the groups of two or more nodes with an equal value, stored. values: (node, value)."""
-    groups = values.groupBy("value").agg(F.min("node").alias("head"), F.count_distinct("node").alias("n")).where("n > 1")
-    return stored(values.join(groups, "value").dropDuplicates(["value", "node"]), "members")
+    """Members (value, node, head, n) of the groups of two or more nodes with an equal value, stored. values: (node, value) without repeats."""
+    groups = values.groupBy("value").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    return stored(values.join(groups, "value"), "members")
 
 
 def _across(inside: DataFrame, nodes: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -437,7 +461,7 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def find_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(links, labels) of nodes (node, values, n_words, bag) and their words (node, words): links a, b; labels of the nodes that have a link."""
     search = _Search(nodes, words, least)
-    members = grouped(nodes.select("node", F.explode("values").alias("value")))
+    members = grouped(nodes.select("node", F.explode(F.array_distinct("values")).alias("value")))
     nearest = members.groupBy("node").agg(F.min("head").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
     search.verify(nearest)
     search.verify(members.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
