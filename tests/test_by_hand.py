@@ -657,3 +657,9 @@ def test_written_surface_in_order(spark, tmp_path):
         __import__("os").remove(crc)
     with pytest.raises(ValueError):
         exports.read_surface(spark, path)
+
+
+def test_return_bound_of_a_lowest_price_of_zero(spark):
+    df = candle_rows(spark, [("a", 0, 1, 3, 0, 2, 1), ("b", 0, 0, 0, 0, 0, 1), ("c", 0, 2, 3, 2, 2, 1)])
+    out = {r["pair"]: (r["bound"], r["roi_reachable"]) for r in candles.return_bound(df, 0.6).collect()}
+    assert out["a"] == (math.inf, True) and math.isnan(out["b"][0]) and out["c"] == (0.5, True)

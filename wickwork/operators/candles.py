@@ -196,8 +196,10 @@ def lookback(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
 
 
 def return_bound(df: DataFrame, roi: float) -> DataFrame:
-    """Largest possible return of each pair, and whether any pair can reach the lowest ROI."""
-    per = df.groupBy("pair").agg((F.max("high") / F.min("low") - 1).alias("bound"))
+    """Largest possible return of each pair, and whether any pair can reach the lowest ROI. It is infinite for a lowest price of 0, and NaN if the highest is 0 too."""
+    per = df.groupBy("pair").agg(F.max("high").alias("_high"), F.min("low").alias("_low"))
+    none = F.when(F.col("_high") > 0, float("inf")).when(F.col("_high") < 0, float("-inf")).when(F.col("_high").isNotNull(), float("nan"))  # of a lowest price of 0
+    per = per.select("pair", F.when(F.col("_low") == 0, none).otherwise(F.try_divide("_high", "_low") - 1).alias("bound"))
     return per.withColumn("roi_reachable", F.max("bound").over(Window.partitionBy()) >= roi)
 
 
