@@ -663,3 +663,9 @@ def test_return_bound_of_a_lowest_price_of_zero(spark):
     df = candle_rows(spark, [("a", 0, 1, 3, 0, 2, 1), ("b", 0, 0, 0, 0, 0, 1), ("c", 0, 2, 3, 2, 2, 1)])
     out = {r["pair"]: (r["bound"], r["roi_reachable"]) for r in candles.return_bound(df, 0.6).collect()}
     assert out["a"] == (math.inf, True) and math.isnan(out["b"][0]) and out["c"] == (0.5, True)
+
+
+def test_encode_nonfinite_rounds_the_exact_value(spark):
+    """Ties go to the even digit, and what is a tie only in its shortest text is none."""
+    df = spark.createDataFrame([(-0.3028125,), (0.0696875,), (0.0000005,), (float("inf"),), (None,), (1e20,)], "x double")
+    assert [r[0] for r in df.select(candles.encode_nonfinite("x")).collect()] == ["-0.302812", "0.069687", "0.000000", '{"$float":"inf"}', None, "100000000000000000000.000000"]

@@ -5,8 +5,10 @@ Windows run per pair, so their tasks grow with one pair's history and not with t
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from wickwork.functions.timeframes import DAY_MS, UNIT_MS, floor_to, timeframe_ms
@@ -142,7 +144,13 @@ def project_features(df: DataFrame, features: list[str]) -> DataFrame:
 def encode_nonfinite(c: str) -> Column:
     """Text of a number; NaN and infinities become tagged values."""
     v = F.col(c)
-    return F.when(v.isNull(), None).when(F.isnan(v), '{"$float":"nan"}').when(v == float("inf"), '{"$float":"inf"}').when(v == float("-inf"), '{"$float":"-inf"}').otherwise(F.format_string("%.6f", v))
+    return F.when(v.isNull(), None).when(F.isnan(v), '{"$float":"nan"}').when(v == float("inf"), '{"$float":"inf"}').when(v == float("-inf"), '{"$float":"-inf"}').otherwise(_six_places(v))
+
+
+@F.pandas_udf(StringType())
+def _six_places(v: pd.Series) -> pd.Series:
+    """Six places of the double's exact value, ties to even; format_string rounds the double's shortest text, and its ties up."""
+    return v.map(lambda x: f"{x:.6f}", na_action="ignore")
 
 
 def monthly_price_digits(df: DataFrame, seq: str = "ts") -> DataFrame:
