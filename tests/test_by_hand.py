@@ -669,3 +669,22 @@ def test_encode_nonfinite_rounds_the_exact_value(spark):
     """Ties go to the even digit, and what is a tie only in its shortest text is none."""
     df = spark.createDataFrame([(-0.3028125,), (0.0696875,), (0.0000005,), (float("inf"),), (None,), (1e20,)], "x double")
     assert [r[0] for r in df.select(candles.encode_nonfinite("x")).collect()] == ["-0.302812", "0.069687", "0.000000", '{"$float":"inf"}', None, "100000000000000000000.000000"]
+
+
+def test_export_stores_its_text_once(spark, tmp_path, monkeypatch):
+    """A scalar with braces inside its text is whole, and no table but that of the records holds the file's text."""
+    import json
+
+    kept = {}
+    monkeypatch.setattr(exports, "stored", lambda df, label, *more: kept.setdefault(label, df.localCheckpoint()))
+    trades = [{"pair": "A/B", "enter_tag": "x}" * 50, "orders": [{"amount": k}]} for k in range(40)]
+    (tmp_path / "x.json").write_text(json.dumps({"strategy": {"S": {"note": "a}, {b", "trades": trades, "timeframe": "5m"}}}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        records, heads = exports.read_backtest_export(spark, str(tmp_path))
+        found = sorted((r["sequence"], json.loads(r["record"])) for r in records.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == list(enumerate(trades)) and heads.first()["fields"] == {"note": "a}, {b", "timeframe": "5m"}
+    assert [k for k, df in kept.items() if "text" in df.columns] == ["pieces"]
