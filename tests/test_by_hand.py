@@ -688,3 +688,11 @@ def test_export_stores_its_text_once(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == list(enumerate(trades)) and heads.first()["fields"] == {"note": "a}, {b", "timeframe": "5m"}
     assert [k for k, df in kept.items() if "text" in df.columns] == ["pieces"]
+
+
+def test_drawdown_asks_its_trades_a_few_times(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(locks, "stored", lambda df, label, *more: (kept.append(df._jdf.queryExecution().optimizedPlan().toString()), df.localCheckpoint())[1])
+    t = spark.createDataFrame([(k, k * H, "a", 0.1 - k % 3 * 0.1, False, "roi", 1.0) for k in range(300)], "sequence long, close_ts long, pair string, profit_ratio double, is_short boolean, exit_reason string, profit_abs double")
+    assert locks.drawdown_requests(t, 50 * H, 3, H, 0.15).count() > 0
+    assert kept and max(p.count("LogicalRDD") for p in kept) <= 4

@@ -103,8 +103,8 @@ def low_profit_requests(trades: DataFrame, lookback_ms: int, limit: int, duratio
     return _request(hit, F.col("pair"), side, F.col("close_ts") + duration_ms, "low_profit", False, handler)
 
 
-#: Blocks that make one of the next level.
-RADIX = 4
+#: Positions of a block of the curve, and blocks that make one of the next level.
+BLOCK_POSITIONS, RADIX = 32, 4
 
 
 def _fall(high: Column, low: Column, relative: bool) -> Column:
@@ -127,18 +127,37 @@ def _merged(parts: Column, relative: bool) -> Column:
 def worst_falls(points: DataFrame, spans: DataFrame, relative: bool) -> DataFrame:
     """Adds to spans (first, last, ...) the worst fall of the curve points (pos from 0 without gaps, value) between positions first and last, both included.
 
-    The curve is summed up in blocks of RADIX, RADIX^2, ... positions (high, low and worst fall), and every span is covered by some 2 * RADIX blocks of each level at most, joined by level
-    and block: a span costs the logarithm of its length. spans are asked twice and need a column `id` of their own.
+    The curve is cut into blocks of BLOCK_POSITIONS, and those are summed up in blocks of RADIX, RADIX^2, ... of them (high, low and worst fall). A span is the end of a block, whole blocks and the
+    start of a block; what lies between two blocks is asked once for all spans that end in them, and covered by some 2 * RADIX blocks of each level at most. So a span whose neighbours begin and end
+    near it costs two rows of the joins. spans need a column `id` of their own.
     """
     count = points.count()
-    level = points.select(F.col("pos").alias("block"), F.col("value").alias("high"), F.col("value").alias("low"), F.lit(0.0).alias("worst"))
-    blocks, size, levels = level.withColumn("level", F.lit(0)), 1, 1
+    empty = F.struct(F.lit(float("-inf")).alias("high"), F.lit(float("inf")).alias("low"), F.lit(0.0).alias("worst"))
+
+    def values_of(values: Column) -> Column:
+        """high, low and worst fall of values in order."""
+
+        def add(s: Column, v: Column) -> Column:
+            return F.struct(F.greatest(s["high"], v).alias("high"), F.least(s["low"], v).alias("low"), F.greatest(s["worst"], _fall(F.greatest(s["high"], v), v, relative)).alias("worst"))
+
+        return F.aggregate(values, empty, add)
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.struct(F.greatest(a["high"], b["high"]).alias("high"), F.least(a["low"], b["low"]).alias("low"), F.greatest(a["worst"], b["worst"], _fall(a["high"], b["low"], relative)).alias("worst"))
+
+    block_of = lambda c: F.floor(F.col(c) / BLOCK_POSITIONS)
+    cut = points.groupBy(block_of("pos").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("v"))
+    cut = stored(cut.select("block", "v", values_of(F.col("v")).alias("m")), "curve-blocks")
+    level = cut.select("block", "m.*")
+    blocks, size, levels = level.withColumn("level", F.lit(0)), BLOCK_POSITIONS, 1
     while size * RADIX <= count:
         part = F.collect_list(F.struct(F.col("block").alias("at"), "high", "low", "worst"))
-        level = level.groupBy(F.floor(F.col("block") / RADIX).alias("block")).agg(_merged(part, relative).alias("m")).select("block", "m.*")
+        level = stored(level.groupBy(F.floor(F.col("block") / RADIX).alias("block")).agg(_merged(part, relative).alias("m")).select("block", "m.*"), "curve-level")
         blocks, size, levels = blocks.unionByName(level.withColumn("level", F.lit(levels))), size * RADIX, levels + 1
-    low = [F.ceil(F.col("first") / RADIX**k).cast("long") for k in range(levels)]
-    high = [F.floor((F.col("last") + 1) / RADIX**k).cast("long") for k in range(levels)]
+    # what lies between: blocks _a + 1 to _b - 1
+    spans_at = spans.withColumns({"_a": block_of("first"), "_b": block_of("last")})
+    low = [F.ceil((F.col("_a") + 1) / RADIX**k).cast("long") for k in range(levels)]
+    high = [F.floor(F.col("_b") / RADIX**k).cast("long") for k in range(levels)]
 
     def cover(k: int, start: Column, end: Column) -> Column:
         """Blocks of level k from start to before end."""
@@ -152,9 +171,19 @@ def worst_falls(points: DataFrame, spans: DataFrame, relative: bool) -> DataFram
         else:  # what the next level covers is left to it
             inner = low[k + 1] < high[k + 1]
             parts += [cover(k, low[k], F.when(inner, low[k + 1] * RADIX).otherwise(high[k])), cover(k, F.when(inner, high[k + 1] * RADIX).otherwise(high[k]), high[k])]
-    asked = spans.select("id", F.explode(F.flatten(F.array(*parts))).alias("b")).select("id", "b.*")
-    found = asked.join(blocks, ["level", "block"]).groupBy("id").agg(_merged(F.collect_list(F.struct("at", "high", "low", "worst")), relative)["worst"].alias("worst"))
-    return spans.join(found, "id")
+    between = spans_at.where(F.col("_b") > F.col("_a") + 1).select("_a", "_b").distinct()
+    asked = between.select("_a", "_b", F.explode(F.flatten(F.array(*parts))).alias("b")).select("_a", "_b", "b.*")
+    between = asked.join(blocks, ["level", "block"]).groupBy("_a", "_b").agg(_merged(F.collect_list(F.struct("at", "high", "low", "worst")), relative).alias("_middle"))
+    # the end of the first block, or all of a span inside one block
+    head = spans_at.join(cut.select(F.col("block").alias("_a"), "v"), "_a")
+    begin = (F.col("first") - F.col("_a") * BLOCK_POSITIONS).cast("int")
+    size_of = F.when(F.col("_a") == F.col("_b"), (F.col("last") - F.col("first") + 1).cast("int")).otherwise(F.lit(BLOCK_POSITIONS))
+    head = head.withColumn("_head", values_of(F.slice("v", begin + 1, size_of))).drop("v")
+    both = head.join(between, ["_a", "_b"], "left").join(cut.select(F.col("block").alias("_b"), "v"), "_b")
+    tail = values_of(F.slice("v", 1, (F.col("last") - F.col("_b") * BLOCK_POSITIONS + 1).cast("int")))
+    both = both.withColumn("_tail", F.when(F.col("_a") == F.col("_b"), empty).otherwise(tail))
+    whole = joined(joined(F.col("_head"), F.coalesce("_middle", empty)), F.col("_tail"))
+    return both.withColumn("worst", whole["worst"]).select(*spans.columns, "worst")
 
 
 def drawdown_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_ms: int, allowed: float, start: float | None = None, handler: int = 3) -> DataFrame:
@@ -165,7 +194,9 @@ def drawdown_requests(trades: DataFrame, lookback_ms: int, limit: int, duration_
     if start is not None and not allowed < 1:
         raise ValueError("a drawdown of the equity is a share of its high: allowed must be below 1")
     value = F.round("profit_ratio" if start is None else "profit_abs", 8).cast("decimal(28,8)")
-    run = _running(trades, [], _day("close_ts", []), ["sequence"], {"place": F.lit(1).cast("long"), "curve": value})
+    # each running total asks its rows twice and those before it again, so they are stored
+    trades = stored(trades.select("close_ts", "sequence", value.alias("_value")), "closes")
+    run = stored(_running(trades, [], _day("close_ts", []), ["sequence"], {"place": F.lit(1).cast("long"), "curve": F.col("_value")}), "curve")
     rows = stored(running_lookback(run, lookback_ms, [], {"closed": F.lit(1).cast("long")}), "lookbacks")
     base = float(start or 0.0)
     points = rows.select(F.col("place").alias("pos"), (F.col("curve").cast("double") + base).alias("value"))
