@@ -696,3 +696,12 @@ def test_drawdown_asks_its_trades_a_few_times(spark, monkeypatch):
     t = spark.createDataFrame([(k, k * H, "a", 0.1 - k % 3 * 0.1, False, "roi", 1.0) for k in range(300)], "sequence long, close_ts long, pair string, profit_ratio double, is_short boolean, exit_reason string, profit_abs double")
     assert locks.drawdown_requests(t, 50 * H, 3, H, 0.15).count() > 0
     assert kept and max(p.count("LogicalRDD") for p in kept) <= 4
+
+
+def test_canonical_decimal_reads_its_text_once(spark):
+    texts = ["-0.000", "+1", "5.", "-.5", "1e-3", "00012.3400", "1.5E3", " 12 ", "", "1e", "--1", "abc", None, "-000.0100e1", "1\n"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select(compare.canonical_decimal(F.concat(F.col("x"), F.lit(""))).alias("y"))
+    assert [r[0] for r in df.collect()] == ["0", "1", "5", "-0.5", "0.001", "12.34", "1500", "12", None, None, None, None, None, "-0.1", "1"]
+    big = spark.range(3).select(compare.canonical_decimal(F.concat(F.col("id").cast("string"), F.lit(".50"))).alias("y"))
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(big._jdf.queryExecution(), "codegen")
+    assert 1 <= code.count(".matcher(") <= 2

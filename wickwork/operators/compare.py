@@ -19,16 +19,21 @@ def canonical_decimal(c: Column) -> Column:
 
     Works on the text, so any number of digits is kept exactly. Exponents have four digits at most.
     """
-    parts = lambda k: F.regexp_extract(F.trim(c), r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?$", k)
+    # no step stands in a branch, so that a projection evaluates each of them, and c, once
+    zero = F.lit("0")
     sound = F.trim(c).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$")
-    digits = F.concat(parts(2), parts(3))
-    point = F.length(parts(2)) + F.coalesce(F.nullif(parts(4), F.lit("")).try_cast("int"), F.lit(0))  # digits before the point
-    padded = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), 1 - point)), digits, F.repeat(F.lit("0"), F.greatest(F.lit(0), point - F.length(digits))))
+    text = F.replace(F.when(sound, F.rtrim(F.trim(c), F.lit("\n\r\u0085\u2028\u2029"))), F.lit("E"), F.lit("e"))  # $ stands before a last line end too
+    number = F.substring_index(text, "e", 1)
+    bare = F.ltrim(number, F.lit("+-"))
+    before = F.substring_index(bare, ".", 1)
+    digits = F.concat(before, F.substring(bare, F.length(before) + 2, F.length(bare)))
+    point = F.length(before) + F.coalesce(F.substring(text, F.length(number) + 2, F.length(text)).try_cast("int"), F.lit(0))  # digits before the point
+    padded = F.concat(F.repeat(zero, F.greatest(F.lit(0), 1 - point)), digits, F.repeat(zero, F.greatest(F.lit(0), point - F.length(digits))))
     at = F.greatest(point, F.lit(1))
-    whole = F.regexp_replace(F.substring(padded, F.lit(1), at), "^0+(?=.)", "")
-    rest = F.regexp_replace(F.substring(padded, at + 1, F.length(padded)), "0+$", "")
-    plain = F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
-    return F.when(sound, F.concat(F.when((parts(1) == "-") & (plain != "0"), "-").otherwise(""), plain))
+    whole = F.ltrim(F.substring(padded, F.lit(1), at), zero)
+    rest = F.rtrim(F.substring(padded, at + 1, F.length(padded)), zero)
+    plain = F.concat(F.repeat(zero, 1 - F.least(F.length(whole), F.lit(1))), whole, F.repeat(F.lit("."), F.least(F.length(rest), F.lit(1))), rest)
+    return F.concat(F.repeat(F.lit("-"), (number.startswith("-") & (plain != "0")).cast("int")), plain)
 
 
 #: Types of document nodes; objects and arrays hold others.
