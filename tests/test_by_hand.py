@@ -705,3 +705,28 @@ def test_canonical_decimal_reads_its_text_once(spark):
     big = spark.range(3).select(compare.canonical_decimal(F.concat(F.col("id").cast("string"), F.lit(".50"))).alias("y"))
     code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(big._jdf.queryExecution(), "codegen")
     assert 1 <= code.count(".matcher(") <= 2
+
+
+def test_candle_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from wickwork.queries import files as queries
+
+    monkeypatch.setattr(queries, "scratch", lambda s, label: str(tmp_path / label))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        queries.read_candles(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len({f.name[:10] for f in (tmp_path / "candles").rglob("part-*.parquet")}) > 1
+
+
+def test_feather_files_are_read_by_batch(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.feather
+
+    when = [1_704_067_200_000 + k % 4 * H for k in range(10)]
+    t = pa.table({"date": pa.array(when, pa.timestamp("ms", "UTC")), **{c: [float(k) for k in range(10)] for c in files.CANDLE_COLUMNS[1:]}})
+    pyarrow.feather.write_feather(t, str(tmp_path / "A_B-1h.feather"), chunksize=3)
+    out = files.read_candles(spark, str(tmp_path), "feather").select("pair", "open").collect()
+    assert sorted(r["open"] for r in out) == [6.0, 7.0, 8.0, 9.0] and {r["pair"] for r in out} == {"A/B"}
+    assert [len(x) for x in files._feather_parts(pa.py_buffer((tmp_path / "A_B-1h.feather").read_bytes()))] == [3, 3, 3, 1]

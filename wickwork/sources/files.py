@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,13 +82,26 @@ def _feather_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not name:
                 continue
             parts = name[1].split("_")
-            frame = pyarrow.feather.read_table(io.BytesIO(content.as_py()), columns=list(CANDLE_COLUMNS)).to_pandas()
-            when = pd.to_datetime(frame["date"], utc=True)
-            out = pd.DataFrame({"pair": "/".join(parts[:2]) + "".join(f":{p}" for p in parts[2:]), "timeframe": name[2], "ts": (when - pd.Timestamp(0, tz="UTC")) // pd.Timedelta("1ms")})
-            for c in CANDLE_COLUMNS[1:]:
-                out[c] = frame[c].astype("float64")
-            out["seq"] = range(len(out))
-            yield from pa.Table.from_pandas(out, preserve_index=False).to_batches()
+            seen = 0
+            for frame in _feather_parts(content.as_buffer()):
+                when = pd.to_datetime(frame["date"], utc=True)
+                out = pd.DataFrame({"pair": "/".join(parts[:2]) + "".join(f":{p}" for p in parts[2:]), "timeframe": name[2], "ts": (when - pd.Timestamp(0, tz="UTC")) // pd.Timedelta("1ms")})
+                for c in CANDLE_COLUMNS[1:]:
+                    out[c] = frame[c].astype("float64")
+                out["seq"] = range(seen, seen + len(out))
+                seen += len(out)
+                yield from pa.Table.from_pandas(out, preserve_index=False).to_batches()
+
+
+def _feather_parts(content: pa.Buffer) -> Iterator[pd.DataFrame]:
+    """A file's batches, each as a frame; files of the first version have one."""
+    names = list(CANDLE_COLUMNS)
+    if content[:6].to_pybytes() != b"ARROW1":
+        yield pyarrow.feather.read_table(pa.BufferReader(content), columns=names).to_pandas()
+        return
+    with pa.ipc.open_file(pa.BufferReader(content)) as f:
+        for k in range(f.num_record_batches):
+            yield f.get_batch(k).select(names).to_pandas()
 
 
 def write_compact_candles(df: DataFrame, timeframes: dict[str, int], start: int, end: int, path: str) -> DataFrame:
