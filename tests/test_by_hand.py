@@ -659,6 +659,19 @@ def test_written_surface_in_order(spark, tmp_path):
         exports.read_surface(spark, path)
 
 
+def test_written_surface_from_listed_orders(spark, tmp_path):
+    """Orders listed by the trade's own id give the lines that orders by sequence give; a trade without orders has an empty list."""
+    t = spark.createDataFrame([(11, 1, "b"), (12, 0, "a"), (13, 2, "c")], "trade_id long, sequence long, pair string")
+    o = spark.createDataFrame([(11, 1, 5), (11, 0, 4), (12, 0, 6)], "trade long, sequence int, size int")
+    k = spark.createDataFrame([], "pair string, side string, lock_ts long, lock_end long, reason string")
+    n = spark.createDataFrame([(3,)], "total_trades long")
+    by_place = o.join(t.select(F.col("trade_id").alias("trade"), F.col("sequence").alias("at")), "trade").select(F.col("at").alias("trade"), "sequence", "size")
+    exports.write_surface(n, k, t, by_place, str(tmp_path / "a"), [])
+    exports.write_surface(n, k, exports.with_orders(t, o, "trade_id"), None, str(tmp_path / "b"), [])
+    a, b = ([tuple(r) for r in exports.read_surface(spark, str(tmp_path / x)).collect()] for x in "ab")
+    assert a == b and b[1][1].endswith('"orders":[{"sequence":0,"size":6}]}') and b[3][1].endswith('"orders":[]}')
+
+
 def test_return_bound_of_a_lowest_price_of_zero(spark):
     df = candle_rows(spark, [("a", 0, 1, 3, 0, 2, 1), ("b", 0, 0, 0, 0, 0, 1), ("c", 0, 2, 3, 2, 2, 1)])
     out = {r["pair"]: (r["bound"], r["roi_reachable"]) for r in candles.return_bound(df, 0.6).collect()}
