@@ -215,3 +215,20 @@ def test_near_duplicates_count_rows_and_links(spark, tmp_path):
     got = {r["doc_id"]: (r["class_id"], r["class_size"], r["n_links"]) for r in found.collect()}
     assert got == {1: (1, 3, 1), 2: (1, 3, 1), 3: (1, 3, 1), 4: (4, 1, 0), 5: (5, 1, 0), 6: (6, 1, 0)}
     assert links.count() == 1
+
+
+def test_total_counter_holds_few_pieces(monkeypatch):
+    """A worker's table of pieces stays within its bound, and what has left it counts as before."""
+    import public_tokenizers
+
+    from wickwork.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "TOTAL_WORDS", 20)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    small, rng = token_counts.TotalCounter(path), random.Random(5)
+    prefixes = token_counts.prefix_counter(path)
+    for _ in range(30):
+        text = " ".join("".join(rng.choices("abcdeé'1", k=rng.randint(1, 4))) for _ in range(25)) + " the the end"
+        assert small.total(text) == sum(x - 256 * (x > 127) for x in prefixes.changes(text))
+        assert len(small) + len(small.old) <= 20
+    assert not hasattr(small.rules, "found")  # prefixes alone need it

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Entries of the table of words already solved; it is emptied when full, which bounds a worker's memory.
 MEMO_WORDS = 1_000_000
+#: Entries of the table of words whose tokens are only added up; workers keep it between tasks, beside what other stages have left.
+TOTAL_WORDS = 200_000
 #: Characters for which the quick pattern below cuts as the exact one does.
 _ODD = re.compile("[^\x00-\x1b\x20-\x7e¡-©«-±´¶-¸»¿-ſ‐-‧€]")
 _QUICK = re.compile(r"\s*(?:(?<! )'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d+|(?:[^\s\w]|_)+)|\s+")
@@ -32,12 +34,10 @@ def _exact_patterns():
     return regex.compile(r"\p{White_Space}*(?:(?<! )'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}+|[^\p{White_Space}\p{L}\p{N}]+)|\p{White_Space}+"), regex.compile(r"^\p{White_Space}+")
 
 
-class PrefixCounter(dict):
-    """word piece -> bytes of count changes, one a character, solved on first use."""
+class Rules:
+    """What both counters need of a tokenizer's file: its model, the letters of bytes, how texts are cut, and added tokens."""
 
     def __init__(self, path: str):
-        super().__init__()
-        from ahocorasick import Automaton
         from tokenizers import Tokenizer
 
         self.path = path
@@ -49,9 +49,21 @@ class PrefixCounter(dict):
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.exact, self.leading = _exact_patterns()
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
+
+
+class PrefixCounter(Rules, dict):
+    """word piece -> bytes of count changes, one a character, solved on first use."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        from ahocorasick import Automaton
+
         back = {c: b for b, c in self.letters.items()}
         self.tokens: dict[bytes, str] = {}
-        for t in spec["model"]["vocab"]:
+        for t in json.load(open(path, encoding="utf-8"))["model"]["vocab"]:
             if all(c in back for c in t):
                 self.tokens[bytes(back[c] for c in t)] = t
         self.number = {t: k for k, t in enumerate(self.tokens.values())}
@@ -61,9 +73,6 @@ class PrefixCounter(dict):
         for t, k in self.number.items():
             self.found.add_word(t, (k, len(t)))
         self.found.make_automaton()
-        self.exact, self.leading = _exact_patterns()
-        self.added = [x["content"] for x in spec["added_tokens"]]
-        self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
 
     def stays(self, u: int, t: int) -> bool:
         """Whether the encoder leaves tokens u and t apart."""
@@ -158,14 +167,23 @@ def prefix_counter(path: str) -> PrefixCounter:
 
 
 class TotalCounter(dict):
-    """word piece -> its tokens, encoded on first use: for whole texts whose prefixes do not matter."""
+    """word piece -> its tokens, encoded on first use: for whole texts whose prefixes do not matter.
+
+    It holds at most TOTAL_WORDS pieces; when it is full, those met since the last time stay, so frequent pieces are not encoded again.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.rules = prefix_counter(path)
+        self.rules, self.old = Rules(path), {}
 
     def __missing__(self, chunk: str) -> int:
-        rules = self.rules
+        rules, total = self.rules, self.old.get(chunk)
+        if len(self) >= TOTAL_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+        if total is not None:
+            self[chunk] = total
+            return total
         word = rules.leading.sub("", chunk)
         space = chunk[: len(chunk) - len(word)]
         if space and word:  # the last blank goes with the word, other white space stands alone
@@ -173,8 +191,6 @@ class TotalCounter(dict):
         else:
             parts = (chunk,)
         total = sum(len(rules.model.tokenize(x.encode().decode("latin-1").translate(rules.letters))) for x in parts if x)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
         self[chunk] = total
         return total
 
