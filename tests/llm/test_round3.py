@@ -232,3 +232,22 @@ def test_total_counter_holds_few_pieces(monkeypatch):
         assert small.total(text) == sum(x - 256 * (x > 127) for x in prefixes.changes(text))
         assert len(small) + len(small.old) <= 20
     assert not hasattr(small.rules, "found")  # prefixes alone need it
+
+
+def test_common_grams_are_no_rows(spark):
+    """Grams that more texts share than a small group holds are flagged once a text; the pairs among such texts are found all the same."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = [word() for _ in range(60)]
+    rests = [[word() for _ in range(30)] for _ in range(160)]
+    copies = [[word() if k % 3 == 0 else w for k, w in enumerate(r)] for r in rests[:5]]
+    texts = [" ".join(passage + r) for r in rests] + [" ".join(passage + c) for c in copies]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_rid long, text string")
+    table = near_dedup.stored(near_dedup.sketched(docs), "sketch").withColumnRenamed("rid", "node")
+    search = near_dedup._Search(table.select("node", "n_words", "bag"), table.select("node", "words"), 0.8)
+    rows = search.rare_grams(table.select("node"), 2).collect()
+    assert sorted(r["node"] for r in rows if r["value"] is None) == list(range(165))
+    assert sum(r["value"] is not None for r in rows) < 165 * 3
+    classes, _ = near_dedup.near_duplicates(docs.withColumnRenamed("_rid", "doc_id"))
+    found = {r["doc_id"]: r["class_id"] for r in classes.collect()}
+    assert all(found[160 + k] == found[k] for k in range(5))

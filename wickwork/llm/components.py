@@ -12,13 +12,14 @@ from wickwork.llm.common import drop_stored, stored
 EDGES_A_TASK = 200_000
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node of each component. edges: (a, b) longs without nulls; nodes without an edge do not appear.
+def components(edges: DataFrame, count: int | None = None) -> DataFrame:
+    """(node, label): label is the smallest node of each component. edges: (a, b) longs without nulls, some `count` of them if that is known; nodes without an edge do not appear.
 
     Each round lowers labels to the least of the neighbours' and then jumps to the label's own label, so the number of rounds
     grows with the logarithm of the longest path. Every round is written to the shared folder and the one before deleted.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    every = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = stored(every if count is None else every.coalesce(max(2, 2 * count // EDGES_A_TASK)), "edges")
     tasks = max(2, both.count() // EDGES_A_TASK)  # small graphs need few tasks, whatever the shuffle's partitions
     near_by = both.coalesce(tasks)
     labels = stored(near_by.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")).coalesce(tasks), "labels")

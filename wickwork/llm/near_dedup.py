@@ -32,10 +32,12 @@ from wickwork.llm.components import EDGES_A_TASK, components
 KMER, PICKED, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
 #: Words of a text for which further values make the search complete; up to the first number they come from deleted words, beyond from segments.
 DELETED, SHORT = 14, 30
-#: Members of a group that is settled pair by pair, words of a gram in the rounds for crowded groups, and bits of the bins in which grams are counted to order them.
-SMALL, GRAMS, BIN_BITS = 128, (2, 1), 20
-#: Texts and words that a block of a mixed bucket should hold, and the bins in which words are counted to rule pairs out.
-BLOCK, BLOCK_WORDS, BINS = 1024, 1_000_000, 64
+#: Members of a group that is settled pair by pair, and words of a gram in the rounds for crowded groups.
+SMALL, GRAMS = 128, (2, 1)
+#: Least and most bits of the bins in which grams are counted to order them, and bins for each gram in between.
+BIN_BITS, MOST_BITS, BINS_A_GRAM = 20, 24, 8
+#: Texts and words that a block of a mixed bucket should hold, and the bins in which words are counted to rule pairs out, in groups and in blocks.
+BLOCK, BLOCK_WORDS, BINS, BLOCK_BINS = 512, 1_000_000, 64, 1024
 #: Edits that the first band of an alignment allows.
 BAND = 16
 #: Pairs that a task aligns.
@@ -44,6 +46,8 @@ PAIRS_A_TASK = 1_000
 MEMO_WORDS = 100_000
 #: Node ids that are broadcast at most (eight bytes each) to leave uninvolved texts out of a shuffle.
 BROADCAST_IDS = 300_000
+#: Rows of labels, lengths or tried pairs that are broadcast at most, so that small rounds need no shuffle.
+BROADCAST_ROWS = 50_000
 _WORD = re.compile(r"[^\W_]+")
 _MEMO: dict[str, int] = {}
 _FACTORS = np.random.default_rng(20).integers(1 << 62, size=(2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,9 +99,20 @@ def rarest(h: np.ndarray, n_words: int, length: int, counts: np.ndarray, least:
 
     A similar text of m words has n_words - m + k * d(m) grams less in common than n_words has, for d(m) edits allowed; for every m that is at most k * d(n_words) + k.
     """
-    often = counts[h >> np.uint64(64 - BIN_BITS)]
+    return rarest_below(h, n_words, length, counts, 255, least)[0]
+
+
+def rarest_below(h: np.ndarray, n_words: int, length: int, counts: np.ndarray, crowd: int, least: float = SIMILARITY) -> tuple[np.ndarray, bool]:
+    """rarest() without the grams of bins that occur more than `crowd` times, and whether there were any: two such texts must meet in another way."""
+    often = counts[h >> np.uint64(64 - (len(counts).bit_length() - 1))]
     first = np.lexsort((h, often))[: length * (int((1 - least) * n_words + 1e-9) + 1) + 1]
-    return np.unique(h[first[often[first] > 1]]).view(np.int64)
+    common = often[first] > crowd
+    return np.unique(h[first[(often[first] > 1) & ~common]]).view(np.int64), bool(common.any())
+
+
+def steps_of(n: float) -> int:
+    """The byte that stands for a count: exact below 128, then four steps for each doubling."""
+    return int(n) if n < 128 else min(255, int(np.log2(n / 128) * 4) + 128)
 
 
 def sketch(h: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
@@ -148,9 +163,16 @@ def short_values(words: list[int], least: float = SIMILARITY) -> list[int]:
     return list(found)
 
 
-def bag(words: np.ndarray) -> np.ndarray:
-    """Words counted in BINS bins: the sum of the smaller counts bounds the words that two texts have in common."""
-    return np.bincount(words % BINS, minlength=BINS)
+def bag(words: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Words counted in bins: the sum of the smaller counts bounds the words that two texts have in common."""
+    return np.bincount(words % bins, minlength=bins)
+
+
+def pair_bag(words: np.ndarray, bins: int = BLOCK_BINS) -> np.ndarray:
+    """Pairs of neighbouring words counted in bins."""
+    wide = words.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return bag((wide[:-1] * np.uint64(0x9E3779B97F4A7C15) + wide[1:]) % np.uint64((1 << 61) - 1), bins)
 
 
 def distance_in_band(a: list[int], b: list[int], k: int) -> int | None:
@@ -222,13 +244,14 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 def links_across(pdf: pd.DataFrame, least: float) -> list[tuple[int, int]]:
     """Links (a, b) between texts of different components in two blocks i <= j of a bucket, in one block if they are the same.
 
-    Rows: i, j, block, node, label, n_words, words. Two texts are aligned unless lengths or words in common, bounded from above
+    Rows: i, j, block, node, label, n_words, words. Two texts are aligned unless lengths, words or pairs of neighbours in common, bounded from above
     by counts in bins, rule a link out. The likeliest come first, and what is linked by then is one component.
     """
     i, j = (int(pdf[c].iloc[0]) for c in ("i", "j"))
     node, label, size, block = (pdf[c].to_numpy() for c in ("node", "label", "n_words", "block"))
     words = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
-    bags = np.stack([bag(w) for w in words]).astype(np.int32)
+    bags = np.stack([np.minimum(bag(w, BLOCK_BINS), 0xFFFF) for w in words]).astype(np.uint16)
+    pairs = np.stack([np.minimum(pair_bag(w), 0xFFFF) for w in words]).astype(np.uint16)
     others = np.flatnonzero(block == j)
     found = []
     for p in np.flatnonzero(block == i):
@@ -238,9 +261,11 @@ def links_across(pdf: pd.DataFrame, least: float) -> list[tuple[int, int]]:
         most = ((1 - least) * longest + 1e-9).astype(np.int64)
         near = np.abs(size[q] - size[p]) <= most
         q, longest, most = q[near], longest[near], most[near]
-        common = np.minimum(bags[q], bags[p]).sum(axis=1)
+        common = np.minimum(bags[q], bags[p]).sum(axis=1, dtype=np.int64)
         likely = longest - common <= most
-        q, share = q[likely], common[likely] / longest[likely]
+        q, longest, most, share = q[likely], longest[likely], most[likely], common[likely] / longest[likely]
+        likely = longest - 1 - np.minimum(pairs[q], pairs[p]).sum(axis=1, dtype=np.int64) <= 2 * most  # an edit costs two pairs
+        q, share = q[likely], share[likely]
         found.append((np.full(len(q), p), q, share))
     if not found:
         return []
@@ -309,14 +334,14 @@ class _Search:
     def labelled(self, rows: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
         if self.labels is None:
             return rows.withColumn(label, F.col(node))
-        known = self.labels.select(F.col("node").alias(node), F.col("label").alias("_l"))
+        known = few(self.labels.select(F.col("node").alias(node), F.col("label").alias("_l")))
         return rows.join(known, node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of different components that were not tried before."""
         open_ = self.labelled(self.labelled(pairs, "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
         for done in self.tried:
-            open_ = open_.join(done, ["a", "b"], "left_anti")
+            open_ = open_.join(few(done), ["a", "b"], "left_anti")
         return open_
 
     def with_words(self, pairs: DataFrame) -> DataFrame:
@@ -336,7 +361,7 @@ class _Search:
                 ok = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) for x, y in zip(pdf["wa"], pdf["wb"])]
                 yield pdf.loc[ok, ["a", "b"]]
 
-        size = lambda side: self.nodes.select(F.col("node").alias(side), F.col("n_words").alias(f"n{side}"))
+        size = lambda side: few(self.nodes.select(F.col("node").alias(side), F.col("n_words").alias(f"n{side}")))
         open_ = stored(self.apart(pairs).join(size("a"), "a").join(size("b"), "b"), "pairs")
         likely = open_.where(F.least("na", "nb") >= F.greatest("na", "nb") * (least - 1e-9)).select("a", "b")
         likely = likely.repartition(max(2, likely.count() // PAIRS_A_TASK), "a", "b")  # ids are few bytes, alignments are the work
@@ -378,29 +403,37 @@ class _Search:
     def rare_grams(self, nodes: DataFrame, length: int) -> DataFrame:
         """(node, value), stored: the rarest grams of `length` words of each of the nodes (node), enough that similar ones have one in common.
 
-        How often grams occur among the nodes is counted in bins, a table of fixed size (a byte a bin); grams of one bin are ordered by their hashes, so the order is the same for all texts.
+        How often grams occur among the nodes is counted in bins, a byte a bin and some BINS_A_GRAM bins a gram up to a fixed number; only bins that occur twice or more reach the driver. Grams of
+        one bin are ordered by their hashes, so the order is the same for all texts. A gram too common for a group that is settled pair by pair is no row of its own: value is then null,
+        one row a node, and two such nodes must meet otherwise. So each text has at most a row for every gram that a few others share.
         """
-        words, least, bins = stored(of_ids(self.words, nodes), "words"), self.least, 1 << BIN_BITS
+        words, least = stored(of_ids(self.words, nodes), "words"), self.least
+        total = words.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 4
+        bits = min(MOST_BITS, max(BIN_BITS, (total * BINS_A_GRAM).bit_length()))
         grams = lambda x: occurrences(kmers(np.frombuffer(x, np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), length))
+        crowd = steps_of(SMALL + 4 * total / (1 << bits))  # where bins hold several grams, that many occurrences are usual
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    bin_, n = np.unique(np.concatenate([grams(x) for x in pdf["words"]]) >> np.uint64(64 - BIN_BITS), return_counts=True)
+                    bin_, n = np.unique(np.concatenate([grams(x) for x in pdf["words"]]) >> np.uint64(64 - bits), return_counts=True)
                     yield pd.DataFrame({"bin": bin_.astype(np.int32), "n": n.astype(np.int64)})
 
         n = F.sum("n")  # exact below 128, then four steps for each doubling, so that a count fits a byte
-        step = F.when(n < 128, n).otherwise(F.floor(F.log2(n / 128) * 4) + 128).cast("short")
-        counted = words.select("words").mapInPandas(count, "bin int, n long").groupBy("bin").agg(step.alias("n")).toArrow()
-        counts = np.zeros(bins, np.uint8)
+        step = F.when(n < 128, n).otherwise(F.least(F.lit(255), F.floor(F.log2(n / 128) * 4) + 128)).cast("short")
+        counted = words.select("words").mapInPandas(count, "bin int, n long").groupBy("bin").agg(step.alias("n")).where("n > 1").toArrow()
+        counts = np.ones(1 << bits, np.uint8)
         counts[counted["bin"].to_numpy()] = counted["n"].to_numpy()
         shared = words.sparkSession.sparkContext.broadcast(counts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                values = [rarest(grams(x), len(x) // 4, length, shared.value, least) for x in pdf["words"]]
-                if values:
-                    yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), [len(v) for v in values]), "value": np.concatenate(values)})
+                nodes_, values = [], []
+                for node, x in zip(pdf["node"], pdf["words"]):
+                    own, common = rarest_below(grams(x), len(x) // 4, length, shared.value, crowd, least)
+                    nodes_ += [node] * (len(own) + common)
+                    values += own.tolist() + [None] * common
+                yield pd.DataFrame({"node": pd.Series(nodes_, dtype="int64"), "value": pd.Series(values, dtype="Int64")})
 
         found = stored(words.mapInPandas(run, "node long, value long"), "values")
         shared.destroy()
@@ -408,6 +441,11 @@ class _Search:
         return found
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A stored table as one side of a join: broadcast if it has few rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose node is in ids (node). Few ids are broadcast, so that other rows stay where they are."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
@@ -446,12 +484,13 @@ def _across(inside: DataFrame, nodes: DataFrame, words: DataFrame, least: float)
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after adding links (a, b) between nodes, stored; the labels before are deleted."""
+    count = links.count()
     if labels is None:
-        return components(links)
-    at = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+        return components(links, count)
+    at = lambda side: few(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")))
     tasks = max(2, labels.count() // EDGES_A_TASK)
     joined = links.join(at("a"), "a", "left").coalesce(tasks).join(at("b"), "b", "left").coalesce(tasks)
-    merged = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    merged = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), count)
     old = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     out = stored(old.coalesce(tasks).union(merged.join(labels, "node", "left_anti").coalesce(tasks)), "labels")
     drop_stored(labels, merged)
@@ -474,12 +513,14 @@ def find_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY) ->
         if length * (1 - least) > 0.5 or not crowded.limit(1).count():  # so many edits may destroy all grams of a short text
             continue
         values = search.rare_grams(crowded.select("node").distinct(), length)
-        members = grouped(values)
+        members = grouped(values.where("value is not null"))
         mixed = search.mixed(members, 1)
         search.verify(search.small_pairs(mixed))
-        drop_stored(values, members, crowded)
-        crowded = search.mixed(mixed.drop("label"), SMALL)
-        drop_stored(mixed)
+        more = search.mixed(mixed.drop("label"), SMALL)
+        common = search.labelled(values.where("value is null").select("node"))
+        drop_stored(crowded)
+        crowded = stored(more.select("node", "label").union(common.select("node", "label")).distinct(), "crowded")
+        drop_stored(values, members, mixed, more)
     if crowded.limit(1).count():
         search.add(_across(crowded.select("node", "label").distinct().withColumn("value", F.lit(0)), nodes, words, least))
     drop_stored(crowded)
