@@ -247,6 +247,35 @@ def test_similar_texts_have_a_rare_gram_in_common():
     assert met > 800
 
 
+def test_grams_of_one_component_make_no_rows(spark, tmp_path):
+    """What only members of one component share joins nothing; similar texts of two components have a row in common."""
+    rng, rows = random.Random(12), []
+    new = lambda n: [rng.randrange(1 << 32) for _ in range(n)]
+    one, two = new(60), new(60)
+    for node, label, words in [*((k, 0, one + new(5)) for k in range(40)), (999, 999, two + new(5)), (2999, 2999, new(5) + two)]:
+        rows.append((node, label, len(words), bytearray(np.array(words, np.uint32).tobytes())))
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "node long, label long, n_words long, words binary").write.parquet(path)
+    table = spark.read.parquet(path)
+    search = near_dedup._Search(table.select("node", "n_words"), table.select("node", "words"), near_dedup.SIMILARITY)
+    found = search.rare_grams(table.select("node", "label"), 2).collect()
+    values = {node: {r["value"] for r in found if r["node"] == node} for node in {r["node"] for r in found}}
+    assert set(values) == {999, 2999} and values[999] & values[2999]
+
+
+def test_two_common_texts_are_left_to_the_next_round(spark, tmp_path):
+    """Pairs of two texts that both have a common gram meet again elsewhere; pairs with one of them are made here."""
+    words = np.arange(40, dtype=np.uint32)
+    counts = bytearray(near_dedup.bag(words).astype(np.uint16).tobytes())
+    nodes = spark.createDataFrame([(k, 40, counts) for k in range(5)], "node long, n_words long, bag binary")
+    values = spark.createDataFrame([(k, v, k > 1) for v, ks in ((7, range(5)), (8, (2, 3, 4))) for k in ks], "node long, value long, common boolean")
+    search = near_dedup._Search(nodes, None, near_dedup.SIMILARITY)
+    members = near_dedup.grouped(values)
+    assert {r["value"] for r in members.collect()} == {7}
+    pairs = {tuple(r) for r in search.small_pairs(search.mixed(members, 1)).collect()}
+    assert pairs == {(a, b) for a in (0, 1) for b in range(a + 1, 5)}
+
+
 def test_similar_short_texts_always_have_a_value_in_common():
     """Every two short texts that are similar meet, whatever was edited."""
     rng = random.Random(9)
@@ -292,6 +321,25 @@ def test_one_of_each_keeps_columns_of_any_name(spark, tmp_path):
     assert {(r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(ids)[0].collect()} == {("a", "a"), ("b", "a")}
 
 
+def test_rows_are_found_by_ids_bitmaps_or_a_join_alike(spark, monkeypatch):
+    """Ids around zero, at the ends of bitmaps and far apart; a null is in no set of ids."""
+    numbers = [*range(-40_000, 70_000, 7), *range(-3, 4), 32_767, 32_768, 32_769, -32_768, 1 << 40, (1 << 40) + 32_768, (1 << 62) + 1]
+    numbers = sorted(set(numbers))
+    rows = spark.createDataFrame([(x, "t") for x in [*numbers, None]], "node long, text string")
+    wanted = {x for x in numbers if x % 3 == 0 or abs(x) < 3}
+    ids = spark.createDataFrame([(x,) for x in wanted], "node long")
+    for most_ids, most_maps, plan in ((300_000, 8_192, "BroadcastHashJoin"), (10, 8_192, "bitmap"), (10, 2, "Exchange hashpartitioning")):
+        monkeypatch.setattr(common, "BROADCAST_IDS", most_ids)
+        monkeypatch.setattr(common, "BROADCAST_BITMAPS", most_maps)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            found = common.among(rows, ids, "node")
+            assert plan in found._jdf.queryExecution().executedPlan().toString()
+            assert found.columns == ["node", "text"] and sorted(r["node"] for r in found.collect()) == sorted(wanted)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_large_ids_beside_nulls_stay_exact(spark, tmp_path):
     big, path = 2**62 + 1, str(tmp_path / "t")
     spark.createDataFrame([(big, BASE), (big + 1, BASE), (None, BASE)], "doc_id long, text string").coalesce(1).write.parquet(path)

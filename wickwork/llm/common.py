@@ -90,6 +90,23 @@ def with_row_id(df: DataFrame, out: str = "_rid") -> DataFrame:
     return placed.join(small, "_file").select(*df.columns, (F.shiftleft("_no", 40) + F.col("_row")).alias(out))
 
 
+#: Ids that are broadcast at most (eight bytes each), and bitmaps of 32,768 numbers (4 kB each).
+BROADCAST_IDS, BROADCAST_BITMAPS = 300_000, 8_192
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose `key`, a long, is in ids (key). Few ids are broadcast; more are as bitmaps, a bit for each number of a stored row, so rows stay where they are. Only ids too many or too scattered for that are joined in a shuffle."""
+    if ids.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), key, "left_semi")
+    maps = stored(ids.groupBy(F.bitmap_bucket_number(key).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("_bits")), "bitmaps")
+    if maps.count() > BROADCAST_BITMAPS:
+        drop_stored(maps)
+        return rows.join(ids, key, "left_semi")
+    at = F.bitmap_bit_position(rows[key])
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(maps), (F.bitmap_bucket_number(rows[key]) == F.col("_bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1), "left_semi")
+
+
 def unit(*parts) -> Column:
     """A reproducible number in [0, 1) from the given columns."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))

@@ -10,7 +10,8 @@ Texts with equal words are one node. Texts with an equal value are a group, and
 1. every member is aligned with the smallest one, its head, as long as both are in different components;
 2. a group of at most SMALL members that still holds several components is settled pair by pair, by lengths, words in common and alignment;
 3. members of larger ones, crowded by a passage that they share, meet again by their rarest grams: d edits destroy at most k * d grams of k words, so two similar
-   texts have one in common among the k * d + k + 1 that are rarest among all members (prefix filter). First k is 2, then 1 for what is crowded still. No similar pair is lost;
+   texts have one in common among the k * d + k + 1 that are rarest among all members (prefix filter); grams that only one component has count as rarest, but join nothing.
+   First k is 2, then 1 for what is crowded still. Two texts that both have a common gram are left to the next round or step. No similar pair of different components is lost;
 4. what shares only common words even so is dealt into blocks by length and by a hash, and every two members of blocks near in length are settled.
 """
 
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import drop_stored, shared_dir, stored, with_row_id
+from wickwork.llm.common import among, drop_stored, shared_dir, stored, with_row_id
 from wickwork.llm.components import EDGES_A_TASK, components
 
 KMER, PICKED, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
@@ -42,10 +43,10 @@ BLOCK, BLOCK_WORDS, BINS, BLOCK_BINS = 512, 1_000_000, 64, 1024
 BAND = 16
 #: Pairs that a task aligns.
 PAIRS_A_TASK = 1_000
+#: Words that a task cuts into grams.
+WORDS_A_TASK = 65_536
 #: Word hashes that a worker keeps.
 MEMO_WORDS = 100_000
-#: Node ids that are broadcast at most (eight bytes each) to leave uninvolved texts out of a shuffle.
-BROADCAST_IDS = 300_000
 #: Rows of labels, lengths or tried pairs that are broadcast at most, so that small rounds need no shuffle.
 BROADCAST_ROWS = 50_000
 _WORD = re.compile(r"[^\W_]+")
@@ -287,10 +288,10 @@ def links_across(pdf: pd.DataFrame, least: float) -> list[tuple[int, int]]:
     return links
 
 
-def likely_pairs(node: np.ndarray, label: np.ndarray, size: np.ndarray, bags: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs (smaller node, larger node) of different labels in a small group that neither lengths nor words in common rule out."""
+def likely_pairs(node: np.ndarray, label: np.ndarray, size: np.ndarray, bags: np.ndarray, common: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (smaller node, larger node) of different labels in a small group that neither lengths nor words in common rule out. Two that are both `common` meet again elsewhere."""
     p, q = np.triu_indices(len(node), 1)
-    open_ = label[p] != label[q]
+    open_ = (label[p] != label[q]) & ~(common[p] & common[q])
     p, q = p[open_], q[open_]
     longest = np.maximum(size[p], size[q])
     most = ((1 - least) * longest + 1e-9).astype(np.int64)
@@ -346,7 +347,7 @@ class _Search:
 
     def with_words(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, ..) with the words of both, wa and wb. Few ids are broadcast, so the words of other nodes stay where they are."""
-        words = stored(of_ids(self.words, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")), "words")
+        words = stored(among(self.words, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "node"), "words")
         left = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
         out = left.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
         out.words_at = words
@@ -386,29 +387,32 @@ class _Search:
         return stored(rows.join(one, "value", "left_semi"), "mixed")
 
     def small_pairs(self, members: DataFrame) -> DataFrame:
-        """Likely pairs (a, b) inside groups of at most SMALL members."""
+        """Likely pairs (a, b) inside groups of at most SMALL members; if members have the column `common`, two of those are left to the next round, where they meet for certain."""
         least = self.least
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 pairs = set()
-                for node, label, size, bags in zip(pdf["node"], pdf["label"], pdf["n_words"], pdf["bag"]):
-                    pairs.update(likely_pairs(node, label, size, np.frombuffer(b"".join(bags), np.uint16).reshape(-1, BINS), least))
+                for node, label, size, bags, common in zip(pdf["node"], pdf["label"], pdf["n_words"], pdf["bag"], pdf["common"]):
+                    pairs.update(likely_pairs(node, label, size, np.frombuffer(b"".join(bags), np.uint16).reshape(-1, BINS), np.asarray(common, bool), least))
                 yield pd.DataFrame(list(pairs), columns=["a", "b"], dtype="int64")
 
-        rows = members.where(F.col("n") <= SMALL).select("value", "node", "label").join(self.nodes.select("node", "n_words", "bag"), "node")
-        held = rows.groupBy("value").agg(F.collect_list(F.struct("node", "label", "n_words", "bag")).alias("x"))
-        return held.select("x.node", "x.label", "x.n_words", "x.bag").mapInPandas(run, "a long, b long").distinct()
+        common = F.col("common") if "common" in members.columns else F.lit(False).alias("common")
+        rows = members.where(F.col("n") <= SMALL).select("value", "node", "label", common).join(self.nodes.select("node", "n_words", "bag"), "node")
+        held = rows.groupBy("value").agg(F.collect_list(F.struct("node", "label", "n_words", "bag", "common")).alias("x"))
+        return held.select("x.node", "x.label", "x.n_words", "x.bag", "x.common").mapInPandas(run, "a long, b long").distinct()
 
     def rare_grams(self, nodes: DataFrame, length: int) -> DataFrame:
-        """(node, value), stored: the rarest grams of `length` words of each of the nodes (node), enough that similar ones have one in common.
+        """(node, value, common), stored: the rarest grams of `length` words of each of the nodes (node, label), enough that similar ones of different labels have one in common.
 
-        How often grams occur among the nodes is counted in bins, a byte a bin and some BINS_A_GRAM bins a gram up to a fixed number; only bins that occur twice or more reach the driver. Grams of
-        one bin are ordered by their hashes, so the order is the same for all texts. A gram too common for a group that is settled pair by pair is no row of its own: value is then null,
-        one row a node, and two such nodes must meet otherwise. So each text has at most a row for every gram that a few others share.
+        How often grams occur among the nodes is counted in bins, a byte a bin and some BINS_A_GRAM bins a gram up to a fixed number; only bins that several labels share reach the driver. Grams
+        that one label has alone count once and come first: they take places among the rarest, as any order of all grams will do, and are no rows, as they join no components. Grams of
+        one bin are ordered by their hashes, so the order is the same for all texts. A gram too common for a group that is settled pair by pair is no row of its own: the node has then one row
+        whose value is null and is `common` in all its rows, and two such nodes must meet otherwise. So each text has at most a row for every gram that a few others share.
         """
-        words, least = stored(of_ids(self.words, nodes), "words"), self.least
+        words, least = stored(among(self.words, nodes.select("node"), "node").join(nodes, "node"), "words"), self.least
         total = words.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 4
+        dealt = words.repartition(max(2, total // WORDS_A_TASK))  # about even in words
         bits = min(MOST_BITS, max(BIN_BITS, (total * BINS_A_GRAM).bit_length()))
         grams = lambda x: occurrences(kmers(np.frombuffer(x, np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), length))
         crowd = steps_of(SMALL + 4 * total / (1 << bits))  # where bins hold several grams, that many occurrences are usual
@@ -416,26 +420,32 @@ class _Search:
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    bin_, n = np.unique(np.concatenate([grams(x) for x in pdf["words"]]) >> np.uint64(64 - bits), return_counts=True)
-                    yield pd.DataFrame({"bin": bin_.astype(np.int32), "n": n.astype(np.int64)})
+                    own = [grams(x) for x in pdf["words"]]
+                    bin_, label = (np.concatenate(own) >> np.uint64(64 - bits)).astype(np.int32), np.repeat(pdf["label"].to_numpy(), [len(x) for x in own])
+                    order = np.lexsort((label, bin_))
+                    bin_, label = bin_[order], label[order]
+                    first, last = np.flatnonzero(np.diff(bin_, prepend=-1)), np.flatnonzero(np.diff(bin_, append=-1))
+                    yield pd.DataFrame({"bin": bin_[first], "n": last - first + 1, "lo": label[first], "hi": label[last]})
 
         n = F.sum("n")  # exact below 128, then four steps for each doubling, so that a count fits a byte
         step = F.when(n < 128, n).otherwise(F.least(F.lit(255), F.floor(F.log2(n / 128) * 4) + 128)).cast("short")
-        counted = words.select("words").mapInPandas(count, "bin int, n long").groupBy("bin").agg(step.alias("n")).where("n > 1").toArrow()
+        bins = dealt.select("label", "words").mapInPandas(count, "bin int, n long, lo long, hi long").groupBy("bin").agg(step.alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        counted = bins.where("lo < hi").select("bin", "n").toArrow()
         counts = np.ones(1 << bits, np.uint8)
         counts[counted["bin"].to_numpy()] = counted["n"].to_numpy()
         shared = words.sparkSession.sparkContext.broadcast(counts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                nodes_, values = [], []
+                nodes_, values, flags = [], [], []
                 for node, x in zip(pdf["node"], pdf["words"]):
                     own, common = rarest_below(grams(x), len(x) // 4, length, shared.value, crowd, least)
                     nodes_ += [node] * (len(own) + common)
                     values += own.tolist() + [None] * common
-                yield pd.DataFrame({"node": pd.Series(nodes_, dtype="int64"), "value": pd.Series(values, dtype="Int64")})
+                    flags += [common] * (len(own) + common)
+                yield pd.DataFrame({"node": pd.Series(nodes_, dtype="int64"), "value": pd.Series(values, dtype="Int64"), "common": pd.Series(flags, dtype="bool")})
 
-        found = stored(words.mapInPandas(run, "node long, value long"), "values")
+        found = stored(dealt.select("node", "words").mapInPandas(run, "node long, value long, common boolean"), "values")
         shared.destroy()
         drop_stored(words)
         return found
@@ -446,15 +456,10 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose node is in ids (node). Few ids are broadcast, so that other rows stay where they are."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
-
-
 def grouped(values: DataFrame) -> DataFrame:
-    """Members (value, node, head, n) of the groups of two or more nodes with an equal value, stored. values: (node, value) without repeats."""
-    groups = values.groupBy("value").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return stored(values.join(groups, "value"), "members")
+    """Members (value, node, head, n) of the groups of two or more nodes with an equal value, stored. values: (node, value) without repeats; if they have the column `common`, groups of such nodes alone are left out."""
+    groups = values.groupBy("value").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.bool_and("common" if "common" in values.columns else F.lit(False)).alias("later")).where("n > 1 and not later")
+    return stored(values.join(groups.drop("later"), "value"), "members")
 
 
 def _across(inside: DataFrame, nodes: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -472,7 +477,7 @@ def _across(inside: DataFrame, nodes: DataFrame, words: DataFrame, least: float)
     several = F.least("loi", "loj") < F.greatest("hii", "hij")
     both = stored(meet(0).where("i <= j").union(meet(1)).where(several).select("value", "i", "j"), "meet")
     seats = both.select("*", F.col("i").alias("block")).union(both.where("i < j").select("*", F.col("j").alias("block")))
-    seated = seats.join(placed.drop("length"), ["value", "block"]).join(nodes.select("node", "n_words"), "node").join(of_ids(words, placed.select("node").distinct()), "node")
+    seated = seats.join(placed.drop("length"), ["value", "block"]).join(nodes.select("node", "n_words"), "node").join(among(words, placed.select("node").distinct(), "node"), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(links_across(pdf, least), columns=["a", "b"], dtype="int64")
@@ -512,7 +517,7 @@ def find_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY) ->
     for length in GRAMS:
         if length * (1 - least) > 0.5 or not crowded.limit(1).count():  # so many edits may destroy all grams of a short text
             continue
-        values = search.rare_grams(crowded.select("node").distinct(), length)
+        values = search.rare_grams(crowded.select("node", "label").distinct(), length)
         members = grouped(values.where("value is not null"))
         mixed = search.mixed(members, 1)
         search.verify(search.small_pairs(mixed))
@@ -548,7 +553,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
     known = table.select("rid", "digest").join(ids, "rid")
     heads = stored(known.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "heads")
     every = table.withColumnRenamed("rid", "node")
-    nodes = stored(of_ids(every.select("node", "values", "n_words", "bag"), heads.select("node")), "nodes")
+    nodes = stored(among(every.select("node", "values", "n_words", "bag"), heads.select("node"), "node"), "nodes")
     links, labels = find_links(nodes, every.select("node", "words"), least)
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = heads.join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -562,8 +567,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The first stored row of each class; a null text is a class of its own. All columns are kept; the name _rid is reserved."""
+    """The first stored row of each class; a null text is a class of its own. All columns are kept, and texts are not moved; names that start with _ are reserved."""
     ided = with_row_id(docs)
     rows, _ = near_duplicates(ided, least)
     keep = rows.where("rid = class_rid").select(F.col("rid").alias("_rid"))
-    return ided.join(keep, "_rid", "left_semi").select(*docs.columns)
+    return among(ided, keep, "_rid").select(*docs.columns)
