@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wickwork.llm import mixing, near_dedup, queries, sql
+from wickwork.llm import mixing, near_dedup, quality, queries, sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +72,21 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, tmp_path):
             run(spark, docs, str(tmp_path)).write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) == bool(given)
+
+
+def test_one_of_each_and_kept_documents_move_no_text(spark, monkeypatch):
+    """The rows that stay are picked where they are, and quality stores no text."""
+    docs, columns = spark.read.parquet(f"{SF}/documents.parquet"), []
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    store = quality.stored
+    monkeypatch.setattr(quality, "stored", lambda df, *more: columns.append(df.columns) or store(df, *more))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kept in (near_dedup.one_of_each(docs), quality.kept_documents(docs, labels)):
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        want = quality.judge(docs, labels, keep_text=False).where("kept").select("doc_id")
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in want.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert columns and all("text" not in x for x in columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wickwork.llm.common import chunk_bits, running, stored, with_row_id
+from wickwork.llm.common import chunk_bits, drop_stored, running, stored, with_row_id
 
 #: A document is taken this often at most; a source's target stops at so many times its size.
 MOST_REPEATS = 3
@@ -75,6 +75,7 @@ def fair_queue(docs: DataFrame, size: str = "size", seed: str = "mix", repeats:
     copies = copies.withColumn("_range", F.floor(F.col("_finish") * per_unit).cast("long"))
     ranges = copies.groupBy("_range").agg(F.sum("_size").alias("s")).withColumn("upto", F.sum("s").over(Window.orderBy("_range")))
     budget = base.agg(F.coalesce(F.sum("_size"), F.lit(0)).cast("long")).first()[0]
+    drop_stored(targets, base)
     full = ranges.where(F.col("upto") > budget).orderBy("_range").select("_range", F.col("upto") - F.col("s")).first()
     if full is None:
         served = F.lit(repeats)

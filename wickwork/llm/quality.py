@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import stored
+from wickwork.llm.common import among, stored, with_row_id
 
 #: Words, symbols and windows of the base measures.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,3 +157,10 @@ def judge(docs: DataFrame, labels: DataFrame, by: str = "lang", keep_text: bool
     measured = with_measures(docs)
     table = stored(measured if keep_text else measured.drop("text"), "measures")
     return apply_rules(table, fit_cutoffs(table, labels, by), by)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, by: str = "lang") -> DataFrame:
+    """The rows that judge() keeps, with their own columns. Only measures are stored; texts are read a second time and neither written nor shuffled. Names that start with _ are reserved."""
+    ided = with_row_id(docs)
+    judged = judge(ided.select("_rid", "doc_id", "text", *{by} - {"doc_id", "text"}), labels, by, keep_text=False)
+    return among(ided, judged.where("kept").select("_rid"), "_rid").select(*docs.columns)
