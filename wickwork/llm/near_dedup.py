@@ -44,7 +44,7 @@ BAND = 16
 #: Pairs that a task aligns.
 PAIRS_A_TASK = 1_000
 #: Words that a task cuts into grams.
-WORDS_A_TASK = 65_536
+WORDS_A_TASK = 32_768
 #: Word hashes that a worker keeps.
 MEMO_WORDS = 100_000
 #: Rows of labels, lengths or tried pairs that are broadcast at most, so that small rounds need no shuffle.
@@ -412,7 +412,7 @@ class _Search:
         """
         words, least = stored(among(self.words, nodes.select("node"), "node").join(nodes, "node"), "words"), self.least
         total = words.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 4
-        dealt = words.repartition(max(2, total // WORDS_A_TASK))  # about even in words
+        dealt = words.repartition(max(1, total // WORDS_A_TASK))  # about even in words
         bits = min(MOST_BITS, max(BIN_BITS, (total * BINS_A_GRAM).bit_length()))
         grams = lambda x: occurrences(kmers(np.frombuffer(x, np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), length))
         crowd = steps_of(SMALL + 4 * total / (1 << bits))  # where bins hold several grams, that many occurrences are usual
