@@ -403,13 +403,14 @@ class _Search:
         return held.select("x.node", "x.label", "x.n_words", "x.bag", "x.common").mapInPandas(run, "a long, b long").distinct()
 
     def rare_grams(self, nodes: DataFrame, length: int) -> DataFrame:
-        """(node, value, common), stored: the rarest grams of `length` words of each of the nodes (node, label), enough that similar ones of different labels have one in common.
+        """(node, value, common), stored: the rarest grams of `length` words of each of the nodes (node; label, if it is known), enough that similar ones of different labels have one in common.
 
         How often grams occur among the nodes is counted in bins, a byte a bin and some BINS_A_GRAM bins a gram up to a fixed number; only bins that several labels share reach the driver. Grams
         that one label has alone count once and come first: they take places among the rarest, as any order of all grams will do, and are no rows, as they join no components. Grams of
         one bin are ordered by their hashes, so the order is the same for all texts. A gram too common for a group that is settled pair by pair is no row of its own: the node has then one row
         whose value is null and is `common` in all its rows, and two such nodes must meet otherwise. So each text has at most a row for every gram that a few others share.
         """
+        nodes = nodes if "label" in nodes.columns else self.labelled(nodes)
         words, least = stored(among(self.words, nodes.select("node"), "node").join(nodes, "node"), "words"), self.least
         total = words.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 4
         dealt = words.repartition(max(1, total // WORDS_A_TASK))  # about even in words
