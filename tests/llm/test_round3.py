@@ -251,3 +251,26 @@ def test_common_grams_are_no_rows(spark):
     classes, _ = near_dedup.near_duplicates(docs.withColumnRenamed("_rid", "doc_id"))
     found = {r["doc_id"]: r["class_id"] for r in classes.collect()}
     assert all(found[160 + k] == found[k] for k in range(5))
+
+
+def test_members_of_large_groups_are_handed_on_once(spark, monkeypatch):
+    """Members of groups that are settled pair by pair are rows; of larger groups only the nodes are handed on, each once, and their pairs are found."""
+    rng, seen, real = random.Random(4), {"members": [], "mixed": [], "crowded": []}, near_dedup.stored
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = [word() for _ in range(60)]
+    rests = [[word() for _ in range(30)] for _ in range(160)]
+    texts = [passage + r for r in rests] + [passage + [word() if k % 3 == 0 else w for k, w in enumerate(r)] for r in rests[:5]]
+
+    def kept(df, label, *more):
+        out = real(df, label, *more)
+        if label in seen:
+            seen[label].append(out.collect())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", kept)
+    classes, _ = near_dedup.near_duplicates(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string"))
+    found = {r["doc_id"]: r["class_id"] for r in classes.collect()}
+    assert all(found[160 + k] == found[k] for k in range(5)) and len(set(found.values())) == 160
+    large = {r["node"] for r in seen["members"][0] if r["n"] > near_dedup.SMALL}
+    assert len(large) > near_dedup.SMALL and sorted(r["node"] for r in seen["crowded"][0]) == sorted(large)
+    assert all(r["n"] <= near_dedup.SMALL for rows in seen["mixed"] for r in rows)

@@ -378,13 +378,21 @@ class _Search:
         if self.labels is None or links.limit(1).count():
             self.labels = _relabel(self.labels, links)
 
-    def mixed(self, members: DataFrame, more_than: int = 2) -> DataFrame:
-        """Members (value, node, head, n, label) of the groups of more members that have several components; of groups with the same members one is kept."""
-        rows = self.labelled(members.where(F.col("n") > more_than))
+    def several(self, members: DataFrame) -> DataFrame:
+        """Members (value, node, head, n, label) of the groups that have several components; of groups with the same members one is kept."""
+        rows = self.labelled(members)
         mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
         groups = rows.groupBy("value", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), mark(1).alias("m1"), mark(2).alias("m2")).where("lo < hi")
         one = groups.groupBy("n", "m1", "m2").agg(F.min("value").alias("value")).select("value")
-        return stored(rows.join(one, "value", "left_semi"), "mixed")
+        return rows.join(one, "value", "left_semi")
+
+    def mixed(self, members: DataFrame, more_than: int = 2) -> DataFrame:
+        """Members of the groups of more than that and at most SMALL members that have several components, stored."""
+        return stored(self.several(members.where((F.col("n") > more_than) & (F.col("n") <= SMALL))), "mixed")
+
+    def crowded(self, members: DataFrame) -> DataFrame:
+        """(node, label) of the members of larger groups that have several components, each once, stored. Only the nodes count from here, so the members are no rows of a table."""
+        return stored(self.several(members.where(F.col("n") > SMALL)).select("node", "label").distinct(), "crowded")
 
     def small_pairs(self, members: DataFrame) -> DataFrame:
         """Likely pairs (a, b) inside groups of at most SMALL members; if members have the column `common`, two of those are left to the next round, where they meet for certain."""
@@ -511,24 +519,22 @@ def find_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY) ->
     search.verify(nearest)
     search.verify(members.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     mixed = search.mixed(members)
-    drop_stored(members)
     search.verify(search.small_pairs(mixed))
-    crowded = search.mixed(mixed.drop("label"), SMALL)
-    drop_stored(mixed)
+    crowded = search.crowded(members)
+    drop_stored(members, mixed)
     for length in GRAMS:
         if length * (1 - least) > 0.5 or not crowded.limit(1).count():  # so many edits may destroy all grams of a short text
             continue
-        values = search.rare_grams(crowded.select("node", "label").distinct(), length)
+        values = search.rare_grams(crowded, length)
         members = grouped(values.where("value is not null"))
         mixed = search.mixed(members, 1)
         search.verify(search.small_pairs(mixed))
-        more = search.mixed(mixed.drop("label"), SMALL)
-        common = search.labelled(values.where("value is null").select("node"))
+        inside, common = search.crowded(members), search.labelled(values.where("value is null").select("node"))
         drop_stored(crowded)
-        crowded = stored(more.select("node", "label").union(common.select("node", "label")).distinct(), "crowded")
-        drop_stored(values, members, mixed, more)
+        crowded = stored(inside.union(common.select("node", "label")).distinct(), "crowded")
+        drop_stored(values, members, mixed, inside)
     if crowded.limit(1).count():
-        search.add(_across(crowded.select("node", "label").distinct().withColumn("value", F.lit(0)), nodes, words, least))
+        search.add(_across(crowded.withColumn("value", F.lit(0)), nodes, words, least))
     drop_stored(crowded)
     found = search.links[0]
     for more in search.links[1:]:
