@@ -720,6 +720,35 @@ def test_canonical_decimal_reads_its_text_once(spark):
     assert 1 <= code.count(".matcher(") <= 2
 
 
+def test_canonical_decimals_of_an_array_read_each_text_once(spark):
+    import json
+
+    from wickwork.operators import states
+
+    texts = ["-0.000", "+1", "5.", "-.5", "1e-3", "00012.3400", "1.5E3", " 12 ", "", "1e", "--1", "abc", None, "-000.0100e1", "1\n", ".", "1e400", "-1E-12", "123456789012345678901234567890.5000"]
+    df = spark.createDataFrame([(texts,)], "x array<string>")
+    each = df.select(F.explode("x").alias("x")).select(compare.canonical_decimal(F.col("x")))
+    assert df.select(compare.canonical_decimals(F.col("x"))).first()[0] == [r[0] for r in each.collect()]
+    assert df.select(compare.canonical_decimals(F.lit(None).cast("array<string>"))).first()[0] is None
+    raw = spark.createDataFrame([({"USDT": 1.5, "BTC": 2.25, "ADA": 1e-9, "XRP": 0.0}, [])], "wallets map<string,double>, locks array<struct<pair:string,lock_timestamp:long,lock_end_timestamp:long,reason:string,side:string,active:boolean>>")
+    raw = raw.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("open_trade_count", "total_profit", "closed_trades", "rejected_signals", "trade_id", "order_id"))])
+    out = states.project_reference_state(raw, "USDT")
+    assert json.loads(out.first()["state"])["base_balances"] == [{"currency": "ADA", "free": "0.000000001"}, {"currency": "BTC", "free": "2.25"}] and out.columns == [*raw.columns, "state"]
+    # functions of elements evaluate a pattern as often as they name it; projections evaluate it once
+    patterns = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    plain = patterns(df.select(F.explode("x").alias("x")).select(compare.canonical_decimal(F.col("x")).alias("y")))
+    assert patterns(df.select(compare.canonical_decimals(F.col("x")).alias("y"))) == 1 and patterns(out) == plain + 1  # the profit is a constant here
+
+
+def test_equity_curve_asks_its_trades_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(trades, "stored", lambda df, label, *more: (kept.append(label), df.localCheckpoint())[1], raising=False)
+    t = spark.createDataFrame([(k, k * H, k * H + 3 * H, 10.0, 1.0) for k in range(50)], "trade_id long, open_ts long, close_ts long, stake_amount double, profit_abs double")
+    rows = trades.wallet_state(t, 100.0).orderBy("ts").collect()
+    assert [(r["closed_trades"], r["realized"]) for r in rows] == [(k + 1, k + 1.0) for k in range(50)]
+    assert kept == ["wallet"]
+
+
 def test_candle_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     from wickwork.queries import files as queries
 

@@ -36,6 +36,30 @@ def canonical_decimal(c: Column) -> Column:
     return F.concat(F.repeat(F.lit("-"), (number.startswith("-") & (plain != "0")).cast("int")), plain)
 
 
+def canonical_decimals(texts: Column) -> Column:
+    """canonical_decimal of every text of an array.
+
+    Functions of array elements evaluate a step as often as it is named, so here each step is a pass over the array that carries on what later ones need.
+    """
+    zero = F.lit("0")
+
+    def step(values: Column, keep: str = "", **made) -> Column:
+        return F.transform(values, lambda v: F.struct(*[v[c].alias(c) for c in keep.split()], *[f(v).alias(c) for c, f in made.items()]))
+
+    sound = lambda c: F.trim(c).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$")
+    rows = F.transform(texts, lambda c: F.struct(F.replace(F.when(sound(c), F.rtrim(F.trim(c), F.lit("\n\r\u0085\u2028\u2029"))), F.lit("E"), F.lit("e")).alias("text")))
+    rows = step(rows, "text", number=lambda v: F.substring_index(v["text"], "e", 1))
+    rows = step(rows, "text number", bare=lambda v: F.ltrim(v["number"], F.lit("+-")))
+    rows = step(rows, "text number bare", before=lambda v: F.substring_index(v["bare"], ".", 1))
+    power = lambda v: F.coalesce(F.substring(v["text"], F.length(v["number"]) + 2, F.length(v["text"])).try_cast("int"), F.lit(0))
+    rows = step(rows, "number", digits=lambda v: F.concat(v["before"], F.substring(v["bare"], F.length(v["before"]) + 2, F.length(v["bare"]))), point=lambda v: F.length(v["before"]) + power(v))
+    rows = step(rows, "number", at=lambda v: F.greatest(v["point"], F.lit(1)), padded=lambda v: F.concat(F.repeat(zero, F.greatest(F.lit(0), 1 - v["point"])), v["digits"], F.repeat(zero, F.greatest(F.lit(0), v["point"] - F.length(v["digits"])))))
+    rows = step(rows, "number", whole=lambda v: F.ltrim(F.substring(v["padded"], F.lit(1), v["at"]), zero), rest=lambda v: F.rtrim(F.substring(v["padded"], v["at"] + 1, F.length(v["padded"])), zero))
+    one = lambda c: F.least(F.length(c), F.lit(1))
+    rows = step(rows, "number", plain=lambda v: F.concat(F.repeat(zero, 1 - one(v["whole"])), v["whole"], F.repeat(F.lit("."), one(v["rest"])), v["rest"]))
+    return F.transform(rows, lambda v: F.concat(F.repeat(F.lit("-"), (v["number"].startswith("-") & (v["plain"] != "0")).cast("int")), v["plain"]))
+
+
 #: Types of document nodes; objects and arrays hold others.
 OBJECT, ARRAY = "dict", "list"
 #: Order keys: what only the actual side has comes after all of the expected side's keys; a length comes after all elements.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.operators.compare import canonical_decimal
+from wickwork.operators.compare import canonical_decimal, canonical_decimals
 
 #: Places of a quote balance in futures, where both sides carry noise of the last bits.
 FUTURES_PLACES = 9
@@ -28,10 +28,12 @@ def sorted_locks(locks: Column, start: str, end: str) -> Column:
 
 
 def _document(events: DataFrame, quote: Column, bases: Column, profit: Column, counts: dict[str, Column], locks: Column, mode: str) -> DataFrame:
-    none = F.array().cast("array<struct<currency:string,free:string>>")
-    fields = [_quote(quote, mode).alias("quote_free"), (bases if mode == "spot" else none).alias("base_balances"), counts["open_trade_count"].alias("open_trade_count"), canonical_decimal(profit.cast("string")).alias("realized_profit")]
+    """bases: an array of structs (currency, free), free as text."""
+    events = events.withColumn("_bases", bases if mode == "spot" else F.array().cast("array<struct<currency:string,free:string>>"))
+    balances = F.zip_with("_bases", canonical_decimals(F.col("_bases")["free"]), lambda b, free: F.struct(b["currency"].alias("currency"), free.alias("free")))
+    fields = [_quote(quote, mode).alias("quote_free"), balances.alias("base_balances"), counts["open_trade_count"].alias("open_trade_count"), canonical_decimal(profit.cast("string")).alias("realized_profit")]
     fields += [counts[c].alias(c) for c in ("closed_trade_count", "rejected_signals", "trade_id_counter", "order_id_counter")]
-    return events.withColumn("state", F.to_json(F.struct(*fields, locks.alias("locks"))))
+    return events.withColumn("state", F.to_json(F.struct(*fields, locks.alias("locks")))).drop("_bases")
 
 
 def project_reference_state(events: DataFrame, quote: str, mode: str = "spot") -> DataFrame:
@@ -41,7 +43,7 @@ def project_reference_state(events: DataFrame, quote: str, mode: str = "spot") -
     order and left out when there is none. Locks: pair, lock_timestamp, lock_end_timestamp, reason, side, active.
     """
     others = F.map_entries(F.map_filter("wallets", lambda k, v: (k != quote) & (v != 0)))
-    bases = F.transform(F.array_sort(others), lambda e: F.struct(e["key"].alias("currency"), canonical_decimal(e["value"].cast("string")).alias("free")))
+    bases = F.transform(F.array_sort(others), lambda e: F.struct(e["key"].alias("currency"), e["value"].cast("string").alias("free")))
     counts = {"open_trade_count": F.col("open_trade_count"), "closed_trade_count": F.col("closed_trades"), "rejected_signals": F.col("rejected_signals"), "trade_id_counter": F.col("trade_id"), "order_id_counter": F.col("order_id")}
     return _document(events, F.coalesce(F.col("wallets")[quote], F.lit(0)), bases, F.col("total_profit"), counts, sorted_locks(F.col("locks"), "lock_timestamp", "lock_end_timestamp"), mode)
 
@@ -50,6 +52,6 @@ def project_engine_state(events: DataFrame, mode: str = "spot") -> DataFrame:
     """Adds state, the same document, to rows with quote_free, base_balances (structs currency, free), open_trade_count, realized_profit, closed_trade_count, rejected_signals, trade_id_counter,
     order_id_counter and locks (pair, lock_timestamp_ms, lock_end_timestamp_ms, reason, side, active)."""
     kept = F.filter("base_balances", lambda b: b["free"] != 0)
-    bases = F.transform(kept, lambda b: F.struct(b["currency"].alias("currency"), canonical_decimal(b["free"].cast("string")).alias("free")))
+    bases = F.transform(kept, lambda b: F.struct(b["currency"].alias("currency"), b["free"].cast("string").alias("free")))
     counts = {c: F.col(c) for c in ("open_trade_count", "closed_trade_count", "rejected_signals", "trade_id_counter", "order_id_counter")}
     return _document(events, F.col("quote_free"), bases, F.col("realized_profit"), counts, sorted_locks(F.col("locks"), "lock_timestamp_ms", "lock_end_timestamp_ms"), mode)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wickwork.operators.replay import order_arrays, position_state, realized_profit  # noqa: F401
+from wickwork.session import stored
 
 MONEY = "decimal(38,18)"
 LEVELS = 5
@@ -219,6 +220,7 @@ def wallet_events(trades: DataFrame) -> DataFrame:
 
 def equity_curve(trades: DataFrame, start: float) -> DataFrame:
     """After each event: free balance, tied stake, open trades, realized profit and closed trades. At one time closes come before opens, then by trade."""
+    trades = stored(trades.select("trade_id", "open_ts", "close_ts", "stake_amount", "profit_abs"), "wallet", "zstd")  # asked for days and for rows
     run = _daily_prefix(wallet_events(trades), ["tied", "profit", "open", "closed"], ["ts", "kind", "trade_id"])
     free = F.lit(start).cast("decimal(28,8)") + F.col("run_profit") - F.col("run_tied")
     return run.select("ts", "kind", "trade_id", free.cast("double").alias("free"), F.col("run_tied").cast("double").alias("tied"), F.col("run_open").cast("long").alias("open_trades"), F.col("run_profit").cast("double").alias("realized"), F.col("run_closed").cast("long").alias("closed_trades"))

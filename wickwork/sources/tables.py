@@ -76,9 +76,14 @@ def tagged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("trade_id"), "sequence", entry.alias("is_entry"), F.col("l_quantity").alias("amount"), price.alias("price"), F.col("l_extendedprice").alias("cost"), F.col("ship").alias("ts"), F.when(entry, F.concat(F.lit("grind_"), level, F.lit("_entry"))).otherwise(leave).alias("tag"))
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as an entry of its trade."""
+    return _ordered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("trade_id"), "sequence", F.lit(True).alias("is_entry"), F.col("l_quantity").alias("amount"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("ship").alias("ts"))
+
+
 def trade_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of closed trades: every line an entry, then one exit of the whole amount a day after the last at 1.01 times its price."""
-    li = _ordered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("trade_id"), "sequence", F.lit(True).alias("is_entry"), F.col("l_quantity").alias("amount"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("ship").alias("ts"))
+    li = _entries(spark, sf_dir)
     end = li.groupBy("trade_id").agg(F.count("*").cast("int").alias("sequence"), F.sum("amount").alias("amount"), (F.max_by("price", "sequence") * 1.01).alias("price"), (F.max("ts") + DAY_MS).alias("ts"))
     return li.unionByName(end.withColumn("is_entry", F.lit(False)))
 
@@ -93,15 +98,21 @@ def trade_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a closed trade with amount, entry value, rates, times and profit; profit_abs and profit_ratio rounded to 8 places."""
-    orders = trade_orders(spark, sf_dir)
-    price = F.when(F.col("is_entry"), F.col("amount") * F.col("price"))
-    cents = F.round(price, 2).cast("decimal(18,2)")  # sums of money are exact, whatever the partitioning
-    sums = orders.groupBy("trade_id").agg(
-        F.sum(F.when(F.col("is_entry"), F.col("amount"))).alias("amount"), F.sum(cents).cast("double").alias("entry_value"), F.min("ts").alias("open_ts"), F.max("ts").alias("close_ts"),
-        F.max(F.when(~F.col("is_entry"), F.col("price"))).alias("close_rate"), F.count_if("is_entry").alias("entries"), F.min_by(cents.cast("double"), "sequence").alias("first_cost"),
+def closed_trades(spark: SparkSession, sf_dir: str, orders: bool = False) -> DataFrame:
+    """One row a closed trade with amount, entry value, rates, times and profit; profit_abs and profit_ratio rounded to 8 places. orders: adds the list of its orders, as trade_orders has them.
+
+    Sums come from a trade's lines, which are put in order and added up where one shuffle leaves them; the exit's values follow from them.
+    """
+    lines = _entries(spark, sf_dir)
+    cents = F.round(F.col("amount") * F.col("price"), 2).cast("decimal(18,2)")  # sums of money are exact, whatever the partitioning
+    listed = [F.array_sort(F.collect_list(F.struct("sequence", "is_entry", "amount", "price", "ts"))).alias("orders")] if orders else []
+    sums = lines.groupBy("trade_id").agg(
+        F.sum("amount").alias("amount"), F.sum(cents).cast("double").alias("entry_value"), F.min("ts").alias("open_ts"), (F.max("ts") + DAY_MS).alias("close_ts"),
+        (F.max_by("price", "sequence") * 1.01).alias("close_rate"), F.count("*").alias("entries"), F.min_by(cents.cast("double"), "sequence").alias("first_cost"), *listed,
     )
+    if orders:
+        left = F.struct(F.col("entries").cast("int").alias("sequence"), F.lit(False).alias("is_entry"), "amount", F.col("close_rate").alias("price"), F.col("close_ts").alias("ts"))
+        sums = sums.withColumn("orders", F.concat("orders", F.array(left)))
     t = sums.join(trade_heads(spark, sf_dir), "trade_id").withColumn("open_rate", F.col("entry_value") / F.col("amount"))
     paid, got = F.col("entry_value") * (1 + F.col("fee_open")), F.col("amount") * F.col("close_rate") * (1 - F.col("fee_close"))
     paid_s, got_s = F.col("entry_value") * (1 - F.col("fee_open")), F.col("amount") * F.col("close_rate") * (1 + F.col("fee_close"))
