@@ -740,6 +740,21 @@ def test_canonical_decimals_of_an_array_read_each_text_once(spark):
     assert patterns(df.select(compare.canonical_decimals(F.col("x")).alias("y"))) == 1 and patterns(out) == plain + 1  # the profit is a constant here
 
 
+def test_engine_balances_read_each_text_once(spark):
+    import json
+
+    from wickwork.operators import states
+
+    row = (1.5, [("B", 1e-9), ("A", 2.25), ("C", 0.0)], 3.0, [])
+    raw = spark.createDataFrame([row], "quote_free double, base_balances array<struct<currency:string,free:double>>, realized_profit double, locks array<struct<pair:string,lock_timestamp_ms:long,lock_end_timestamp_ms:long,reason:string,side:string,active:boolean>>")
+    raw = raw.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("open_trade_count", "closed_trade_count", "rejected_signals", "trade_id_counter", "order_id_counter"))])
+    out = {mode: states.project_engine_state(raw, mode) for mode in ("spot", "futures")}
+    assert json.loads(out["spot"].first()["state"])["base_balances"] == [{"currency": "B", "free": "0.000000001"}, {"currency": "A", "free": "2.25"}]
+    assert json.loads(out["futures"].first()["state"])["base_balances"] == []
+    patterns = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    assert patterns(out["spot"]) == 2 * patterns(raw.select(compare.canonical_decimal(F.col("quote_free").cast("string")).alias("y"))) + 1
+
+
 def test_equity_curve_asks_its_trades_once(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(trades, "stored", lambda df, label, *more: (kept.append(label), df.localCheckpoint())[1], raising=False)
