@@ -764,6 +764,19 @@ def test_equity_curve_asks_its_trades_once(spark, monkeypatch):
     assert kept == ["wallet"]
 
 
+def test_surface_rules_ask_their_trades_once(spark, monkeypatch):
+    from wickwork.queries import compare as queries
+
+    kept = []
+    monkeypatch.setattr(compare, "stored", lambda df, label, *more: (kept.append((label, df.columns)), df.localCheckpoint())[1])
+    monkeypatch.setattr(trades, "stored", lambda df, label, *more: (kept.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("lineitem.parquet") <= 1)), df.localCheckpoint())[1], raising=False)
+    rows = [(0, 1, 2, "1.50"), (1, 3, 2, "1"), (3, 1, 2, "1"), (3, 1, 2, "1"), (5, 1, 2, "1")]
+    found = compare.validate_surface(spark.createDataFrame(rows, "sequence long, open_ts long, close_ts long, text string"), ["text"]).collect()
+    assert sorted(map(tuple, found)) == [(0, "decimal"), (1, "time"), (3, "sequence"), (5, "sequence")] and kept == [("checked", ["sequence", "_code"])]
+    plan = queries.expected(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and kept[1:] == [("closing", True)]
+
+
 def test_candle_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     from wickwork.queries import files as queries
 

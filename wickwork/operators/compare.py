@@ -267,15 +267,16 @@ def mismatch_report(expected: DataFrame, actual: DataFrame, candles: DataFrame,
 def validate_surface(trades: DataFrame, decimals: list[str]) -> DataFrame:
     """Rows that break a rule: sequence is not the index, a decimal text is not canonical, or the close is before the open.
 
-    The index is the number of smaller sequences, counted in two levels over blocks of sequences.
+    The index is the number of smaller sequences, counted in two levels over blocks of sequences. What the rules need of a row is stored once, without its texts.
     """
-    block = F.floor(F.col("sequence") / 100_000)
-    rows = trades.withColumn("_b", block).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("sequence")))
-    before = rows.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     odd = F.lit(False)
     for c in decimals:
         odd = odd | ~canonical_decimal(F.col(c)).eqNullSafe(F.col(c))
-    code = F.when(F.col("_n") + F.col("_o") - 1 != F.col("sequence"), "sequence").when(odd, "decimal").when(F.col("close_ts") < F.col("open_ts"), "time")
+    trades = stored(trades.select("sequence", F.when(odd, "decimal").when(F.col("close_ts") < F.col("open_ts"), "time").alias("_code")), "checked", "zstd")
+    block = F.floor(F.col("sequence") / 100_000)
+    rows = trades.withColumn("_b", block).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("sequence")))
+    before = trades.groupBy(block.alias("_b")).agg(F.count("*").alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    code = F.when(F.col("_n") + F.col("_o") - 1 != F.col("sequence"), "sequence").otherwise(F.col("_code"))
     return rows.join(before.select("_b", "_o"), "_b").withColumn("code", code).where("code is not null").select("sequence", "code")
 
 

@@ -184,8 +184,9 @@ def cluster_profit(clusters: DataFrame, rate: Column, fee: float) -> DataFrame:
 def closure_sequence(trades: DataFrame) -> DataFrame:
     """Number trades in the order of closing; at one time forced closes come last, newest trade first. Needs close_ts, exit_reason, trade_id.
 
-    Days are counted first, so only one day's trades are put in order in one task.
+    Days are counted first, so only one day's trades are put in order in one task. Trades are stored, as they are asked for the days and for the rows.
     """
+    trades = stored(trades, "closing", "zstd")
     forced = F.col("exit_reason") == "force_exit"
     order = Window.partitionBy("_day").orderBy("close_ts", forced, F.when(forced, -F.col("trade_id")).otherwise(F.col("trade_id")))
     rows = trades.withColumn("_day", F.floor(F.col("close_ts") / 86_400_000)).withColumn("_n", F.row_number().over(order))
