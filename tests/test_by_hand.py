@@ -777,6 +777,23 @@ def test_surface_rules_ask_their_trades_once(spark, monkeypatch):
     assert "l_orderkey" not in plan and kept[1:] == [("closing", True)]
 
 
+def test_numbered_orders_copy_no_table(spark, monkeypatch, tmp_path):
+    from wickwork.queries import QUERIES
+    from wickwork.queries import files as queries
+
+    monkeypatch.setattr(queries, "scratch", lambda s, label: str(tmp_path / label))
+    out = QUERIES["normalize_orders"](spark, "/root/testdata/sf0.001")
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter", "Window", "Sort"):
+        node = node.children().head()
+    assert node.nodeName() == "Union"  # a join with the trades would be one by broadcast, as their columns are small in files
+    made = queries._numbered_orders(
+        spark.createDataFrame([("x", 0, "2"), ("x", 1, None), ("y", 0, "3")], "path string, sequence int, leverage string"),
+        spark.createDataFrame([("x", 1, 0, True, "5", 7), ("x", 0, 1, False, "1", 9), ("x", 0, 0, True, "1", 8), ("y", 0, 0, None, None, None)], "path string, trade int, sequence int, is_entry boolean, amount string, ts long"),
+    )
+    assert sorted(map(tuple, made.collect()), key=str) == [(1, 2, True, "1", 8), (1, 3, None, None, None), (2, 2, False, "1", 9), (3, None, True, "5", 7)]
+
+
 def test_candle_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     from wickwork.queries import files as queries
 
