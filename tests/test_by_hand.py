@@ -787,6 +787,7 @@ def test_numbered_orders_copy_no_table(spark, monkeypatch, tmp_path):
     while node.nodeName() in ("Project", "Filter", "Window", "Sort"):
         node = node.children().head()
     assert node.nodeName() == "Union"  # a join with the trades would be one by broadcast, as their columns are small in files
+    assert {f.name[-4:] for f in (tmp_path / "export").rglob("part-*")} == {"t.gz"}
     made = queries._numbered_orders(
         spark.createDataFrame([("x", 0, "2"), ("x", 1, None), ("y", 0, "3")], "path string, sequence int, leverage string"),
         spark.createDataFrame([("x", 1, 0, True, "5", 7), ("x", 0, 1, False, "1", 9), ("x", 0, 0, True, "1", 8), ("y", 0, 0, None, None, None)], "path string, trade int, sequence int, is_entry boolean, amount string, ts long"),
@@ -794,6 +795,19 @@ def test_numbered_orders_copy_no_table(spark, monkeypatch, tmp_path):
     assert sorted(map(tuple, made.collect()), key=str) == [(1, 2, True, "1", 8), (1, 3, None, None, None), (2, 2, False, "1", 9), (3, None, True, "5", 7)]
 
 
+def test_exports_packed_by_gzip(spark, tmp_path):
+    import gzip
+    import json
+
+    trades = [{"pair": "A/B", "enter_tag": "x}", "orders": [{"amount": k}]} for k in range(40)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.json.gz").write_bytes(gzip.compress(json.dumps({"strategy": {"S": {"trades": trades, "timeframe": "5m"}}}).encode()))
+    (tmp_path / "y.json").write_text(json.dumps({"strategy": {"S": {"trades": trades[:3]}}}))
+    records, _ = exports.read_backtest_export(spark, str(tmp_path))
+    found = sorted((r["path"][-1], r["sequence"], json.loads(r["record"])["orders"][0]["amount"]) for r in records.collect())
+    assert found == [("n", k, k) for k in range(3)] + [("z", k, k) for k in range(40)]
+
+
 def test_candle_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     from wickwork.queries import files as queries
 
