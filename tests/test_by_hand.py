@@ -777,6 +777,15 @@ def test_surface_rules_ask_their_trades_once(spark, monkeypatch):
     assert "l_orderkey" not in plan and kept[1:] == [("closing", True)]
 
 
+def test_exponents_are_never_cast_from_empty_text(spark):
+    texts = ["5", "1.50", "12e3", "12E-3", "1e+0007", "-7e-0", "1e", "e1", None, "9e9999"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    found = [r[0] for r in df.select(compare.canonical_decimal(F.col("x"))).collect()]
+    assert found[:9] == ["5", "1.5", "12000", "0.012", "10000000", "-7", None, None, None] and found[9] == "9" + "0" * 9999
+    power = df.select(F.array(compare.canonical_decimal(F.col("x"))).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(concat(0, " in power and "cast(substring(" not in power
+
+
 def test_numbered_orders_copy_no_table(spark, monkeypatch, tmp_path):
     from wickwork.queries import QUERIES
     from wickwork.queries import files as queries

@@ -14,6 +14,11 @@ from pyspark.sql.window import Window
 from wickwork.session import stored
 
 
+def _power(exponent: Column) -> Column:
+    """An exponent's number, 0 for an empty text: a zero goes before its digits, as a text that is no number costs an exception inside the cast."""
+    return F.concat(F.lit("0"), F.ltrim(exponent, F.lit("+-"))).try_cast("int") * (1 - 2 * exponent.startswith("-").cast("int"))
+
+
 def canonical_decimal(c: Column) -> Column:
     """Decimal text without exponent, trailing zeros or a sign on zero; NULL for text that is not a finite number.
 
@@ -27,7 +32,7 @@ def canonical_decimal(c: Column) -> Column:
     bare = F.ltrim(number, F.lit("+-"))
     before = F.substring_index(bare, ".", 1)
     digits = F.concat(before, F.substring(bare, F.length(before) + 2, F.length(bare)))
-    point = F.length(before) + F.coalesce(F.substring(text, F.length(number) + 2, F.length(text)).try_cast("int"), F.lit(0))  # digits before the point
+    point = F.length(before) + _power(F.substring(text, F.length(number) + 2, F.length(text)))  # digits before the point
     padded = F.concat(F.repeat(zero, F.greatest(F.lit(0), 1 - point)), digits, F.repeat(zero, F.greatest(F.lit(0), point - F.length(digits))))
     at = F.greatest(point, F.lit(1))
     whole = F.ltrim(F.substring(padded, F.lit(1), at), zero)
@@ -51,7 +56,7 @@ def canonical_decimals(texts: Column) -> Column:
     rows = step(rows, "text", number=lambda v: F.substring_index(v["text"], "e", 1))
     rows = step(rows, "text number", bare=lambda v: F.ltrim(v["number"], F.lit("+-")))
     rows = step(rows, "text number bare", before=lambda v: F.substring_index(v["bare"], ".", 1))
-    power = lambda v: F.coalesce(F.substring(v["text"], F.length(v["number"]) + 2, F.length(v["text"])).try_cast("int"), F.lit(0))
+    power = lambda v: _power(F.substring(v["text"], F.length(v["number"]) + 2, F.length(v["text"])))
     rows = step(rows, "number", digits=lambda v: F.concat(v["before"], F.substring(v["bare"], F.length(v["before"]) + 2, F.length(v["bare"]))), point=lambda v: F.length(v["before"]) + power(v))
     rows = step(rows, "number", at=lambda v: F.greatest(v["point"], F.lit(1)), padded=lambda v: F.concat(F.repeat(zero, F.greatest(F.lit(0), 1 - v["point"])), v["digits"], F.repeat(zero, F.greatest(F.lit(0), v["point"] - F.length(v["digits"])))))
     rows = step(rows, "number", whole=lambda v: F.ltrim(F.substring(v["padded"], F.lit(1), v["at"]), zero), rest=lambda v: F.rtrim(F.substring(v["padded"], v["at"] + 1, F.length(v["padded"])), zero))
