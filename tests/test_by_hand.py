@@ -786,6 +786,17 @@ def test_exponents_are_never_cast_from_empty_text(spark):
     assert "cast(concat(0, " in power and "cast(substring(" not in power
 
 
+def test_errors_of_trades_evaluate_no_decimal(spark, monkeypatch):
+    monkeypatch.setattr(exports, "stored", lambda df, label, *more: df.localCheckpoint())
+    whole = '"pair":"A","open_timestamp":1,"close_timestamp":2,"exit_reason":"x","is_short":false'
+    texts = [f"{{{whole}{a}}}" for a in ("", ',"amount":null', ',"amount":"1e"', ',"amount":" 1.50\\n"', ',"amount":2')]
+    records = spark.createDataFrame([("p", "S", "trades", k, t) for k, t in enumerate(texts)], "path string, strategy string, section string, sequence int, record string")
+    out = exports.normalize_trades(records)[0]
+    assert [(r["amount"], r["error"]) for r in out.orderBy("sequence").collect()] == [(None, "amount"), (None, "amount"), (None, "amount"), ("1.5", None), ("2", None)]
+    plan = out.where("error is null").select("pair")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 1
+
+
 def test_numbered_orders_copy_no_table(spark, monkeypatch, tmp_path):
     from wickwork.queries import QUERIES
     from wickwork.queries import files as queries

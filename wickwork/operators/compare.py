@@ -19,6 +19,11 @@ def _power(exponent: Column) -> Column:
     return F.concat(F.lit("0"), F.ltrim(exponent, F.lit("+-"))).try_cast("int") * (1 - 2 * exponent.startswith("-").cast("int"))
 
 
+def is_decimal(c: Column) -> Column:
+    """Whether a text is a finite number, so that canonical_decimal is not null; NULL for NULL."""
+    return F.trim(c).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$")
+
+
 def canonical_decimal(c: Column) -> Column:
     """Decimal text without exponent, trailing zeros or a sign on zero; NULL for text that is not a finite number.
 
@@ -26,8 +31,7 @@ def canonical_decimal(c: Column) -> Column:
     """
     # no step stands in a branch, so that a projection evaluates each of them, and c, once
     zero = F.lit("0")
-    sound = F.trim(c).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$")
-    text = F.replace(F.when(sound, F.rtrim(F.trim(c), F.lit("\n\r\u0085\u2028\u2029"))), F.lit("E"), F.lit("e"))  # $ stands before a last line end too
+    text = F.replace(F.when(is_decimal(c), F.rtrim(F.trim(c), F.lit("\n\r\u0085\u2028\u2029"))), F.lit("E"), F.lit("e"))  # $ stands before a last line end too
     number = F.substring_index(text, "e", 1)
     bare = F.ltrim(number, F.lit("+-"))
     before = F.substring_index(bare, ".", 1)
@@ -51,8 +55,7 @@ def canonical_decimals(texts: Column) -> Column:
     def step(values: Column, keep: str = "", **made) -> Column:
         return F.transform(values, lambda v: F.struct(*[v[c].alias(c) for c in keep.split()], *[f(v).alias(c) for c, f in made.items()]))
 
-    sound = lambda c: F.trim(c).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$")
-    rows = F.transform(texts, lambda c: F.struct(F.replace(F.when(sound(c), F.rtrim(F.trim(c), F.lit("\n\r\u0085\u2028\u2029"))), F.lit("E"), F.lit("e")).alias("text")))
+    rows = F.transform(texts, lambda c: F.struct(F.replace(F.when(is_decimal(c), F.rtrim(F.trim(c), F.lit("\n\r\u0085\u2028\u2029"))), F.lit("E"), F.lit("e")).alias("text")))
     rows = step(rows, "text", number=lambda v: F.substring_index(v["text"], "e", 1))
     rows = step(rows, "text number", bare=lambda v: F.ltrim(v["number"], F.lit("+-")))
     rows = step(rows, "text number bare", before=lambda v: F.substring_index(v["bare"], ".", 1))
